@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import substring_dedup
+from .byte_bpe import op10_byte_bpe
 from .quality_classifier import op1_quality_classifier
+from .substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+}
