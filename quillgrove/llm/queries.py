@@ -5,11 +5,15 @@ from __future__ import annotations
 from . import substring_dedup
 from .byte_bpe import op10_byte_bpe
 from .quality_classifier import op1_quality_classifier
+from .simhash import op9_simhash
 from .substring_dedup import op2_substring_dedup
+from .syncmers import op4_syncmers
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_syncmers": op4_syncmers,
+    "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
