@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, read_table, slim, text_of
+from .common import cut, read_table, slim, text_of
 
 #: Frequent words of each language.
 FREQUENT = {

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import line_templates, quality_rules, substring_dedup
 from .byte_bpe import op10_byte_bpe
+from .line_templates import op6_line_templates
+from .mixing import op8_mixing
 from .quality_classifier import op1_quality_classifier
+from .quality_rules import op5_quality_rules
 from .simhash import op9_simhash
 from .substring_dedup import op2_substring_dedup
 from .syncmers import op4_syncmers
@@ -13,10 +16,15 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_syncmers": op4_syncmers,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_line_templates": op6_line_templates,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_line_templates": line_templates.ORACLE_SQL,
 }

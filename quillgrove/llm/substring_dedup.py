@@ -31,9 +31,9 @@ from .common import LAST_ID, block_column, block_of, pack_keys, plan_blocks, rea
 from .textvec import U, Piece, as_bytes, pieces, window_hashes
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Hashes that a worker holds before it sends them, and that one range has at most on average.
-HELD, RANGE = 3_000_000, 4_000_000
+HELD, RANGE = 2_000_000, 3_000_000
 SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
 
 
