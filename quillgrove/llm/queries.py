@@ -6,18 +6,22 @@ from . import line_templates, quality_rules, substring_dedup
 from .byte_bpe import op10_byte_bpe
 from .line_templates import op6_line_templates
 from .mixing import op8_mixing
+from .pitman_yor import op7_pitman_yor
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op5_quality_rules
 from .simhash import op9_simhash
 from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import op3_suffix_dedup
 from .syncmers import op4_syncmers
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_syncmers": op4_syncmers,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_templates": op6_line_templates,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
