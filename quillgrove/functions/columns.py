@@ -151,11 +151,11 @@ def negotiated(header: Column, available: list[str]) -> Column:
     return F.when(F.coalesce(F.trim(header), F.lit("")) == "", available[0]).otherwise(F.get(found, F.lit(0)))
 
 
-@F.pandas_udf("boolean")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v is None or unicodedata.is_normalized("NFC", v))
-
-
 def is_nfc(s: Column) -> Column:
     """Python is asked only for texts beyond ASCII."""
-    return F.when(s.rlike(r"[^\x00-\x7F]"), _nfc(s)).otherwise(F.lit(True))
+
+    @F.pandas_udf("boolean")
+    def normal(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: x is None or unicodedata.is_normalized("NFC", x))
+
+    return F.when(s.rlike(r"[^\x00-\x7F]"), normal(s)).otherwise(F.lit(True))

@@ -22,92 +22,114 @@ FILLED, PAIRED = ("list", "contents", "bibliography"), ("term-list", "signature-
 REFERRING = {"reference": "target", "note-ref": "target", "citation": "target", "rendering": "payload"}
 
 
-def _diag(rows: DataFrame, rule: Column | str, detail: Column | str, place: Column | str = "place") -> DataFrame:
-    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select("doc_id", "pos", as_column(rule).alias("rule"), (F.col(place) if isinstance(place, str) else place).alias("place"), as_column(detail).alias("detail"))
-
-
-def _typed(v: Column, kind: Column, spec: Column) -> Column:
+def _broken(v: Column, kind: Column, spec: Column) -> Column:
     """Rules that a declared field breaks, as an array."""
     t = spec["type"]
     whole, flag, written = t == "int", t == "bool", ~t.isin("int", "bool")
-    ok_string, ok_int = written & (kind == "str"), whole & (kind == "int")
-    n = v.try_cast("decimal(38,0)")
+    text, number = written & (kind == "str"), whole & (kind == "int")
     shaped = F.lit(False)
     for name, pattern in SHAPES.items():
         shaped = shaped | ((t == name) & ~v.rlike(pattern))
     scheme = F.lower(F.regexp_extract(v, C.SCHEME, 1))
     checks = [
         ("R5", (whole & (kind != "int")) | (flag & (kind != "bool")) | (written & (kind != "str"))),
-        ("R7", ok_int & spec["low"].isNotNull() & ~n.between(spec["low"], spec["high"])),
-        ("R8", ok_string & spec["required"] & C.blank(v)),
-        ("R6", ok_string & (F.size(spec["enum"]) > 0) & ~F.array_contains(spec["enum"], v)),
-        ("R10", ok_string & (t == "path") & C.leads_elsewhere(v)),
-        ("R17", ok_string & t.isin("path", "iri") & v.rlike(C.CONTROL)),
-        ("R19", ok_string & (t == "iri") & (scheme != "") & ~scheme.isin(*C.SCHEMES)),
-        ("R5", ok_string & shaped),
+        ("R7", number & spec["low"].isNotNull() & ~v.try_cast("decimal(38,0)").between(spec["low"], spec["high"])),
+        ("R8", text & spec["required"] & C.blank(v)),
+        ("R6", text & (F.size(spec["enum"]) > 0) & ~F.array_contains(spec["enum"], v)),
+        ("R10", text & (t == "path") & C.leads_elsewhere(v)),
+        ("R17", text & t.isin("path", "iri") & v.rlike(C.CONTROL)),
+        ("R19", text & (t == "iri") & (scheme != "") & ~scheme.isin(*C.SCHEMES)),
+        ("R5", text & shaped),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in checks]))
+    return F.when(kind == "float", F.array(F.lit("R13"))).otherwise(found)
+
+
+def _said(rule: Column | str, detail: Column | str) -> Column:
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(as_column(rule).alias("rule"), as_column(detail).alias("detail"))
+
+
+def _own_rules() -> Column:
+    """Everything that a node alone decides, as an array of (rule, detail)."""
+    t, known = F.col("t"), F.col("et").isNotNull()
+    none = F.array().cast("array<struct<rule:string,detail:string>>")
+    one = lambda c, rule, detail: F.when(c, F.array(_said(rule, detail))).otherwise(none)
+    missing = F.filter("specs", lambda s: s["required"] & ~F.exists("fields", lambda f: f["name"] == s["name"]))
+
+    def of_field(f: Column) -> Column:
+        spec = F.get(F.filter("specs", lambda s: s["name"] == f["name"]), F.lit(0))
+        exempt = (t == "document") & (f["name"] == "register")
+        broken = F.transform(_broken(f["value"], f["kind"], spec), lambda r: _said(r, f["name"]))
+        return F.when(spec.isNotNull(), broken).when(exempt, none).otherwise(F.array(_said("R4", F.concat(F.lit("unknown field "), f["name"]))))
+
+    inside = F.concat(
+        F.transform(missing, lambda s: _said("R3", F.concat(F.lit("missing "), s["name"]))),
+        F.flatten(F.transform("fields", of_field)),
+        one(F.coalesce((t == "date") & ~field("value", "str").rlike(DATE), F.lit(False)), "R5", "value"),
+        one(F.coalesce((t == "payload") & ~field("data", "str").rlike(PAYLOAD), F.lit(False)), "R14", "data"),
+        one(t.isin(*FILLED) & (F.col("n_children") == 0), "R16", "no items"),
+        one(t.isin(*PAIRED) & (F.col("n_children") == 0), "R16", "no term first"),
+        one((t == "document") & (F.col("n_children") == 0), "R18", "empty"),
+    )
+    deep = F.col("depth") > MAX_DEPTH
+    shallow = F.concat(F.transform("malformed", lambda m: _said("R20", m)), F.when(known, inside).otherwise(F.array(_said("R1", F.concat(F.lit("unknown element "), F.coalesce(t, F.lit("")))))))
+    root = one((F.col("depth") == 0) & ~t.eqNullSafe("document"), "R2", F.concat(F.lit("the root is "), F.coalesce(t, F.lit("nothing"))))
+    return F.concat(root, F.when(deep, F.array(_said("R21", f"nested deeper than {MAX_DEPTH}"))).otherwise(shallow))
+
+
+def _child_rules() -> Column:
+    """What a child and its parent decide, as an array of (rule, place, detail)."""
+    model, at = F.col("pm"), F.when(F.col("pp") == "/", "").otherwise(F.col("pp"))
+    wrong = (
+        F.when(model == "none", F.col("ord") == 0)
+        .when(model == "text", ~F.col("t").eqNullSafe("text"))
+        .when(model == "list", F.coalesce(~F.array_contains("allowed", F.col("t")), F.lit(True)))
+        .otherwise(F.col("cls").isNotNull() & (F.col("cls") != "invisible") & (F.col("cls") != F.when(model == "inline", "inline").otherwise("block")))
+    )
+    paired = F.col("pt").isin(*PAIRED)
+    made = lambda rule, place, detail: F.struct(F.lit(rule).alias("rule"), place.alias("place"), detail.alias("detail"))
+    found = [
+        (wrong, made("R9", F.when(model == "none", F.col("pp")).otherwise(F.concat(at, F.lit("/"), F.col("ord").cast("string"))), F.concat("pt", F.lit(" holds "), F.coalesce("t", F.lit("nothing"))))),
+        (paired & (F.col("ord") == 0) & ~F.col("t").eqNullSafe("term"), made("R16", F.col("pp"), F.lit("no term first"))),
+        (paired & (F.col("t") == "term") & (F.col("ord") < F.col("among") - 1) & ~F.col("following").eqNullSafe("definition"), made("R16", F.col("pp"), F.lit("a term without definition"))),
     ]
-    found = F.array(*[F.when(c, F.lit(r)) for r, c in checks])
-    return F.when(kind == "float", F.array(F.lit("R13"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
+    return F.array_compact(F.array(*[F.when(c, d) for c, d in found]))
 
 
 def validate(nodes: DataFrame, reg: Register) -> DataFrame:
-    """All diagnostics of the documents in a node table."""
-    spark = nodes.sparkSession
-    dims = dimensions(spark, reg)
-    elements = F.broadcast(dims["elements"].select(F.col("t").alias("et"), "cls", "model", "permitted"))
-    required = dims["fields"].where("required").groupBy("t").agg(F.collect_list("name").alias("required")).select(F.col("t").alias("qt"), "required")
-    known = nodes.join(elements, F.col("t") == F.col("et"), "left").join(F.broadcast(required), F.col("t") == F.col("qt"), "left")
+    """All diagnostics of the documents in a node table.
+
+    One pass reports what a node alone decides; ids, references and children each take a
+    window or a join by document. The register is tens of rows and is broadcast.
+    """
+    dims = dimensions(nodes.sparkSession, reg)
+    specs = dims["fields"].groupBy("t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
+    elements = dims["elements"].join(specs, "t", "left").select(F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
+    known = nodes.join(F.broadcast(elements), F.col("t") == F.col("et"), "left")
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    stop = F.when(F.col("et").isNull(), F.col("last_pos"))
-    seen = known.withColumn("stop", F.max(stop).over(before)).where("(stop is null or stop < pos)").where(F.col("depth") <= MAX_DEPTH + 1).drop("stop")
-    own = seen.where(F.col("depth") <= MAX_DEPTH)
-    good = own.where("et is not null")
-
-    out = _diag(nodes.where("depth = 0 and not (t <=> 'document')"), "R2", F.concat(F.lit("the root is "), F.coalesce("t", F.lit("nothing"))), F.lit("/"))
-    out = out.unionAll(_diag(seen.where(F.col("depth") > MAX_DEPTH), "R21", f"nested deeper than {MAX_DEPTH}"))
-    out = out.unionAll(_diag(own.withColumn("bad", F.explode("malformed")), "R20", F.col("bad")))
-    out = out.unionAll(_diag(own.where("et is null"), "R1", F.concat(F.lit("unknown element "), F.coalesce("t", F.lit("")))))
-    missing = good.withColumn("name", F.explode(F.array_except("required", F.transform("fields", lambda f: f["name"]))))
-    out = out.unionAll(_diag(missing, "R3", F.concat(F.lit("missing "), F.col("name"))))
-
-    spec = F.broadcast(dims["fields"].select(F.col("t").alias("ft"), F.struct("name", "type", "required", "enum", "low", "high").alias("spec")))
-    held = good.withColumn("f", F.explode("fields"))
-    typed = held.join(spec, (F.col("t") == F.col("ft")) & (F.col("f.name") == F.col("spec.name")), "left")
-    exempt = (F.col("t") == "document") & (F.col("f.name") == "register")
-    out = out.unionAll(_diag(typed.where(F.col("ft").isNull() & ~exempt), "R4", F.concat(F.lit("unknown field "), F.col("f.name"))))
-    declared = typed.where("ft is not null")
-    broken = declared.withColumn("rule", F.explode(_typed(F.col("f.value"), F.col("f.kind"), F.col("spec"))))
-    out = out.unionAll(_diag(broken, F.col("rule"), F.col("f.name")))
-    texts = declared.where("f.kind = 'str' and spec.type not in ('int', 'bool')")
-    out = out.unionAll(_diag(texts.where(F.col("f.value").rlike(r"[^\x00-\x7F]")).withColumn("ok", C.is_nfc(F.col("f.value"))).where("not ok"), "R15", F.col("f.name")))
-    out = out.unionAll(_diag(good.where((F.col("t") == "date") & ~field("value", "str").rlike(DATE)), "R5", "value"))
-    out = out.unionAll(_diag(good.where((F.col("t") == "payload") & ~field("data", "str").rlike(PAYLOAD)), "R14", "data"))
-
-    ids = good.withColumn("id", field("id", "str")).where("id is not null")
+    stop = F.max(F.when(F.col("et").isNull(), F.col("last_pos"))).over(before)
+    seen = known.withColumn("stop", stop).where("stop is null or stop < pos").where(F.col("depth") <= MAX_DEPTH + 1).drop("stop")
+    good = seen.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
+    place = F.when(F.col("d.rule") == "R2", "/").otherwise(F.col("place"))
+    own = seen.withColumn("d", F.explode(_own_rules())).select("doc_id", "pos", "d.rule", place.alias("place"), "d.detail")
+
+    beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(r"[^\x00-\x7F]") & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
+    wide = good.select("doc_id", "pos", "place", F.explode(F.filter("fields", beyond)).alias("f"))
+    unnormal = wide.where(~C.is_nfc(F.col("f.value"))).select("doc_id", "pos", F.lit("R15").alias("rule"), "place", F.col("f.name").alias("detail"))
+
+    ids = good.select("doc_id", "pos", "place", field("id", "str").alias("id")).where("id is not null")
     nth = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("pos"))
-    out = out.unionAll(_diag(ids.withColumn("nth", nth).where("nth > 1"), "R12", F.col("id")))
-    keys = [F.when(F.col("t") == t, field(k, "str")) for t, k in REFERRING.items()]
-    asked = nodes.where(F.col("t").isin(*REFERRING)).withColumn("id", F.coalesce(*keys)).where("id is not null")
-    out = out.unionAll(_diag(asked.join(ids.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti"), "R11", F.col("id"), F.concat(F.lit("/"), F.col("t"))))
+    again = ids.withColumn("nth", nth).where("nth > 1").select("doc_id", "pos", F.lit("R12").alias("rule"), "place", F.col("id").alias("detail"))
+    target = F.coalesce(*[F.when(F.col("t") == t, field(k, "str")) for t, k in REFERRING.items()])
+    asked = nodes.where(F.col("t").isin(*REFERRING)).select("doc_id", "pos", "t", target.alias("id")).where("id is not null")
+    dangling = asked.join(ids.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti").select("doc_id", "pos", F.lit("R11").alias("rule"), F.concat(F.lit("/"), "t").alias("place"), F.col("id").alias("detail"))
 
     parents = good.select("doc_id", F.col("pos").alias("up"), F.col("t").alias("pt"), F.col("place").alias("pp"), F.col("model").alias("pm"), F.col("permitted").alias("allowed"), F.col("n_children").alias("among"))
-    kids = nodes.join(elements, F.col("t") == F.col("et"), "left").select("doc_id", "pos", F.col("parent_pos").alias("up"), "ord", "t", "cls").join(parents, ["doc_id", "up"])
-    under = F.when(F.col("pp") == "/", "").otherwise(F.col("pp"))
-    wrong = (
-        F.when(F.col("pm") == "none", F.col("ord") == 0)
-        .when(F.col("pm") == "text", ~F.col("t").eqNullSafe("text"))
-        .when(F.col("pm") == "list", F.coalesce(~F.array_contains("allowed", F.col("t")), F.lit(True)))
-        .otherwise(F.col("cls").isNotNull() & ~F.col("cls").isin("invisible") & (F.col("cls") != F.when(F.col("pm") == "inline", "inline").otherwise("block")))
-    )
-    out = out.unionAll(_diag(kids.where(wrong), "R9", F.concat("pt", F.lit(" holds "), F.coalesce("t", F.lit("nothing"))), F.when(F.col("pm") == "none", F.col("pp")).otherwise(F.concat(under, F.lit("/"), F.col("ord").cast("string")))))
-    out = out.unionAll(_diag(good.where(F.col("t").isin(*FILLED) & (F.col("n_children") == 0)), "R16", "no items"))
-    out = out.unionAll(_diag(good.where(F.col("t").isin(*PAIRED) & (F.col("n_children") == 0)), "R16", "no term first"))
-    turn = Window.partitionBy("doc_id", "up").orderBy("ord")
-    in_pairs = kids.where(F.col("pt").isin(*PAIRED)).withColumn("following", F.lead("t").over(turn))
-    out = out.unionAll(_diag(in_pairs.where((F.col("ord") == 0) & ~F.col("t").eqNullSafe("term")), "R16", "no term first", F.col("pp")))
-    out = out.unionAll(_diag(in_pairs.where((F.col("t") == "term") & (F.col("ord") < F.col("among") - 1) & ~F.col("following").eqNullSafe("definition")), "R16", "a term without definition", F.col("pp")))
-    return out.unionAll(_diag(good.where("t = 'document' and n_children = 0"), "R18", "empty"))
+    following = F.lead("t").over(Window.partitionBy("doc_id", "up").orderBy("ord"))
+    kids = known.select("doc_id", "pos", F.col("parent_pos").alias("up"), "ord", "t", "cls").join(parents, ["doc_id", "up"]).withColumn("following", following)
+    fits = kids.withColumn("d", F.explode(_child_rules())).select("doc_id", "pos", "d.rule", "d.place", "d.detail")
+    return own.unionAll(unnormal).unionAll(again).unionAll(dangling).unionAll(fits)
 
 
 def rendered(diags: DataFrame) -> DataFrame:
