@@ -31,6 +31,8 @@ from .common import cut, read_table, slim, text_of
 WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0
 STEPS, TOLERANCE, OFFSETS, PARTS = 30, 1e-9, 32, 1 << 16
+UNIT_BITS = 24
+UNIT = 1 << UNIT_BITS
 KEY = ("no_source", "source")
 
 
@@ -58,6 +60,11 @@ def rate(tilt: Column, x: Column, most: float = MOST) -> Column:
     return F.least(F.lit(most), F.exp(F.least(tilt * x, F.lit(50.0))))
 
 
+def _exact(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its rows."""
+    return F.sum(x.cast("decimal(38,6)")).cast("double")
+
+
 def solve(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """goals with `tilt` and `mean`: Newton steps on the dual, one aggregation over the histogram a step."""
     mean = histogram.groupBy(*KEY).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
@@ -67,7 +74,7 @@ def solve(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFra
         x = F.col("size") / F.col("mean")
         r = rate(F.col("tilt"), x, most)
         words = F.col("n") * F.col("size")
-        summed = histogram.where("size > 0").join(state.where(~F.col("full")), [*KEY]).groupBy(*KEY).agg(F.sum(words * r).alias("got"), F.sum(F.when(r < most, words * x * r).otherwise(0.0)).alias("slope"))
+        summed = histogram.where("size > 0").join(state.where(~F.col("full")), [*KEY]).groupBy(*KEY).agg(_exact(words * r).alias("got"), _exact(F.when(r < most, words * x * r).otherwise(0.0)).alias("slope"))
         found = state.join(summed, [*KEY], "left").withColumn("over", F.col("got") - F.col("target"))
         low = F.when(F.col("over") < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(F.col("over") > 0, F.col("tilt")).otherwise(F.col("high"))
@@ -87,10 +94,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     histogram = cut(known.groupBy(*KEY, "size").agg(F.count("*").alias("n")))
     sums = histogram.groupBy(*KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = solve(histogram, targets(sums, weights, total, most), most)
-    rated = histogram.join(goals, [*KEY]).withColumn("rate", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("size") / F.col("mean"), most)))
+    found = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("tilt"), F.col("size") / F.col("mean"), most))
+    rated = histogram.join(goals, [*KEY]).withColumn("rate", F.round(found * UNIT).cast("long"))  # whole units add up exactly
     # Summed rates before each size of a source; before each part of a size; within a part by hash and id.
     before = Window.partitionBy(*KEY).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    rated = rated.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0))).select(*KEY, "size", "source_size", "target", "rate", "start")
+    rated = rated.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0))).select(*KEY, "size", "source_size", "target", "rate", "start")
     h = F.xxhash64(F.col("doc_id").cast("string"))
     dealt = known.withColumns({"h": h, "part": F.pmod(h, F.lit(PARTS))})
     within = Window.partitionBy(*KEY, "size", "part").orderBy("h", "doc_id")
@@ -100,13 +108,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     placed = cut(dealt.withColumn("place", F.row_number().over(within)).join(parts, [*KEY, "size", "part"]).withColumn("end", F.col("start") + (F.col("ahead") + F.col("place")) * F.col("rate")).select("doc_id", *KEY, "size", "source_size", "target", "rate", "end"))
 
     def copies(offset: Column) -> Column:
-        passed = F.floor(F.col("end") + offset) - F.floor(F.col("end") - F.col("rate") + offset)
-        return F.least(F.greatest(passed, F.lit(0)), F.lit(int(most))).cast("long")
+        return F.shiftright(F.col("end") + offset, UNIT_BITS) - F.shiftright(F.col("end") - F.col("rate") + offset, UNIT_BITS)
 
-    tried = placed.groupBy(*KEY).agg(F.first("target").alias("t"), *[F.sum(copies(F.lit((k + 0.5) / OFFSETS)) * F.col("size")).alias(f"k{k}") for k in range(OFFSETS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("off"), F.lit((k + 0.5) / OFFSETS).alias("at")) for k in range(OFFSETS)]))["at"]
+    tried = placed.groupBy(*KEY).agg(F.first("target").alias("t"), *[F.sum(copies(F.lit((2 * k + 1) * UNIT // (2 * OFFSETS)).cast("long")) * F.col("size")).alias(f"k{k}") for k in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("off"), F.lit((2 * k + 1) * UNIT // (2 * OFFSETS)).cast("long").alias("at")) for k in range(OFFSETS)]))["at"]
     placed = placed.join(F.broadcast(tried.select(*KEY, best.alias("at"))) if _few(tried) else tried.select(*KEY, best.alias("at")), [*KEY])
-    return placed.withColumn("copies", copies(F.col("at"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return placed.withColumn("copies", copies(F.col("at"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", (F.col("rate") / UNIT).alias("rate"))
 
 
 def _few(sources: DataFrame, most: int = 10_000) -> bool:
