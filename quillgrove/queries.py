@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import surface, trees
-from .operators import degrade, measures, nodes, ordered, validate
+from .operators import degrade, generate, measures, nodes, ordered, reports, validate
 from .plans.register import built_in
 from .sources import readers, writers
 from .streaming import ingest
@@ -223,6 +223,22 @@ def negotiated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.negotiated(header, list(writers.FORMS)).alias("media"))
 
 
+def excerpt_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document's middle paragraph."""
+    return reports.excerpt_proofs(_trees(spark, sf_dir), REG).select("doc_id", "blocks", "holds", "forged_holds")
+
+
+def not_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't in NFC."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(~C.is_nfc(F.coalesce("text", F.lit("")))).alias("not_normal"))
+
+
+def smallest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest document of each element conforms."""
+    held = nodes.from_trees(generate.smallest_documents(spark, REG)).persist()
+    return validate.conforming(held.where("depth = 0"), validate.validate(held, REG)).select(F.col("doc_id").alias("t"), "errors", "conforms")
+
+
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
 
@@ -238,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_histogram, layer_counts, content_units, units_lost, block_counts, unused_elements, errors_by_rule, coverage_by_language, evidence_verdicts, envelope_by_language, fixed_points, not_carried, merkle_roots, turns_numbered,
-        columns_in_order, top_event_types, decimal_scales, quantities, event_dates, entity_labels, provenance_pairs, safe_links, page_names, page_text, escaped_titles, query_links, form_documents, record_documents, degraded, negotiated, events_by_hour,
+        columns_in_order, top_event_types, decimal_scales, quantities, event_dates, entity_labels, provenance_pairs, safe_links, page_names, page_text, escaped_titles, query_links, form_documents, record_documents, degraded, negotiated, excerpt_proofs, not_normal, smallest_documents, events_by_hour,
     )
 }
 FLAGSHIP = "coverage_by_language"
@@ -276,6 +292,9 @@ SELECT lang, count(*) AS documents, CAST(floor(sum(strlen(j)) / count(*)) AS BIG
     "record_documents": "SELECT t, CAST(k * (SELECT count(*) FROM events) AS BIGINT) AS n FROM (VALUES ('document', 1), ('heading', 2), ('provenance', 1), ('section', 1), ('term', 1), ('definition', 1), ('paragraph', 2), ('text', 5), ('(errors)', 0)) v(t, k)",
     "degraded": "SELECT 'row' AS t, CAST(-1 AS BIGINT) AS parent_pos, CAST(1 AS BIGINT) AS depth, count(*) AS n FROM nation",
     "negotiated": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' WHEN 4 THEN 'text/html' END AS media FROM pages",
+    "excerpt_proofs": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(l.doc_id_) AS blocks, count(l.doc_id_) > 0 AS holds, false AS forged_holds FROM documents LEFT JOIN (SELECT doc_id AS doc_id_ FROM ({Q})) l ON doc_id = doc_id_ GROUP BY doc_id",
+    "not_normal": "SELECT lang, count(*) AS documents, count(*) FILTER (nfc_normalize(coalesce(text, '')) <> coalesce(text, '')) AS not_normal FROM documents GROUP BY lang",
+    "smallest_documents": f"SELECT t, 0 AS errors, true AS conforms FROM {ELEMENTS}",
     "events_by_hour": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "fixed_points": "SELECT count(*) AS documents, count(*) AS by_cbor, count(*) AS surface_again, count(*) AS nothing_lost FROM documents",
 }

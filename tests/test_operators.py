@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions import columns as C
 from quillgrove.functions import trees
-from quillgrove.operators import degrade, measures, nodes, ordered, validate
+from quillgrove.operators import degrade, generate, measures, nodes, ordered, reports, validate
 from quillgrove.plans.register import built_in
 from quillgrove.queries import ORACLE, QUERIES
 from quillgrove.sources import readers, writers
@@ -126,6 +126,26 @@ def test_served(spark):
     assert writers.index(views).count() == 1
 
 
+def test_hostile_documents_never_crash(spark):
+    made = generate.hostile_documents(spark, 300, seed=1)
+    assert sorted(r["raw"] for r in made.collect()) == sorted(r["raw"] for r in generate.hostile_documents(spark, 300, seed=1, partitions=3).collect())
+    table = nodes.from_trees(made).persist()
+    assert table.select("doc_id").distinct().count() == 300
+    assert validate.validate(table, REG).count() > 300 and nodes.views(made, REG).count() == 300
+
+
+def test_reports(spark):
+    table = node_table(spark, DOC)
+    text = reports.markdown(validate.by_rule(validate.validate(node_table(spark, BROKEN["R1"]), REG)), "Rules")
+    assert text == "# Rules\n\n| rule | n |\n|-|-|\n| R1 | 1 |\n"
+    assert measures.unused(table, REG).count() < 50
+    pages = spark.createDataFrame([(1, "https://a/", "<form action='/s'><input aria-label='q' name='q'></form>")], "page_id long, url string, html string")
+    totals = {(r["genre"], r["key"]): r["n"] for r in reports.finding_totals(readers.findings(readers.forms_of(pages), "forms")).collect()}
+    assert totals["forms", "label_aria"] == 1
+    ways = spark.createDataFrame([("for",), ("aria",), ("none",)], "way string")
+    assert reports.control_statistics(ways).first()[:5] == (3, 2, 1, 0, 1)
+
+
 def test_files_and_streams(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
