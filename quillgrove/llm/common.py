@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 #: The order of a missing document id: after every other.
 LAST_ID = (1 << 63) - 1
+#: Bounds of blocks that are looked through together.
+SPAN = 64
 
 
 def text_of(column: str = "text") -> Column:
@@ -79,26 +81,12 @@ def plan_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
 
 def block_column(bounds: list[int], id_col: str) -> Column:
-    """The index of the block of an id: how many bounds lie below it."""
+    """The index of the block of an id: how many bounds lie below it, by two short scans of constant arrays."""
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    return F.when(key > bounds[-1], F.lit(len(bounds))).otherwise(
-        F.expr("0") if len(bounds) == 0 else _search(table, key, len(bounds))
-    )
-
-
-def _search(table: Column, key: Column, n: int) -> Column:
-    """Binary search unrolled by halves, over a constant array."""
-
-    def step(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.get(table, F.lit(mid)), step(lo, mid)).otherwise(step(mid + 1, hi))
-
-    return step(0, n - 1)
+    array = lambda xs: F.lit(xs).cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
+    whole = below(array(bounds[SPAN - 1 :: SPAN])) * SPAN
+    return whole + below(F.slice(array(bounds), whole + 1, F.lit(SPAN)))
 
 
 def block_of(ids: list[int | None], bounds: np.ndarray) -> np.ndarray:

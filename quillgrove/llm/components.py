@@ -31,5 +31,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
     roots = edges.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
     return edges.select(F.col("v").alias("node"), F.col("p").alias("component")).unionAll(roots)

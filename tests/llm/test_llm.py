@@ -68,10 +68,10 @@ def digest(b):
 def test_common(spark):
     keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
     assert (unpack_keys(pack_keys(keys)) == keys).all() and len(unpack_keys(pack_keys(keys[:0]))) == 0
-    bounds = [-5, 0, 3, 10]
-    ids = [None, -6, -5, -4, 0, 1, 3, 4, 10, 11]
-    got = spark.createDataFrame([(i,) for i in ids], "i long").select(block_column(bounds, "i")).collect()
-    assert [r[0] for r in got] == block_of(ids, np.array(bounds)).tolist()
+    for bounds in ([], [-5, 0, 3, 10], list(range(0, 400, 3)), list(range(64)), list(range(65))):
+        ids = [None, -6, -5, -4, 0, 1, 3, 4, 10, 11, 62, 63, 64, 65, 192, 193, 398, 399, 400, 1 << 40]
+        got = spark.createDataFrame([(i,) for i in ids], "i long").select(block_column(bounds, "i")).collect()
+        assert [r[0] for r in got] == block_of(ids, np.array(bounds, np.int64)).tolist()
 
 
 def test_substring_dedup(docs, empty):
