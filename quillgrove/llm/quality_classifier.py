@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word gives one hashed word feature and its hashed character n-grams (3 to 5 bytes,
-word ends marked). A document is the average of the learned vectors of all its features;
-a softmax over two classes follows. Vectors and output weights are fitted by plain
+word ends marked); a word that repeats the one before gives one more. A document is the
+average of the learned vectors of all its features and of `SMOOTH` zero vectors; a softmax over two classes follows. Vectors and output weights are fitted by plain
 stochastic gradient descent in numpy.
 
 The fit takes a bounded sample of the labelled rows (`max_rows`, a parameter: the rows
@@ -30,6 +30,10 @@ from .common import crc_mod, py_crc_mod, read_table, slim
 from .textvec import IS_SPACE, U, Piece, as_bytes, mix, pieces
 
 GRAMS = (3, 4, 5)
+#: Features with a zero vector that every average holds, so that a few words say little.
+SMOOTH = np.float32(40)
+#: The hash of every word that repeats the one before: a word 2-gram of equal words, whichever they are.
+AGAIN = 0x7C15F39CC0605CED
 
 
 @dataclass
@@ -47,8 +51,12 @@ def features(piece: Piece, bits: int) -> tuple[np.ndarray, np.ndarray]:
     space = data == 32
     wide, found, at = data.astype(U), [], []
     piece.words()
-    found.append(piece.word_hashes() >> U(64 - bits))
+    word = piece.word_hashes()
+    found.append(word >> U(64 - bits))
     at.append(piece.start)
+    again = np.flatnonzero((word[1:] == word[:-1]) & (np.diff(piece.row_of_word()) == 0)) + 1
+    found.append(np.full(len(again), AGAIN >> (64 - bits), U))
+    at.append(piece.start[again])
     n, gram = len(data), wide.copy()
     inner = np.zeros(n, bool)  # a separator strictly inside
     for size in range(2, max(GRAMS) + 1):
@@ -79,7 +87,7 @@ def bags(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
         cut = np.searchsorted(keys >> 40, np.arange(len(piece.texts) + 1))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             c = counts[a:b].astype(np.float32)
-            out.append((keys[a:b] & ((1 << 40) - 1), c / max(1, c.sum())))
+            out.append((keys[a:b] & ((1 << 40) - 1), c / (c.sum() + SMOOTH)))
     return out
 
 
@@ -118,7 +126,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
         f, at = features(piece, model.bits)
         row, n = rows_of(piece, at), len(piece.texts)
         total = np.bincount(row, weights=model.weights[f], minlength=n)
-        z = total / np.maximum(1, np.bincount(row, minlength=n)) + model.bias
+        z = total / (np.bincount(row, minlength=n) + SMOOTH) + model.bias
         out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
     return np.concatenate(out) if out else np.zeros(0)
 
