@@ -131,7 +131,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_rows: int = 4000, max_text_bytes: int = 32 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_rows: int = 4000, max_text_bytes: int = 16 << 20) -> Model:
     """Fit on at most `max_rows` labelled rows outside the held-out fold, and at most `max_text_bytes` of their text.
 
     The sample takes both classes alike where both have enough rows; the intercept is then
