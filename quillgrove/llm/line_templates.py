@@ -54,16 +54,17 @@ def lines(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 def flagged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """doc and `gone`: the numbers of its lines that go."""
     known = cut(lines(docs, id_col=id_col, text_col=text_col))
-    leaves = known.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # The small sides are cut, so that the joins deal both sides anew and a crowded leaf can be split.
+    leaves = cut(known.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
     inside = cut(known.join(leaves, "leaf"))
     pieces = inside.select("leaf", "doc", F.explode("stretches").alias("h")).distinct()
-    fixed = pieces.groupBy("leaf", "h").count().where(F.col("count") >= min_docs).select("leaf", "h")
+    fixed = cut(pieces.groupBy("leaf", "h").count().where(F.col("count") >= min_docs).select("leaf", "h"))
     # The fixed stretches of a leaf are fewer than its lines: each has min_docs of them.
     wide = inside.select("leaf", "doc", "no", F.posexplode("stretches").alias("k", "h")).join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "h"], "left")
     template = F.xxhash64("leaf", *[F.coalesce(F.max(F.when((F.col("k") == i) & F.col("fixed"), F.col("h"))), F.lit(0)) for i in range(SEGMENTS)])
     lined = wide.groupBy("leaf", "doc", "no").agg(template.alias("template"), F.count("fixed").alias("n")).where(F.col("n") >= MIN_FIXED).select("doc", "no", "template")
     lined = cut(lined)
-    recurring = lined.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)
+    recurring = cut(lined.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs))
     return lined.join(recurring, "template").where(F.col("doc") > F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("gone"))
 
 
