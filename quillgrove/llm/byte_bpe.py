@@ -23,9 +23,9 @@ import base64
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ from .common import read_table, slim, text_of
 from .textvec import as_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Units kept in memory by a worker, then forgotten together.
-MEMORY = 400_000
+#: Units kept in memory by a worker, in two generations: of the older, those still met go on.
+MEMORY = 600_000
 #: A longer unit isn't kept.
 KEPT_UNIT = 64
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -74,12 +74,16 @@ class Codec:
         self.tokenizer = Tokenizer(BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.characters = {r: written[t] for t, r in ranks.items()}
+        self.bytes_of: dict[int, bytes] = {}
         self.first: dict[str, tuple[bytes, bytes]] = {}
         self.later: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def token_bytes(self, i: int) -> bytes:
-        """A token's bytes: its characters back through the byte table."""
-        return bytes(self.to_byte[c] for c in self.characters[i])
+        """A token's bytes: its characters back through the byte table; looked up once."""
+        if i not in self.bytes_of:
+            self.bytes_of[i] = bytes(self.to_byte[c] for c in self.characters[i])
+        return self.bytes_of[i]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes, ids))
@@ -93,21 +97,28 @@ class Codec:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         return found.ids, found.offsets
 
-    def learn(self, units: list[str], lead: str, known: dict[str, tuple[bytes, bytes]]) -> None:
-        fresh = list({u for u in units if u not in known})
+    def learn(self, units: set[str], lead: str, known: dict[str, tuple[bytes, bytes]], older: dict[str, tuple[bytes, bytes]]) -> None:
+        fresh = []
+        for u in units.difference(known):
+            if u in older:
+                known[u] = older[u]
+            else:
+                fresh.append(u)
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             for u, e in zip(some, self.tokenizer.encode_batch_fast([lead + u for u in some], add_special_tokens=False), strict=True):
-                known[u] = (np.array(e.ids, "<u4").tobytes(), self.decode_bytes(e.ids))
+                ids = e.ids
+                known[u] = (struct.pack(f"<{len(ids)}I", *ids), self.decode_bytes(ids))
 
     def digests(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and their decoded bytes, of each text."""
         cut = [t.split(" ") if not IRREGULAR.search(t) else CUT.split(t) for t in texts]
-        if len(self.first) + len(self.later) > MEMORY:
-            self.first.clear()
-            self.later.clear()
-        self.learn([c[0] for c in cut], "", self.first)
-        self.learn([u for c in cut for u in c[1:]], " ", self.later)
+        if len(self.later) > MEMORY // 2:
+            self.older, self.later = self.later, {}
+        if len(self.first) > MEMORY // 20:
+            self.first = {}
+        self.learn({c[0] for c in cut}, "", self.first, {})
+        self.learn(set().union(*(c[1:] for c in cut)), " ", self.later, self.older)
         long = [u for c in cut for u in (c if max(map(len, c)) > KEPT_UNIT else ()) if len(u) > KEPT_UNIT]
         for c in cut:
             parts = [self.first[c[0]], *map(self.later.__getitem__, c[1:])]
