@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import byte_bpe, line_templates, mixing, quality_rules, simhash
-from quillgrove.llm.common import ensure_shared_dir, read_table
+from quillgrove.llm import byte_bpe, line_templates, mixing, near_copies, quality_rules
+from quillgrove.llm.common import LAST_ID, ensure_shared_dir, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,10 +30,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(line_templates.apply(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of each row, in order of id (a null one last); only equal rows share theirs."""
+    held = _documents(docs)
+    digest = F.xxhash64(*[F.col(c) for c in COLUMNS], *[F.col(c).isNull() for c in COLUMNS])
+    return held.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), digest.alias("digest")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return _documents(docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each component of near copies (five-word shingles, similarity of 0.8 or more): that with the smallest id."""
+    rows = _keyed(docs)
+    kept = near_copies.kept(rows, key_col="key")
+    return _documents(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix_sources), ("byte bpe", tokens)]
-#: Fingerprints, entropy balancing and BPE are beyond SQL; tests hold the stages against brute force.
+#: Near copies, entropy balancing and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -369,3 +369,40 @@ def test_pipeline_against_the_operators(spark, docs):
     assert Counter(r["doc_id"] for r in d.collect()) == want
     assert cp.tokens(spark, d, "").count() == d.count()
     assert [n for n, _ in cp.STAGES] == ["quality rules", "line dedup", "near dedup", "mixing", "byte bpe"]
+
+
+def test_near_dedup_takes_all_pairs_of_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    common = [rnd.choice(words) for _ in range(30)]
+    rows = []
+    for _ in range(25):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(60, 160))]
+        for edits in (0, 1, 2, 3, 4):
+            own = list(text)
+            for _ in range(edits):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            rows.append((len(rows), " ".join(own + (common if len(rows) % 2 else [])), "en", "a", 0))
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(8):  # each links with the next alone
+        rows.append((len(rows), " ".join([*chain[6 * k :], *[f"d{j}" for j in range(6 * k)]]), "en", "a", 0))
+    rnd.shuffle(rows)
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    label = [r[0] for r in rows]
+    near = [[j for j in range(len(rows)) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])] for i in range(len(rows))]
+    for _ in rows:
+        label = [min(label[j] for j in near[i]) for i in range(len(rows))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = simhash.near_duplicates(docs).select("component_id").distinct().count()
+    assert sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, "").collect()) == sorted(set(label)) and len(set(label)) < found
+
+
+def test_near_dedup_keeps_rows_without_or_with_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    say = lambda c, k=30: " ".join(f"{c}{j}" for j in range(k))
+    rows = [(None, say("a"), "en", "a", 0), (None, say("b"), "en", "a", 0), (7, say("c"), "en", "a", 0), (7, say("d"), "en", "a", 0), (7, say("d"), "en", "a", 0), (9, say("a"), "en", "a", 0), (None, None, "en", "a", 0), (8, "", "en", "a", 0)]
+    got = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, say("b")), (7, say("c")), (7, say("d")), (8, ""), (9, say("a"))]
