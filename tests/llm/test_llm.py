@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -176,15 +177,66 @@ def test_quality_rules(docs, empty, spark, tmp_path):
     assert "Python" not in nodes and "Arrow" not in nodes
 
 
+def template_lines(rows, lead=3, least=5, share=0.9):
+    """Lines that stay, by brute force over (id, text) documents."""
+    docs = sorted({(LAST_ID if i is None else i, t or "") for i, t in rows})
+    place = {}
+    for d in docs:
+        for no, line in enumerate(d[1].split("\n")):
+            w = tuple("<*>" if any(c in "0123456789" for c in x) else x for x in re.split("[\x20\x09-\x0d]+", line) if x)
+            if any(x != "<*>" for x in w):
+                place.setdefault((len(w), w[:lead]), {}).setdefault(w, {}).setdefault(d, []).append(no)
+    gone = {d: set() for d in docs}
+    for held in place.values():
+        if len({d for ds in held.values() for d in ds}) < least:
+            continue
+        support = Counter()
+        for w, ds in held.items():
+            for k, x in enumerate(w):
+                support[k, x] += len(ds)
+        by = {}
+        for w, ds in held.items():
+            known = [k for k, x in enumerate(w) if x != "<*>"]
+            fixed = [k for k in known if support[k, w[k]] >= least]
+            if fixed and len(fixed) >= share * len(known):
+                by.setdefault(tuple((k, w[k]) for k in fixed), []).extend((d, no) for d, nos in ds.items() for no in nos)
+        for found in by.values():
+            if len({d for d, _ in found}) >= least:
+                first = min(d for d, _ in found)
+                for d, no in found:
+                    if d != first:
+                        gone[d].add(no)
+    return {d: "\n".join(x for no, x in enumerate(d[1].split("\n")) if no not in gone[d]) for d in docs}
+
+
 def test_line_templates(docs, empty, spark, tmp_path):
-    lines = [f"job {i} started on host h{i} at port {i * 7} by the usual scheduler service" for i in range(12)]
-    extra = spark.createDataFrame([(100 + i, f"{x}\nunique {'abcdefghijkl'[i] * 4} stands here alone\n", "en", "a", 0) for i, x in enumerate(lines)], SCHEMA)
-    both = docs.select(*extra.columns).unionAll(extra)
-    got = {r["doc_id"]: r["text"] for r in line_templates.apply(both).where("doc_id >= 100").collect()}
-    assert got[100].startswith("job") and not any(v.startswith("job") for k, v in got.items() if k > 100) and all("unique" in v for v in got.values())
-    assert line_templates.apply(docs).columns == docs.columns and line_templates.apply(docs).count() == docs.count()
+    jobs = [f"job {i} started on host h{i} at port {i * 7} by the usual scheduler service" for i in range(12)]
+    ends = ["dogs bark", "cats meow", "rain falls", "birds sing", "wind blows", "snow melts", "time flies"]
+    extra = [(100 + i, f"{x}\nRead more\nunique {'abcdefghijkl'[i] * 4} stands here alone\n{i} {i}\n") for i, x in enumerate(jobs)]
+    extra += [(200 + i, f"He said that {x}") for i, x in enumerate(ends)]
+    extra += [(300 + i, f"we thank all our dear readers {x} and wish them well") for i, x in enumerate("abcdef")]
+    extra += [(None, f"Read more\nnull {x}") for x in ("a", "b")] + [(400, "Read more"), (400, "Read more"), (400, "x\nRead more")]
+    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in both.collect()]
+    want = template_lines(rows)
+    got = line_templates.apply(both).collect()
+    kept = {(LAST_ID if i is None else i, t or ""): want[LAST_ID if i is None else i, t or ""] for i, t in rows}
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((i, kept[LAST_ID if i is None else i, t or ""]) for i, t in rows)
+    by = {r["doc_id"]: r["text"] for r in got}
+    assert by[100] == extra[0][1] and not any("job" in by[k] or "Read" in by[k] for k in range(101, 112)) and all("unique" in by[k] for k in range(100, 112))
+    assert all(by[200 + i] == f"He said that {x}" for i, x in enumerate(ends))  # distinct short lines stay
+    assert [by[300 + i] == "" for i in range(6)] == [False] + [True] * 5  # one word of eleven varies
+    odd = docs.selectExpr("doc_id", "text", "1 as `doc`", "2 as `digest`", "3 as `gone`", "4 as `row`", "5 as `a.b`")
+    assert line_templates.apply(odd).columns == odd.columns and line_templates.apply(odd).count() == docs.count()
     assert line_templates.apply(docs).where("text is null").count() == 1
     assert line_templates.apply(empty).count() == 0
+    spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    op = line_templates.op6_line_templates(spark, str(tmp_path))
+    assert Counter(map(tuple, op.collect())) == Counter(c.sql(line_templates.ORACLE_SQL).fetchall())
+    plan = op._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_simhash(docs, empty, spark):
