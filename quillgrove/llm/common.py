@@ -1,8 +1,8 @@
 """What the corpus operators share: text columns, shared storage and document blocks.
 
-A *block* is a contiguous range of document ids holding a bounded amount of text.
-Operators that compare documents send compact per-block summaries through a shuffle,
-never texts, and join what they learn back to the block that asked.
+A *block* is a set of documents with a bounded amount of text, by hash or in order of id. Operators
+that compare documents shuffle texts to their blocks once; a block sends compact
+summaries through a shuffle, and what is learned is joined back to the block that asked.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 #: The order of a missing document id: after every other.
 LAST_ID = (1 << 63) - 1
-#: Bounds of blocks that are looked through together.
-SPAN = 64
 
 
 def text_of(column: str = "text") -> Column:
@@ -39,11 +37,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only a session without one (tests) gets its own."""
+    """Use the cluster's spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must set it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,35 +64,54 @@ def py_crc_mod(doc_id: object, modulus: int) -> int:
 
 # -- blocks ------------------------------------------------------------------------
 
+#: Bytes that a row counts for besides its text, so blocks of empty texts are bounded too.
+ROW_BYTES = 64
+#: Equal parts of the range of ids whose bytes are counted; a fixed number, whatever the data.
+BINS = 4096
+HASH_RANGE = float(1 << 63)
 
-def plan_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[list[int], int]:
-    """Upper ids of the blocks (without the last) and the bytes of all texts.
 
-    The bounds come from approximate quantiles over all ids; they decide only how the
-    work is dealt, never the result.
-    """
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    total = docs.select(F.coalesce(F.sum(F.octet_length(text_of(text_col)).cast("long")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [], total
-    marks = [i / n for i in range(1, n)]
-    found = docs.select(F.percentile_approx(key, marks, 20 * n).alias("m")).first()["m"] or []
-    return sorted(set(found)), total
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (null: empty) and `h`, 63 bits of the text's hash."""
+    return slim(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
 
 
-def block_column(bounds: list[int], id_col: str) -> Column:
-    """The index of the block of an id: how many bounds lie below it, by two short scans of constant arrays."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    array = lambda xs: F.lit(xs).cast("array<bigint>") if xs else F.array().cast("array<bigint>")
-    below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
-    whole = below(array(bounds[SPAN - 1 :: SPAN])) * SPAN
-    return whole + below(F.slice(array(bounds), whole + 1, F.lit(SPAN)))
+def total_bytes(base: DataFrame) -> int:
+    return base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + ROW_BYTES), F.lit(0))).first()[0]
 
 
-def block_of(ids: list[int | None], bounds: np.ndarray) -> np.ndarray:
-    """The same for a batch in Python."""
-    return np.searchsorted(bounds, np.array([LAST_ID if i is None else i for i in ids], dtype=np.int64), side="left")
+def hash_blocks(base: DataFrame, total: int, block_bytes: int) -> DataFrame:
+    """keyed rows with `block`, by hash of id and text: about block_bytes each, rows of one id apart."""
+    n = max(1, -(-total // block_bytes))
+    return base.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(n)).cast("int"))
+
+
+def ordered_blocks(base: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """keyed rows with `k` (the id, a missing one last), `block` and `place`; and the bytes of all.
+
+    Blocks ascend with ids. The ids' range is cut in BINS equal parts, whose bytes are counted; a part is
+    cut again in equal ranges between its own ends, as many as its bytes need. A part with one id alone is
+    cut by hash: its blocks share their `place`, and other blocks have their own; so missing ids are parted,
+    while rows of one id that stands among others in its part stay together. What comes to the
+    driver is a row for each part, BINS + 1 at most.
+    """
+    base = base.withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID)))
+    low, high = base.where(F.col("k") < LAST_ID).agg(F.min("k"), F.max("k")).first()
+    if low is None:
+        low = high = 0
+    part = F.least(F.lit(BINS - 1), F.floor((F.col("k").cast("double") - float(low)) * (BINS / (float(high) - float(low) + 1.0)))).cast("int")
+    base = base.withColumn("bin", F.when(F.col("k") == LAST_ID, F.lit(BINS)).otherwise(part))
+    held = base.groupBy("bin").agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    rows, first = [], 0
+    for r in sorted(held):
+        n = max(1, -(-r["size"] // block_bytes))
+        rows.append((r["bin"], first, n, float(r["low"]), float(r["high"]) - float(r["low"]) + 1.0, r["low"] == r["high"]))
+        first += n
+    bins = base.sparkSession.createDataFrame(rows, "bin int, first long, n long, low double, width double, one boolean")
+    share = F.when(F.col("one"), F.col("h") / HASH_RANGE).otherwise((F.col("k").cast("double") - F.col("low")) / F.col("width"))
+    block = F.col("first") + F.least(F.col("n") - 1, F.floor(share * F.col("n")))
+    out = base.join(F.broadcast(bins), "bin").withColumn("block", block).withColumn("place", F.when(F.col("one"), F.col("first")).otherwise(F.col("block")))
+    return out.select("doc_id", "text", "h", "k", "block", "place"), sum(r["size"] for r in held)
 
 
 # -- sorted sets of 64-bit keys as bytes --------------------------------------------

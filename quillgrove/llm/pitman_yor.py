@@ -37,10 +37,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_column, block_of, cut, pack_array, pack_keys, plan_blocks, py_crc_mod, read_table, slim, unpack_array, unpack_keys
+from .common import LAST_ID, cut, pack_array, pack_keys, py_crc_mod, read_table, slim, text_of, unpack_array, unpack_keys
 from .textvec import U, Piece, as_bytes, mix, pieces
 
 FOLDS, HELD_FOLD = 7, 2
+SPAN = 64
 SHARE = 1 / 4096
 BURN, KEEP, EXACT = 4, 4, 32
 DISCOUNT, STRENGTH = (0.8, 0.75), (5.0, 1.0)  # of contexts, of the parent
@@ -72,6 +73,36 @@ def contexts_before(found: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return np.where(contexts[at] == before, at, len(contexts)).astype(np.uint16)
 
 
+def plan_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[list[int], int]:
+    """Upper ids of the blocks (without the last) and the bytes of all texts.
+
+    The bounds come from approximate quantiles over all ids; they decide only how the
+    work is dealt, never the result.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
+    total = docs.select(F.coalesce(F.sum(F.octet_length(text_of(text_col)).cast("long")), F.lit(0))).first()[0]
+    n = max(1, -(-total // block_bytes))
+    if n == 1:
+        return [], total
+    marks = [i / n for i in range(1, n)]
+    found = docs.select(F.percentile_approx(key, marks, 20 * n).alias("m")).first()["m"] or []
+    return sorted(set(found)), total
+
+
+def block_column(bounds: list[int], id_col: str) :
+    """The index of the block of an id: how many bounds lie below it, by two short scans of constant arrays."""
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
+    array = lambda xs: F.lit(xs).cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
+    whole = below(array(bounds[SPAN - 1 :: SPAN])) * SPAN
+    return whole + below(F.slice(array(bounds), whole + 1, F.lit(SPAN)))
+
+
+def block_of(ids: list[int | None], bounds: np.ndarray) -> np.ndarray:
+    """The same for a batch in Python."""
+    return np.searchsorted(bounds, np.array([LAST_ID if i is None else i for i in ids], dtype=np.int64), side="left")
+
+
 # -- seating -----------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of a fixed number of words.
 
-1. Every text gives the hash of each of its windows. A block of documents sends the sorted
-   set of its hashes, dealt by hash range, about five bytes a hash.
+1. Texts are shuffled to blocks in order of id. A block sends the sorted set of the hashes of
+   its windows, dealt by hash range, about five bytes a hash.
 2. For each hash range Spark brings the sets together; a hash that is in more than one
    block is sent back to every block but the lowest, which holds the smallest ids.
 3. Each block hashes its texts again: a window is a repeat if its hash was sent back or a
@@ -12,8 +12,8 @@ A frequent window is one entry for each block that has it, so no task sees it on
 document. Hashes have 64 bits.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose nothing;
-rows with one id are one document's parts and don't remove each other's windows; a null id
-comes after all others; an empty table gives an empty result; other columns are ignored.
+rows with one id are one document's parts and don't remove each other's windows, however many
+blocks they fill; a null id comes after all others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_column, block_of, pack_keys, plan_blocks, read_table, slim, unpack_keys
+from .common import LAST_ID, keyed, ordered_blocks, pack_keys, read_table, unpack_keys
 from .textvec import U, Piece, as_bytes, pieces, window_hashes
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-#: Hashes that a worker holds before it sends them, and that one range has at most on average.
-HELD, RANGE = 2_000_000, 3_000_000
-SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
+#: Hashes that one range has at most on average.
+RANGE = 3_000_000
+SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("keys", pa.binary())])
 
 
 def windows(piece: Piece, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,42 +51,25 @@ def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, marks), [len(keys)]]).astype(np.int64)
 
 
-def send(block: np.ndarray, keys: np.ndarray, n_ranges: int) -> Iterator[pa.RecordBatch]:
-    """The sorted set of keys of each block, cut by range."""
-    order = np.argsort(block, kind="stable")
-    block, keys = block[order], keys[order]
-    edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-    rows: list[tuple[int, int, bytes]] = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        own = np.unique(keys[a:b])
-        cut = ranges_of(own, n_ranges)
-        rows += [(r, int(block[a]), pack_keys(own[cut[r] : cut[r + 1]])) for r in range(n_ranges) if cut[r] < cut[r + 1]]
-        if len(rows) > 500:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
-
-
 def give_back(table: pa.Table) -> pa.Table:
-    """Of one hash range: to each block the keys that a lower block has too."""
-    order = np.argsort(table["block"].to_numpy(), kind="stable")
-    blobs, of = table["keys"].to_pylist(), table["block"].to_numpy()[order]
-    sets = [unpack_keys(blobs[i]) for i in order]
+    """Of one hash range: to each block the keys that a block of a lower place has too."""
+    sent = sorted(zip(*[table[c].to_pylist() for c in ("place", "block", "keys")], strict=True), key=lambda r: r[:2])
+    sets = [unpack_keys(r[2]) for r in sent]
     keys = np.concatenate(sets) if sets else np.zeros(0, U)
-    block = np.repeat(of, [len(s) for s in sets])
-    del blobs, sets
+    of = np.repeat(np.arange(len(sent)), [len(s) for s in sets])
+    place = np.array([r[0] for r in sent], np.int64)
+    del sets
     order = np.argsort(keys, kind="stable")
-    keys, block = keys[order], block[order]
+    keys, of = keys[order], of[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    lowest = block[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-    again = np.flatnonzero(block > lowest)
-    order = again[np.argsort(block[again], kind="stable")]
-    keys, block = keys[order], block[order]
-    edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-    found = [(int(block[a]), pack_keys(np.unique(keys[a:b]))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table({"block": pa.array([f[0] for f in found], pa.int32()), "keys": pa.array([f[1] for f in found], pa.binary())})
+    lowest = place[of[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]]
+    again = np.flatnonzero(place[of] > lowest)
+    order = again[np.argsort(of[again], kind="stable")]
+    keys, of = keys[order], of[order]
+    edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    found = [(sent[of[a]][1], pack_keys(keys[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"block": pa.array([f[0] for f in found], pa.int64()), "keys": pa.array([f[1] for f in found], pa.binary())})
 
 
 def removed(ids: list[int | None], texts: list[bytes], sent_back: np.ndarray, size: int) -> Iterator[tuple[int, Piece, np.ndarray]]:
@@ -121,25 +104,16 @@ def removed(ids: list[int | None], texts: list[bytes], sent_back: np.ndarray, si
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; with_text adds `kept_text` and `spans` (first and end word of each removed interval)."""
-    bounds, total = plan_blocks(docs, id_col, text_col, block_bytes)
+    blocked, total = ordered_blocks(keyed(docs, id_col, text_col), block_bytes)
+    blocked = blocked.select("doc_id", "text", "block", "place")
     n_ranges = max(1, -(-total // (6 * RANGE)))
-    edges = np.array(bounds, np.int64)
-    base = slim(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, n = [], [], 0
-        for batch in batches:
-            own = block_of(batch.column(0).to_pylist(), edges)
-            for piece in pieces(as_bytes(batch.column(1))):
-                h, first = windows(piece, window)
-                block.append(own[piece.first + piece.row_of_word()[first]] if len(first) else np.zeros(0, np.int64))
-                keys.append(h)
-                n += len(h)
-                if n >= HELD:
-                    yield from send(np.concatenate(block), np.concatenate(keys), n_ranges)
-                    block, keys, n = [], [], 0
-        if n:
-            yield from send(np.concatenate(block), np.concatenate(keys), n_ranges)
+
+    def collect(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.unique(np.concatenate([np.zeros(0, U), *[windows(piece, window)[0] for piece in pieces(as_bytes(table["text"]))]]))
+        cut = ranges_of(own, n_ranges)
+        place = table["place"][0].as_py()
+        sent = [(r, key[0].as_py(), place, pack_keys(own[cut[r] : cut[r + 1]])) for r in np.flatnonzero(np.diff(cut)).tolist()]
+        return pa.Table.from_arrays([pa.array([x[i] for x in sent], f.type) for i, f in enumerate(SENT)], schema=SENT)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["doc_id"].to_pylist()
@@ -165,8 +139,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     if with_text:
         schema = schema.append(pa.field("kept_text", pa.string())).append(pa.field("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
         ddl += ", kept_text string, spans array<struct<start:int,end:int>>"
-    back = base.mapInArrow(collect, "range int, block int, keys binary").groupBy("range").applyInArrow(give_back, "block int, keys binary")
-    return base.withColumn("block", block_column(bounds, "doc_id")).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, ddl)
+    # Both uses of the blocks read one exchange of texts.
+    sent = blocked.groupBy("block").applyInArrow(collect, "range int, block long, place long, keys binary")
+    back = sent.groupBy("range").applyInArrow(give_back, "block long, keys binary")
+    return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, ddl)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ smallest hash among its `GRAM`-byte substrings, a function of its content. Conse
 one anchor make a stretch; it is split in classes by distance from the anchor, and all strings
 of a class share a core of at least `length - CLASS + 1` bytes.
 
-1. Each block of documents sends the hashes of its cores; Spark adds them up, and each block gets
+Texts are shuffled to blocks by hash of id and text. Three rounds of messages follow:
+
+1. Each block sends the hashes of its cores; they are added up, and each block gets
    back those that occur twice or more. Other strings can't be repeated.
-2. Each block sends the remaining stretches, equal ones once with their number, dealt by anchor.
-   In a task the stretches become one text; its suffixes are sorted by their first bytes and
-   give its Burrows-Wheeler transform. Breadth-first backward extension of intervals finds the
-   boundaries with a common prefix of 7, 8, ... bytes in turn and stops at `length`: where
-   no boundary was found, neighbours share `length` bytes or more.
-3. Each block gets the repeated starts of its stretches, and merges what they cover.
+2. Each block sends the remaining stretches, equal ones once with all their places, dealt by anchor.
+   In a task the stretches become one text; its suffixes are sorted by prefix doubling and
+   give its Burrows-Wheeler transform. The boundaries that doubling knows at its last length below `length`
+   are the first intervals; breadth-first backward extension finds the boundaries with a common prefix
+   of one byte more in each turn and stops at `length`: where no boundary was found,
+   neighbours share `length` bytes or more.
+3. Each block gets the places of the repeated strings, and merges what they cover.
 
 Anchors that more than `CROWD` stretches have would gather in one task. Their strings take another exact
 way: each block sends the set of their hashes, and gets back those that occur twice.
@@ -35,11 +38,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_column, block_of, cut, pack_array, pack_keys, plan_blocks, read_table, slim, unpack_array, unpack_keys
+from .common import hash_blocks, keyed, pack_array, pack_keys, read_table, total_bytes, unpack_array, unpack_keys
 from .textvec import U, Piece, as_bytes, mix, pieces
 
 LENGTH, GRAM, CLASS, CROWD = 400, 32, 47, 2000
-BLOCK_BYTES, TASK_BYTES, HELD, RANGE = 6 << 20, 1 << 21, 1_500_000, 3_000_000
+BLOCK_BYTES, TASK_BYTES, RANGE = 6 << 20, 1 << 21, 3_000_000
 FIRST = 7  # symbols of nine bits in one number
 PLACE = U((1 << 28) - 1)
 NO_KEYS = np.zeros(0, U)
@@ -119,23 +122,18 @@ def windows(piece: Piece, s: Stretches, low: np.ndarray, high: np.ndarray, lengt
 # -- adding up hashes over blocks ----------------------------------------------------
 
 
-def send_counts(kind: str, block: np.ndarray, keys: np.ndarray, dests: int, shift: int = 0) -> Iterator[tuple]:
-    """For each block its sorted keys with their numbers, cut by hash range."""
-    order = np.argsort(block, kind="stable")
-    block, keys = block[order], keys[order]
-    edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        own, n = np.unique(keys[a:b], return_counts=True)
-        n = np.minimum(n, 65535).astype("<u2")
-        dealt = ((own >> U(32)) * U(dests) >> U(32)).astype(np.int64)
-        at = np.searchsorted(dealt, np.arange(dests + 1))
-        for r in range(dests):
-            if at[r] < at[r + 1]:
-                yield shift + r, int(block[a]), kind, pack_keys(own[at[r] : at[r + 1]]), pack_array(n[at[r] : at[r + 1]])
+def send_counts(kind: str, block: int, keys: np.ndarray, dests: int, shift: int = 0) -> Iterator[tuple]:
+    """The sorted keys of a block with their numbers, cut by hash range."""
+    own, n = np.unique(keys, return_counts=True)
+    n = np.minimum(n, 65535).astype("<u2")
+    dealt = ((own >> U(32)) * U(dests) >> U(32)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.diff(dealt, prepend=-1)), len(own))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield shift + int(dealt[a]), block, kind, pack_keys(own[a:b]), pack_array(n[a:b])
 
 
 def add_up(table: pa.Table, crowd: int) -> list[tuple]:
-    """To each block those of its keys that occur twice or more in all; anchors only if more often than `crowd`."""
+    """To each block those of its keys that occur twice or more in all; anchors only if more often than `crowd`; its own notes as they are."""
     out = []
     for kind in ("core", "anchor", "string"):
         part = table.filter(pa.compute.equal(table["kind"], kind))
@@ -151,7 +149,8 @@ def add_up(table: pa.Table, crowd: int) -> list[tuple]:
             at += len(s)
             if len(again):
                 out.append((b, kind, pack_keys(again), b""))
-    return out
+    part = table.filter(pa.compute.equal(table["kind"], "crowded"))
+    return out + list(zip(*[part[c].to_pylist() for c in ("block", "kind", "keys", "more")], strict=True))
 
 
 def told(table: pa.Table, kind: str) -> np.ndarray:
@@ -162,10 +161,11 @@ def told(table: pa.Table, kind: str) -> np.ndarray:
 # -- the transform -----------------------------------------------------------------
 
 
-def suffix_order(symbol: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least their first `length` symbols, each one's rank, and the keys of the first ones.
+def suffix_order(symbol: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes sorted by at least their first `length` symbols, each one's rank, and where the first `base` symbols begin to differ.
 
     `left` is how many symbols are left before the text's separator (0), where a suffix ends.
+    `base` is the last length below `length` that doubling passes.
     """
     n = len(symbol)
     key = np.zeros(n, U)
@@ -178,8 +178,9 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray, length: int) -> tuple[np.
     new[1:] = ordered[1:] != ordered[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    known = FIRST
+    known, base, early = FIRST, FIRST, new.copy()
     while known < length:
+        base, early = known, new.copy()
         single = new & np.append(new[1:], True)
         open_ = np.flatnonzero(~single)
         open_ = open_[left[order[open_]] > known]
@@ -211,27 +212,26 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray, length: int) -> tuple[np.
         rank[at] = np.maximum.accumulate(np.where(fresh, place, 0))
         known *= 2
     rank[order] = np.arange(n)
-    return order, rank, key
+    return order, rank, early, base
 
 
-def boundaries(symbol: np.ndarray, order: np.ndarray, rank: np.ndarray, key: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+def boundaries(symbol: np.ndarray, order: np.ndarray, rank: np.ndarray, early: np.ndarray, base: int, left: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffixes before and at each place share fewer than `length` symbols.
 
     Breadth first: the intervals of all strings of one length give those of strings one
     symbol longer at the front; an interval goes on only if one of its ends is new.
     """
     n = len(symbol)
-    edge = np.ones(n + 1, bool)
-    edge[1:n] = key[order[1:]] != key[order[:-1]]
+    edge = np.append(early, True)
     low = np.flatnonzero(edge)[:-1]
     high = np.flatnonzero(edge)[1:]
-    whole = left[order[low]] >= FIRST
+    whole = left[order[low]] >= base
     low, high = low[whole], high[whole]
     before = symbol[order - 1]  # the transform; the first suffix has a separator before it
     back = np.where(before > 0, rank[order - 1], -1)
     head = symbol[order]
     owner = np.full(n + 2, -1, np.int32)
-    for _ in range(FIRST, length):
+    for _ in range(base, length):
         if not len(low):
             break
         width = high - low
@@ -264,8 +264,8 @@ def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
     left = np.zeros(len(data), np.int64)
     stop = np.repeat(begin + sizes, sizes + 1)
     left[1:] = stop - np.arange(1, len(data))
-    order, rank, key = suffix_order(symbol, left, length)
-    edge = boundaries(symbol, order, rank, key, left, length)
+    order, rank, early, base = suffix_order(symbol, left, length)
+    edge = boundaries(symbol, order, rank, early, base, left, length)
     valid = left[order] >= length
     again = np.zeros(len(data), bool)
     joined = np.flatnonzero(~edge[1:-1] & valid[1:] & valid[:-1]) + 1
@@ -279,37 +279,42 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
-def pack_stretches(items: list[tuple[int, int, int, bytes]]) -> tuple[bytes, bytes]:
-    """(hash, anchor key, number, text), by ascending hash."""
-    items = sorted(items)
-    h, g, n = (np.array([x[i] for x in items], U) for i in range(3))
-    size = np.array([len(x[3]) for x in items], "<u4")
-    parts = [pack_array(g), pack_array(np.minimum(n, 65535).astype("<u2")), pack_array(size), pack_array(np.frombuffer(b"".join(x[3] for x in items), np.uint8))]
-    return pack_keys(h), b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+def blobs(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
-def unpack_stretches(keys: bytes, more: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    parts, at = [], 0
-    while at < len(more):
-        n = int.from_bytes(more[at : at + 4], "little")
-        parts.append(more[at + 4 : at + 4 + n])
+def parts_of(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + n])
         at += 4 + n
-    g, n, size, data = unpack_array(parts[0], "<u8"), unpack_array(parts[1], "<u2"), unpack_array(parts[2], "<u4"), unpack_array(parts[3], "u1").tobytes()
-    end = np.cumsum(size)
-    return zip(unpack_keys(keys).tolist(), g.tolist(), n.tolist(), [data[e - s : e] for s, e in zip(size.tolist(), end.tolist(), strict=True)], strict=True)
+    return out
+
+
+def pack_stretches(items: list[tuple[int, int, list[tuple[int, int]], bytes]]) -> tuple[bytes, bytes]:
+    """(hash, anchor key, places as row and start, text), by ascending hash."""
+    items = sorted(items)
+    h, g = (np.array([x[i] for x in items], U) for i in range(2))
+    n, size = (np.array([len(x[i]) for x in items], "<u4") for i in (2, 3))
+    row, start = (np.array([p[i] for x in items for p in x[2]], "<u4") for i in range(2))
+    return pack_keys(h), blobs([pack_array(g), *map(pack_array, (n, size, row, start)), pack_array(np.frombuffer(b"".join(x[3] for x in items), np.uint8))])
 
 
 def meet(table: pa.Table, length: int, task_bytes: int) -> list[tuple]:
-    """Of the stretches in one task: to each block the repeated starts of those that it sent."""
+    """Of the stretches in one task: to each block what the repeated strings cover there, as row, start and end."""
     number: dict[int, int] = {}
     text: dict[int, tuple[int, bytes]] = {}
-    senders: list[tuple[int, np.ndarray]] = []
+    senders: list[tuple] = []
     for b, keys, more in zip(*[table[c].to_pylist() for c in ("block", "keys", "more")], strict=True):
-        for h, g, n, t in unpack_stretches(keys, more):
-            number[h] = number.get(h, 0) + n
-            text.setdefault(h, (g, t))
-        senders.append((b, unpack_keys(keys)))
-    spans: dict[int, list[tuple[int, int]]] = {}
+        g, n, size, row, start, data = parts_of(more)
+        own, n, end, data = unpack_keys(keys).tolist(), unpack_array(n, "<u4"), np.cumsum(unpack_array(size, "<u4")).tolist(), unpack_array(data, "u1").tobytes()
+        for h, anchor, m, x, y in zip(own, unpack_array(g, "<u8").tolist(), n.tolist(), [0, *end], end, strict=False):
+            number[h] = number.get(h, 0) + m
+            if h not in text:
+                text[h] = (anchor, data[x:y])
+        senders.append((b, own, n, row, start))
+    spans: dict[int, np.ndarray] = {}
     some: list[int] = []
     size = 0
     ordered = sorted(text, key=lambda h: (text[h][0], h))
@@ -320,55 +325,54 @@ def meet(table: pa.Table, length: int, task_bytes: int) -> list[tuple]:
         if not full and i + 1 < len(ordered):
             continue
         for k, mask in zip(some, repeated([text[k][1] for k in some], length), strict=True):
-            if number[k] > 1:  # an equal stretch is elsewhere
+            if number[k] > 1:  # a stretch that is there twice has the weight of two
                 mask = np.ones(len(mask), bool)
             a, b = runs(mask)
             if len(a):
-                spans[k] = list(zip(a.tolist(), b.tolist(), strict=True))
+                spans[k] = np.stack([a, b - 1 + length], axis=1)
         some, size = [], 0
+    none = np.zeros((0, 2), np.int64)
     out = []
-    for b, keys in senders:
-        own = [k for k in keys.tolist() if k in spans]
-        if own:
-            per = np.array([len(spans[k]) for k in own], "<u2")
-            ends = np.array([x for k in own for x in spans[k]], "<u4").ravel()
-            p = pack_array(per)
-            out.append((b, "span", pack_keys(np.array(own, U)), len(p).to_bytes(4, "little") + p + pack_array(ends)))
+    for b, own, n, row, start in senders:
+        found = [spans.get(k, none) for k in own]
+        place = np.stack([unpack_array(row, "<u4"), unpack_array(start, "<u4")], axis=1).astype(np.int64)
+        of = np.repeat(np.arange(len(own)), n)
+        per = np.array([len(f) for f in found], np.int64)
+        # Each place of a stretch has each of its spans.
+        times = per[of]
+        if not times.sum():
+            continue
+        flat, first = np.concatenate(found), np.cumsum(per) - per
+        which = np.repeat(first[of] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        covered = np.repeat(place[:, 1], times)[:, None] + flat[which]
+        out.append((b, "span", b"", blobs([pack_array(x.astype("<u4")) for x in (np.repeat(place[:, 0], times), covered[:, 0], covered[:, 1])])))
     return out
 
 
 # -- the operator -------------------------------------------------------------------
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
+def in_order(table: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts of a block, the same order whenever it is read; only equal rows change places."""
+    ids, texts = table["doc_id"].to_pylist(), as_bytes(table["text"])
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    return [ids[i] for i in order], [texts[i] for i in order]
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES, range_keys: int = RANGE, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_text adds `kept` (binary)."""
     if length < GRAM + CLASS:
         raise ValueError(f"strings have at least {GRAM + CLASS} bytes")
-    base = slim(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bounds, total = plan_blocks(docs, id_col, text_col, block_bytes)
-    edges, ranges, tasks = np.array(bounds, np.int64), max(1, -(-total // (32 * RANGE))), max(1, -(-total // (4 * task_bytes)))
-
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"core": [], "anchor": []}
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            sent = [r for kind, x in held.items() for r in send_counts(kind, np.concatenate([b for b, _ in x]), np.concatenate([k for _, k in x]), ranges)]
-            return rows(sent, SENT)
-
-        for batch in batches:
-            block = block_of(batch.column(0).to_pylist(), edges).astype(np.int32)
-            for piece in pieces(as_bytes(batch.column(1))):
-                s = Stretches(piece, length)
-                own = block[piece.first + s.row]
-                held["core"].append((own[s.of], s.key))
-                held["anchor"].append((own, s.anchor_key))
-                n += len(s.key)
-                if n >= HELD:
-                    yield flush()
-                    held, n = {"core": [], "anchor": []}, 0
-        if n:
-            yield flush()
+    base = keyed(docs, id_col, text_col)
+    total = total_bytes(base)
+    blocked = hash_blocks(base, total, block_bytes).select("doc_id", "text", "block")
+    ranges, tasks = max(1, -(-total // (32 * range_keys))), max(1, -(-total // (4 * task_bytes)))
+
+    def cores(key: tuple, table: pa.Table) -> pa.Table:
+        held = [Stretches(piece, length) for piece in pieces(in_order(table)[1])]
+        block = int(key[0].as_py())
+        sent = [r for kind, keys in (("core", [s.key for s in held]), ("anchor", [s.anchor_key for s in held])) for r in send_counts(kind, block, np.concatenate([NO_KEYS, *keys]), ranges)]
+        return pa.Table.from_batches([rows(sent, SENT)])
 
     def sums(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([rows(add_up(table, crowd), BACK)])
@@ -376,25 +380,29 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     def stretches(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         twice, crowded, block = told(right, "core"), told(right, "anchor"), int(key[0].as_py())
         held: dict[int, list] = {}
-        strings: list[np.ndarray] = []
-        for piece in pieces(as_bytes(left["text"])) if len(twice) else ():
+        strings, notes = [NO_KEYS], [np.zeros((0, 3), np.int64)]
+        for piece in pieces(in_order(left)[1]) if len(twice) else ():
             s = Stretches(piece, length)
-            _, g, low, high, crush = s.kept(twice, crowded)
+            row, g, low, high, crush = s.kept(twice, crowded)
+            start = low - piece.row_start[row]
+            row = row + piece.first
             strings.append(windows(piece, s, low[crush], high[crush], length)[1])
-            g, low, high = g[~crush], low[~crush], high[~crush]
+            notes.append(np.stack([row[crush], start[crush], (high - low)[crush]], axis=1))
+            row, start, g, low, high = (x[~crush] for x in (row, start, g, low, high))
             h = piece.hashes(s.prefix, low, high + length)
-            for k, a, x, y in zip(h.tolist(), g.tolist(), low.tolist(), (high + length).tolist(), strict=True):
+            for k, a, r, o, x, y in zip(*(v.tolist() for v in (h, g, row, start, low, high + length)), strict=True):
                 if k in held:
-                    held[k][1] += 1
+                    held[k][2].append((r, o))
                 else:
-                    held[k] = [a, 1, piece.data[x:y].tobytes()]
+                    held[k] = [k, a, [(r, o)], piece.data[x:y].tobytes()]
         dealt: dict[int, list] = {}
-        for k, (a, n, t) in held.items():
-            dealt.setdefault((a >> 32) * tasks >> 32, []).append((k, a, n, t))
+        for item in held.values():
+            dealt.setdefault((item[1] >> 32) * tasks >> 32, []).append(tuple(item))
         sent = [(d, block, "stretch", *pack_stretches(items)) for d, items in dealt.items()]
-        string = np.concatenate(strings) if strings else NO_KEYS
+        string = np.concatenate(strings)
         if len(string):
-            sent += send_counts("string", np.full(len(string), block), string, ranges, tasks)
+            sent += send_counts("string", block, string, ranges, tasks)
+            sent.append((tasks + block % ranges, block, "crowded", b"", blobs([pack_array(x.astype("<u4")) for x in np.concatenate(notes).T])))
         return pa.Table.from_batches([rows(sent, SENT)])
 
     def settle(table: pa.Table) -> pa.Table:
@@ -404,30 +412,27 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])])
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        twice, crowded, string = told(right, "core"), told(right, "anchor"), told(right, "string")
-        spans: dict[int, list] = {}
-        part = right.filter(pa.compute.equal(right["kind"], "span"))
-        for keys, more in zip(part["keys"].to_pylist(), part["more"].to_pylist(), strict=True):
-            n = int.from_bytes(more[:4], "little")
-            per, ends, at = unpack_array(more[4 : 4 + n], "<u2").tolist(), unpack_array(more[4 + n :], "<u4").reshape(-1, 2), 0
-            for k, m in zip(unpack_keys(keys).tolist(), per, strict=True):
-                spans[k] = ends[at : at + m].astype(np.int64)
-                at += m
-        ids, out = left["doc_id"].to_pylist(), []
-        for piece in pieces(as_bytes(left["text"])):
+        kinds = lambda k: [parts_of(m) for m in right.filter(pa.compute.equal(right["kind"], k))["more"].to_pylist()]
+        spans = [np.stack([unpack_array(x, "<u4") for x in p], axis=1).astype(np.int64) for p in kinds("span")]
+        row, start, end = np.concatenate([np.zeros((0, 3), np.int64), *spans]).T
+        crowded = np.concatenate([np.zeros((0, 3), np.int64), *(np.stack([unpack_array(x, "<u4") for x in p], axis=1).astype(np.int64) for p in kinds("crowded"))])
+        string = told(right, "string")
+        ids, texts = in_order(left)
+        out = []
+        for piece in pieces(texts):
             turn = np.zeros(len(piece.data) + 1, np.int32)
-            if len(twice):
-                s = Stretches(piece, length)
-                _, g, low, high, crush = s.kept(twice, crowded)
-                start, h = windows(piece, s, low[crush], high[crush], length)
-                start = start[found(string, h)]
-                np.add.at(turn, start, 1)
-                np.add.at(turn, start + length, -1)
-                low, high = low[~crush], high[~crush]
-                for k, x in zip(piece.hashes(s.prefix, low, high + length).tolist(), low.tolist(), strict=True):
-                    for a, b in spans.get(k, ()):
-                        turn[x + a] += 1
-                        turn[x + b - 1 + length] -= 1
+            own = (row >= piece.first) & (row < piece.first + len(piece.texts))
+            at = piece.row_start[row[own] - piece.first]
+            np.add.at(turn, at + start[own], 1)
+            np.add.at(turn, at + end[own], -1)
+            own = crowded[(crowded[:, 0] >= piece.first) & (crowded[:, 0] < piece.first + len(piece.texts))] if len(string) else crowded[:0]
+            if len(own):
+                low = piece.row_start[own[:, 0] - piece.first] + own[:, 1]
+                n = own[:, 2] + 1
+                begin = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                begin = begin[found(string, piece.hashes(piece.prefix(), begin, begin + length))]
+                np.add.at(turn, begin, 1)
+                np.add.at(turn, begin + length, -1)
             gone = np.cumsum(turn[:-1]) > 0
             for k, text in enumerate(piece.texts):
                 drop = gone[piece.row_start[k] : piece.row_end[k]]
@@ -435,10 +440,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 out.append((ids[piece.first + k], len(text), int(drop.sum()), len(runs(drop)[0]), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         return pa.Table.from_batches([rows(out, schema)])
 
-    blocked = base.withColumn("block", block_column(bounds, "doc_id"))
-    twice = cut(base.mapInArrow(cores, SENT_DDL).groupBy("dest").applyInArrow(sums, BACK_DDL))
+    # All three uses of the blocks read one exchange of texts.
+    twice = blocked.groupBy("block").applyInArrow(cores, SENT_DDL).groupBy("dest").applyInArrow(sums, BACK_DDL)
     sent = blocked.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(stretches, SENT_DDL)
-    back = twice.unionAll(sent.groupBy("dest").applyInArrow(settle, BACK_DDL))
+    back = sent.groupBy("dest").applyInArrow(settle, BACK_DDL)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, ddl)
 

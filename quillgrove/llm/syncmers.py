@@ -1,17 +1,19 @@
 """Document fingerprints from closed syncmers, matched by position.
 
-A window of `K` bytes (`SHORT_K` in short texts) is a closed syncmer if the smallest hash of its inner substrings of `S`
+A window of `K` bytes is a closed syncmer if the smallest hash of its inner substrings of `S`
 bytes is the first or the last of them. That depends on the window alone, not on what
 surrounds it, so a passage keeps its anchors wherever it stands. Of a text's syncmers
 the fingerprint keeps the `SIZE` with the smallest hashes, each with its position in bytes,
-in order of hash; a text without a syncmer has itself as its one anchor.
+in order of hash; a text without a syncmer (any of `2 * K - S` bytes has one) has itself as its one
+anchor. All texts have one scale, whatever their length.
 
 The likeness of two fingerprints is the share, among the smallest hashes of both together,
 of anchors that both have and whose positions agree on one shift up to `SLACK` bytes.
 
-Next documents: ids descend; ties go by text. Blocks of ids (equal ids are never parted)
-are put in order in one task each, and each block also gets the first document of the
-block after it, so texts are shuffled once and no task sees the whole table.
+Next documents: ids descend; ties go by hash of the text, then text. Blocks in order of id are put in order
+in one task each, and each block also gets the first document of the block after it, so texts
+are shuffled once and no task sees the whole table. What says which document that is has a row
+for each block; it is broadcast up to `FEW` rows and joined by a shuffle beyond.
 
 Defined cases: null texts count as empty; the fingerprint of an empty text is empty; two empty
 fingerprints have likeness 1, an empty and another 0; a null id comes after all others in
@@ -26,27 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_column, plan_blocks, read_table, slim, text_of
+from .common import LAST_ID, cut, keyed, ordered_blocks, read_table
 from .textvec import U, as_bytes, mix, pieces
 
-K, S, SIZE, SLACK = 24, 8, 32, 8
-#: Texts of fewer code points take smaller windows.
-SHORT, SHORT_K, SHORT_S = 200, 5, 2
-BLOCK_BYTES = 4 << 20
+K, S, SIZE, SLACK = 16, 6, 32, 8
+BLOCK_BYTES, FEW, CHAIN = 4 << 20, 200_000, 4096
 Anchors = tuple[np.ndarray, np.ndarray]
 
 
-def anchors(texts: list[bytes], size: int = SIZE) -> list[Anchors]:
-    """Anchors of each text, at the scale of its length in code points."""
-    short = [len(t) < 4 * SHORT and len(t.decode("utf-8", "replace")) < SHORT for t in texts]
-    found = {False: iter(syncmers([t for t, x in zip(texts, short, strict=True) if not x], K, S, size)), True: iter(syncmers([t for t, x in zip(texts, short, strict=True) if x], SHORT_K, SHORT_S, size))}
-    return [next(found[x]) for x in short]
-
-
-def syncmers(texts: list[bytes], k: int, s: int, size: int) -> list[Anchors]:
+def anchors(texts: list[bytes], size: int = SIZE, k: int = K, s: int = S) -> list[Anchors]:
     """The smallest syncmer hashes of each text, ascending, and their first positions."""
     out: list[Anchors] = []
     for piece in pieces(texts):
@@ -118,26 +111,36 @@ def likeness(x: Anchors, y: Anchors, size: int = SIZE, slack: int = SLACK) -> fl
     return float((np.searchsorted(shift, shift + slack, side="right") - np.arange(len(shift))).max() / len(both))
 
 
+def firsts(blocked: DataFrame) -> DataFrame:
+    """k, h of the first document of each block, and `guest`: the block before it, in descending order."""
+    heads = cut(blocked.groupBy("block").agg(F.max(F.struct("k", "h")).alias("x")).select("block", "x.k", "x.h", F.floor(F.col("block") / CHAIN).alias("chain")))
+    # Block numbers may have gaps: the next higher number in the chain, else the lowest of the next chain.
+    chains = heads.groupBy("chain").agg(F.min("block").alias("low"))
+    after = Window.orderBy("chain").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.orderBy("chain").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chains = chains.select("chain", F.coalesce(F.first("low").over(after), F.first("low").over(whole)).alias("turn"))  # a row for each CHAIN blocks
+    above = F.lead("block").over(Window.partitionBy("chain").orderBy("block"))
+    return cut(heads.withColumn("above", above).join(chains, "chain").select("k", "h", F.coalesce("above", "turn").alias("guest")))
+
+
 def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    bounds, _ = plan_blocks(docs, id_col, text_col, block_bytes)
-    base = slim(docs, id_col, text_col).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("k"), text_of(text_col).alias("t"))
-    base = base.withColumn("block", block_column(bounds, "k"))
-    # One row for each block: the document that comes first in it, wanted by the block above.
-    heads = sorted(base.groupBy("block").agg(F.max("k").alias("k")).collect(), key=lambda r: -r["block"])
-    asked = {heads[(i + 1) % len(heads)]["k"]: heads[i]["block"] for i in range(len(heads))}
-    wanted = docs.sparkSession.createDataFrame(sorted(asked.items()), "k long, guest int")
-    base = base.join(F.broadcast(wanted), "k", "left")  # a row for each block
-    both = F.when(F.col("guest").isNull(), F.array(F.struct("block", F.lit(False).alias("visits")))).otherwise(F.array(F.struct("block", F.lit(False).alias("visits")), F.struct(F.col("guest").alias("block"), F.lit(True).alias("visits"))))
-    dealt = base.withColumn("to", F.explode(both)).select("k", "t", "to.block", "to.visits")
+    blocked, _ = ordered_blocks(keyed(docs, id_col, text_col), block_bytes)
+    blocked = blocked.select("k", "h", "text", "block")
+    wanted = firsts(blocked)
+    wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
+    own = F.struct("block", F.lit(False).alias("visits"))
+    both = F.when(F.col("guest").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("guest").alias("block"), F.lit(True).alias("visits"))))
+    dealt = blocked.join(wanted, ["k", "h"], "left").withColumn("to", F.explode(both)).select("k", "h", "text", "to.block", "to.visits")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        keys, visits = table["k"].to_pylist(), table["visits"].to_pylist()
-        raw = as_bytes(table["t"])
-        rows = sorted((i for i in range(len(keys)) if not visits[i]), key=lambda i: (-keys[i], raw[i]))
-        # Of equal ids in the next block, the one whose text is first.
-        rows += sorted((i for i in range(len(keys)) if visits[i]), key=lambda i: (-keys[i], raw[i]))[:1]
+        keys, visits, h = (table[c].to_pylist() for c in ("k", "visits", "h"))
+        raw = as_bytes(table["text"])
+        rank = lambda i: (-keys[i], -h[i], raw[i])
+        rows = sorted((i for i in range(len(keys)) if not visits[i]), key=rank)
+        # Equal rows may be first in the next block together.
+        rows += sorted((i for i in range(len(keys)) if visits[i]), key=rank)[:1]
         texts = [raw[i].decode("utf-8", "replace") for i in rows]
         edited = []
         for t, following in zip(texts[:-1], texts[1:], strict=True):

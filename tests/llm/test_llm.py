@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillgrove.llm import byte_bpe, line_templates, mixing, pitman_yor, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, syncmers
-from quillgrove.llm.common import LAST_ID, block_column, block_of, pack_keys, unpack_keys
+from quillgrove.llm.common import LAST_ID, keyed, ordered_blocks, pack_keys, unpack_keys
 from quillgrove.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,10 +69,25 @@ def digest(b):
 def test_common(spark):
     keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
     assert (unpack_keys(pack_keys(keys)) == keys).all() and len(unpack_keys(pack_keys(keys[:0]))) == 0
-    for bounds in ([], [-5, 0, 3, 10], list(range(0, 400, 3)), list(range(64)), list(range(65))):
-        ids = [None, -6, -5, -4, 0, 1, 3, 4, 10, 11, 62, 63, 64, 65, 192, 193, 398, 399, 400, 1 << 40]
-        got = spark.createDataFrame([(i,) for i in ids], "i long").select(block_column(bounds, "i")).collect()
-        assert [r[0] for r in got] == block_of(ids, np.array(bounds, np.int64)).tolist()
+
+
+@pytest.mark.parametrize("ids", [list(range(500)), [None] * 300, [7] * 300 + [1 << 61], [-(1 << 62), *range(300), (1 << 62), None, None], [k * k * k for k in range(-200, 200)]])
+def test_ordered_blocks(spark, ids):
+    rows = [(i, f"text {k} " * 20) for k, i in enumerate(ids)] + [(ids[0], "long " * 4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out, total = ordered_blocks(keyed(d, "doc_id", "text"), 2000)
+    got = out.collect()
+    assert len(got) == len(rows) and total == sum(len(t.encode()) + 64 for _, t in rows)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["block"], []).append(r)
+    held = [by[b] for b in sorted(by)]
+    for x, y in zip(held[:-1], held[1:], strict=True):
+        assert max((r["k"], r["h"]) for r in x) < min((r["k"], r["h"]) for r in y) or max(r["k"] for r in x) < min(r["k"] for r in y)
+        assert (x[0]["place"] == y[0]["place"]) == (x[0]["k"] == y[0]["k"])
+    small = [sum(len(r["text"]) + 64 for r in x) for x in held if all(len(r["text"]) < 1000 for r in x)]
+    assert len(held) > total / 60_000 and max(small, default=0) < 12_000  # equal and missing ids are parted too
+    assert "array" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_substring_dedup(docs, empty):
@@ -97,22 +112,38 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("how", [{}, {"block_bytes": 4000, "task_bytes": 2000}, {"block_bytes": 4000, "crowd": 1}])
-def test_suffix_dedup(docs, how):
-    rows, length = corpus(), 120
+def without_repeats(rows, length):
     seen = Counter()
-    for _, t, *_ in rows:
+    for _, t in rows:
         b = (t or "").encode()
         seen.update(b[k : k + length] for k in range(len(b) - length + 1))
     want = Counter()
-    for i, t, *_ in rows:
+    for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = True
         want[i, len(b), int(gone.sum()), len(suffix_dedup.runs(gone)[0]), digest(np.frombuffer(b, np.uint8)[~gone].tobytes())] += 1
-    assert rows_of(suffix_dedup.dedup(docs, length=length, **how), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 4000, "task_bytes": 2000, "range_keys": 100}, {"block_bytes": 4000, "crowd": 1, "range_keys": 300}])
+def test_suffix_dedup(docs, how):
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows_of(suffix_dedup.dedup(docs, length=120, **how), *cols) == without_repeats([r[:2] for r in corpus()], 120)
+
+
+def test_suffix_dedup_at_the_production_length(spark):
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    shared = [say(n) for n in (320, 395, 399, 400, 401, 420, 900, 2500)]
+    rows = [(i, say(rnd.randrange(700)) + "".join(rnd.choice(shared) + say(rnd.randrange(90)) for _ in range(rnd.randrange(4)))) for i in range(60)]
+    rows += [(None, rows[7][1]), (None, None), (7, rows[3][1] + "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = without_repeats(rows, suffix_dedup.LENGTH)
+    for how in ({}, {"block_bytes": 8000, "task_bytes": 5000, "range_keys": 50}, {"block_bytes": 8000, "crowd": 2, "range_keys": 50}):
+        assert rows_of(suffix_dedup.dedup(d, **how), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_interval_expansion():
@@ -131,7 +162,8 @@ def test_suffix_dedup_of_nothing(empty):
 
 
 def test_syncmers(docs, empty, spark):
-    rows = sorted(corpus(), key=lambda r: (-(LAST_ID if r[0] is None else r[0]), (r[1] or "").encode()))
+    hashed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1
+    rows = sorted(corpus(), key=lambda r: (-(LAST_ID if r[0] is None else r[0]), -hashed(r[1])))
     texts = [r[1] or "" for r in rows]
     want = Counter()
     for k, (i, *_) in enumerate(rows):
@@ -148,6 +180,19 @@ def test_syncmers(docs, empty, spark):
     assert one["near_next"] == 1.0
 
 
+def test_syncmers_have_one_scale():
+    rnd = random.Random(9)
+    for n in (60, 150, 199, 205, 210, 300, 420):
+        text = "".join(rnd.choice("abcdefghijklmno ") for _ in range(n)).encode()
+        x, y = syncmers.anchors([text, text[: n - n // 20]])
+        assert syncmers.likeness(x, y) >= 0.75
+    near = [syncmers.likeness(*syncmers.anchors(["".join(rnd.choice("abcdefghijklmno ") for _ in range(n)).encode() for _ in range(2)])) for n in range(30, 600)]
+    assert max(near) <= 0.1
+    for n in range(2 * syncmers.K - syncmers.S, 60):  # a syncmer is certain from here on
+        x = syncmers.anchors([bytes(rnd.randrange(97, 123) for _ in range(n))])[0]
+        assert x[0][0] != int(hashlib.sha256(b"").hexdigest()[:8], 16) and len(x[0])
+
+
 def test_syncmers_are_context_free_and_written_back():
     rnd = random.Random(2)
     core = bytes(rnd.choice(b"abcdefgh ") for _ in range(900))
