@@ -11,6 +11,8 @@ changes no result). Other stretches, with runs of white space, are units as a wh
 
 Decoding maps the characters of the tokens back through the byte table. A character whose
 bytes are split over tokens comes out whole, as bytes are joined before they are read.
+The offsets of a token are the code points that it holds bytes of, first and end, from the
+lengths of the tokens and the first bytes of the characters; tokens that share a character share its place.
 
 Defined cases: null and empty texts have no tokens; repeated rows are encoded each; an empty
 table gives an empty result; other input columns are ignored by the digest and kept by
@@ -26,6 +28,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +78,8 @@ class Codec:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.characters = {r: written[t] for t, r in ranks.items()}
         self.bytes_of: dict[int, bytes] = {}
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         self.first: dict[str, tuple[bytes, bytes]] = {}
         self.later: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
@@ -97,6 +102,12 @@ class Codec:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         return found.ids, found.offsets
 
+    def offsets(self, ids: np.ndarray, decoded: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First and end code point of each token of a text."""
+        end = np.cumsum(self.length[ids])
+        character = np.cumsum(np.frombuffer(decoded, np.uint8) & 0xC0 != 0x80)
+        return character[end - self.length[ids]] - 1, character[end - 1]
+
     def learn(self, units: set[str], lead: str, known: dict[str, tuple[bytes, bytes]], older: dict[str, tuple[bytes, bytes]]) -> None:
         fresh = []
         for u in units.difference(known):
@@ -157,21 +168,29 @@ def _groups(texts: list[bytes], budget: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, n_split of every whole text.
+
+    spans_sha256 is the digest of the tokens' first and end code points in turn (little-endian
+    32-bit integers), n_split the number of tokens that begin inside a character.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(*_place(path, pattern))
         for batch in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, spans, split = [], [], [], [], []
             for group in _groups(as_bytes(batch.column(1))):
                 for i, d in model.digests(group):
                     n.append(len(i) // 4)
                     ids.append(hashlib.sha256(i).hexdigest())
                     decoded.append(hashlib.sha256(d).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    first, end = model.offsets(np.frombuffer(i, "<u4"), d) if i else (np.zeros(0, np.int64),) * 2
+                    spans.append(hashlib.sha256(np.stack([first, end], axis=1).astype("<u4").tobytes()).hexdigest())
+                    split.append(int((first[1:] < end[:-1]).sum()))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(spans, pa.string()), pa.array(split, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "n_split"])
 
-    return slim(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_split long")
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -185,8 +204,10 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
         found = [model.encode(t) for t in texts]
         return pd.DataFrame({"ids": [f[0] for f in found], "starts": [[a for a, _ in f[1]] for f in found], "ends": [[b for _, b in f[1]] for f in found]})
 
-    held = docs.withColumn("__bpe", tokens(text_of(text_col)))
-    return held.withColumns({c: F.col(f"__bpe.{c}") for c in ("ids", "starts", "ends")}).drop("__bpe")
+    new = ("ids", "starts", "ends")
+    kept = [c for c in docs.columns if c not in new]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), tokens(text_of(text_col)).alias("found"))
+    return held.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col("found").getField(c).alias(c) for c in new])
 
 
 def decode(tokens: DataFrame, *, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
