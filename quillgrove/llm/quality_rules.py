@@ -1,45 +1,39 @@
 """Quality rules: divergence of a document's histograms from its language's, in DataFrame functions only.
 
 Two histograms are compared with references by Jensen-Shannon distance (the square root of the
-divergence in bits, 0 to 1): character classes, and the frequent words of the language against
-all other words. The references are the sums over every document of the language that passes
-the base rules, so they cover the whole corpus; languages without a word list share one
-reference. References are a fixed, small number of integers and are the only thing collected.
+divergence in bits, 0 to 1): character classes, and the common words of the language against
+all other words. The common words of a language are the `N_WORDS` that are in most of its documents; every
+value of the language column has its own, learned from all documents. The references are the sums
+over every document of the language that passes the base rules, so they cover the whole corpus.
 
 A document is kept if it passes the base rules and, where it is long enough (`min_letters`
 characters in words, `min_words` words), neither distance exceeds its limit.
 
-All counts of a document come from its own row; nothing is shuffled but the reference sums.
+All counts of a document come from its own row; what is shuffled is a count for each language and word,
+and the reference sums. Both tables have a row for each language and are broadcast up to `FEW` of them.
 
-Defined cases: null and empty texts have no words and fail the base rules; a null or unlisted
-language uses the shared reference; if no document of a language passes the base rules there
-is nothing to compare with and the distances are zero; repeated rows are judged alike;
-an empty table gives an empty result; `apply` keeps the input's columns and rows.
+Defined cases: null and empty texts have no words and fail the base rules; a missing language is one
+of its own; if no document of a language passes the base rules there is nothing to compare with
+and the distances are zero; repeated rows are judged alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, slim, text_of
 
-#: Frequent words of each language.
-FREQUENT = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "as", "be", "with", "by", "this", "are", "at", "from"],
-    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "plus", "pas", "au", "sur"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "una", "su", "para", "es", "al", "lo", "como"],
-}
 #: Classes of characters, by what is left out of them; symbols are one too, and the rest (small letters).
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "point": r"[.,;:!?'\"()-]+", "wide": r"[^\x00-\x7F]+"}
 SYMBOLS = "[#*$%&|<>]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED = 50, 50
 MIN_LETTERS, MIN_COMPARED, MAX_CLASS, MAX_WORD = 200, 100, 0.19, 0.345
-N_WORDS, N_CLASSES = 20, len(CLASSES) + 1
+N_WORDS, N_CLASSES, FEW = 20, len(CLASSES) + 1, 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,19 +64,35 @@ def repeat_words(words: Column) -> Column:
     return let(words, count).cast("long")
 
 
+def rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, t and the language, an empty one for none."""
+    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
+    return slim(docs, id_col, text_col, lang_col).select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("t"), lang.alias("lang"))
+
+
+def common_words(base: DataFrame) -> DataFrame:
+    """lang and `own`: its words in most documents, N_WORDS of them, missing ones empty."""
+    seen = base.select("lang", F.explode(F.array_distinct(F.array_remove(F.split(F.lower("t"), SPACE_RUN), ""))).alias("word")).groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))  # its limit is taken before the shuffle too
+    top = seen.withColumn("place", place).where(F.col("place") <= N_WORDS)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    return top.groupBy("lang").agg(words.alias("w")).select("lang", F.concat("w", F.array_repeat(F.lit(""), N_WORDS - F.size("w"))).alias("own"))
+
+
+def few(languages: DataFrame) -> DataFrame:
+    """Broadcast if its size is known to be small."""
+    return F.broadcast(languages) if languages.limit(FEW + 1).count() <= FEW else languages
+
+
 def counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The base counts of each document, and its histograms `classes` and `frequent`."""
     t = F.col("t")
-    lang = F.col(f"`{lang_col}`").cast("string")
-    base = slim(docs, id_col, text_col, lang_col).select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("t"), F.when(lang.isin(*FREQUENT), lang).otherwise("").alias("lang"))
+    base = rows(docs, id_col, text_col, lang_col)
+    base = base.join(few(cut(common_words(base))), "lang", "left").withColumn("own", F.coalesce("own", F.array_repeat(F.lit(""), N_WORDS)))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    all_listed = sorted({w for ws in FREQUENT.values() for w in ws})
-    own = F.array(*[F.lit("")] * N_WORDS)
-    for k, ws in FREQUENT.items():
-        own = F.when(F.col("lang") == k, F.array(*[F.lit(w) for w in ws])).otherwise(own)
-    listed = F.filter(F.split(F.lower(t), SPACE_RUN), lambda x: x.isin(*all_listed))
-    frequent = let(listed, lambda c: F.transform(own, lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long")))
+    listed = F.array_remove(F.filter(F.split(F.lower(t), SPACE_RUN), lambda x: F.array_contains("own", x)), "")
+    frequent = let(listed, lambda c: F.transform("own", lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long")))
     words = F.array_remove(F.split(t, SPACE_RUN), "")
     return base.select(
         "doc_id",
@@ -124,24 +134,19 @@ def _far(max_class: float, max_word: float) -> Column:
     return ((F.col("word_chars") >= MIN_LETTERS) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= MIN_COMPARED) & (F.col("word_distance") > max_word))
 
 
-def _references(known: DataFrame) -> dict[str, dict]:
-    """Sums of the histograms of each language: a row for each listed language, and one."""
-    sums = [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for name, n in (("classes", N_CLASSES), ("frequent", N_WORDS)) for i in range(n)]
-    return {r["lang"]: r.asDict() for r in known.groupBy("lang").agg(F.sum("n_words").alias("n_words"), F.sum("word_chars").alias("word_chars"), *sums).collect()}
+def _references(known: DataFrame) -> DataFrame:
+    """Sums of the histograms: a row for each language."""
+    sums = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
+    return known.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), F.sum("word_chars").alias("ref_chars"), sums("classes", N_CLASSES).alias("ref_c"), sums("frequent", N_WORDS).alias("ref_f"))
 
 
-def _against(known: DataFrame, sums: dict[str, dict]) -> DataFrame:
+def _against(known: DataFrame, references: DataFrame) -> DataFrame:
     """With class_distance and word_distance to the reference of each document's language."""
-    ref_c, ref_f, chars, words = (F.lit(None).cast(t) for t in ("array<bigint>", "array<bigint>", "bigint", "bigint"))
-    for k, r in sums.items():
-        here = F.col("lang") == k
-        ref_c, chars = F.when(here, F.array(*[F.lit(r[f"classes{i}"]).cast("long") for i in range(N_CLASSES)])).otherwise(ref_c), F.when(here, F.lit(r["word_chars"]).cast("long")).otherwise(chars)
-        if k:
-            ref_f, words = F.when(here, F.array(*[F.lit(r[f"frequent{i}"]).cast("long") for i in range(N_WORDS)])).otherwise(ref_f), F.when(here, F.lit(r["n_words"]).cast("long")).otherwise(words)
-    return known.withColumns({
-        "class_distance": F.coalesce(distance(histogram(F.col("classes"), F.col("word_chars")), histogram(ref_c, chars)), F.lit(0.0)),
-        "word_distance": F.coalesce(distance(histogram(F.col("frequent"), F.col("n_words")), histogram(ref_f, words)), F.lit(0.0)),
+    held = known.drop("class_distance", "word_distance").join(few(cut(references)), "lang", "left").withColumns({
+        "class_distance": F.coalesce(distance(histogram(F.col("classes"), F.col("word_chars")), histogram(F.col("ref_c"), F.col("ref_chars"))), F.lit(0.0)),
+        "word_distance": F.coalesce(distance(histogram(F.col("frequent"), F.col("n_words")), histogram(F.col("ref_f"), F.col("ref_words"))), F.lit(0.0)),
     })
+    return held.drop("ref_words", "ref_chars", "ref_c", "ref_f")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +154,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    listed = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in ws)}]" for k, ws in FREQUENT.items()) + f" ELSE list_transform(range({N_WORDS}), lambda x: '') END"
     classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in [*CLASSES.values(), SYMBOLS])
     sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i + 1}])" for i in range(n)) + "]"
     hist = lambda parts, total: f"list_transform(list_concat({parts}, [greatest(list_sum({parts}), {total}, 1) - list_sum({parts})]), lambda x: x / greatest(list_sum({parts}), {total}, 1))"
@@ -158,7 +162,7 @@ def _sql() -> str:
 
     def against(rows: str, ref: str) -> str:
         return (
-            f"SELECT k.*, coalesce({dist('k.hc', f'{ref}.hc')}, 0) AS class_distance, CASE WHEN k.lang = '' THEN 0 ELSE coalesce({dist('k.hf', f'{ref}.hf')}, 0) END AS word_distance FROM {rows} k LEFT JOIN {ref} ON {ref}.lang = k.lang"
+            f"SELECT k.*, coalesce({dist('k.hc', f'{ref}.hc')}, 0) AS class_distance, coalesce({dist('k.hf', f'{ref}.hf')}, 0) AS word_distance FROM {rows} k LEFT JOIN {ref} ON {ref}.lang = k.lang"
         )
 
     def reference(rows: str) -> str:
@@ -167,9 +171,15 @@ def _sql() -> str:
     far = f"((word_chars >= {MIN_LETTERS} AND class_distance > {MAX_CLASS}) OR (n_words >= {MIN_COMPARED} AND word_distance > {MAX_WORD}))"
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(repr(k) for k in FREQUENT)}) THEN lang ELSE '' END AS lang FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents
+), e AS (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place
+  FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(t), '{SPACE_RUN}'), lambda x: x <> ''))) AS word FROM d) GROUP BY lang, word
+), o AS (
+  SELECT lang, list_resize(list(word ORDER BY place), {N_WORDS}, '') AS own FROM e WHERE place <= {N_WORDS} GROUP BY lang
 ), w AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '{SPACE_RUN}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, regexp_split_to_array(lower(t), '{SPACE_RUN}') AS low, {listed} AS own FROM d
+  SELECT d.*, list_filter(regexp_split_to_array(t, '{SPACE_RUN}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, list_filter(regexp_split_to_array(lower(t), '{SPACE_RUN}'), lambda x: x <> '') AS low,
+    coalesce(o.own, list_transform(range({N_WORDS}), lambda x: '')) AS own FROM d LEFT JOIN o USING (lang)
 ), g AS (
   SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)
 ), r AS (

@@ -211,7 +211,7 @@ def test_syncmers_are_context_free_and_written_back():
 def test_quality_rules(docs, empty, spark, tmp_path):
     got = quality_rules.judge(docs)
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    docs.select("doc_id", "text", "lang").where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs.select("text", F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.monotonically_increasing_id().alias("doc_id")).coalesce(1).write.parquet(str(tmp_path / "d"))
     c = duckdb.connect()
     c.execute(f"create view documents as from '{tmp_path}/d/*.parquet'")
     sub = quality_rules.judge(spark.read.parquet(str(tmp_path / "d")))
@@ -437,6 +437,15 @@ def test_byte_bpe(docs, empty):
     model = byte_bpe.codec(path, P.PATTERN)
     for t, (ids, back) in zip(odd, model.digests(odd), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and back == t.encode()
+    split = 0
+    for t, (ids, back) in zip(odd, model.digests(odd), strict=True):
+        first, end = model.offsets(np.frombuffer(ids, "<u4"), back)
+        assert list(zip(first.tolist(), end.tolist(), strict=True)) == [tuple(x) for x in model.encode(t)[1]]
+        at = np.cumsum([0, *(len(enc.decode_single_token_bytes(i)) for i in enc.encode_ordinary(t))])
+        of = [k for k, c in enumerate(t) for _ in c.encode()]
+        assert first.tolist() == [of[b] for b in at[:-1]] and end.tolist() == [of[b - 1] + 1 for b in at[1:]]
+        split += int((first[1:] < end[:-1]).sum())
+    assert split > 0  # characters over several tokens are among them
     ids, spans = model.encode("é🙂 x")
     assert model.decode(ids) == "é🙂 x" and spans[-1][1] == 4 and len(ids) == len(spans)
     want = Counter()
@@ -444,6 +453,12 @@ def test_byte_bpe(docs, empty):
         ids = enc.encode_ordinary(t or "")
         want[i, len(ids), digest(np.array(ids, "<u4").tobytes()), digest((t or "").encode())] += 1
     assert rows_of(byte_bpe.round_trip(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    spans = {r["doc_id"]: r for r in byte_bpe.round_trip(docs.where("doc_id < 20")).collect()}
+    for r in byte_bpe.encode(docs.where("doc_id < 20")).collect():
+        pairs = np.array([x for p in zip(r["starts"], r["ends"], strict=True) for x in p], "<u4")
+        assert spans[r["doc_id"]]["spans_sha256"] == digest(pairs.tobytes()) and spans[r["doc_id"]]["n_split"] == sum(a < b for a, b in zip(r["starts"][1:], r["ends"][:-1], strict=True))
+    clash = byte_bpe.encode(docs.selectExpr("doc_id", "text", "1 as ids", "2 as `row`", "3 as `a.b`"))
+    assert clash.columns == ["doc_id", "text", "row", "a.b", "ids", "starts", "ends"] and clash.count() == docs.count()
     again = byte_bpe.decode(byte_bpe.encode(docs.where("doc_id < 20")))
     assert again.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
     assert byte_bpe.round_trip(empty).count() == 0
