@@ -19,10 +19,18 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in COLUMNS])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of each row, in order of id (a null one last); only equal rows share theirs."""
+    held = _documents(docs)
+    digest = F.xxhash64(*[F.col(c) for c in COLUMNS], *[F.col(c).isNull() for c in COLUMNS])
+    return held.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), digest.alias("digest")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows with one id stay if one of them is kept."""
-    kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return _documents(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"))
+    """Rows that the quality rules keep, each judged by its own text."""
+    rows = _keyed(docs)
+    kept = quality_rules.judge(rows, id_col="key").where("kept").select(F.col("doc_id").alias("key"))
+    return _documents(rows.join(kept, "key", "left_semi"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +38,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(line_templates.apply(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key of each row, in order of id (a null one last); only equal rows share theirs."""
-    held = _documents(docs)
-    digest = F.xxhash64(*[F.col(c) for c in COLUMNS], *[F.col(c).isNull() for c in COLUMNS])
-    return held.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), digest.alias("digest")))
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies (five-word shingles, similarity of 0.8 or more): that with the smallest id."""
     rows = _keyed(docs)
@@ -46,8 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    rows = _keyed(docs)
+    # Equal rows share a key: they come once, with all their copies.
+    copies = mixing.mix(rows, id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    taken = rows.dropDuplicates(["key"]).join(copies, "key")
     return _documents(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))
 
 
@@ -72,4 +75,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # nothing reads the stage before last any more
+                _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
