@@ -1,6 +1,6 @@
 """The closed vocabulary of document elements, as a value and as dimension tables.
 
-A register is data: the built-in one below is the default, any other is read from its JSON
+A register is data: the one in `elements.json` is the default, any other is read from its JSON
 (`from_json`), is named by the digest of its canonical bytes, and can be kept in an archive.
 """
 
@@ -10,63 +10,13 @@ import hashlib
 import json
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Element, layer, class, children (a model, or the permitted elements), fields
-#: (name:type, ! for required, =a/b for an enumeration, @low..high for a range).
-BUILT_IN = """
-document 0 root flow id:urn! lang:lang! title:text! register:hash
-section 0 block flow id:text lang:lang
-heading 0 block inline level:int!@1..6
-paragraph 0 block inline
-list 0 block item ordered:bool! start:int
-item 0 block flow id:text
-term-list 0 block term,definition
-term 0 block inline
-definition 0 block flow
-quote 0 block flow source:text
-code-block 0 block text language:text
-note 0 block flow id:text!
-figure 0 block media,caption,table,code-block id:text
-caption 0 block inline
-media 0 block none src:path! alt:text! kind:text!=image/audio/video
-table 0 block row,table-section,caption summary:text id:text
-row 0 block cell,header-cell
-cell 0 block flow colspan:int rowspan:int
-header-cell 0 block flow colspan:int rowspan:int scope:text=row/column
-text 0 inline none v:text!
-emphasis 0 inline inline
-strong 0 inline inline
-code 0 inline text
-link 0 inline inline href:iri!
-reference 0 inline inline target:idref!
-note-ref 0 inline none target:idref!
-quantity 0 inline none significand:int! scale:int! unit:text!
-power 0 inline none base:text! exponent:text!
-date 0 inline none value:text! precision:text!=year/month/day/minute/second
-line-break 0 inline none
-article 1 block flow id:text
-abstract 1 block flow
-contents 1 block item
-bibliography 1 block item
-citation 1 inline inline target:idref!
-admonition 1 block flow kind:text!=note/warning/caution/important
-sidebar 1 block flow
-signature-block 1 block term,definition
-provenance 1 block term,definition
-table-section 1 block row kind:text!=head/body/foot
-form 2 block field,submit,heading,paragraph action:path! method:text!=get/post
-field 2 block field-text,field-choice name:text! label:text! required:bool
-field-text 2 block none multiline:bool value:text
-field-choice 2 block field-option multiple:bool
-field-option 2 block inline value:text! selected:bool
-submit 2 block none label:text!
-disclosure 2 block flow summary:text! open:bool
-state-link 2 inline inline key:text! value:text!
-payload 3 invisible none id:text! type:text! data:text!
-rendering 3 block caption renderer:hash! payload:idref! fallback:text!
-"""
+#: The elements with their layer, class, children (a model, or the permitted elements) and fields.
+ELEMENTS = Path(__file__).with_name("elements.json")
 MODELS = ("none", "text", "inline", "flow")
 PROVISIONAL = ("payload", "rendering")
 
@@ -110,22 +60,10 @@ class Register:
         return dict(sorted(out.items())) | {"total": len(self.elements)}
 
 
-def _field(text: str) -> Field:
-    name, _, kind = text.partition(":")
-    kind, _, span = kind.partition("@")
-    kind, _, enum = kind.partition("=")
-    low, high = (int(x) for x in span.split("..")) if span else (None, None)
-    return Field(name, kind.rstrip("!"), kind.endswith("!"), tuple(enum.split("/")) if enum else (), low, high)
-
-
+@cache
 def built_in() -> Register:
-    out = {}
-    for line in BUILT_IN.split("\n"):
-        if line:
-            name, layer, cls, model, *fields = line.split(" ")
-            named = model in MODELS
-            out[name] = Element(name, int(layer), cls, model if named else "list", () if named else tuple(model.split(",")), tuple(map(_field, fields)))
-    return Register(out, "built-in")
+    """The elements that come with the package; its digest is that of their bytes, as for any other register."""
+    return from_json(ELEMENTS.read_bytes())
 
 
 def nfc(s: str) -> str:
