@@ -36,6 +36,18 @@ def all_text(el: ET.Element) -> str:
     return clean("".join(el.itertext()))
 
 
+def spaced(groups: list[list[Node]]) -> list[Node]:
+    """Inline groups one after another, a space between two in the text that stands there."""
+    out: list[Node] = []
+    for group in filter(None, map(pruned, groups)):
+        if out and kind_of(out[-1]) == "text":
+            out[-1] = text(out[-1]["v"] + " ")
+        elif out and kind_of(group[0]) == "text":
+            group = [text(" " + group[0]["v"]), *group[1:]]
+        out += group
+    return out
+
+
 @dataclass(frozen=True)
 class Dialect:
     """Tags by what they become."""
@@ -51,14 +63,11 @@ class Dialect:
     noting: frozenset = frozenset({"fn", "table-fn", "author-notes", "corresp"})
 
 
-def words(s: str) -> frozenset:
-    return frozenset(s.split())
-
-
+#: Tags of the three genres, and what each becomes.
 STANDARDS = Dialect(
     wrap={"em": "emphasis", "strong": "strong", "tt": "code", "bcp14": "strong", "u": "emphasis", "spanx": "emphasis"},
-    through=words("cref contact svg postal address"),
-    skip=words("iref toc name seriesInfo workgroup area keyword"),
+    through=frozenset({"cref", "contact", "svg", "postal", "address"}),
+    skip=frozenset({"iref", "toc", "name", "seriesInfo", "workgroup", "area", "keyword"}),
     inline={"xref": "refer", "relref": "refer", "eref": "link", "br": "break_", "sup": "power", "sub": "lower"},
     block={
         "t": "paragraph", "ul": "bullets", "ol": "numbers", "dl": "terms", "sourcecode": "code", "artwork": "code", "blockquote": "quote", "aside": "sidebar", "note": "remark", "figure": "figure", "table": "table",
@@ -68,8 +77,8 @@ STANDARDS = Dialect(
 )
 ARTICLES = Dialect(
     wrap={"italic": "emphasis", "bold": "strong", "monospace": "code", "sc": "emphasis", "underline": "emphasis", "code": "code"},
-    through=words("styled-content named-content label inline-formula alternatives roman x-ref ext"),
-    skip=words("inline-graphic object-id permissions caption title alt-text journal-meta article-meta"),
+    through=frozenset({"styled-content", "named-content", "label", "inline-formula", "alternatives", "roman", "x-ref", "ext"}),
+    skip=frozenset({"inline-graphic", "object-id", "permissions", "caption", "title", "alt-text", "journal-meta", "article-meta"}),
     inline={"xref": "refer", "ext-link": "link", "uri": "link", "email": "mail", "sup": "power", "sub": "lower", "break": "break_", "math": "formula"},
     block={
         "p": "paragraph", "sec": "section", "app": "section", "ack": "section", "app-group": "through", "fn-group": "through", "list": "listed", "boxed-text": "sidebar", "def-list": "terms", "disp-quote": "quote", "disp-formula": "code", "code": "code", "preformat": "code",
@@ -78,8 +87,8 @@ ARTICLES = Dialect(
 )
 LAWS = Dialect(
     wrap={"Emphasis": "emphasis", "Term": "emphasis", "Definition": "emphasis", "SmallCaps": "emphasis", "Strong": "strong"},
-    through=words("Superior Inferior Addition Substitution Repeal Acronym Abbreviation Character Span CitationSubRef"),
-    skip=words("Number Pnumber Title Reference CommentaryRefs Metadata"),
+    through=frozenset({"Superior", "Inferior", "Addition", "Substitution", "Repeal", "Acronym", "Abbreviation", "Character", "Span", "CitationSubRef"}),
+    skip=frozenset({"Number", "Pnumber", "Title", "Reference", "CommentaryRefs", "Metadata"}),
     inline={"Citation": "link", "ExternalLink": "link", "InternalLink": "refer", "CommentaryRef": "note", "FootnoteRef": "note", "Math": "formula"},
     block={
         "Text": "paragraph", "Para": "through", "P1para": "through", "P2para": "through", "P3para": "through", "P4para": "through", "P5para": "through", "Body": "through", "Primary": "through", "Secondary": "through", "Schedules": "through", "PrimaryPrelims": "through",
@@ -195,8 +204,8 @@ class Mapper:
         return out
 
     def heading(self, el: ET.Element, depth: int) -> list[Node]:
-        kids = [n for name in self.d.title[::-1] for c in el if tag(c) == name for n in [*self.inlines(c), text(" ")]][:-1]
-        return [{"t": "heading", "level": min(max(depth, 1), 6), "c": kids}] if pruned(kids) else []
+        kids = spaced([self.inlines(c) for name in self.d.title[::-1] for c in el if tag(c) == name])
+        return [{"t": "heading", "level": min(max(depth, 1), 6), "c": kids}] if kids else []
 
     def ident(self, el: ET.Element) -> dict:
         raw = next((el.get(k) for k in self.d.ident if el.get(k)), None)
@@ -274,10 +283,9 @@ class Mapper:
         return self.box("term-list", out)
 
     def caption(self, el: ET.Element) -> list[Node]:
-        kids = [n for c in el if tag(c) in ("label", "name", "title") for n in [*self.inlines(c), text(" ")]]
-        kids += [n for c in el if tag(c) == "caption" for p in c for n in [*self.inlines(p), text(" ")]]
-        kids = kids[:-1]
-        return [{"t": "caption", "c": kids}] if pruned(kids) else []
+        named = [self.inlines(c) for c in el if tag(c) in ("label", "name", "title")]
+        kids = spaced(named + [self.inlines(p) for c in el if tag(c) == "caption" for p in c])
+        return [{"t": "caption", "c": kids}] if kids else []
 
     def b_figure(self, el: ET.Element, depth: int) -> list[Node]:
         inner = [n for c in el if tag(c) not in ("label", "name", "caption") and tag(c) in self.d.block for n in getattr(self, "b_" + self.d.block[tag(c)])(c, depth)]
@@ -377,9 +385,11 @@ def resolved(doc: Node) -> tuple[Node, int]:
 
 def _parts(root: ET.Element, genre: str) -> Iterator[tuple[str, ET.Element]]:
     names = {"standards": ("middle", "back"), "articles": ("body", "back"), "laws": ("Contents", "Primary", "Secondary", "Body", "Schedules")}[genre]
+    taken: set[ET.Element] = set()
     for name in names:
         el = next((x for x in root.iter() if tag(x) == name), None)
-        if el is not None:
+        if el is not None and el not in taken:  # a part may lie in one before it
+            taken.update(el.iter())
             yield name, el
 
 

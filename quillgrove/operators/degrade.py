@@ -6,7 +6,7 @@ text are in `functions.trees.lowered`, which does all of them on one tree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nodes import FIELDS, field
@@ -30,7 +30,18 @@ def renamed(nodes: DataFrame) -> DataFrame:
 
 
 def spliced(nodes: DataFrame, element: str = "table-section") -> DataFrame:
-    """Children of an element take its place under its parent, in order."""
-    gone = nodes.where(F.col("t") == element).select("doc_id", F.col("pos").alias("parent_pos"), F.col("parent_pos").alias("__up"), F.col("ord").alias("__first"))
-    moved = nodes.where(F.col("t") != element).join(gone, ["doc_id", "parent_pos"], "left")
-    return moved.withColumns({"parent_pos": F.coalesce("__up", "parent_pos"), "depth": F.when(F.col("__up").isNull(), F.col("depth")).otherwise(F.col("depth") - 1)}).drop("__up", "__first")
+    """Children of an element take its place under its parent, in order: all children of that parent are numbered anew.
+
+    `path` and `place` are of the old tree; they are left out.
+    """
+    gone = nodes.where(F.col("t") == element).select("doc_id", F.col("pos").alias("parent_pos"), F.struct(F.col("parent_pos").alias("up"), F.col("ord").alias("at")).alias("moved"))
+    held = nodes.where(F.col("t") != element).drop("path", "place").join(gone, ["doc_id", "parent_pos"], "left")
+    up = F.coalesce(F.col("moved.up"), F.col("parent_pos"))
+    place = F.struct(F.coalesce(F.col("moved.at"), F.col("ord")), F.when(F.col("moved").isNotNull(), F.col("ord")))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "parent_pos").orderBy("sorted")) - 1
+    above = F.when(F.col("moved").isNull(), F.col("depth")).otherwise(F.col("depth") - 1)
+    moved = held.withColumns({"sorted": place, "depth": above, "parent_pos": up}).withColumn("ord", nth.cast("int")).drop("sorted", "moved")
+    if "n_children" not in moved.columns:
+        return moved
+    n = moved.groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(F.count("*").cast("int").alias("n"))
+    return moved.join(n, ["doc_id", "pos"], "left").withColumn("n_children", F.coalesce("n", F.lit(0))).drop("n")

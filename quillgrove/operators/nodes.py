@@ -19,7 +19,6 @@ SCHEMA = f"doc_id string, pos int, path array<int>, depth int, parent_pos int, o
 
 _I, _S, _SS = pa.int32(), pa.string(), pa.list_(pa.string())
 ROWS = pa.schema([("doc_id", _S), ("pos", _I), ("path", pa.list_(_I)), ("depth", _I), ("parent_pos", _I), ("ord", _I), ("t", _S), ("fields", pa.list_(pa.struct([("name", _S), ("kind", _S), ("value", _S)]))), ("n_children", _I), ("malformed", _SS), ("last_pos", _I), ("place", _S)])
-VIEW_ROWS = pa.schema([("doc_id", _S), *[(c, pa.binary()) for c in ("canonical", "cbor", "base")], *[(c, _S) for c in ("html", "plain", "surface", "digest", "root")], ("blocks", _I), ("units", _SS), ("base_units", _SS)])
 
 
 def _rows(table: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -91,32 +90,38 @@ def from_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return base.select("doc_id", F.inline(rows)).select(*[c.split(" ")[0] for c in SCHEMA.replace("name:string,kind:string,value:string", "x").split(", ")])
 
 
-VIEWS = "doc_id string, canonical binary, cbor binary, base binary, html string, plain string, surface string, digest string, root string, blocks int, units array<string>, base_units array<string>"
-
-
-def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw", domain: str = "node") -> DataFrame:
-    """Every representation and digest of each document; null where the tree has none."""
+def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw", domain: str = "node", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Representations and digests of each document, all or the columns asked for; null where the tree has none. `markdown` is the surface."""
     from ..functions import surface
 
-    read = read or trees.load_json
+    read, tag = read or trees.load_json, domain.encode()
+    # Each is made from the tree, its base-layer form or its blocks' digests; those are made once, if they are needed.
+    made: dict[str, tuple[str, Callable]] = {
+        "canonical": ("doc", trees.canonical_json), "cbor": ("doc", trees.cbor), "surface": ("doc", surface.write), "markdown": ("doc", surface.write), "digest": ("doc", lambda d: trees.structural_hash(d, tag).hex()), "units": ("doc", trees.content_units),
+        "base": ("base", trees.canonical_json), "html": ("base", trees.to_html), "plain": ("base", trees.plain_text), "base_units": ("base", trees.content_units),
+        "root": ("blocks", lambda b: trees.merkle_root(b).hex()), "blocks": ("blocks", len),
+    }
+    wanted = columns or tuple(c for c in made if c != "markdown")
+    kinds = {**dict.fromkeys(("canonical", "cbor", "base"), ("binary", pa.binary())), **dict.fromkeys(("units", "base_units"), ("array<string>", _SS)), "blocks": ("int", _I)}
+    schema = pa.schema([("doc_id", _S), *[(c, kinds.get(c, ("string", _S))[1]) for c in wanted]])
 
     def view(raw: object) -> dict:
-        doc = read(raw)
-        base = trees.lowered(doc, reg)
-        return {
-            "canonical": trees.canonical_json(doc), "cbor": trees.cbor(doc), "base": trees.canonical_json(base), "html": trees.to_html(base), "plain": trees.plain_text(base), "surface": surface.write(doc),
-            "digest": trees.structural_hash(doc, domain.encode()).hex(), "root": trees.merkle_root(trees.block_digests(doc, reg, domain.encode())).hex(), "blocks": len(trees.block_digests(doc, reg)), "units": trees.content_units(doc), "base_units": trees.content_units(base),
-        }
+        sources: dict[str, object] = {"doc": read(raw)}
+        for source, make in (("base", lambda d: trees.lowered(d, reg)), ("blocks", lambda d: trees.block_digests(d, reg, tag))):
+            if any(made[c][0] == source for c in wanted):
+                sources[source] = make(sources["doc"])
+        return {c: made[c][1](sources[made[c][0]]) for c in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    made = view(raw)
+                    found = view(raw)
                 except (ValueError, TypeError, KeyError, AttributeError, IndexError):
-                    made = dict.fromkeys(VIEW_ROWS.names[1:])
-                out.append({"doc_id": doc_id, **made})
-            yield _rows(out, VIEW_ROWS)
+                    found = dict.fromkeys(wanted)
+                out.append({"doc_id": doc_id, **found})
+            yield _rows(out, schema)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, VIEWS)
+    ddl = "doc_id string, " + ", ".join(f"{c} {kinds.get(c, ('string',))[0]}" for c in wanted)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, ddl)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nodes import field
@@ -58,17 +58,32 @@ def inside(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
     return marked.withColumn("__to", F.max(F.when(F.col("__up"), F.col("last_pos"))).over(before)).where("__to >= pos").drop("__up", "__to")
 
 
-def merkle(leaves: DataFrame, by: str, order: str, digest: str, domain: str = "merkle", levels: int = 40) -> DataFrame:
-    """Root of each tree from its ordered leaves: pairs meet level by level, the odd last one goes up as it is.
+#: Leaves that one expression joins, and the steps that take 4096 ** STEPS of them to a root.
+STRETCH_BITS, STEPS = 12, 3
 
-    Each level is an aggregation by (tree, place div 2), so a tree of any size is spread over
-    tasks and halves every time.
+
+def _joined(hashes: Column, domain: bytes) -> Column:
+    """Root of an array of up to 2 ** STRETCH_BITS digests: pairs meet, the odd last one goes up as it is."""
+    head, out = F.lit(domain + b"\0"), hashes
+    for _ in range(STRETCH_BITS):
+        half = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 2).cast("int")), lambda i: F.when(F.get(x, 2 * i + 1).isNull(), F.get(x, 2 * i)).otherwise(F.unhex(F.sha2(F.concat(head, F.get(x, 2 * i), F.get(x, 2 * i + 1)), 256))))
+        out = F.get(F.transform(F.array(out), lambda x: F.when(F.size(x) > 1, half(x)).otherwise(x)), F.lit(0))
+    return F.get(out, F.lit(0))
+
+
+def merkle(leaves: DataFrame, by: str, order: str, digest: str, domain: str = "merkle") -> DataFrame:
+    """Root of each tree from its leaves, whose `order` is an integer that no two share.
+
+    Leaves are counted in ranges of the order, so that their places need no window over a whole tree; then
+    each aligned stretch of 4096 becomes one digest, three times. No task sees more than a range of a tree.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    at = leaves.select(by, (F.row_number().over(w) - 1).alias("i"), F.col(digest).alias("h"))
-    most = leaves.groupBy(by).count().agg(F.max("count")).first()[0] or 1
-    head = F.lit(domain.encode() + b"\0")
-    for _ in range(min(levels, max(0, int(most - 1).bit_length()))):
-        left, right = F.max(F.when(F.col("i") % 2 == 0, F.col("h"))), F.max(F.when(F.col("i") % 2 == 1, F.col("h")))
-        at = at.groupBy(by, F.floor(F.col("i") / 2).alias("j")).agg(left.alias("a"), right.alias("b")).select(by, F.col("j").alias("i"), F.when(F.col("b").isNull(), F.col("a")).otherwise(F.unhex(F.sha2(F.concat(head, "a", "b"), 256))).alias("h"))
-    return at.select(by, F.lower(F.hex("h")).alias("root"))
+    part = F.floor(F.col(order) / (1 << STRETCH_BITS)).alias("part")
+    held = leaves.select(F.col(by).alias("tree"), F.col(order).cast("long").alias("o"), part, F.col(digest).alias("h"))
+    counts = held.groupBy("tree", "part").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("tree", "part").orderBy("o")) - 1
+    at = held.withColumn("nth", nth).join(counts.select("tree", "part", ahead.alias("ahead")), ["tree", "part"]).select("tree", (F.col("ahead") + F.col("nth")).alias("i"), "h")
+    for _ in range(STEPS):
+        at = at.groupBy("tree", F.shiftright("i", STRETCH_BITS).alias("j")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
+        at = at.select("tree", F.col("j").alias("i"), _joined(F.transform("x", lambda x: x["h"]), domain.encode()).alias("h"))
+    return at.select(F.col("tree").alias(by), F.lower(F.hex("h")).alias("root"))

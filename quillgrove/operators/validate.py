@@ -147,8 +147,18 @@ def conforming(docs: DataFrame, diags: DataFrame) -> DataFrame:
 
 
 def pinned(nodes: DataFrame, current: Register, archive: dict[str, Register]) -> DataFrame:
-    """Each document's pin: none, current, archived or unresolvable. Archived ones are to be read by both registers."""
+    """Each document's pin: none, current, archived or unresolvable."""
     pin = nodes.where("depth = 0").select("doc_id", field("register", "str").alias("pin"))
     known = F.broadcast(nodes.sparkSession.createDataFrame([(d,) for d in archive] or [("",)], "digest string"))
     joined = pin.join(known, F.col("pin") == F.col("digest"), "left")
     return joined.select("doc_id", "pin", F.when(F.col("pin").isNull(), "none").when(F.col("pin") == current.digest, "current").when(F.col("digest").isNotNull(), "archived").otherwise("unresolvable").alias("outcome"))
+
+
+def validate_pinned(nodes: DataFrame, current: Register, archive: dict[str, Register]) -> DataFrame:
+    """Diagnostics with the `register` that they are by: of every document by the current one, and of those with an archived pin by that one too."""
+    found = validate(nodes, current).withColumn("register", F.lit(current.digest))
+    pins = pinned(nodes, current, archive).where("outcome = 'archived'")
+    for digest, reg in archive.items():  # a handful of versions
+        own = nodes.join(pins.where(F.col("pin") == digest).select("doc_id"), "doc_id", "left_semi")
+        found = found.unionAll(validate(own, reg).withColumn("register", F.lit(digest)))
+    return found

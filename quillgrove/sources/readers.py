@@ -69,6 +69,34 @@ def records_of(rows: DataFrame, raw_col: str, *, id_col: str, title: str = "Reco
     return rows.select(F.col(id_col).cast("string").alias("doc_id"), convert(F.col(id_col).cast("string"), F.col(raw_col)).alias("x")).select("doc_id", "x.raw", "x.found")
 
 
+def xml_of(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace: str | None = None) -> DataFrame:
+    """doc_id, raw, found, missed: XML of a genre as documents, each with an id of its own.
+
+    `missed` are the strings of the source that no unit and no line of the document shows; what can't be read
+    as XML has a null `raw` and one finding.
+    """
+    import json
+
+    @F.pandas_udf("raw string, found map<string,int>, missed array<string>")
+    def convert(key, raw):
+        import pandas as pd
+
+        out = []
+        for k, r in zip(key, raw, strict=True):
+            source = r.encode() if isinstance(r, str) else bytes(r or b"")
+            try:
+                doc, found = markup.xml_document(source, genre, f"urn:{namespace or genre}:{k}")
+            except markup.ET.ParseError:
+                out.append((None, {"unreadable": 1}, []))
+                continue
+            shown = " ".join(" ".join(trees.content_units(doc)).split()) + "\n" + forms.squeezed(trees.plain_text(trees.lowered(doc, built_in())))
+            out.append((json.dumps(doc, ensure_ascii=False), dict(found), [s for s in markup.source_strings(source, genre) if s not in shown]))
+        return pd.DataFrame({"raw": [x[0] for x in out], "found": [x[1] for x in out], "missed": [x[2] for x in out]})
+
+    key = F.col(id_col).cast("string")
+    return rows.select(key.alias("doc_id"), convert(key, F.col(raw_col)).alias("x")).select("doc_id", "x.raw", "x.found", "x.missed")
+
+
 def findings(mapped: DataFrame, genre: str) -> DataFrame:
     """doc_id, genre, key, n: what mappers counted."""
     return mapped.select("doc_id", F.lit(genre).alias("genre"), F.explode("found").alias("key", "n"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 #: Media type: the column of a view that has it; the first is sent by default.
-FORMS = {"text/html": "html", "text/plain": "plain", "application/json": "canonical", "application/cbor": "cbor"}
+FORMS = {"text/html": "html", "application/json": "canonical", "text/markdown": "markdown", "text/plain": "plain", "application/cbor": "cbor"}
+#: What a request may name instead of a media type.
+NAMES = {"html": "text/html", "canonical": "application/json", "markdown": "text/markdown", "text": "text/plain", "cbor": "application/cbor"}
 
 
 def write_views(views: DataFrame, path: str) -> None:
@@ -16,16 +18,23 @@ def write_views(views: DataFrame, path: str) -> None:
 
 
 def served(requests: DataFrame, views: DataFrame) -> DataFrame:
-    """(doc_id, accept) requests with status, media type and body: 404 without a document, 406 without a fitting form."""
-    chosen = requests.withColumn("media", C.negotiated(F.col("accept"), list(FORMS)))
+    """(doc_id, accept) requests, and `form` if there is such a column, with status, media type and body.
+
+    A form goes before the header. 404 without a document or for a form that there isn't, 406 if no form fits the header.
+    """
+    form = F.col("form") if "form" in requests.columns else F.lit(None).cast("string")
+    named = F.lit(None).cast("string")
+    for name, media in NAMES.items():
+        named = F.when(form == name, media).otherwise(named)
+    chosen = requests.withColumn("media", F.when(form.isNotNull(), named).otherwise(C.negotiated(F.col("accept"), list(FORMS))))
     held = chosen.join(views.withColumn("there", F.lit(True)), "doc_id", "left")
     body = F.lit(None).cast("binary")
     for media, column in FORMS.items():
         body = F.when(F.col("media") == media, F.col(column).cast("binary")).otherwise(body)
-    status = F.when(F.col("there").isNull(), 404).when(F.col("media").isNull(), 406).otherwise(200)
+    status = F.when(F.col("there").isNull() | (form.isNotNull() & F.col("media").isNull()), 404).when(F.col("media").isNull(), 406).otherwise(200)
     return held.select("doc_id", "accept", status.alias("status"), F.when(status == 200, F.col("media")).alias("media"), F.when(status == 200, body).alias("body"))
 
 
 def index(views: DataFrame) -> DataFrame:
-    """One row: the documents by id, as a list of links. A listing of the whole collection is its result."""
-    return views.orderBy("doc_id").select("doc_id", F.concat(F.lit("/"), C.anchor(F.col("doc_id"))).alias("path"), "root")
+    """A row for each document: where it is served and its root. A page of it is a range of ids."""
+    return views.select("doc_id", F.concat(F.lit("/"), C.anchor(F.col("doc_id"))).alias("path"), "root")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quillgrove.functions import columns as C
 from quillgrove.functions import trees
 from quillgrove.operators import degrade, generate, measures, nodes, ordered, reports, validate
-from quillgrove.plans.register import built_in
+from quillgrove import made
+from quillgrove.plans.register import ELEMENTS, built_in, register_digest
 from quillgrove.queries import ORACLE, QUERIES
 from quillgrove.sources import readers, writers
 from quillgrove.streaming import ingest
@@ -61,6 +62,24 @@ def test_pins(spark):
     table = node_table(spark, doc(p(t("x"))), doc(p(t("x")), register="a" * 64), doc(p(t("x")), register="b" * 64), doc(p(t("x")), register=REG.digest))
     found = {r["doc_id"]: r["outcome"] for r in validate.pinned(table, REG, {"a" * 64: old}).collect()}
     assert found == {"0": "none", "1": "archived", "2": "unresolvable", "3": "current"}
+    assert REG.digest == register_digest(ELEMENTS.read_bytes()) and len(REG.digest) == 64
+
+
+def test_archived_pins_are_read_twice(spark):
+    later = made.later_register()
+    motto = {"t": "motto", "c": [t("x")]}
+    table = node_table(spark, doc(motto, register=later.digest), doc(motto), doc({"t": "odd"}, register=later.digest))
+    found = Counter((r["doc_id"], r["register"] == REG.digest, r["rule"]) for r in validate.validate_pinned(table, REG, {later.digest: later}).collect())
+    assert found == Counter([("0", True, "R1"), ("1", True, "R1"), ("2", True, "R1"), ("2", False, "R1")])
+
+
+def test_spliced_children_are_numbered_anew(spark):
+    section = lambda kind, *names: {"t": "table-section", "kind": kind, "c": [{"t": "row", "c": [{"t": "cell", "c": [p(t(x))]}]} for x in names]}
+    table = node_table(spark, doc({"t": "table", "c": [section("head", "a"), section("body", "b", "c"), {"t": "caption", "c": [t("d")]}]}))
+    low = degrade.spliced(table)
+    found = sorted((r["ord"], r["t"], r["depth"]) for r in low.where("depth = 2").collect())
+    assert found == [(0, "row", 2), (1, "row", 2), (2, "row", 2), (3, "caption", 2)]
+    assert low.where("t = 'table'").first()["n_children"] == 4 and "place" not in low.columns
 
 
 def test_unreadable_documents_are_rows(spark):
@@ -80,7 +99,7 @@ def test_units_and_views_agree_with_the_tree(spark):
 
 
 def test_merkle_levels_in_spark(spark):
-    for n in (1, 2, 3, 5, 8, 13):
+    for n in (1, 2, 5, 13, 4097):
         leaves = [trees.structural_hash(t(str(i))) for i in range(n)]
         d = spark.createDataFrame([("d", i, bytearray(h)) for i, h in enumerate(leaves)], "d string, i int, h binary")
         assert ordered.merkle(d, "d", "i", "h").first()["root"] == trees.merkle_root(leaves).hex()
@@ -120,7 +139,7 @@ def test_label_sources(spark):
 
 
 def test_served(spark):
-    views = nodes.views(spark.createDataFrame([("a", json.dumps(DOC))], "doc_id string, raw string"), REG)
+    views = nodes.views(spark.createDataFrame([("a", json.dumps(DOC))], "doc_id string, raw string"), REG, columns=("html", "plain", "canonical", "cbor", "markdown", "root"))
     asked = spark.createDataFrame([("a", "text/plain"), ("a", "image/png"), ("b", "*/*")], "doc_id string, accept string")
     assert {(r["doc_id"], r["accept"]): r["status"] for r in writers.served(asked, views).collect()} == {("a", "text/plain"): 200, ("a", "image/png"): 406, ("b", "*/*"): 404}
     assert writers.index(views).count() == 1
