@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,52 @@ def hash_blocks(base: DataFrame, total: int, block_bytes: int) -> DataFrame:
     return base.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(n)).cast("int"))
 
 
+#: Text that a worker holds before it sends it on.
+PACK_BYTES = 24 << 20
+
+
+def packed(blocked: DataFrame) -> DataFrame:
+    """block and `chunk`: the ids and texts of a task's documents of a block, compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def chunks() -> pa.RecordBatch:
+            made = [(b, _pack_rows(*rows)) for b, rows in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([c for _, c in made], pa.binary())], ["block", "chunk"])
+
+        for batch in batches:
+            for b, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                ids, texts = held.setdefault(b, ([], []))
+                ids.append(i)
+                texts.append(t)
+                size += len(t) + ROW_BYTES
+                if size >= PACK_BYTES:
+                    yield chunks()
+                    held, size = {}, 0
+        if held:
+            yield chunks()
+
+    return blocked.select("block", "doc_id", "text").mapInArrow(run, "block int, chunk binary")
+
+
+def _pack_rows(ids: list, texts: list[bytes]) -> bytes:
+    body = b"".join([np.array([LAST_ID if i is None else i for i in ids], "<i8").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), *texts])
+    return len(ids).to_bytes(4, "little") + _pack.compress(body)
+
+
+def unpacked(chunks: list[bytes]) -> tuple[list[int | None], list[bytes]]:
+    """Ids and texts of a block's chunks in order of id and text, the same whenever they are read."""
+    rows: list[tuple[int, bytes]] = []
+    for chunk in chunks:
+        n, body = int.from_bytes(chunk[:4], "little"), _unpack.decompress(chunk[4:])
+        end = 12 * n + np.cumsum(np.frombuffer(body, "<u4", n, 8 * n).astype(np.int64))
+        rows += zip(np.frombuffer(body, "<i8", n).tolist(), [body[a:b] for a, b in zip([12 * n, *end.tolist()], end.tolist(), strict=False)], strict=True)
+    rows.sort()
+    return [None if i == LAST_ID else i for i, _ in rows], [t for _, t in rows]
+
+
 def ordered_blocks(base: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """keyed rows with `k` (the id, a missing one last), `block` and `place`; and the bytes of all.
 

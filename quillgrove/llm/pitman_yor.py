@@ -1,25 +1,27 @@
 """LM scoring with a hierarchical Pitman-Yor model over words.
 
-Restaurants: one for each frequent context word and one parent that they share. A token
-after a frequent word is a customer of that word's restaurant, any other of the
-parent's; the first customer of each table is a customer of the parent too, whose base is
-uniform over the known words and one unknown. Contexts are the words (and the end mark)
-with at least `share` of the training tokens, so there are at most 1 / share of them however
-large the corpus; words, pairs and counts are unbounded and cover all training documents.
-
-1. Every block of documents sends, by range of word hash, its distinct (word, context)
-   pairs with their training counts.
-2. A range sums them and seats its words' customers by blocked Gibbs sampling: in turn the
-   customers of one dish leave a restaurant and sit down again one by one, at a new table
-   with the chance that the parent's current prediction gives. Ranges split dishes by
-   hash, so a restaurant's totals are estimated from the range's part. After `burn` sweeps the
-   discounted counts of `keep` sweeps are averaged. Each block gets back what it can't know itself:
-   values of words and pairs that others have too.
-3. Totals of the restaurants are summed over the ranges, and each block scores its texts with
-   the averaged predictive probabilities.
-
-Customers after the first `EXACT` of a dish are seated in doubling groups by binomial draws. Seeds
-are fixed, so reruns agree.
+Restaurants: one for each word (and the end mark) that stands before a token in training, and one parent
+that they share. A token is a customer in the restaurant of the word before it; the first customer of each table is a
+customer of the parent too, whose base is uniform over the known words and one unknown.
+
+Documents are shuffled to blocks by hash; blocks, ranges of pairs and ranges of words exchange messages:
+
+1. A block sends its distinct (word, word before) pairs with their training counts, by hash of the pair,
+   and its words with theirs, by hash of the word. Ranges add them up; no word gathers its pairs in one task.
+2. Seating starts with one table for each pair. In a round, ranges of words add up the tables of each word
+   as a dish (the parent's customers) and as a restaurant, seat the parent's customers, and tell the
+   ranges of pairs; these take the customers of each dish out and seat them again, given all others.
+   Totals are exact when a round begins, and stay as they are while it lasts. The last round draws
+   `KEEP` seatings, whose tables are averaged.
+3. Ranges tell each block what it asked for, in the order in which it asked, and the block scores its texts with
+   the predictive probabilities of the averaged seating.
+
+Seating a dish is a blocked Gibbs step: the number of tables of `c` customers has the exact conditional
+weights S(c, t) * (strength + discount * tables) * ... * (parent's probability of each new customer) with
+generalised Stirling numbers S, up to `EXACT` customers. What a dish has beyond them joins in doubling groups by
+the expected number of new tables, rounded at random: a step for each would be as long as the largest count.
+Random numbers come from hashes of pair, round and draw, so results don't depend on how rows are dealt.
+Discounts are estimated from all counts (n1 / (n1 + 2 n2), of pairs and of the parent's first customers).
 
 Defined cases: null texts are empty and have the end only; unknown words share one unseen word's
 probability; rows with one id are rows each; without training documents every token
@@ -28,24 +30,20 @@ is unknown; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, pack_array, pack_keys, py_crc_mod, read_table, slim, text_of, unpack_array, unpack_keys
-from .textvec import U, Piece, as_bytes, mix, pieces
+from .common import hash_blocks, keyed, pack_array, pack_keys, packed, py_crc_mod, read_table, total_bytes, unpack_array, unpack_keys, unpacked
+from .textvec import U, Piece, mix, pieces
 
 FOLDS, HELD_FOLD = 7, 2
-SPAN = 64
-SHARE = 1 / 4096
-BURN, KEEP, EXACT = 4, 4, 32
-DISCOUNT, STRENGTH = (0.8, 0.75), (5.0, 1.0)  # of contexts, of the parent
-BLOCK_BYTES, FLUSH, RANGE = 6 << 20, 1_000_000, 2_000_000
+ROUNDS, KEEP, EXACT = 2, 4, 64
+STRENGTH = (5.0, 1.0)  # of contexts, of the parent
+BLOCK_BYTES, RANGE_BYTES, WORD_RANGES = 6 << 20, 24 << 20, 4
 END = U(0x5EED0FE2D0FD0C53)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,314 +58,442 @@ def tokens(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return found, piece.word_start + np.arange(len(piece.word_start))
 
 
-def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(word + (context.astype(U) + U(1)) * U(0xA0761D6478BD642F))
+def pair_keys(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(word + mix(before ^ U(0x2545F4914F6CDD1D)) * U(0xA0761D6478BD642F))
 
 
-def contexts_before(found: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Index of the context of each token; their number for a rare one. A text begins after an end."""
-    if not len(contexts):
-        return np.zeros(len(found), np.uint16)
-    before = np.concatenate([[END], found[:-1]])
-    at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-    return np.where(contexts[at] == before, at, len(contexts)).astype(np.uint16)
+def dealt(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges each hash is in."""
+    return ((keys >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def plan_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[list[int], int]:
-    """Upper ids of the blocks (without the last) and the bytes of all texts.
+def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers in [0, 1) that only the key and the turn decide."""
+    return (mix(keys ^ mix(np.full(1, turn + 1, U) * U(0x9E3779B97F4A7C15))) >> U(11)).astype(np.float64) / float(1 << 53)
 
-    The bounds come from approximate quantiles over all ids; they decide only how the
-    work is dealt, never the result.
-    """
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    total = docs.select(F.coalesce(F.sum(F.octet_length(text_of(text_col)).cast("long")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [], total
-    marks = [i / n for i in range(1, n)]
-    found = docs.select(F.percentile_approx(key, marks, 20 * n).alias("m")).first()["m"] or []
-    return sorted(set(found)), total
 
+# -- seating ---------------------------------------------------------------------------
 
-def block_column(bounds: list[int], id_col: str) :
-    """The index of the block of an id: how many bounds lie below it, by two short scans of constant arrays."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    array = lambda xs: F.lit(xs).cast("array<bigint>") if xs else F.array().cast("array<bigint>")
-    below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
-    whole = below(array(bounds[SPAN - 1 :: SPAN])) * SPAN
-    return whole + below(F.slice(array(bounds), whole + 1, F.lit(SPAN)))
 
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t), rows by c."""
+    s = np.zeros((most + 1, most + 1))
+    s[0, 0] = 1.0
+    for c in range(most):
+        s[c + 1, 1:] = s[c, :-1] + (c - discount * np.arange(1, most + 1)) * s[c, 1:]
+        s[c + 1, c + 2 :] = 0.0
+    with np.errstate(divide="ignore"):
+        return np.log(np.maximum(s, 0.0))
 
-def block_of(ids: list[int | None], bounds: np.ndarray) -> np.ndarray:
-    """The same for a batch in Python."""
-    return np.searchsorted(bounds, np.array([LAST_ID if i is None else i for i in ids], dtype=np.int64), side="left")
 
-
-# -- seating -----------------------------------------------------------------------
-
-
-def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after customers of one dish sit down one by one; customers are given in falling order."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    for j in range(1, EXACT):
-        n = int(np.searchsorted(-customers, -j, side="left"))  # dishes with more than j customers
-        if not n:
-            return tables
-        fresh = new_weight[:n]
-        tables[:n] += rng.random(n) * (fresh + j - discount * tables[:n]) < fresh
+@dataclass
+class Others:
+    """What a dish meets: tables of its restaurant, and the parent's customers and tables of the dish, all without its own."""
+
+    tables: np.ndarray
+    customers: np.ndarray
+    parent_tables: np.ndarray
+
+
+def parent_weight(others: Others, at: np.ndarray, i: np.ndarray, discount: float, total: float, rest: float) -> np.ndarray:
+    """Probability that the parent gives a dish when `i` of its customers here are there already; a dish without others opens a table first."""
+    customers, tables = others.customers[at, None], others.parent_tables[at, None]
+    held = np.where(customers > 0, tables, np.minimum(i, 1.0))
+    return np.maximum(customers + i - discount * held, 0.0) / total + rest
+
+
+def seat(customers: np.ndarray, keys: np.ndarray, turn: int, strength: float, discount: float, others: Others, parent, log_s: np.ndarray) -> np.ndarray:
+    """Tables of each dish, drawn given everything else. parent(at, i): probability of the dish for its i-th new table, for the dishes `at`."""
+    out = np.minimum(customers, 1).astype(np.float64)
+    u = uniform(keys, turn)
+    head = np.minimum(customers, EXACT)
+    order = np.argsort(head, kind="stable")
+    edge = np.searchsorted(head[order], np.arange(2, EXACT + 2))
+    for c, a, b in zip(range(2, EXACT + 1), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for x in range(a, b, 1 << 16):
+            at = order[x : min(b, x + (1 << 16))]
+            i = np.arange(c, dtype=np.float64)[None, :]
+            with np.errstate(divide="ignore"):
+                steps = np.log(strength + discount * (others.tables[at, None] + i)) + np.log(parent(at, i))
+            weight = np.cumsum(steps, axis=1) + log_s[c, 1 : c + 1]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (weight < u[at, None] * weight[:, -1:]).sum(axis=1)
     j = EXACT
-    while n := int(np.searchsorted(-customers, -j, side="left")):
-        some = np.minimum(customers[:n] - j, j).astype(np.int64)
-        chance = new_weight[:n] / (new_weight[:n] + j + some / 2 - discount * tables[:n])
-        tables[:n] += rng.binomial(some, np.clip(chance, 0, 1))
+    many = np.flatnonzero(customers > j)
+    while len(many):
+        some = np.minimum(customers[many] - j, j)
+        fresh = (strength + discount * (others.tables[many] + out[many])) * parent(many, np.full((1, 1), 1.0))[:, 0]
+        expected = some * fresh / (fresh + np.maximum(j + some / 2 - discount * out[many], 1.0))
+        out[many] += np.minimum(np.floor(expected + uniform(keys[many], turn + 1000 * j)), some)
         j *= 2
-    return tables
+        many = many[customers[many] > j]
+    return out
 
 
 @dataclass
-class Seated:
-    """Averages over the kept sweeps: discounted counts of pairs and words, tables of contexts and the parent."""
+class Totals:
+    """Sums over all ranges."""
 
-    pair: np.ndarray
-    word: np.ndarray
-    context_tables: np.ndarray
-    parent_customers: float
-    parent_tables: float
-
-
-def gibbs(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, n_contexts: int, scale: float, seed: int, discount: tuple = DISCOUNT, strength: tuple = STRENGTH, burn: int = BURN, keep: int = KEEP) -> Seated:
-    """Seats the pairs (word, context < n_contexts) and, with context n_contexts, customers of the parent alone.
-
-    `scale` is the number of ranges: totals of restaurants are so many times the range's own.
-    """
-    rng = np.random.default_rng(seed)
-    (d2, d1), (s2, s1) = discount, strength
-    deep = context < n_contexts
-    tables = np.where(deep, np.minimum(count, 1), count).astype(np.float64)
-    many = np.flatnonzero(deep & (count > 1))
-    many = many[np.argsort(-count[many], kind="stable")]
-    word_tables = np.minimum(np.bincount(word, weights=tables, minlength=n_words), 1)
-    out = Seated(np.zeros(len(count)), np.zeros(n_words), np.zeros(n_contexts + 1), 0.0, 0.0)
-    for sweep in range(burn + keep):
-        customers = np.bincount(word, weights=tables, minlength=n_words)
-        n, t, v = customers.sum() * scale, word_tables.sum() * scale, max(1.0, (customers > 0).sum() * scale)
-        parent = (np.maximum(customers - d1 * word_tables, 0) + (s1 + d1 * t) / (v + 1)) / (s1 + max(n, 1))
-        of_context = np.bincount(context[deep], weights=tables[deep], minlength=n_contexts + 1) * scale
-        tables[many] = seat(count[many], (s2 + d2 * of_context[context[many]]) * parent[word[many]], d2, rng)
-        customers = np.bincount(word, weights=tables, minlength=n_words)
-        order = np.argsort(-customers, kind="stable")
-        word_tables[order] = seat(customers[order], np.full(n_words, (s1 + d1 * t) / (v + 1)), d1, rng)
-        if sweep >= burn:
-            out.pair += np.where(deep, count - d2 * tables, 0) / keep
-            out.word += (customers - d1 * word_tables) / keep
-            out.context_tables += np.bincount(context[deep], weights=tables[deep], minlength=n_contexts + 1) / keep
-            out.parent_customers += float(customers.sum()) / keep
-            out.parent_tables += float(word_tables.sum()) / keep
+    n: float  # training tokens
+    v: float  # known words
+    customers: float  # of the parent
+    tables: float  # of the parent
+    discount: float  # of contexts
+    parent_discount: float
+    strength: float = STRENGTH[0]
+    parent_strength: float = STRENGTH[1]
+
+    @classmethod
+    def of(cls, sums: list) -> Totals:
+        n, v, customers, tables, once, twice, pairs_once, pairs_twice = (float(x or 0) for x in sums)
+        rate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+        return cls(n, v, customers, tables, rate(pairs_once, pairs_twice), rate(once, twice))
+
+    def rest(self) -> float:
+        """What the parent keeps for any word, one unknown among them."""
+        return (self.parent_strength + self.parent_discount * self.tables) / (self.parent_strength + self.customers) / (self.v + 1)
+
+    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return np.maximum(customers - self.parent_discount * tables, 0.0) / (self.parent_strength + self.customers) + self.rest()
+
+
+def seat_pairs(customers: np.ndarray, keys: np.ndarray, tables: np.ndarray, restaurant: np.ndarray, dish: np.ndarray, dish_tables: np.ndarray, totals: Totals, turn: int, log_s: np.ndarray) -> np.ndarray:
+    """New tables of pairs, from their present ones, all tables of their restaurants, and the parent's customers and tables of their words."""
+    left = dish - tables
+    others = Others(restaurant - tables, left, np.minimum(dish_tables, left))
+    total, rest = totals.parent_strength + totals.customers, totals.rest()
+    return seat(customers, keys, turn, totals.strength, totals.discount, others, lambda at, i: parent_weight(others, at, i, totals.parent_discount, total, rest), log_s)
+
+
+def seat_parent(customers: np.ndarray, keys: np.ndarray, tables: np.ndarray, totals: Totals, turn: int, log_s: np.ndarray) -> np.ndarray:
+    others = Others(np.full(len(keys), totals.tables) - tables, customers, tables)
+    return seat(np.rint(customers).astype(np.int64), keys, turn, totals.parent_strength, totals.parent_discount, others, lambda at, i: np.full((len(at), i.shape[1]), 1.0 / (totals.v + 1)), log_s)
+
+
+# -- messages ----------------------------------------------------------------------------
+
+SUMS = 8
+MESSAGE = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("kind", pa.string()), ("data", pa.binary()), ("sums", pa.list_(pa.float64()))])
+DDL = "dest int, src int, kind string, data binary, sums array<double>"
+
+
+def dump(*arrays: np.ndarray) -> bytes:
+    """Sorted keys first, then any arrays."""
+    parts = [pack_keys(arrays[0]), *(np.dtype(a.dtype).str.encode() + b":" + pack_array(a) for a in arrays[1:])]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def load(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        part = blob[at + 4 : at + 4 + n]
+        kind, _, body = part.partition(b":") if out else (b"", b"", part)
+        out.append(unpack_array(body, kind.decode()) if out else unpack_keys(part))
+        at += 4 + n
     return out
 
 
-# -- what blocks send, and get back ---------------------------------------------------
-
-SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("per", pa.binary()), ("context", pa.binary()), ("count", pa.binary())])
-BACK = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("value", pa.binary()), ("count", pa.binary())])
-
-
-def rows(table: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*table, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the keys, the first foremost, and where each distinct combination begins."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
-
-
-def send(block: np.ndarray, word: np.ndarray, context: np.ndarray, train: np.ndarray, n_ranges: int) -> Iterator[pa.RecordBatch]:
-    order, first = grouped(block, word, context)
-    counts = np.add.reduceat(train[order].astype(np.int64), first)
-    held = np.add.reduceat((~train[order]).astype(np.int64), first) > 0
-    block, word, context = block[order][first], word[order][first], context[order][first]
-    dealt = (word >> U(32)) * U(n_ranges) >> U(32)
-    edge = np.append(np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(dealt.astype(np.int64), prepend=-1) != 0)), len(block))
-    out = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        w, per = np.unique(word[a:b], return_counts=True)
-        coded = (counts[a:b] * 2 + held[a:b]).astype("<u4")
-        out.append((int(dealt[a]), int(block[a]), pack_keys(w), pack_array(per.astype("<u2")), pack_array(context[a:b].astype("<u2")), pack_array(coded)))
-        if len(out) >= 500:
-            yield rows(out, SENT)
-            out = []
-    if out:
-        yield rows(out, SENT)
-
-
-def answer(table: pa.Table, n_contexts: int, n_ranges: int) -> pa.Table:
-    """Of one range of words: the seated customers, and what each block has to know of them."""
-    seed = int(table["range"][0].as_py()) if table.num_rows else 0
-    order = np.argsort(table["block"].to_numpy(), kind="stable")
-    of, word, context, coded = [], [], [], []
-    sent = {c: table[c].to_pylist() for c in SENT.names[1:]}
-    for i in order:
-        per = unpack_array(sent["per"][i], "<u2").astype(np.int64)
-        word.append(np.repeat(unpack_keys(sent["words"][i]), per))
-        context.append(unpack_array(sent["context"][i], "<u2"))
-        coded.append(unpack_array(sent["count"][i], "<u4"))
-        of.append(np.full(len(context[-1]), sent["block"][i], np.int32))
-    del sent, table
-    of, word, context, coded = (np.concatenate(x) for x in (of, word, context, coded))
-    order, first = grouped(word, context)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    count = np.bincount(which, weights=coded >> 1, minlength=len(first)).astype(np.int64)
-    keys, own = np.unique(word[order][first], return_inverse=True)
-    pair_context = context[order][first].astype(np.int64)
-    total = np.bincount(own, weights=count, minlength=len(keys)).astype(np.int64)
-    seated = gibbs(own, pair_context, count, len(keys), n_contexts, float(n_ranges), seed)
-    out = []
-    # Totals of the range: customers and tables of each context; of the parent, with tokens and known words.
-    customers = np.bincount(pair_context[pair_context < n_contexts], weights=count[pair_context < n_contexts], minlength=n_contexts + 1)
-    customers[n_contexts], seated.context_tables[n_contexts] = seated.parent_customers, seated.parent_tables
-    out.append((-1, "totals", b"", np.append(customers, total.sum()).astype("<f8").tobytes(), np.append(seated.context_tables, (total > 0).sum()).astype("<f8").tobytes()))
-    pair_hash = pair_keys(keys[own], pair_context)
-    held = (coded & 1).astype(bool)
-    edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        p, h = which[a:b], held[a:b]
-        known = p[((count[p] > 1) | ((count[p] > 0) & h)) & (pair_context[p] < n_contexts)]
-        known = np.unique(known)
-        known = known[np.argsort(pair_hash[known], kind="stable")]
-        if len(known):
-            out.append((int(of[a]), "pair", pack_keys(pair_hash[known]), pack_array(seated.pair[known].astype("<f4")), b""))
-        w = np.unique(own[p])
-        asked = np.zeros(len(keys), bool)
-        asked[own[p][h]] = True
-        w = w[(total[w] > 1) | ((total[w] > 0) & asked[w])]
-        if len(w):
-            out.append((int(of[a]), "word", pack_keys(keys[w]), pack_array(seated.word[w].astype("<f4")), pack_array(total[w].astype("<u8"))))
-    return pa.Table.from_batches([rows(out, BACK)])
-
-
-def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which wanted keys there are, and where."""
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
-
-
-def frequent(base: DataFrame, share: float) -> np.ndarray:
-    """Hashes of the words with at least a share of the training tokens, ascending.
-
-    A worker names words with half that share among every `FLUSH` tokens it reads.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def named() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= n.sum() * share / 2
-            return pa.RecordBatch.from_arrays([pa.array(np.append(word[some].view(np.int64), 0)), pa.array(np.append(np.zeros(some.sum(), bool), True)), pa.array(np.append(n[some], n.sum()))], ["word", "whole", "n"])
-
-        for batch in batches:
-            train = [t for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if py_crc_mod(i, FOLDS) != HELD_FOLD]
-            for piece in pieces(train):
-                held.append(tokens(piece)[0])
-                if sum(map(len, held)) >= FLUSH:
-                    yield named()
-                    held.clear()
-        if held:
-            yield named()
-
-    found = base.mapInArrow(run, "word long, whole boolean, n long").groupBy("whole", "word").agg(F.sum("n").alias("n"))
-    found = cut(found)
-    n = found.where("whole").agg(F.sum("n")).first()[0] or 0
-    # At most 1 / share words.
-    top = found.where(~F.col("whole") & (F.col("n") >= n * share)).select("word").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(U)) if top else NO_KEYS
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    base = slim(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bounds, total = plan_blocks(docs, id_col, text_col, block_bytes)
-    edges, n_ranges = np.array(bounds, np.int64), max(1, -(-total // (12 * RANGE)))
-    contexts = frequent(base, share)
-    k = len(contexts)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            block, train = block_of(ids, edges).astype(np.int32), np.array([py_crc_mod(i, FOLDS) != HELD_FOLD for i in ids], bool)
-            for piece in pieces(as_bytes(batch.column(1))):
-                found, begin = tokens(piece)
-                row = piece.first + np.repeat(np.arange(len(piece.texts)), np.diff(begin))
-                held.append((block[row], found, contexts_before(found, contexts), train[row]))
-                n += len(found)
-                if n >= FLUSH:
-                    yield from send(*[np.concatenate(x) for x in zip(*held, strict=True)], n_ranges)
-                    held, n = [], 0
-        if n:
-            yield from send(*[np.concatenate(x) for x in zip(*held, strict=True)], n_ranges)
-
-    sent = base.mapInArrow(collect, "range int, block int, words binary, per binary, context binary, count binary")
-    back = cut(sent.groupBy("range").applyInArrow(lambda t: answer(t, k, n_ranges), "block int, kind string, keys binary, value binary, count binary"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 2)), pa.array(np.frombuffer(c, "<f8")), pa.array(np.frombuffer(t, "<f8"))], ["i", "c", "t"])
-
-    sums = back.where("block = -1").select("value", "count").mapInArrow(spread, "i long, c double, t double").groupBy("i").agg(F.sum("c"), F.sum("t")).collect()
-    c, t = np.zeros(k + 2), np.zeros(k + 2)
-    for i, x, y in sums:
-        c[i], t[i] = x, y
-    n, v = c[k + 1], t[k + 1]
-    (d2, d1), (s2, s1) = DISCOUNT, STRENGTH
-    rest = (s1 + d1 * t[k]) / (s1 + c[k]) / (v + 1)  # what the parent keeps for any word
-    back_off = np.append((s2 + d2 * t[:k]) / (s2 + c[:k]), 1.0)
-    weight = np.append(1 / (s2 + c[:k]), 0.0)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["doc_id"].to_pylist()
-        known: dict[str, list[np.ndarray]] = {}
-        for kind in ("word", "pair"):
-            part = right.filter(pa.compute.equal(right["kind"], kind))
-            keys = np.concatenate([unpack_keys(b) for b in part["keys"].to_pylist()] or [NO_KEYS])
-            values = np.concatenate([unpack_array(b, "<f4") for b in part["value"].to_pylist()] or [np.zeros(0, "<f4")])
-            counts = np.concatenate([unpack_array(b, "<u8") for b in part["count"].to_pylist()] or [NO_KEYS]) if kind == "word" else NO_KEYS
-            order = np.argsort(keys, kind="stable")
-            known[kind] = [keys[order], values[order], counts[order] if kind == "word" else counts]
-        out: list[tuple] = []
-        for piece in pieces(as_bytes(left["text"])):
-            found, begin = tokens(piece)
-            own = ids[piece.first : piece.first + len(piece.texts)]
-            held = np.array([py_crc_mod(i, FOLDS) == HELD_FOLD for i in own], bool)
-            train = np.repeat(~held, np.diff(begin))
-            # What a block wasn't told occurs once: in the training text at hand, or nowhere.
-            there, at = _look(known["word"][0], found)
-            word = np.where(there, known["word"][1][at] if len(known["word"][1]) else 0, np.where(train, 1 - d1, 0))
-            count = np.where(there, known["word"][2][at].astype(np.float64) if len(known["word"][2]) else 0, train)
-            context = contexts_before(found, contexts)
-            there, at = _look(known["pair"][0], pair_keys(found, context))
-            pair = np.where(there, known["pair"][1][at] if len(known["pair"][1]) else 0, np.where(train, 1 - d2, 0))
-            p = pair * weight[context] + back_off[context] * (word / (s1 + c[k]) + rest)
-            base_p = np.log10((count + 1) / (n + 1 * (v + 1)))
-            sums = [np.add.reduceat(x, begin[:-1]) for x in (np.log10(p), base_p, (count > 0).astype(np.int64))]
-            out += [(i, bool(h), int(m), int(kn), int(n), float(b), float(s)) for i, h, m, s, b, kn in zip(own, held, np.diff(begin), *sums, strict=True)]
-        return pa.Table.from_batches([rows(out, schema)])
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+
+
+class Box:
+    """The messages of a task by kind, and those that it sends."""
+
+    def __init__(self, *tables: pa.Table) -> None:
+        self.held: dict[str, list[tuple[int, bytes]]] = {}
+        self.sums: list | None = None
+        for table in tables:
+            for src, kind, data, sums in zip(*[table[c].to_pylist() for c in ("src", "kind", "data", "sums")], strict=True):
+                self.held.setdefault(kind, []).append((src, data))
+                self.sums = sums or self.sums
+        for found in self.held.values():
+            found.sort()
+        self.out: list[tuple] = []
+
+    def get(self, kind: str) -> list[tuple[int, list[np.ndarray]]]:
+        return [(src, load(data)) for src, data in self.held.get(kind, ())]
+
+    def send(self, dest: int, src: int, kind: str, *arrays: np.ndarray) -> None:
+        self.out.append((dest, src, kind, dump(*arrays), None))
+
+    def forward(self, dest: int, *kinds: str) -> None:
+        self.out += [(dest, src, kind, data, None) for kind in kinds for src, data in self.held.get(kind, ())]
 
+    def add(self, **sums: float) -> None:
+        names = ("n", "v", "customers", "tables", "once", "twice", "pairs_once", "pairs_twice")
+        self.out.append((-1, 0, "sums", b"", [float(sums.get(k, 0)) for k in names]))
+
+    def table(self) -> pa.Table:
+        columns = list(zip(*self.out, strict=True)) or [[] for _ in MESSAGE]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MESSAGE, strict=True)], schema=MESSAGE)
+
+
+@dataclass
+class Book:
+    """A block's tokens as indices of its words, and its distinct pairs."""
+
+    ids: list
+    held: np.ndarray  # by text
+    begin: np.ndarray
+    words: np.ndarray  # sorted hashes
+    word: np.ndarray
+    before: np.ndarray
+    train: np.ndarray  # by token
+
+    @classmethod
+    def of(cls, chunks: list[bytes]) -> Book:
+        ids, texts = unpacked(chunks)
+        found, begin, n = [], [], 0
+        for piece in pieces(texts):
+            f, b = tokens(piece)
+            found.append(f)
+            begin.append(b[:-1] + n)
+            n += len(f)
+        held = np.array([py_crc_mod(i, FOLDS) == HELD_FOLD for i in ids], bool)
+        starts = np.append(np.concatenate(begin), n)
+        words, word = np.unique(np.concatenate(found), return_inverse=True)
+        before = np.append(np.searchsorted(words, END), word[:-1])  # a text begins after an end
+        return cls(ids, held, starts, words, word, before, np.repeat(~held, np.diff(starts)))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word and word before of each distinct pair, by word; its training count; and the pair of each token."""
+        code = self.word * len(self.words) + self.before
+        codes, of = np.unique(code, return_inverse=True)
+        word, before = np.divmod(codes, len(self.words))
+        return word, before, np.bincount(of, weights=self.train, minlength=len(codes)).astype(np.int64), of
+
+
+def tell(chunks: list[bytes], block: int, ranges: int, word_ranges: int, box: Box) -> None:
+    """A block's pairs, by range of pairs, and its words, by range of words."""
+    book = Book.of(chunks)
+    word, before, count, _ = book.pairs()
+    to = dealt(pair_keys(book.words[word], book.words[before]), ranges)
+    order = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(edge)).tolist():
+        own = order[edge[r] : edge[r + 1]]
+        used = np.unique(np.concatenate([word[own], before[own]]))
+        box.send(r, block, "cell", book.words[used], small(np.searchsorted(used, word[own])), small(np.searchsorted(used, before[own])), small(count[own]))
+    n = np.bincount(book.word, weights=book.train, minlength=len(book.words)).astype(np.int64)
+    edge = np.searchsorted(dealt(book.words, word_ranges), np.arange(word_ranges + 1))
+    for q in np.flatnonzero(np.diff(edge)).tolist():
+        box.send(ranges + q, block, "ask", book.words[edge[q] : edge[q + 1]], small(n[edge[q] : edge[q + 1]]))
+
+
+def summed(found: list[tuple[int, list[np.ndarray]]], width: int) -> list[np.ndarray]:
+    """Sorted keys of all messages and the sums of their arrays."""
+    if not found:
+        return [NO_KEYS, *[np.zeros(0)] * width]
+    keys, of = np.unique(np.concatenate([x[0] for _, x in found]), return_inverse=True)
+    return [keys, *(np.bincount(of, weights=np.concatenate([x[k + 1] for _, x in found]), minlength=len(keys)) for k in range(width))]
+
+
+def by_range(box: Box, kind: str, keys: np.ndarray, ranges: int, word_ranges: int, src: int, *arrays: np.ndarray) -> None:
+    edge = np.searchsorted(dealt(keys, word_ranges), np.arange(word_ranges + 1))
+    for q in np.flatnonzero(np.diff(edge)).tolist():
+        box.send(ranges + q, src, kind, keys[edge[q] : edge[q + 1]], *(a[edge[q] : edge[q + 1]] for a in arrays))
+
+
+def cells(box: Box) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks and sizes of the cells; hash, word, word before and count of their entries in turn."""
+    found = box.get("cell")
+    word = np.concatenate([NO_KEYS, *(x[0][x[1]] for _, x in found)])
+    before = np.concatenate([NO_KEYS, *(x[0][x[2]] for _, x in found)])
+    count = np.concatenate([np.zeros(0, np.int64), *(x[3].astype(np.int64) for _, x in found)])
+    return [b for b, _ in found], [len(x[1]) for _, x in found], pair_keys(word, before), word, before, count
+
+
+def build(dest: int, box: Box, ranges: int, word_ranges: int) -> None:
+    """Adds up pairs or words; seating begins with one table for each pair."""
+    if dest >= ranges:
+        keys, n = summed(box.get("ask"), 1)
+        box.send(dest, 0, "words", keys[n > 0], small(n[n > 0]))
+        return
+    _, _, h, word, before, count = cells(box)
+    keys, first, of = np.unique(h, return_index=True, return_inverse=True)
+    c = np.bincount(of, weights=count, minlength=len(keys)).astype(np.int64)
+    word, before = word[first], before[first]
+    known = c > 0
+    used, at = np.unique(np.concatenate([word[known], before[known]]), return_inverse=True)
+    half = known.sum()
+    dishes, tables = np.bincount(at[:half], minlength=len(used)), np.bincount(at[half:], minlength=len(used))
+    by_range(box, "first", used, ranges, word_ranges, dest, small(dishes), small(tables))
+    many = np.flatnonzero(c > 1)
+    used, at = np.unique(np.concatenate([word[many], before[many]]), return_inverse=True)
+    box.send(dest, 0, "seats", used, small(at[: len(many)]), small(at[len(many) :]), small(c[many]), np.ones(len(many), "<u1"))
+    by_range(box, "more", used, ranges, word_ranges, dest, np.zeros(len(used), "<u1"), np.zeros(len(used), "<u1"))
+    box.out.append((dest, 0, "pair sums", dump(NO_KEYS, np.array([(c == 1).sum(), (c == 2).sum()], "<f8")), None))
+
+
+def add_up(dest: int, box: Box, ranges: int, turn: int) -> None:
+    """Words: customers and tables of all, the parent seated anew; told to the ranges of pairs. Pairs go on as they are."""
+    if dest < ranges:
+        box.forward(dest, "seats", "mean", "pair sums")
+        for _, (_, x) in box.get("pair sums"):
+            box.add(pairs_once=x[0], pairs_twice=x[1])
+        return
+    (_, state), *_ = box.get("words")
+    keys, n = state[0], state[1].astype(np.float64)
+    if turn == 0:
+        f = summed(box.get("first"), 2)
+        at = np.searchsorted(keys, f[0])
+        dish, tables = np.zeros(len(keys)), np.zeros(len(keys))
+        dish[at], tables[at] = f[1], f[2]
+        parent = np.minimum(dish, 1.0)
+        base, held = (dish, tables), (dish, tables)
+    else:
+        base, parent = (state[2].astype(np.float64), state[3].astype(np.float64)), state[4].astype(np.float64)
+        f = summed(box.get("more"), 2)
+        at = np.searchsorted(keys, f[0])
+        held = (base[0].copy(), base[1].copy())
+        held[0][at] += f[1]
+        held[1][at] += f[2]
+        totals = Totals.of(box.sums)
+        parent = seat_parent(held[0], keys, parent, totals, 5000 + turn, stirling(totals.parent_discount))
+    box.send(dest, 0, "words", keys, small(n), small(base[0]), small(base[1]), small(parent), held[0].astype("<f4"), held[1].astype("<f4"))
+    for src, (asked, *_) in box.get("more"):
+        at = np.searchsorted(keys, asked)
+        box.send(src, dest, "told", asked, small(np.rint(held[1][at])), small(np.rint(held[0][at])), small(parent[at]))
+    box.add(n=n.sum(), v=len(keys), customers=held[0].sum(), tables=parent.sum(), once=(np.rint(held[0]) == 1).sum(), twice=(np.rint(held[0]) == 2).sum())
+
+
+def sweep(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: bool) -> None:
+    """Pairs: every dish with more than one customer is seated anew. Words go on as they are."""
+    if dest >= ranges:
+        box.forward(dest, "words")
+        return
+    (_, (used, word, before, c, tables)), *_ = box.get("seats")
+    totals = Totals.of(box.sums)
+    told = box.get("told")
+    keys = np.concatenate([NO_KEYS, *(x[0] for _, x in told)])
+    order = np.argsort(keys)
+    restaurant, dish, parent = (np.concatenate([np.zeros(0), *(x[k].astype(np.float64) for _, x in told)])[order] for k in (1, 2, 3))
+    h, c, tables = pair_keys(used[word], used[before]), c.astype(np.int64), tables.astype(np.float64)
+    log_s = stirling(totals.discount)
+    drawn = np.zeros(len(c))
+    for k in range(KEEP if last else 1):
+        # The draws of the last round follow each other under the totals of its beginning.
+        now = seat_pairs(c, h, tables, restaurant[before], dish[word], parent[word], totals, 100 * turn + k, log_s)
+        drawn += now
+    mean = drawn / (KEEP if last else 1)
+    fresh = np.bincount(word, weights=mean - 1, minlength=len(used)), np.bincount(before, weights=mean - 1, minlength=len(used))
+    by_range(box, "more", used, ranges, word_ranges, dest, *((x.astype("<f4") for x in fresh) if last else map(small, fresh)))
+    if last:
+        order = np.argsort(h)
+        box.send(dest, 0, "mean", h[order], mean[order].astype("<f4"))
+    else:
+        box.send(dest, 0, "seats", used, small(word), small(before), small(c), small(now))
+    box.forward(dest, "pair sums")
+
+
+def answer(dest: int, box: Box, ranges: int, first_block: int) -> None:
+    """To each block what it asked for, in its order: discounted counts of its pairs; counts, tables and parent's probability of its words."""
+    totals = Totals.of(box.sums)
+    if dest < ranges:
+        blocks, sizes, h, _, _, count = cells(box)
+        keys, of = np.unique(h, return_inverse=True)
+        c = np.bincount(of, weights=count, minlength=len(keys))
+        tables = np.minimum(c, 1.0)
+        for _, (seen, mean) in box.get("mean"):
+            tables[np.searchsorted(keys, seen)] = mean
+        value = (c - totals.discount * tables)[of].astype("<f4")
+        at = 0
+        for b, n in zip(blocks, sizes, strict=True):
+            box.send(first_block + b, dest, "pairs", NO_KEYS, value[at : at + n])
+            at += n
+        return
+    state = [x for _, x in box.get("words")]
+    keys, n, _, _, parent, dish, tables = state[0] if state else [NO_KEYS, *[np.zeros(0)] * 6]
+    p = totals.parent(dish.astype(np.float64), parent.astype(np.float64))
+    for b, (asked, _) in box.get("ask"):
+        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        there = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+        pick = lambda x, other, at=at, there=there: np.where(there, x[at], other) if len(keys) else np.full(len(asked), other)
+        box.send(first_block + b, dest, "words", NO_KEYS, small(pick(n.astype(np.int64), 0)), pick(tables, 0).astype("<f4"), pick(p, totals.rest()).astype("<f4"))
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def finish(chunks: list[bytes], box: Box, ranges: int) -> pa.Table:
+    """Scores of a block's texts."""
+    book, totals = Book.of(chunks), Totals.of(box.sums)
+    word, before, _, of = book.pairs()
+    to = dealt(pair_keys(book.words[word], book.words[before]), ranges)
+    value = np.zeros(len(word))
+    value[np.argsort(to, kind="stable")] = np.concatenate([x[1] for _, x in box.get("pairs")])
+    n, tables, p0 = (np.concatenate([x[k] for _, x in box.get("words")]).astype(np.float64) for k in (1, 2, 3))
+    size = totals.strength + n
+    p = value[of] / size[book.before] + ((totals.strength + totals.discount * tables) / size)[book.before] * p0[book.word]
+    base = np.log10((n + 1) / (totals.n + totals.v + 1))[book.word]
+    sums = [np.add.reduceat(x, book.begin[:-1]) for x in ((n > 0).astype(np.int64)[book.word], base, np.log10(p))]
+    columns = [book.ids, book.held, np.diff(book.begin), sums[0], np.full(len(book.ids), int(totals.n)), *sums[1:]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCORES, strict=True)], schema=SCORES)
+
+
+# -- the operator --------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    base = keyed(docs, id_col, text_col)
+    total = total_bytes(base)
+    ranges = max(1, -(-total // range_bytes))
+    word_ranges = max(1, ranges // WORD_RANGES)
+    first_block = ranges + word_ranges
+    held = packed(hash_blocks(base, total, block_bytes)).select((F.col("block") + first_block).cast("int").alias("dest"), "chunk")
+
+    def hop(fn):
+        """One step of messages: fn(dest, box) for all that came to a task."""
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            box, dest = Box(table), int(key[0].as_py())
+            if dest >= 0:
+                fn(dest, box)
+            return box.table()
+
+        return run
+
+    def with_sums(messages: DataFrame) -> DataFrame:
+        """Messages with the sums over all tasks; each task's part came as a message of its own."""
+        parts = messages.where("dest = -1").agg(F.array(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0.0)) for i in range(SUMS)]).alias("sums"))
+        return messages.where("dest >= 0").select("dest", "src", "kind", "data", parts.scalar().alias("sums"))
+
+    def told(key: tuple, table: pa.Table) -> pa.Table:
+        box = Box()
+        block = int(key[0].as_py()) - first_block
+        tell(table["chunk"].to_pylist(), block, ranges, word_ranges, box)
+        return box.table()
+
+    def answered(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        box = Box(left, right)
+        answer(int(key[0].as_py()), box, ranges, first_block)
+        box.out = [(*r[:4], box.sums) for r in box.out]
+        return box.table()
+
+    def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return finish(left["chunk"].to_pylist(), Box(right), ranges)
+
+    # One plan: the texts and the blocks' messages are each shuffled once and read by all that need them.
+    sent = held.groupBy("dest").applyInArrow(told, DDL)
+    now = sent.groupBy("dest").applyInArrow(hop(lambda d, box: build(d, box, ranges, word_ranges)), DDL)
+    now = with_sums(now.groupBy("dest").applyInArrow(hop(lambda d, box: add_up(d, box, ranges, 0)), DDL))
+    for k in range(rounds):
+        now = now.groupBy("dest").applyInArrow(hop(lambda d, box, k=k: _swept(d, box, ranges, word_ranges, k + 1, k == rounds - 1)), DDL)
+        now = with_sums(now.groupBy("dest").applyInArrow(hop(lambda d, box, k=k: add_up(d, box, ranges, k + 1)), DDL))
+    back = sent.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(answered, DDL)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return base.withColumn("block", block_column(bounds, "doc_id")).groupBy("block").cogroup(back.where("block >= 0").groupBy("block")).applyInArrow(finish, ddl)
+    return held.groupBy("dest").cogroup(back.groupBy("dest")).applyInArrow(scored, ddl)
+
+
+def _swept(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: bool) -> None:
+    sweep(dest, box, ranges, word_ranges, turn, last)
+    # The next step seats the parent with these totals.
+    box.out = [(*r[:4], box.sums) for r in box.out]
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,6 +389,54 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty, quality_classifier.train(empty, y.limit(0))).count() == 0
 
 
+def seated(tok, held, rounds=pitman_yor.ROUNDS):
+    """The model on a plain dictionary of pairs: the same draws, one dish at a time. Returns log10 probabilities by text."""
+    P, end = pitman_yor, None
+    pairs, n = Counter(), Counter()
+    for x, h in zip(tok, held, strict=True):
+        if not h:
+            n.update(x)
+            pairs.update(zip(x, [end, *x[:-1]], strict=True))
+    hashed = {w: int(P.END) if w is end else int(P.tokens(next(iter(P.pieces([w]))))[0][0]) for w in {*n, *(w for x in tok for w in x)}}
+    key = {p: P.pair_keys(*(np.array([hashed[w]], np.uint64) for w in p)) for p in pairs}
+    def rate(counts):
+        c = Counter(counts)
+        return min(0.95, max(0.05, c[1] / (c[1] + 2 * c[2]))) if c[1] else 0.5
+
+    d2 = rate(pairs.values())
+    tables = dict.fromkeys(pairs, 1.0)
+
+    def added(t):
+        dish, rest = Counter(), Counter()
+        for (w, u), x in t.items():
+            dish[w] += x
+            rest[u] += x
+        return dish, rest
+
+    dish, rest = added(tables)
+    parent = dict.fromkeys(n, 1.0)
+    for k in range(rounds):
+        t = P.Totals(sum(n.values()), len(n), sum(dish.values()), sum(parent.values()), d2, rate(round(x) for x in dish.values()))
+        new = {}
+        for p, c in pairs.items():
+            one = lambda x: np.array([float(x)])
+            turns = range(P.KEEP) if k == rounds - 1 else range(1)
+            new[p] = float(np.mean([P.seat_pairs(np.array([c]), key[p], one(tables[p]), one(rest[p[1]]), one(dish[p[0]]), one(parent[p[0]]), t, 100 * (k + 1) + j, P.stirling(d2))[0] for j in turns])) if c > 1 else 1.0
+        tables = new
+        dish, rest = added(tables)
+        parent = {w: float(P.seat_parent(np.array([dish[w]]), np.array([hashed[w]], np.uint64), np.array([parent[w]]), t, 5001 + k, P.stirling(t.parent_discount))[0]) for w in n}
+    t = P.Totals(sum(n.values()), len(n), sum(dish.values()), sum(parent.values()), d2, rate(round(x) for x in dish.values()))
+
+    def p(w, u):
+        p0 = max(dish[w] - t.parent_discount * parent.get(w, 0), 0) / (1 + t.customers) + t.rest()
+        return max(pairs[w, u] - d2 * tables.get((w, u), 0), 0) / (5 + n[u]) + (5 + d2 * rest[u]) / (5 + n[u]) * p0
+
+    known = [*n]
+    for u in known[:20]:  # probabilities add up, an unknown word among them
+        assert math.isclose(sum(p(w, u) for w in known) + p(b"unknown word", u), 1, rel_tol=1e-6)
+    return [sum(math.log10(p(w, u)) for w, u in zip(x, [end, *x[:-1]], strict=True)) for x in tok]
+
+
 def test_pitman_yor(docs, empty):
     rows = corpus()
     tok = [[bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words_of(t)] + [None] for _, t, *_ in rows]
@@ -396,34 +444,32 @@ def test_pitman_yor(docs, empty):
     c = Counter(w for x, h in zip(tok, held, strict=True) if not h for w in x)
     n, v = sum(c.values()), len(c)
     want = Counter((r[0], h, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 6)) for r, x, h in zip(rows, tok, held, strict=True))
-    results = []
-    for size in (1 << 20, 3000):
-        got = pitman_yor.score(docs, block_bytes=size).collect()
+    plain = sorted((len(x), s) for x, s in zip(tok, seated(tok, held), strict=True))
+    for how in ({}, {"block_bytes": 3000, "range_bytes": 2000}):  # one range, and dozens of blocks and ranges
+        got = pitman_yor.score(docs, **how).collect()
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-        results.append(sorted((r["n_tokens"], round(r["score"], 3)) for r in got))
-    assert results[0] == results[1]
+        assert all(m == r[0] and math.isclose(s, r[1], rel_tol=1e-4) for (m, s), r in zip(sorted((r["n_tokens"], r["score"]) for r in got), plain, strict=True))
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert pitman_yor.score(empty).count() == 0
 
 
-def test_seated_probabilities_add_up():
-    rng = np.random.default_rng(1)
-    word, context = rng.integers(0, 30, 400), rng.integers(0, 4, 400)
-    pairs = Counter(zip(word.tolist(), context.tolist(), strict=True))
-    w, c, n = (np.array(x) for x in zip(*[(a, b, k) for (a, b), k in pairs.items()], strict=True))
-    s = pitman_yor.gibbs(w, c, n, 30, 3, 1.0, 0)
-    (d2, d1), (s2, s1) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
-    known = len(set(w.tolist()))
-    parent = s.word / (s1 + s.parent_customers) + (s1 + d1 * s.parent_tables) / (s1 + s.parent_customers) / (known + 1)
-    unseen = (s1 + d1 * s.parent_tables) / (s1 + s.parent_customers) / (known + 1)
-    assert math.isclose(parent[sorted(set(w.tolist()))].sum() + unseen, 1, rel_tol=1e-9)
-    for u in range(3):
-        total = n[c == u].sum()
-        own = s.pair[c == u].sum() / (s2 + total) + (s2 + d2 * s.context_tables[u]) / (s2 + total)
-        assert math.isclose(own, 1, rel_tol=1e-9)
-    tables = pitman_yor.seat(np.array([5000, 40, 3, 1, 0]), np.full(5, 0.5), 0.75, rng)
-    assert tables[3] == 1 and tables[4] == 0 and (tables[:3] >= 1).all() and (tables <= [5000, 40, 3, 1, 0]).all()
+def test_seating_has_the_exact_conditional_distribution():
+    c, d, strength, customers, tables = 6, 0.6, 2.0, 3.0, 4.0
+    s = pitman_yor.stirling(d)
+    parts = lambda n, k: [[n]] if k == 1 else [[a, *x] for a in range(1, n) for x in parts(n - a, k - 1)]
+    rising = lambda n: math.prod(j - d for j in range(1, n))
+    for t in range(1, c + 1):  # S(c, t): weights of all seatings at t tables
+        ways = sum(math.factorial(c) / math.prod(map(math.factorial, p)) * math.prod(map(rising, p)) for p in parts(c, t)) / math.factorial(t)
+        assert math.isclose(math.exp(s[c, t]), ways, rel_tol=1e-9)
+    n = 40_000
+    others = pitman_yor.Others(np.full(n, tables), np.full(n, customers), np.ones(n))
+    chance = lambda i: (customers + i - 0.5) / 50 + 0.01
+    got = pitman_yor.seat(np.full(n, c), np.arange(n).astype(np.uint64), 3, strength, d, others, lambda at, i: pitman_yor.parent_weight(others, at, i, 0.5, 50.0, 0.01), s)
+    weight = np.array([math.exp(s[c, t]) * math.prod((strength + d * (tables + i)) * chance(i) for i in range(t)) for t in range(1, c + 1)])
+    assert np.abs(np.bincount(got.astype(int), minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.01
+    big = pitman_yor.seat(np.array([5000, 65, 1, 0]), np.arange(4).astype(np.uint64), 1, strength, d, pitman_yor.Others(*[np.full(4, 9.0)] * 3), lambda at, i: np.full((len(at), i.shape[1]), 0.05), s)
+    assert big[2] == 1 and big[3] == 0 and big[0] > big[1] >= 1 and big[0] <= 5000
 
 
 def test_byte_bpe(docs, empty):
