@@ -169,24 +169,24 @@ _pack = zstandard.ZstdCompressor(level=1)
 _unpack = zstandard.ZstdDecompressor()
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """A sorted array of 64-bit keys: low bytes as they are, the slowly rising high part as steps."""
-    high = keys >> np.uint64(8 * LOW_BYTES)
+def pack_keys(keys: np.ndarray, low_bytes: int = LOW_BYTES) -> bytes:
+    """A sorted array of 64-bit keys: low bytes as they are, the slowly rising high part (four bytes at most) as steps."""
+    high = keys >> np.uint64(8 * low_bytes)
     steps = np.diff(high, prepend=np.uint64(0)).astype("<u4")
-    low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+    low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :low_bytes]
     packed = _pack.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
     return len(keys).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + low.tobytes()
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
+def unpack_keys(blob: bytes, low_bytes: int = LOW_BYTES) -> np.ndarray:
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     if not n:
         return np.zeros(0, np.uint64)
     planes = np.frombuffer(_unpack.decompress(blob[8 : 8 + size]), np.uint8).reshape(4, n)
     steps = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.uint64)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :LOW_BYTES] = np.frombuffer(blob[8 + size :], np.uint8).reshape(n, LOW_BYTES)
-    return out.view("<u8").ravel().astype(np.uint64) | np.cumsum(steps, dtype=np.uint64) << np.uint64(8 * LOW_BYTES)
+    out[:, :low_bytes] = np.frombuffer(blob[8 + size :], np.uint8).reshape(n, low_bytes)
+    return out.view("<u8").ravel().astype(np.uint64) | np.cumsum(steps, dtype=np.uint64) << np.uint64(8 * low_bytes)
 
 
 def pack_array(values: np.ndarray) -> bytes:

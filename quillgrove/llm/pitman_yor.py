@@ -43,8 +43,10 @@ from .textvec import U, Piece, mix, pieces
 FOLDS, HELD_FOLD = 7, 2
 ROUNDS, KEEP, EXACT = 2, 4, 64
 STRENGTH = (5.0, 1.0)  # of contexts, of the parent
-BLOCK_BYTES, RANGE_BYTES, WORD_RANGES = 6 << 20, 24 << 20, 4
-END = U(0x5EED0FE2D0FD0C53)
+BLOCK_BYTES, RANGE_BYTES, WORD_RANGES = 12 << 20, 32 << 20, 4
+#: Words are told apart by hashes of 56 bits, pairs by 64.
+WORD_BITS, LOW, PAIR_LOW = 56, 4, 5
+END = U(0x5EED0FE2D0FD0C)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NO_KEYS = np.zeros(0, U)
@@ -54,7 +56,7 @@ def tokens(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of each row and its end; where each row begins, then their number."""
     piece.data = LOWER[piece.data]
     piece.words()
-    found = np.insert(piece.word_hashes(), piece.word_start[1:], END)
+    found = np.insert(piece.word_hashes() >> U(64 - WORD_BITS), piece.word_start[1:], END)
     return found, piece.word_start + np.arange(len(piece.word_start))
 
 
@@ -62,9 +64,9 @@ def pair_keys(word: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(word + mix(before ^ U(0x2545F4914F6CDD1D)) * U(0xA0761D6478BD642F))
 
 
-def dealt(keys: np.ndarray, n: int) -> np.ndarray:
+def dealt(keys: np.ndarray, n: int, bits: int = WORD_BITS) -> np.ndarray:
     """Which of n equal ranges each hash is in."""
-    return ((keys >> U(32)) * U(n) >> U(32)).astype(np.int64)
+    return ((keys >> U(bits - 32)) * U(n) >> U(32)).astype(np.int64)
 
 
 def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
@@ -165,8 +167,9 @@ def seat_pairs(customers: np.ndarray, keys: np.ndarray, tables: np.ndarray, rest
     return seat(customers, keys, turn, totals.strength, totals.discount, others, lambda at, i: parent_weight(others, at, i, totals.parent_discount, total, rest), log_s)
 
 
-def seat_parent(customers: np.ndarray, keys: np.ndarray, tables: np.ndarray, totals: Totals, turn: int, log_s: np.ndarray) -> np.ndarray:
-    others = Others(np.full(len(keys), totals.tables) - tables, customers, tables)
+def seat_parent(customers: np.ndarray, keys: np.ndarray, totals: Totals, turn: int, log_s: np.ndarray) -> np.ndarray:
+    """Tables of the parent for each word, from its customers; a word's own tables are one at least, and so many are left out."""
+    others = Others(np.full(len(keys), max(totals.tables - 1.0, 0.0)), customers, np.ones(len(keys)))
     return seat(np.rint(customers).astype(np.int64), keys, turn, totals.parent_strength, totals.parent_discount, others, lambda at, i: np.full((len(at), i.shape[1]), 1.0 / (totals.v + 1)), log_s)
 
 
@@ -177,9 +180,9 @@ MESSAGE = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("kind", pa.stri
 DDL = "dest int, src int, kind string, data binary, sums array<double>"
 
 
-def dump(*arrays: np.ndarray) -> bytes:
+def dump(*arrays: np.ndarray, low: int = LOW) -> bytes:
     """Sorted keys first, then any arrays."""
-    parts = [pack_keys(arrays[0]), *(np.dtype(a.dtype).str.encode() + b":" + pack_array(a) for a in arrays[1:])]
+    parts = [bytes([low]) + pack_keys(arrays[0], low), *(np.dtype(a.dtype).str.encode() + b":" + pack_array(a) for a in arrays[1:])]
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
@@ -189,7 +192,7 @@ def load(blob: bytes) -> list[np.ndarray]:
         n = int.from_bytes(blob[at : at + 4], "little")
         part = blob[at + 4 : at + 4 + n]
         kind, _, body = part.partition(b":") if out else (b"", b"", part)
-        out.append(unpack_array(body, kind.decode()) if out else unpack_keys(part))
+        out.append(unpack_array(body, kind.decode()) if out else unpack_keys(part[1:], part[0]))
         at += 4 + n
     return out
 
@@ -217,8 +220,8 @@ class Box:
     def get(self, kind: str) -> list[tuple[int, list[np.ndarray]]]:
         return [(src, load(data)) for src, data in self.held.get(kind, ())]
 
-    def send(self, dest: int, src: int, kind: str, *arrays: np.ndarray) -> None:
-        self.out.append((dest, src, kind, dump(*arrays), None))
+    def send(self, dest: int, src: int, kind: str, *arrays: np.ndarray, low: int = LOW) -> None:
+        self.out.append((dest, src, kind, dump(*arrays, low=low), None))
 
     def forward(self, dest: int, *kinds: str) -> None:
         self.out += [(dest, src, kind, data, None) for kind in kinds for src, data in self.held.get(kind, ())]
@@ -271,13 +274,15 @@ def tell(chunks: list[bytes], block: int, ranges: int, word_ranges: int, box: Bo
     """A block's pairs, by range of pairs, and its words, by range of words."""
     book = Book.of(chunks)
     word, before, count, _ = book.pairs()
-    to = dealt(pair_keys(book.words[word], book.words[before]), ranges)
+    to = dealt(pair_keys(book.words[word], book.words[before]), ranges, 64)
     order = np.argsort(to, kind="stable")
     edge = np.searchsorted(to[order], np.arange(ranges + 1))
     for r in np.flatnonzero(np.diff(edge)).tolist():
         own = order[edge[r] : edge[r + 1]]
         used = np.unique(np.concatenate([word[own], before[own]]))
-        box.send(r, block, "cell", book.words[used], small(np.searchsorted(used, word[own])), small(np.searchsorted(used, before[own])), small(count[own]))
+        # Entries are in order of their word: how many each word has says which word they are of.
+        per = np.bincount(np.searchsorted(used, word[own]), minlength=len(used))
+        box.send(r, block, "cell", book.words[used], small(per), small(np.searchsorted(used, before[own])), small(count[own]))
     n = np.bincount(book.word, weights=book.train, minlength=len(book.words)).astype(np.int64)
     edge = np.searchsorted(dealt(book.words, word_ranges), np.arange(word_ranges + 1))
     for q in np.flatnonzero(np.diff(edge)).tolist():
@@ -301,10 +306,10 @@ def by_range(box: Box, kind: str, keys: np.ndarray, ranges: int, word_ranges: in
 def cells(box: Box) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Blocks and sizes of the cells; hash, word, word before and count of their entries in turn."""
     found = box.get("cell")
-    word = np.concatenate([NO_KEYS, *(x[0][x[1]] for _, x in found)])
+    word = np.concatenate([NO_KEYS, *(np.repeat(x[0], x[1]) for _, x in found)])
     before = np.concatenate([NO_KEYS, *(x[0][x[2]] for _, x in found)])
     count = np.concatenate([np.zeros(0, np.int64), *(x[3].astype(np.int64) for _, x in found)])
-    return [b for b, _ in found], [len(x[1]) for _, x in found], pair_keys(word, before), word, before, count
+    return [b for b, _ in found], [len(x[2]) for _, x in found], pair_keys(word, before), word, before, count
 
 
 def build(dest: int, box: Box, ranges: int, word_ranges: int) -> None:
@@ -325,46 +330,41 @@ def build(dest: int, box: Box, ranges: int, word_ranges: int) -> None:
     many = np.flatnonzero(c > 1)
     used, at = np.unique(np.concatenate([word[many], before[many]]), return_inverse=True)
     box.send(dest, 0, "seats", used, small(at[: len(many)]), small(at[len(many) :]), small(c[many]), np.ones(len(many), "<u1"))
-    by_range(box, "more", used, ranges, word_ranges, dest, np.zeros(len(used), "<u1"), np.zeros(len(used), "<u1"))
+    by_range(box, "asked", used, ranges, word_ranges, dest)
     box.out.append((dest, 0, "pair sums", dump(NO_KEYS, np.array([(c == 1).sum(), (c == 2).sum()], "<f8")), None))
 
 
-def add_up(dest: int, box: Box, ranges: int, turn: int) -> None:
-    """Words: customers and tables of all, the parent seated anew; told to the ranges of pairs. Pairs go on as they are."""
+def add_up(dest: int, box: Box, ranges: int, turn: int, last: bool) -> None:
+    """Words: customers and tables of all; after a round the parent is seated anew. Told to the ranges of pairs, or kept at the end."""
     if dest < ranges:
-        box.forward(dest, "seats", "mean", "pair sums")
+        box.forward(dest, "mean")
         for _, (_, x) in box.get("pair sums"):
             box.add(pairs_once=x[0], pairs_twice=x[1])
         return
-    (_, state), *_ = box.get("words")
-    keys, n = state[0], state[1].astype(np.float64)
-    if turn == 0:
-        f = summed(box.get("first"), 2)
-        at = np.searchsorted(keys, f[0])
-        dish, tables = np.zeros(len(keys)), np.zeros(len(keys))
-        dish[at], tables[at] = f[1], f[2]
-        parent = np.minimum(dish, 1.0)
-        base, held = (dish, tables), (dish, tables)
-    else:
-        base, parent = (state[2].astype(np.float64), state[3].astype(np.float64)), state[4].astype(np.float64)
+    (_, (keys, n)), *_ = box.get("words")
+    f = summed(box.get("first"), 2)
+    dish, tables, parent = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
+    at = np.searchsorted(keys, f[0])
+    dish[at], tables[at] = f[1], f[2]
+    if turn:
         f = summed(box.get("more"), 2)
         at = np.searchsorted(keys, f[0])
-        held = (base[0].copy(), base[1].copy())
-        held[0][at] += f[1]
-        held[1][at] += f[2]
+        dish[at] += f[1]
+        tables[at] += f[2]
         totals = Totals.of(box.sums)
-        parent = seat_parent(held[0], keys, parent, totals, 5000 + turn, stirling(totals.parent_discount))
-    box.send(dest, 0, "words", keys, small(n), small(base[0]), small(base[1]), small(parent), held[0].astype("<f4"), held[1].astype("<f4"))
-    for src, (asked, *_) in box.get("more"):
-        at = np.searchsorted(keys, asked)
-        box.send(src, dest, "told", asked, small(np.rint(held[1][at])), small(np.rint(held[0][at])), small(parent[at]))
-    box.add(n=n.sum(), v=len(keys), customers=held[0].sum(), tables=parent.sum(), once=(np.rint(held[0]) == 1).sum(), twice=(np.rint(held[0]) == 2).sum())
+        parent = seat_parent(dish, keys, totals, 5000 + turn, stirling(totals.parent_discount))
+    if last:
+        box.send(dest, 0, "words", keys, small(n), small(parent), dish.astype("<f4"), tables.astype("<f4"))
+    else:
+        for src, (asked, *_) in box.get("more" if turn else "asked"):
+            at = np.searchsorted(keys, asked)
+            box.send(src, dest, "told", asked, small(tables[at]), small(dish[at]), small(parent[at]))
+    box.add(n=n.sum(), v=len(keys), customers=dish.sum(), tables=parent.sum(), once=(np.rint(dish) == 1).sum(), twice=(np.rint(dish) == 2).sum())
 
 
 def sweep(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: bool) -> None:
-    """Pairs: every dish with more than one customer is seated anew. Words go on as they are."""
+    """Pairs: every dish with more than one customer is seated anew."""
     if dest >= ranges:
-        box.forward(dest, "words")
         return
     (_, (used, word, before, c, tables)), *_ = box.get("seats")
     totals = Totals.of(box.sums)
@@ -384,10 +384,9 @@ def sweep(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: b
     by_range(box, "more", used, ranges, word_ranges, dest, *((x.astype("<f4") for x in fresh) if last else map(small, fresh)))
     if last:
         order = np.argsort(h)
-        box.send(dest, 0, "mean", h[order], mean[order].astype("<f4"))
+        box.send(dest, 0, "mean", h[order], mean[order].astype("<f4"), low=PAIR_LOW)
     else:
         box.send(dest, 0, "seats", used, small(word), small(before), small(c), small(now))
-    box.forward(dest, "pair sums")
 
 
 def answer(dest: int, box: Box, ranges: int, first_block: int) -> None:
@@ -407,7 +406,7 @@ def answer(dest: int, box: Box, ranges: int, first_block: int) -> None:
             at += n
         return
     state = [x for _, x in box.get("words")]
-    keys, n, _, _, parent, dish, tables = state[0] if state else [NO_KEYS, *[np.zeros(0)] * 6]
+    keys, n, parent, dish, tables = state[0] if state else [NO_KEYS, *[np.zeros(0)] * 4]
     p = totals.parent(dish.astype(np.float64), parent.astype(np.float64))
     for b, (asked, _) in box.get("ask"):
         at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
@@ -423,7 +422,7 @@ def finish(chunks: list[bytes], box: Box, ranges: int) -> pa.Table:
     """Scores of a block's texts."""
     book, totals = Book.of(chunks), Totals.of(box.sums)
     word, before, _, of = book.pairs()
-    to = dealt(pair_keys(book.words[word], book.words[before]), ranges)
+    to = dealt(pair_keys(book.words[word], book.words[before]), ranges, 64)
     value = np.zeros(len(word))
     value[np.argsort(to, kind="stable")] = np.concatenate([x[1] for _, x in box.get("pairs")])
     n, tables, p0 = (np.concatenate([x[k] for _, x in box.get("words")]).astype(np.float64) for k in (1, 2, 3))
@@ -478,23 +477,34 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(left["chunk"].to_pylist(), Box(right), ranges)
 
-    # One plan: the texts and the blocks' messages are each shuffled once and read by all that need them.
+    def swept(turn: int, last: bool):
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            box = Box(left, right)
+            sweep(int(key[0].as_py()), box, ranges, word_ranges, turn, last)
+            box.out = [(*r[:4], box.sums) for r in box.out]  # the parent is seated with these totals
+            return box.table()
+
+        return run
+
+    def added(turn: int, last: bool):
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            box = Box(left, right)
+            add_up(int(key[0].as_py()), box, ranges, turn, last)
+            return box.table()
+
+        return run
+
+    # One plan: texts, blocks' messages and each step's messages are shuffled once and read by all that need them.
     sent = held.groupBy("dest").applyInArrow(told, DDL)
-    now = sent.groupBy("dest").applyInArrow(hop(lambda d, box: build(d, box, ranges, word_ranges)), DDL)
-    now = with_sums(now.groupBy("dest").applyInArrow(hop(lambda d, box: add_up(d, box, ranges, 0)), DDL))
-    for k in range(rounds):
-        now = now.groupBy("dest").applyInArrow(hop(lambda d, box, k=k: _swept(d, box, ranges, word_ranges, k + 1, k == rounds - 1)), DDL)
-        now = with_sums(now.groupBy("dest").applyInArrow(hop(lambda d, box, k=k: add_up(d, box, ranges, k + 1)), DDL))
+    seats = built = sent.groupBy("dest").applyInArrow(hop(lambda d, box: build(d, box, ranges, word_ranges)), DDL)
+    now = with_sums(built.groupBy("dest").applyInArrow(hop(lambda d, box: add_up(d, box, ranges, 0, False)), DDL))
+    for k in range(1, rounds + 1):
+        seats = seats.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(swept(k, k == rounds), DDL)
+        now = with_sums(built.groupBy("dest").cogroup(seats.groupBy("dest")).applyInArrow(added(k, k == rounds), DDL))
     back = sent.groupBy("dest").cogroup(now.groupBy("dest")).applyInArrow(answered, DDL)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return held.groupBy("dest").cogroup(back.groupBy("dest")).applyInArrow(scored, ddl)
 
 
-def _swept(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: bool) -> None:
-    sweep(dest, box, ranges, word_ranges, turn, last)
-    # The next step seats the parent with these totals.
-    box.out = [(*r[:4], box.sums) for r in box.out]
-
-
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))

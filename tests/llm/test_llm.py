@@ -424,7 +424,7 @@ def seated(tok, held, rounds=pitman_yor.ROUNDS):
             new[p] = float(np.mean([P.seat_pairs(np.array([c]), key[p], one(tables[p]), one(rest[p[1]]), one(dish[p[0]]), one(parent[p[0]]), t, 100 * (k + 1) + j, P.stirling(d2))[0] for j in turns])) if c > 1 else 1.0
         tables = new
         dish, rest = added(tables)
-        parent = {w: float(P.seat_parent(np.array([dish[w]]), np.array([hashed[w]], np.uint64), np.array([parent[w]]), t, 5001 + k, P.stirling(t.parent_discount))[0]) for w in n}
+        parent = {w: float(P.seat_parent(np.array([dish[w]]), np.array([hashed[w]], np.uint64), t, 5001 + k, P.stirling(t.parent_discount))[0]) for w in n}
     t = P.Totals(sum(n.values()), len(n), sum(dish.values()), sum(parent.values()), d2, rate(round(x) for x in dish.values()))
 
     def p(w, u):
