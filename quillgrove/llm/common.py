@@ -120,7 +120,7 @@ def packed(blocked: DataFrame) -> DataFrame:
 
 def _pack_rows(ids: list, texts: list[bytes]) -> bytes:
     body = b"".join([np.array([LAST_ID if i is None else i for i in ids], "<i8").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), *texts])
-    return len(ids).to_bytes(4, "little") + _pack.compress(body)
+    return len(ids).to_bytes(4, "little") + _pack_text.compress(body)
 
 
 def unpacked(chunks: list[bytes]) -> tuple[list[int | None], list[bytes]]:
@@ -166,6 +166,7 @@ def ordered_blocks(base: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
 
 LOW_BYTES = 5
 _pack = zstandard.ZstdCompressor(level=1)
+_pack_text = zstandard.ZstdCompressor(level=3)
 _unpack = zstandard.ZstdDecompressor()
 
 

@@ -43,7 +43,7 @@ from .textvec import U, Piece, mix, pieces
 FOLDS, HELD_FOLD = 7, 2
 ROUNDS, KEEP, EXACT = 2, 4, 64
 STRENGTH = (5.0, 1.0)  # of contexts, of the parent
-BLOCK_BYTES, RANGE_BYTES, WORD_RANGES = 12 << 20, 32 << 20, 4
+BLOCK_BYTES, RANGE_BYTES, WORD_RANGES = 10 << 20, 32 << 20, 4
 #: Words are told apart by hashes of 56 bits, pairs by 64.
 WORD_BITS, LOW, PAIR_LOW = 56, 4, 5
 END = U(0x5EED0FE2D0FD0C)
@@ -259,13 +259,15 @@ class Book:
         held = np.array([py_crc_mod(i, FOLDS) == HELD_FOLD for i in ids], bool)
         starts = np.append(np.concatenate(begin), n)
         words, word = np.unique(np.concatenate(found), return_inverse=True)
-        before = np.append(np.searchsorted(words, END), word[:-1])  # a text begins after an end
+        del found
+        word = word.astype(np.int32)
+        before = np.append(np.searchsorted(words, END), word[:-1]).astype(np.int32)  # a text begins after an end
         return cls(ids, held, starts, words, word, before, np.repeat(~held, np.diff(starts)))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word and word before of each distinct pair, by word; its training count; and the pair of each token."""
-        code = self.word * len(self.words) + self.before
-        codes, of = np.unique(code, return_inverse=True)
+        codes, of = np.unique(self.word.astype(np.int64) * len(self.words) + self.before, return_inverse=True)
+        of = of.astype(np.int32)
         word, before = np.divmod(codes, len(self.words))
         return word, before, np.bincount(of, weights=self.train, minlength=len(codes)).astype(np.int64), of
 
@@ -326,11 +328,11 @@ def build(dest: int, box: Box, ranges: int, word_ranges: int) -> None:
     used, at = np.unique(np.concatenate([word[known], before[known]]), return_inverse=True)
     half = known.sum()
     dishes, tables = np.bincount(at[:half], minlength=len(used)), np.bincount(at[half:], minlength=len(used))
-    by_range(box, "first", used, ranges, word_ranges, dest, small(dishes), small(tables))
     many = np.flatnonzero(c > 1)
-    used, at = np.unique(np.concatenate([word[many], before[many]]), return_inverse=True)
+    seen, at = np.unique(np.concatenate([word[many], before[many]]), return_inverse=True)
+    by_range(box, "first", used, ranges, word_ranges, dest, small(dishes), small(tables), np.isin(used, seen, assume_unique=True).astype("<u1"))
+    used = seen
     box.send(dest, 0, "seats", used, small(at[: len(many)]), small(at[len(many) :]), small(c[many]), np.ones(len(many), "<u1"))
-    by_range(box, "asked", used, ranges, word_ranges, dest)
     box.out.append((dest, 0, "pair sums", dump(NO_KEYS, np.array([(c == 1).sum(), (c == 2).sum()], "<f8")), None))
 
 
@@ -342,12 +344,15 @@ def add_up(dest: int, box: Box, ranges: int, turn: int, last: bool) -> None:
             box.add(pairs_once=x[0], pairs_twice=x[1])
         return
     (_, (keys, n)), *_ = box.get("words")
-    f = summed(box.get("first"), 2)
+    first = box.get("first")
+    # What a range of pairs hears of later are the words that it marked, in their order; they aren't named again.
+    marked = {src: x[0][x[3] > 0] for src, x in first}
+    f = summed(first, 2)
     dish, tables, parent = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
     at = np.searchsorted(keys, f[0])
     dish[at], tables[at] = f[1], f[2]
     if turn:
-        f = summed(box.get("more"), 2)
+        f = summed([(src, [marked[src], *x[1:]]) for src, x in box.get("more")], 2)
         at = np.searchsorted(keys, f[0])
         dish[at] += f[1]
         tables[at] += f[2]
@@ -356,9 +361,9 @@ def add_up(dest: int, box: Box, ranges: int, turn: int, last: bool) -> None:
     if last:
         box.send(dest, 0, "words", keys, small(n), small(parent), dish.astype("<f4"), tables.astype("<f4"))
     else:
-        for src, (asked, *_) in box.get("more" if turn else "asked"):
+        for src, asked in marked.items():
             at = np.searchsorted(keys, asked)
-            box.send(src, dest, "told", asked, small(tables[at]), small(dish[at]), small(parent[at]))
+            box.send(src, dest, "told", NO_KEYS, small(tables[at]), small(dish[at]), small(parent[at]))
     box.add(n=n.sum(), v=len(keys), customers=dish.sum(), tables=parent.sum(), once=(np.rint(dish) == 1).sum(), twice=(np.rint(dish) == 2).sum())
 
 
@@ -368,10 +373,8 @@ def sweep(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: b
         return
     (_, (used, word, before, c, tables)), *_ = box.get("seats")
     totals = Totals.of(box.sums)
-    told = box.get("told")
-    keys = np.concatenate([NO_KEYS, *(x[0] for _, x in told)])
-    order = np.argsort(keys)
-    restaurant, dish, parent = (np.concatenate([np.zeros(0), *(x[k].astype(np.float64) for _, x in told)])[order] for k in (1, 2, 3))
+    # Ranges of words follow each other in the order of the words.
+    restaurant, dish, parent = (np.concatenate([np.zeros(0), *(x[k].astype(np.float64) for _, x in box.get("told"))]) for k in (1, 2, 3))
     h, c, tables = pair_keys(used[word], used[before]), c.astype(np.int64), tables.astype(np.float64)
     log_s = stirling(totals.discount)
     drawn = np.zeros(len(c))
@@ -381,7 +384,10 @@ def sweep(dest: int, box: Box, ranges: int, word_ranges: int, turn: int, last: b
         drawn += now
     mean = drawn / (KEEP if last else 1)
     fresh = np.bincount(word, weights=mean - 1, minlength=len(used)), np.bincount(before, weights=mean - 1, minlength=len(used))
-    by_range(box, "more", used, ranges, word_ranges, dest, *((x.astype("<f4") for x in fresh) if last else map(small, fresh)))
+    edge = np.searchsorted(dealt(used, word_ranges), np.arange(word_ranges + 1))
+    fresh = [x.astype("<f4") if last else small(x) for x in fresh]
+    for q in np.flatnonzero(np.diff(edge)).tolist():
+        box.send(ranges + q, dest, "more", NO_KEYS, *(x[edge[q] : edge[q + 1]] for x in fresh))
     if last:
         order = np.argsort(h)
         box.send(dest, 0, "mean", h[order], mean[order].astype("<f4"), low=PAIR_LOW)

@@ -517,6 +517,8 @@ def test_pipeline_against_the_operators(spark, docs):
     kept = {r["doc_id"] for r in quality_rules.judge(rows).where("kept").collect()}
     a = cp.quality(spark, rows, "")
     assert {r["doc_id"] for r in a.collect()} == kept
+    odd = rows.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars", "1 as kept_id", "2 as `key`", "3 as copies")
+    assert cp.quality(spark, odd, "").count() == len(kept) and cp.mix_sources(spark, odd, "").columns == list(cp.COLUMNS)  # rows without ids are judged one by one
     b = cp.line_dedup(spark, a, "")
     assert b.columns == list(cp.COLUMNS) and b.count() == a.count() and b.where("n_chars <> length(text)").count() == 0
     c = cp.near_dedup(spark, b, "").persist()
