@@ -113,7 +113,8 @@ def kept(docs: DataFrame, *, key_col: str, text_col: str = "text", sample: int =
     known = cut(prefixes(docs, frequent(docs, sample)))
     # Equal sets are counted before their shuffle, so that many copies are never one task's group.
     entries = cut(known.groupBy("e").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("first").alias("first")))
-    posted = cut(entries.select("e", "n", F.posexplode("first").alias("i", "h")))
+    # Made from the entries each time it is read: written out, its rows would take several times the texts' shuffles.
+    posted = entries.select("e", "n", F.posexplode("first").alias("i", "h"))
     # The shingles that several entries lead with; by far the most have one entry. Small sides are cut, so that a crowded shingle can be split.
     shared = cut(posted.groupBy("h").agg(F.min("e").alias("least"), F.count("*").alias("m")).where("m > 1").select("h", "least"))
     met = cut(posted.join(shared, "h"))
