@@ -566,3 +566,21 @@ def test_near_dedup_keeps_rows_without_or_with_repeated_ids(spark):
     rows = [(None, say("a"), "en", "a", 0), (None, say("b"), "en", "a", 0), (7, say("c"), "en", "a", 0), (7, say("d"), "en", "a", 0), (7, say("d"), "en", "a", 0), (9, say("a"), "en", "a", 0), (None, None, "en", "a", 0), (8, "", "en", "a", 0)]
     got = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, say("b")), (7, say("c")), (7, say("d")), (8, ""), (9, say("a"))]
+
+
+def test_near_copies_leave_other_columns_and_lose_nothing_to_a_full_sieve(spark, monkeypatch):
+    from quillgrove.llm import near_copies
+
+    say = lambda c, k=40: " ".join(f"{c}{j}" for j in range(k))
+    texts = [say(c) + end for c in "abcdefgh" for end in ("", " z", " y x")] + ["", "  ", None, "A b", "a B"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").selectExpr("id", "text", "1 as at", "2 as of", "3 as taken", "4 as `row`", "5 as `a.b`")
+    want = [*range(0, 24, 3), 24, 27]
+    for bits in (near_copies.SIEVE_BITS, 64):
+        monkeypatch.setattr(near_copies, "SIEVE_BITS", bits)
+        got = near_copies.thinned(rows, key_col="id")
+        assert got.columns == rows.columns and sorted(r["id"] for r in got.collect()) == want
+        assert sorted(r["key"] for r in near_copies.kept(rows, key_col="id").collect()) == want
+    assert near_copies.thinned(rows.limit(0), key_col="id").count() == 0
+    s = np.unique(near_copies.mix(np.arange(999, dtype=np.uint64)))
+    plain = sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in s) * 2 > len(s))
+    assert near_copies.bits_of(s) % (1 << 64) == plain and near_copies.bits_of(s[:0]) == 0
