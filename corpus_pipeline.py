@@ -40,9 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies (five-word shingles, similarity of 0.8 or more): that with the smallest id."""
-    rows = _keyed(docs)
-    kept = near_copies.kept(rows, key_col="key")
-    return _documents(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]))
+    return _documents(near_copies.thinned(_keyed(docs), key_col="key"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
