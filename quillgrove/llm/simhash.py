@@ -172,12 +172,13 @@ def link(entries: DataFrame, *, max_bits: int = MAX_BITS, run_rows: int = RUN_RO
         crowded = wide.groupBy("field", "bucket").count().where(F.col("count") > bucket_limit).select("field", "bucket").collect()
     usual, ddl = wide, "a long, b long"
     if crowded:
+        deals = max(1024, -(-n // run_rows))  # sixteen times so many runs, whatever the number of crowded buckets
         hot = F.broadcast(entries.sparkSession.createDataFrame(crowded, "field int, bucket long"))
         usual = wide.join(hot, ["field", "bucket"], "left_anti")
         inner = F.explode(F.array(*[F.struct(F.lit(k).alias("sub"), F.col("rest").alias("rest"), F.shiftrightunsigned(F.col("rest"), 36 - 12 * k).bitwiseAND(F.lit(4095)).alias("v")) for k in range(4)]))
         again = wide.join(hot, ["field", "bucket"]).withColumn("rest", _without("fp", F.col("field"))).select("id", "fp", "field", "bucket", inner.alias("s"))
         dealt = again.select("id", "fp", (F.col("field") * 4 + F.col("s.sub") + 16).cast("long").alias("field"), (F.col("bucket") * 4096 + F.col("s.v")).alias("bucket"))
-        dealt = dealt.withColumn("run", F.struct("field", (F.col("bucket") % 1024).alias("of")))
+        dealt = dealt.withColumn("run", F.struct("field", F.pmod(F.xxhash64("bucket"), F.lit(deals)).alias("of")))
     ran = usual.select("id", "fp", F.col("field").cast("long").alias("field"), "bucket").withColumn("run", F.struct("field", F.floor(F.col("bucket") * runs / (1 << FIELD_BITS)).alias("of")))
     if crowded:
         ran = ran.unionAll(dealt)
