@@ -159,3 +159,17 @@ def is_nfc(s: Column) -> Column:
         return v.map(lambda x: x is None or unicodedata.is_normalized("NFC", x))
 
     return F.when(s.rlike(r"[^\x00-\x7F]"), normal(s)).otherwise(F.lit(True))
+
+
+def nfc_each(texts: Column) -> Column:
+    """An array of texts in NFC; in Python, as the JVM's functions have no normal forms."""
+
+    @F.pandas_udf("array<string>")
+    def normal(v: pd.Series) -> pd.Series:
+        return v.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+    return normal(texts)
+
+
+def stripped_right(s: Column) -> Column:
+    return F.regexp_replace(s, BLANK[1:-2] + r"+\z", "")
