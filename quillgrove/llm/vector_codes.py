@@ -2,11 +2,12 @@
 
 The nearest entry is found through lower bounds by segment means. A part is cut in blocks; with S the
 sums of blocks and r the norm of what the blocks' means leave over,
-    distance^2 >= sum over blocks of (S_x - S_c)^2 / length + (r_x - r_c)^2,
+    distance^2 >= sum over blocks of (S_x - S_c)^2 / length + (r_x - r_c)^2
+                = |x|^2 + |c|^2 - 2 (sum of S_x S_c / length + r_x r_c),
 as means and residuals are orthogonal. One block first, then two, four and so on: an entry whose bound is above
-an exact distance already known is out, so the survivors, which alone get exact integer
-distances, hold every nearest entry. Bounds are reduced by more than their rounding; block sums and norms
-are integers before the root is taken, so nothing cancels.
+an exact distance already known (that of the entry with the least bound) is out, so the survivors, which alone get
+exact integer distances, hold every nearest entry. Bounds are reduced by more than their rounding; what is left
+over is an integer before the root is taken, so it doesn't cancel.
 
 Codebooks are learned over all vectors in rounds: a partition sends integer sums for each entry, which
 meet in a groupBy; at most parts x entries rows come to the driver, and every task gets the codebooks.
@@ -34,58 +35,63 @@ from .vectors import floor_mean, integers, vectors
 DIMS, PARTS, ENTRIES, ROUNDS, SCALE = 64, 16, 64, 2, 256
 #: Rows that bounds are taken of at once.
 STRETCH = 4096
-#: Share of the squared norms and distances by which bounds are reduced; rounding is below 1e-14 of them.
+#: Share of the squared norms by which bounds are reduced; rounding is below 1e-14 of them.
 SLACK = 1e-12
 #: A label with a larger share of the rows is hot: there are fewer than this many.
 HOT_SHARE = 4096
 
 
 class Segments:
-    """Block sums and residual norms of vectors, for 1, 2, 4, ... blocks."""
+    """Vectors, their squared norms, and for 1, 2, 4, ... blocks their coordinates: block means (times the root of the length) and the norm of what is left."""
 
     def __init__(self, points: np.ndarray) -> None:
         width = points.shape[1]
         self.points, self.levels = points, []
+        self.square = (points * points).sum(axis=1).astype(np.float64)
         blocks = 1
         while blocks < width or width == blocks == 1:
             edges = [width * b // blocks for b in range(blocks + 1)]
-            sums = np.stack([points[:, a:b].sum(axis=1) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
             lengths = np.diff(edges)
+            sums = np.stack([points[:, a:b].sum(axis=1) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
             squares = np.stack([(points[:, a:b] * points[:, a:b]).sum(axis=1) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
-            left = ((lengths * squares - sums * sums) / lengths).sum(axis=1)
-            self.levels.append((sums, lengths, np.sqrt(left), left))
+            left = np.sqrt(((lengths * squares - sums * sums) / lengths).sum(axis=1))
+            self.levels.append(np.concatenate([sums / np.sqrt(lengths), left[:, None]], axis=1))
             blocks *= 2
 
 
-def _bound(level: int, some: Segments, rows: np.ndarray, entries: Segments, at: np.ndarray) -> np.ndarray:
-    """Lower bounds of squared distances between rows and entries (index arrays that go together)."""
-    sums, lengths, norm, left = some.levels[level]
-    means, _, norms, lefts = entries.levels[level]
-    apart = (np.square((sums[rows] - means[at]).astype(np.float64)) / lengths).sum(axis=-1)
-    return apart + np.square(norm[rows] - norms[at]) - SLACK * (apart + left[rows] + lefts[at])
+def _bounds(level: int, some: Segments, entries: Segments) -> np.ndarray:
+    """Lower bounds of the squared distances of all rows to all entries: |x|^2 + |c|^2 less twice the product of the coordinates."""
+    products = some.levels[level] @ entries.levels[level].T
+    products *= -2
+    products += some.square[:, None] * (1 - SLACK)
+    products += entries.square * (1 - SLACK)
+    return products
 
 
 def _exact(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    return np.square(points - entries).sum(axis=-1)
+    """Squared distances of rows that go together, a component at a time."""
+    out = np.zeros(len(points), np.int64)
+    for j in range(points.shape[1]):
+        difference = points[:, j] - entries[:, j]
+        out += difference * difference
+    return out
 
 
 def nearest(points: np.ndarray, entries: Segments) -> tuple[np.ndarray, np.ndarray, int]:
     """Of each point the nearest entry (ties to the lower index), its squared distance, and how many distances were taken exactly."""
     n, table = len(points), entries.points
-    some = Segments(points)
-    every, all_entries = np.arange(n)[:, None], np.arange(len(table))[None, :]
-    bounds = _bound(0, some, every, entries, all_entries)
-    known = _exact(points, table[bounds.argmin(axis=1)])
-    rows, at = np.nonzero(bounds <= known[:, None])
-    for level in range(1, len(some.levels)):
-        close = _bound(level, some, rows, entries, at) <= known[rows]
-        rows, at = rows[close], at[close]
+    some, known, survive = Segments(points), np.full(n, np.iinfo(np.int64).max), True
+    for level in range(len(some.levels)):
+        bounds = _bounds(level, some, entries)
+        known = np.minimum(known, _exact(points, table[bounds.argmin(axis=1)]))  # the most promising entry
+        survive = survive & (bounds <= known[:, None])
+    rows, at = np.nonzero(survive)
     distance = _exact(points[rows], table[at])
     first = np.searchsorted(rows, np.arange(n))  # rows ascend and none is without a survivor
     least = np.minimum.reduceat(distance, first)
     hit = np.flatnonzero(distance == least[rows])
     _, lowest = np.unique(rows[hit], return_index=True)
-    return at[hit[lowest]], least, n + len(rows)
+    return at[hit[lowest]], least, n * len(some.levels) + len(rows)
 
 
 def coded(points: np.ndarray, books: list[Segments]) -> tuple[np.ndarray, np.ndarray]:
