@@ -6,6 +6,8 @@ A diagnostic is (doc_id, pos, rule, place, detail). Below an unknown element and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,33 +105,45 @@ def validate(nodes: DataFrame, reg: Register) -> DataFrame:
     One pass reports what a node alone decides; ids, references and children each take a
     window or a join by document. The register is tens of rows and is broadcast.
     """
-    dims = dimensions(nodes.sparkSession, reg)
-    specs = dims["fields"].groupBy("t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
-    elements = dims["elements"].join(specs, "t", "left").select(F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
-    known = nodes.join(F.broadcast(elements), F.col("t") == F.col("et"), "left")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return validate_by(nodes.withColumn("register", F.lit(reg.digest)), [reg]).drop("register")
+
+
+def validate_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
+    """Diagnostics of documents by the register that their rows name in `register` (a digest); a document may be there once for each of several.
+
+    Registers are data: their elements are joined by digest and name, tens of rows a version, so any number of versions takes the plan of one.
+    """
+    spark = nodes.sparkSession
+    every = [dimensions(spark, r) for r in registers]
+    elements_of, fields_of = (reduce(DataFrame.unionAll, [d[k] for d in every]) for k in ("elements", "fields"))
+    doc = ["register", "doc_id"]
+    specs = fields_of.groupBy("register", "t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
+    elements = elements_of.join(specs, ["register", "t"], "left").select(F.col("register").alias("er"), F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
+    known = nodes.join(F.broadcast(elements), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left").drop("er")
+    before = Window.partitionBy(*doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.max(F.when(F.col("et").isNull(), F.col("last_pos"))).over(before)
     seen = known.withColumn("stop", stop).where("stop is null or stop < pos").where(F.col("depth") <= MAX_DEPTH + 1).drop("stop")
     good = seen.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
     place = F.when(F.col("d.rule") == "R2", "/").otherwise(F.col("place"))
-    own = seen.withColumn("d", F.explode(_own_rules())).select("doc_id", "pos", "d.rule", place.alias("place"), "d.detail")
+    own = seen.withColumn("d", F.explode(_own_rules())).select(*doc, "pos", "d.rule", place.alias("place"), "d.detail")
 
     beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(r"[^\x00-\x7F]") & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
-    wide = good.select("doc_id", "pos", "place", F.explode(F.filter("fields", beyond)).alias("f"))
-    unnormal = wide.where(~C.is_nfc(F.col("f.value"))).select("doc_id", "pos", F.lit("R15").alias("rule"), "place", F.col("f.name").alias("detail"))
+    wide = good.select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f"))
+    unnormal = wide.where(~C.is_nfc(F.col("f.value"))).select(*doc, "pos", F.lit("R15").alias("rule"), "place", F.col("f.name").alias("detail"))
 
-    ids = good.select("doc_id", "pos", "place", field("id", "str").alias("id")).where("id is not null")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("pos"))
-    again = ids.withColumn("nth", nth).where("nth > 1").select("doc_id", "pos", F.lit("R12").alias("rule"), "place", F.col("id").alias("detail"))
+    ids = good.select(*doc, "pos", "place", field("id", "str").alias("id")).where("id is not null")
+    nth = F.row_number().over(Window.partitionBy(*doc, "id").orderBy("pos"))
+    again = ids.withColumn("nth", nth).where("nth > 1").select(*doc, "pos", F.lit("R12").alias("rule"), "place", F.col("id").alias("detail"))
     target = F.coalesce(*[F.when(F.col("t") == t, field(k, "str")) for t, k in REFERRING.items()])
-    asked = nodes.where(F.col("t").isin(*REFERRING)).select("doc_id", "pos", "t", target.alias("id")).where("id is not null")
-    dangling = asked.join(ids.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti").select("doc_id", "pos", F.lit("R11").alias("rule"), F.concat(F.lit("/"), "t").alias("place"), F.col("id").alias("detail"))
+    asked = nodes.where(F.col("t").isin(*REFERRING)).select(*doc, "pos", "t", target.alias("id")).where("id is not null")
+    dangling = asked.join(ids.select(*doc, "id").distinct(), [*doc, "id"], "left_anti").select(*doc, "pos", F.lit("R11").alias("rule"), F.concat(F.lit("/"), "t").alias("place"), F.col("id").alias("detail"))
 
-    parents = good.select("doc_id", F.col("pos").alias("up"), F.col("t").alias("pt"), F.col("place").alias("pp"), F.col("model").alias("pm"), F.col("permitted").alias("allowed"), F.col("n_children").alias("among"))
-    following = F.lead("t").over(Window.partitionBy("doc_id", "up").orderBy("ord"))
-    kids = known.select("doc_id", "pos", F.col("parent_pos").alias("up"), "ord", "t", "cls").join(parents, ["doc_id", "up"]).withColumn("following", following)
-    fits = kids.withColumn("d", F.explode(_child_rules())).select("doc_id", "pos", "d.rule", "d.place", "d.detail")
-    return own.unionAll(unnormal).unionAll(again).unionAll(dangling).unionAll(fits)
+    parents = good.select(*doc, F.col("pos").alias("up"), F.col("t").alias("pt"), F.col("place").alias("pp"), F.col("model").alias("pm"), F.col("permitted").alias("allowed"), F.col("n_children").alias("among"))
+    following = F.lead("t").over(Window.partitionBy(*doc, "up").orderBy("ord"))
+    kids = known.select(*doc, "pos", F.col("parent_pos").alias("up"), "ord", "t", "cls").join(parents, [*doc, "up"]).withColumn("following", following)
+    fits = kids.withColumn("d", F.explode(_child_rules())).select(*doc, "pos", "d.rule", "d.place", "d.detail")
+    found = own.unionAll(unnormal).unionAll(again).unionAll(dangling).unionAll(fits)
+    return found.select("doc_id", "pos", "rule", "place", "detail", "register")
 
 
 def rendered(diags: DataFrame) -> DataFrame:
@@ -155,10 +169,11 @@ def pinned(nodes: DataFrame, current: Register, archive: dict[str, Register]) ->
 
 
 def validate_pinned(nodes: DataFrame, current: Register, archive: dict[str, Register]) -> DataFrame:
-    """Diagnostics with the `register` that they are by: of every document by the current one, and of those with an archived pin by that one too."""
-    found = validate(nodes, current).withColumn("register", F.lit(current.digest))
-    pins = pinned(nodes, current, archive).where("outcome = 'archived'")
-    for digest, reg in archive.items():  # a handful of versions
-        own = nodes.join(pins.where(F.col("pin") == digest).select("doc_id"), "doc_id", "left_semi")
-        found = found.unionAll(validate(own, reg).withColumn("register", F.lit(digest)))
-    return found
+    """Diagnostics with the `register` that they are by: of every document by the current one, and of those with an archived pin by that one too.
+
+    One plan for all versions: a document with an archived pin has its rows twice, under either register.
+    """
+    pins = pinned(nodes, current, archive).where("outcome = 'archived'").select("doc_id", "pin")
+    held = nodes.join(pins, "doc_id", "left")
+    by = F.array_compact(F.array(F.lit(current.digest), F.col("pin")))
+    return validate_by(held.withColumn("register", F.explode(by)).drop("pin"), [current, *[r for d, r in archive.items() if d != current.digest]])

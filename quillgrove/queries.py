@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import surface, trees
-from . import made
+from . import made, whole
 from .operators import degrade, generate, measures, nodes, ordered, reports, validate
 from .operators.kept import kept
 from .plans.register import built_in
@@ -309,5 +309,5 @@ SELECT lang, count(*) AS documents, CAST(floor(sum(strlen(j)) / count(*)) AS BIG
     "events_by_hour": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "fixed_points": "SELECT count(*) AS documents, count(*) AS by_cbor, count(*) AS surface_again, count(*) AS nothing_lost FROM documents",
 }
-QUERIES |= made.QUERIES
-ORACLE |= made.ORACLE
+QUERIES |= made.QUERIES | whole.QUERIES
+ORACLE |= made.ORACLE | whole.ORACLE
