@@ -58,14 +58,20 @@ def inside(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
     return marked.withColumn("__to", F.max(F.when(F.col("__up"), F.col("last_pos"))).over(before)).where("__to >= pos").drop("__up", "__to")
 
 
-#: Leaves that one expression joins, and the steps that take 4096 ** STEPS of them to a root.
-STRETCH_BITS, STEPS = 12, 3
+#: Levels that one expression joins: 4096 leaves.
+STRETCH_BITS = 12
 
 
-def _joined(hashes: Column, domain: bytes) -> Column:
-    """Root of an array of up to 2 ** STRETCH_BITS digests: pairs meet, the odd last one goes up as it is."""
+def heights(sizes: DataFrame) -> int:
+    """Levels above the leaves of the largest tree, from rows with `n` leaves each; one number comes to the driver."""
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    return max(0, most - 1).bit_length()
+
+
+def _joined(hashes: Column, domain: bytes, levels: int) -> Column:
+    """Root of an array of up to 2 ** levels digests: pairs meet, the odd last one goes up as it is."""
     head, out = F.lit(domain + b"\0"), hashes
-    for _ in range(STRETCH_BITS):
+    for _ in range(levels):
         half = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 2).cast("int")), lambda i: F.when(F.get(x, 2 * i + 1).isNull(), F.get(x, 2 * i)).otherwise(F.unhex(F.sha2(F.concat(head, F.get(x, 2 * i), F.get(x, 2 * i + 1)), 256))))
         out = F.get(F.transform(F.array(out), lambda x: F.when(F.size(x) > 1, half(x)).otherwise(x)), F.lit(0))
     return F.get(out, F.lit(0))
@@ -74,16 +80,24 @@ def _joined(hashes: Column, domain: bytes) -> Column:
 def merkle(leaves: DataFrame, by: str, order: str, digest: str, domain: str = "merkle") -> DataFrame:
     """Root of each tree from its leaves, whose `order` is an integer that no two share.
 
-    Leaves are counted in ranges of the order, so that their places need no window over a whole tree; then
-    each aligned stretch of 4096 becomes one digest, three times. No task sees more than a range of a tree.
+    Trees of up to 4096 leaves, if there are no others, take one group each. Else leaves are counted in ranges of the order, so that their places
+    need no window over a whole tree; then each aligned stretch of 4096 becomes one digest, as often as the largest tree
+    needs. No task sees more than a range of a tree.
     """
-    part = F.floor(F.col(order) / (1 << STRETCH_BITS)).alias("part")
-    held = leaves.select(F.col(by).alias("tree"), F.col(order).cast("long").alias("o"), part, F.col(digest).alias("h"))
+    held = leaves.select(F.col(by).alias("tree"), F.floor(F.col(order) / (1 << STRETCH_BITS)).alias("part"), F.col(order).cast("long").alias("o"), F.col(digest).alias("h"))
     counts = held.groupBy("tree", "part").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("tree", "part").orderBy("o")) - 1
-    at = held.withColumn("nth", nth).join(counts.select("tree", "part", ahead.alias("ahead")), ["tree", "part"]).select("tree", (F.col("ahead") + F.col("nth")).alias("i"), "h")
-    for _ in range(STEPS):
-        at = at.groupBy("tree", F.shiftright("i", STRETCH_BITS).alias("j")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
-        at = at.select("tree", F.col("j").alias("i"), _joined(F.transform("x", lambda x: x["h"]), domain.encode()).alias("h"))
-    return at.select(F.col("tree").alias(by), F.lower(F.hex("h")).alias("root"))
+    height = heights(counts.groupBy("tree").agg(F.sum("n").alias("n")))
+    if height <= STRETCH_BITS:
+        at = held.select("tree", F.lit(0).alias("j"), F.col("o").alias("i"), "h")
+    else:
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nth = F.row_number().over(Window.partitionBy("tree", "part").orderBy("o")) - 1
+        at = held.withColumn("nth", nth).join(counts.select("tree", "part", ahead.alias("ahead")), ["tree", "part"]).select("tree", (F.col("ahead") + F.col("nth")).alias("i"), "h")
+        at = at.select("tree", F.shiftright("i", STRETCH_BITS).alias("j"), "i", "h")
+    while True:
+        at = at.groupBy("tree", "j").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
+        at = at.select("tree", F.col("j").alias("i"), _joined(F.transform("x", lambda x: x["h"]), domain.encode(), min(height, STRETCH_BITS)).alias("h"))
+        height -= STRETCH_BITS
+        if height <= 0:
+            return at.select(F.col("tree").alias(by), F.lower(F.hex("h")).alias("root"))
+        at = at.select("tree", F.shiftright("i", STRETCH_BITS).alias("j"), "i", "h")

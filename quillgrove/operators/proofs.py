@@ -1,7 +1,7 @@
 """Merkle levels as a table, and proofs of any set of leaves.
 
 The levels are stored once: 4096 leaves make twelve levels in one group, so a tree of a million leaves takes two shuffles
-and no task sees more than an aligned stretch. A proof of several leaves is a table operation on them: the
+and no task sees more than an aligned stretch; the largest tree's size says how many levels are made. A proof of several leaves is a table operation on them: the
 places of a level that can be computed from the leaves, their mates that can't, and an equijoin with the stored
 digests; a mate that several leaves share is sent once. Checking a proof is one expression.
 """
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import STRETCH_BITS, STEPS
+from .ordered import STRETCH_BITS, heights
 
 LEVEL = "array<binary>"
 
@@ -44,13 +44,15 @@ def _above(level: Column, domain: str) -> Column:
 def levels(leaves: DataFrame, domain: str = "merkle") -> DataFrame:
     """tree, n (leaves), level, i, h of every level from the leaves (0) to the root, from rows (tree, i, h)."""
     sizes = leaves.groupBy("tree").agg(F.count("*").alias("n"))
+    height = heights(sizes)
     at, made = leaves.select("tree", "i", "h"), [leaves.select("tree", F.lit(0).alias("level"), "i", "h")]
-    for step in range(STEPS):
+    for step in range(-(-height // STRETCH_BITS)):
+        bits = min(STRETCH_BITS, height - step * STRETCH_BITS)
         stretch = at.groupBy("tree", F.shiftright("i", STRETCH_BITS).alias("j")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
         stretch = stretch.select("tree", "j", F.transform("x", lambda x: x["h"]).alias("l0"))
-        for k in range(STRETCH_BITS):
+        for k in range(bits):
             stretch = stretch.withColumn(f"l{k + 1}", _above(F.col(f"l{k}"), domain))
-        every = [F.transform(F.col(f"l{k}"), lambda h, i: F.struct(F.lit(step * STRETCH_BITS + k).alias("level"), (F.shiftleft("j", STRETCH_BITS - k) + i).alias("i"), h.alias("h"))) for k in range(1, STRETCH_BITS + 1)]
+        every = [F.transform(F.col(f"l{k}"), lambda h, i: F.struct(F.lit(step * STRETCH_BITS + k).alias("level"), (F.shiftleft("j", STRETCH_BITS - k) + i).alias("i"), h.alias("h"))) for k in range(1, bits + 1)]
         rows = stretch.select("tree", F.inline(F.flatten(F.array(*every))))
         made.append(rows)
         at = rows.where(F.col("level") == (step + 1) * STRETCH_BITS).select("tree", "i", "h")
