@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 
 from .trees import Node, fields_of, fold, kind_of, pruned, safe_iri, text, walk
 
-POWER_BASE = re.compile(r"([A-Za-z0-9)\]]+)$")
 LINK = "{http://www.w3.org/1999/xlink}href"
 
 
@@ -48,6 +47,11 @@ def spaced(groups: list[list[Node]]) -> list[Node]:
     return out
 
 
+def said(el: ET.Element, d: "Dialect") -> str:
+    """What an element shows that is in an attribute."""
+    return next((clean(el.get(k)) for k in d.said.get(tag(el), ()) if clean(el.get(k))), "")
+
+
 @dataclass(frozen=True)
 class Dialect:
     """Tags by what they become."""
@@ -61,19 +65,24 @@ class Dialect:
     ident: tuple[str, ...] = ("id",)
     citing: frozenset = frozenset({"bibr"})
     noting: frozenset = frozenset({"fn", "table-fn", "author-notes", "corresp"})
+    base: re.Pattern = re.compile(r"([A-Za-z0-9)\]]+)$")  # what a raised text is an exponent of
+    exponent: re.Pattern = re.compile(r".+", re.S)
+    raised: str = "raised text"  # what is counted where there is no base, and for a lowered text
+    lowered: str = "lowered text"
+    said: dict[str, tuple[str, ...]] = field(default_factory=dict)  # attributes that a reader sees, the first that is there
 
 
 #: Tags of the three genres, and what each becomes.
 STANDARDS = Dialect(
     wrap={"em": "emphasis", "strong": "strong", "tt": "code", "bcp14": "strong", "u": "emphasis", "spanx": "emphasis"},
-    through=frozenset({"cref", "contact", "svg", "postal", "address"}),
+    through=frozenset({"cref", "svg", "postal", "address"}),
     skip=frozenset({"iref", "toc", "name", "seriesInfo", "workgroup", "area", "keyword"}),
-    inline={"xref": "refer", "relref": "refer", "eref": "link", "br": "break_", "sup": "power", "sub": "lower"},
+    inline={"xref": "refer", "relref": "refer", "eref": "link", "br": "break_", "sup": "power", "sub": "lower", "contact": "person"},
     block={
         "t": "paragraph", "ul": "bullets", "ol": "numbers", "dl": "terms", "sourcecode": "code", "artwork": "code", "blockquote": "quote", "aside": "sidebar", "note": "remark", "figure": "figure", "table": "table",
         "section": "section", "references": "references", "reference": "entry", "abstract": "abstract", "artset": "through",
     },
-    title=("name",), ident=("anchor",),
+    title=("name",), ident=("anchor",), base=re.compile(r"([A-Za-z0-9]+)$"), raised="escape sup", lowered="escape sub", said={"contact": ("fullname", "surname")},
 )
 ARTICLES = Dialect(
     wrap={"italic": "emphasis", "bold": "strong", "monospace": "code", "sc": "emphasis", "underline": "emphasis", "code": "code"},
@@ -84,6 +93,7 @@ ARTICLES = Dialect(
         "p": "paragraph", "sec": "section", "app": "section", "ack": "section", "app-group": "through", "fn-group": "through", "list": "listed", "boxed-text": "sidebar", "def-list": "terms", "disp-quote": "quote", "disp-formula": "code", "code": "code", "preformat": "code",
         "fig": "figure", "fig-group": "through", "table-wrap": "wrapped", "graphic": "graphic", "supplementary-material": "supplement", "fn": "remarked", "ref-list": "references", "ref": "entry", "table": "table", "abstract": "abstract", "table-wrap-foot": "through",
     },
+    exponent=re.compile(r"[-+−]?\d+"),
 )
 LAWS = Dialect(
     wrap={"Emphasis": "emphasis", "Term": "emphasis", "Definition": "emphasis", "SmallCaps": "emphasis", "Strong": "strong"},
@@ -103,6 +113,7 @@ class Mapper:
     def __init__(self, dialect: Dialect) -> None:
         self.d, self.found = dialect, Counter()
         self.cited: set[str] = set()
+        self.notes = 0
 
     # -- inline
 
@@ -163,17 +174,22 @@ class Mapper:
     def in_power(self, el: ET.Element, before: list[Node]) -> list[Node]:
         """The base is the last token of the text before, which loses it."""
         exponent = all_text(el)
-        m = POWER_BASE.search(before[-1]["v"]) if before and kind_of(before[-1]) == "text" else None
-        if not m or not exponent or (self.d is ARTICLES and not re.fullmatch(r"[-+−]?\d+", exponent)):
-            self.found["raised text"] += 1
+        m = self.d.base.search(before[-1]["v"]) if before and kind_of(before[-1]) == "text" else None
+        if not m or not self.d.exponent.fullmatch(exponent):
+            self.found[self.d.raised] += 1
             return self.inlines(el)
         before[-1] = text(before[-1]["v"][: m.start()])
         return [{"t": "power", "base": m[1], "exponent": exponent}]
 
     def in_lower(self, el: ET.Element, before: list[Node]) -> list[Node]:
-        self.found["lowered text"] += 1
+        self.found[self.d.lowered] += 1
         return self.inlines(el)
 
+    def in_person(self, el: ET.Element, before: list[Node]) -> list[Node]:
+        """A person's name is an attribute."""
+        name = said(el, self.d)
+        return [text(name)] if name else self.inlines(el)
+
     def in_formula(self, el: ET.Element, before: list[Node]) -> list[Node]:
         self.found["formula as code"] += 1
         return [{"t": "code", "c": [text(all_text(el))]}] if all_text(el) else []
@@ -236,7 +252,9 @@ class Mapper:
         return self.box("admonition", self.blocks(el, depth), kind="note")
 
     def b_remarked(self, el: ET.Element, depth: int) -> list[Node]:
-        return self.box("note", self.blocks(el, depth), **(self.ident(el) or {"id": "x"}))
+        """A note; those without an id are numbered."""
+        self.notes += 1
+        return self.box("note", self.blocks(el, depth), **(self.ident(el) or {"id": f"fn-{self.notes}"}))
 
     def b_quote(self, el: ET.Element, depth: int) -> list[Node]:
         source = clean(el.get("quotedFrom"))
@@ -354,12 +372,12 @@ class Mapper:
 
 
 def unique_ids(doc: Node) -> int:
-    """The first of equal ids stays; the others go. Returns how many went."""
+    """The first of equal ids stays; the others go, those of notes too. Returns how many went."""
     seen: set[str] = set()
     gone = 0
     for n, _ in walk(doc):
         if "id" in n:
-            if n["id"] in seen and n["t"] != "note":
+            if n["id"] in seen:
                 del n["id"]
                 gone += 1
             else:
@@ -401,22 +419,38 @@ TITLES: dict[str, Callable[[ET.Element], str]] = {
 }
 
 
+#: How many authors are named.
+AUTHORS = {"standards": 8, "articles": 10}
+
+
 def _front(root: ET.Element, genre: str, m: Mapper) -> list[Node]:
-    """Authors, date and abstract."""
+    """What stands before the body: number, category, identifiers, date, authors, source, abstract and notes."""
     term = lambda label, kids: [{"t": "term", "c": [text(label)]}, {"t": "definition", "c": [{"t": "paragraph", "c": kids}]}]
+    link = lambda href, shown: [{"t": "link", "href": href, "c": [text(shown)]}]
     pairs: list[Node] = []
     names: list[str] = []
+    source: list[Node] = []
     if genre == "standards":
-        names = [a.get("fullname") or all_text(a) for a in root.findall("./front/author")][:8]
+        number = clean(root.get("number"))
+        if number:
+            pairs += term("Document", [text(f"RFC {number}")])
+            source = term("Source", link(f"https://www.rfc-editor.org/rfc/rfc{number}", f"rfc-editor.org/rfc/rfc{number}"))
+        if root.get("category"):
+            pairs += term("Category", [text(root.get("category"))])
+        names = [clean(a.get("fullname")) or all_text(a) for a in root.findall("./front/author")]
         d = root.find("./front/date")
         if d is not None and d.get("year"):
             month = clean(f"{d.get('month') or ''} {d.get('year')}")
             pairs += term("Date", [text(month)] if d.get("month") else [{"t": "date", "value": d.get("year"), "precision": "year"}])
     elif genre == "articles":
-        names = [clean(f"{x.findtext('./name/given-names') or ''} {x.findtext('./name/surname') or ''}") for x in root.iter() if tag(x) == "contrib"][:10]
-        doi = next((all_text(x) for x in root.iter() if tag(x) == "article-id" and x.get("pub-id-type") == "doi"), "")
-        if doi:
-            pairs += term("DOI", [{"t": "link", "href": f"https://doi.org/{doi}", "c": [text(doi)]}])
+        names = [clean(f"{x.findtext('./name/given-names') or ''} {x.findtext('./name/surname') or ''}") for x in root.iter() if tag(x) == "contrib"]
+        known = {x.get("pub-id-type"): all_text(x) for x in root.iter() if tag(x) == "article-id"}
+        pmc = (known.get("pmc") or known.get("pmcid") or "").removeprefix("PMC")
+        if pmc:
+            pairs += term("Identifier", [text(f"PMC{pmc}")])
+            source = term("Source", link(f"https://europepmc.org/article/PMC/{pmc}", "Europe PMC"))
+        if known.get("doi"):
+            pairs += term("DOI", link(f"https://doi.org/{known['doi']}", known["doi"]))
         journal = next((all_text(x) for x in root.iter() if tag(x) == "journal-title"), "")
         if journal:
             pairs += term("Journal", [text(journal)])
@@ -424,12 +458,13 @@ def _front(root: ET.Element, genre: str, m: Mapper) -> list[Node]:
         year = next((x.get("Value") for x in root.iter() if tag(x) == "Year" and x.get("Value")), None)
         if year:
             pairs += term("Year", [{"t": "date", "value": year, "precision": "year"}])
-    names = [n for n in names if n]
-    if names:
-        pairs += term("Authors", [text(", ".join(names))])
+    for name in [n for n in names if n][: AUTHORS.get(genre)]:
+        pairs += term("Author", [text(name)])
+    pairs += source
     out = [{"t": "provenance", "c": pairs}] if pairs else []
     held = next((x for x in root.iter() if tag(x) == "abstract"), None) if genre != "laws" else None
-    return out + (m.b_abstract(held, 1) if held is not None else [])
+    notes = [n for x in root.findall("./front/note") for n in m.b_remark(x, 1)] if genre == "standards" else []
+    return out + (m.b_abstract(held, 1) if held is not None else []) + notes
 
 
 def xml_document(raw: bytes, genre: str, doc_id: str) -> tuple[Node, dict[str, int]]:
@@ -457,7 +492,7 @@ def source_strings(raw: bytes, genre: str, shortest: int = 4) -> list[str]:
     def gather(el: ET.Element) -> None:
         if tag(el) in d.skip and tag(el) not in d.title:
             return
-        out.extend(s for s in (clean(el.text), *(clean(c.tail) for c in el)) if len(s) >= shortest)
+        out.extend(s for s in (said(el, d), clean(el.text), *(clean(c.tail) for c in el)) if len(s) >= shortest)
         for c in el:
             gather(c)
 

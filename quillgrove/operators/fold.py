@@ -20,13 +20,9 @@ from ..functions import columns as C
 from .kept import kept
 from .nodes import FIELDS, field
 
-#: Below this every string is in NFC: the first combining character is U+0300, as is the first that composes or is replaced.
-WIDE = r"[^\x{0}-\x{2FF}]"
-
-
 def normal(nodes: DataFrame) -> DataFrame:
     """The rows with names and texts of fields in NFC; only rows with a character beyond U+02FF go through Python, and none if there is none."""
-    wide = F.exists("fields", lambda f: f["name"].rlike(WIDE) | F.coalesce(f["value"].rlike(WIDE) & (f["kind"] == "str"), F.lit(False))) | F.coalesce(F.col("t").rlike(WIDE), F.lit(False))
+    wide = F.exists("fields", lambda f: f["name"].rlike(C.WIDE) | F.coalesce(f["value"].rlike(C.WIDE) & (f["kind"] == "str"), F.lit(False))) | F.coalesce(F.col("t").rlike(C.WIDE), F.lit(False))
     if nodes.where(wide).isEmpty():
         return nodes
     names, values = F.transform("fields", lambda f: f["name"]), F.transform("fields", lambda f: f["value"])

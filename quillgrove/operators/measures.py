@@ -48,7 +48,10 @@ def units(nodes: DataFrame) -> DataFrame:
     for element, name in SEEN.items():
         seen = F.when(t == element, field(name, "str")).otherwise(seen)
     found = F.array_compact(F.array(own, F.when(~C.blank(seen), seen)))
-    return nodes.select("doc_id", "pos", F.explode(found).alias("unit"))
+    every = nodes.select("doc_id", "pos", F.explode(found).alias("unit"))
+    # Units are in NFC; only what has a character that could change goes through Python.
+    wide = F.col("unit").rlike(C.WIDE)
+    return every.where(~wide).unionAll(every.where(wide).select("doc_id", "pos", F.get(C.nfc_each(F.array("unit")), F.lit(0)).alias("unit")))
 
 
 def lost(before: DataFrame, after: DataFrame) -> DataFrame:
