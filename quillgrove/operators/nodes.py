@@ -46,7 +46,7 @@ def from_trees(docs: DataFrame, read: Callable[[bytes], object] | None = None, *
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, SCHEMA)
 
 
-def _written(tree: object) -> str:
+def written(tree: object) -> str:
     """JSON of a tree with inexact numbers as they were written."""
     raw = json.dumps(tree, ensure_ascii=False, default=lambda x: f"\0{x.lexeme}\0")
     return re.sub(r'"\\u0000([^"]*?)\\u0000"', r"\1", raw)
@@ -57,7 +57,7 @@ def rebuilt(nodes: DataFrame) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        return pa.table({"doc_id": [rows[0]["doc_id"]], "raw": [_written(trees.from_rows(rows))]})
+        return pa.table({"doc_id": [rows[0]["doc_id"]], "raw": [written(trees.from_rows(rows))]})
 
     return nodes.groupBy("doc_id").applyInArrow(build, "doc_id string, raw string")
 
