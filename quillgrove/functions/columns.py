@@ -177,3 +177,35 @@ def nfc_each(texts: Column) -> Column:
 
 def stripped_right(s: Column) -> Column:
     return F.regexp_replace(s, BLANK[1:-2] + r"+\z", "")
+
+
+#: What makes a client fetch, relations of links that don't, attributes that are fetched, and what an emitter must never write.
+FETCHERS = r"(?i)<\s*(?:script|iframe|embed|object|base)\b|@import\b|\burl\s*\("
+LINK_TAG = r"(?i)<\s*link\b[^>]*>"
+LINK_REL = r'(?i)\brel\s*=\s*"([^"]*)"'
+NOT_FETCHED = ("alternate", "canonical", "author", "license", "next", "prev", "help", "search", "bookmark", "nofollow")
+FETCHED_ATTRIBUTE = r'(?i)\b(?:src|srcset|poster|background)\s*=\s*"([^"]*)"'
+NAMES_A_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//)"
+EXECUTABLE = ("javascript:", "vbscript:", "<script", "onerror=", "data:text/html")
+
+
+def fetchers(markup: Column) -> Column:
+    """What in a page makes a client fetch: elements and rules, and links with a relation that isn't known to be harmless."""
+
+    def fetched_link(link: Column) -> Column:
+        relations = F.filter(F.split(F.lower(F.regexp_extract(link, LINK_REL, 1)), r"\s+"), lambda r: r != "")
+        return (F.size(relations) == 0) | F.exists(relations, lambda r: ~r.isin(*NOT_FETCHED))
+
+    every = lambda pattern: F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+    return F.concat(every(FETCHERS), F.filter(every(LINK_TAG), fetched_link))
+
+
+def named_hosts(markup: Column) -> Column:
+    """Subresources of a page that name a scheme or a host."""
+    return F.filter(F.regexp_extract_all(markup, F.lit(FETCHED_ATTRIBUTE), F.lit(1)), lambda v: v.rlike(NAMES_A_HOST))
+
+
+def executable(markup: Column) -> Column:
+    """What in a page could run at a client."""
+    low = F.lower(markup)
+    return F.filter(F.array(*[F.lit(x) for x in EXECUTABLE]), lambda x: F.contains(low, x))

@@ -254,6 +254,8 @@ class Mapper:
     def b_remarked(self, el: ET.Element, depth: int) -> list[Node]:
         """A note; those without an id are numbered."""
         self.notes += 1
+        if tag(el) == "fn":
+            self.found["footnotes"] += 1
         return self.box("note", self.blocks(el, depth), **(self.ident(el) or {"id": f"fn-{self.notes}"}))
 
     def b_quote(self, el: ET.Element, depth: int) -> list[Node]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 from .trees import Inexact, Node, text
 
@@ -94,10 +95,36 @@ def visible(v: object) -> list[str]:
     return [v.strip()] if isinstance(v, str) and v.strip() else []
 
 
-def record_document(record: dict, doc_id: str, title: str, provenance: list[tuple[str, object]], *, lang: str = "en", consumed: tuple[str, ...] = (), sections: str | None = None, attachments: str | None = None, signers: str | None = None, names: dict[str, str] | None = None) -> tuple[Node, Counter]:
-    """A record as a document: provenance, one section for each key of `sections`, attachments, signatures.
-
-    Keys that nothing consumed are counted as findings, never dropped in silence.
+def entity(uid: object, labels: dict[str, str] | None) -> str:
+    """`label (uid)`, or the uid where nothing is known of it."""
+    known = (labels or {}).get(str(uid))
+    return f"{known} ({uid})" if known else str(uid)
+
+
+def provenance_of(record: dict, pairs: tuple[tuple[str, str, str], ...], labels: dict[str, str] | None = None) -> list[tuple[str, object]]:
+    """Labelled values of a record's keys, by kind: text; day or second (from milliseconds); entity (by label); each or entities (a pair for each of a list)."""
+    out: list[tuple[str, object]] = []
+    for label, key, kind in pairs:
+        v = record.get(key)
+        if v in (None, "", [], {}):
+            continue
+        if kind in ("day", "second"):
+            out.append((label, stamp(int(v), kind)))
+        elif kind in ("each", "entities"):
+            out += [(label, entity(x, labels) if kind == "entities" else x) for x in (v if isinstance(v, list) else [v])]
+        else:
+            out.append((label, entity(v, labels) if kind == "entity" else v))
+    return out
+
+
+def record_document(
+    record: dict, doc_id: str, title: str, provenance: list[tuple[str, object]], *, lang: str = "en", consumed: tuple[str, ...] = (), sections: str | None = None, attachments: str | None = None, signers: str | None = None,
+    source: str | None = None, key: str | None = None, href: str | None = None, labels: dict[str, str] | None = None, names: dict[str, str] | None = None,
+) -> tuple[Node, Counter]:
+    """A record as a document: provenance, one section for each key of `sections`, documents (the source and attachments), signatures.
+
+    An attachment without a URL is addressed through its record: `href` is a template of {key} (the value of `key`) and {id}. Signers are shown by
+    their label. Keys that nothing consumed are counted as findings, never dropped in silence.
     """
     found: Counter = Counter()
     kids: list[Node] = [{"t": "heading", "level": 1, "c": [text(title)]}]
@@ -108,17 +135,22 @@ def record_document(record: dict, doc_id: str, title: str, provenance: list[tupl
         if inner := blocks(v, found, names):
             kids.append({"t": "section", "c": [{"t": "heading", "level": 2, "c": [text(label_for(k, names))]}, *inner]})
     items = []
+    if source and record.get(source):
+        items.append({"t": "item", "c": [paragraph({"t": "link", "href": record[source], "c": [text("Source document")]})]})
     for a in record.get(attachments or "") or []:
-        name = a.get("description") or a.get("filename") or a.get("id") or "attachment"
+        if not isinstance(a, dict):
+            items.append({"t": "item", "c": [paragraph(text(str(a)))]})
+            continue
+        name = str(a.get("description") or a.get("filename") or "Attachment")
+        at = a.get("url") or (href.format(key=quote(str(record[key])), id=a["id"]) if href and key and record.get(key) and a.get("id") not in (None, "") else None)
         detail = [n for k in ("filename", "mimeType", "size", "checksum", "id") if (inner := blocks(a.get(k), found, names)) for n in pair(label_for(k, names), *inner)]
-        lead = {"t": "link", "href": a["url"], "c": [text(name)]} if a.get("url") else text(name)
-        items.append({"t": "item", "c": [paragraph(lead), *([{"t": "term-list", "c": detail}] if detail else [])]})
+        items.append({"t": "item", "c": [paragraph({"t": "link", "href": at, "c": [text(name)]} if at else text(name)), *([{"t": "term-list", "c": detail}] if detail else [])]})
     if items:
-        kids.append({"t": "list", "ordered": False, "c": items})
-    signed = [n for s in record.get(signers or "") or [] for n in pair("Signed by", paragraph(text(str(s))))]
+        kids.append({"t": "section", "c": [{"t": "heading", "level": 2, "c": [text("Documents")]}, {"t": "list", "ordered": False, "c": items}]})
+    signed = [n for s in record.get(signers or "") or [] for n in pair("Signed by", paragraph(text(entity(s, labels))))]
     if signed:
         kids.append({"t": "signature-block", "c": signed})
     for k, v in record.items():
-        if k not in (*consumed, sections, attachments, signers) and v not in (None, "", [], {}):
+        if k not in (*consumed, sections, attachments, signers, source, key) and v not in (None, "", [], {}):
             found[f"unmapped {k}"] += 1
     return {"t": "document", "id": doc_id, "lang": lang, "title": title, "c": kids}, found

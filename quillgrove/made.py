@@ -419,7 +419,7 @@ sha256(encode('node') || '\x00'::BLOB || encode('text') || '\x00'::BLOB || encod
     "articles_mapped": _sums("supplier", "s_suppkey", {
         **dict.fromkeys(("document", "provenance", "abstract", "citation", "note-ref", "figure", "media", "caption", "bibliography", "ids", "found figures", "found graphics"), "1"), "term": f"1 + 2 * {_is(8)}", "definition": f"1 + 2 * {_is(8)}", "link": f"1 + {_is(8)}", "note": f"1 + 2 * {_is(9)}", "heading": "2", "section": f"2 + {_is(4)}",
         "paragraph": f"5 + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 2 * {_is(8)} + 2 * {_is(9)}", "power": f"1 - {_is(3)}", "list": _is(5), "item": f"1 + {_is(5)}", "quote": _is(6), "sidebar": _is(7), "text": f"10 + 2 * {_is(3)} + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 4 * {_is(8)} + 2 * {_is(9)}",
-        "found raised text": _is(3), "found graphics without alt": f"1 - {_is(2)}", "found ids dropped": f"{_is(4)} + {_is(9)}", "missed": "0", "errors": _is(9),
+        "found raised text": _is(3), "found graphics without alt": f"1 - {_is(2)}", "found footnotes": f"1 + 2 * {_is(9)}", "found ids dropped": f"{_is(4)} + {_is(9)}", "missed": "0", "errors": _is(9),
     }),
     "laws_mapped": _sums("customer", "c_custkey", {
         **dict.fromkeys(("document", "provenance", "term", "definition", "date", "emphasis", "ids"), "1"), "heading": f"3 + {_is(4)}", "section": "2", "paragraph": f"2 + {_is(2)} + {_is(3)} + {_is(4)}", "note": _is(2), "note-ref": _is(2),

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint in spark.checkpoint.dir; only a local session without one gets a folder of its own."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that executors share."""
+    _shared(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"

@@ -105,6 +105,24 @@ def verdicts(used: DataFrame, reg: Register, fixture: DataFrame | None = None) -
     return every.select("t", "layer", n.alias("genres"), verdict.alias("verdict"))
 
 
+def union_of(verdicts: DataFrame) -> DataFrame:
+    """One row: how many elements there are, how many some genre uses, and the base-layer elements that no genre does."""
+    unproven = F.array_sort(F.collect_list(F.when((F.col("layer") == 0) & F.col("verdict").isin("FIXTURE", "UNTESTED"), F.col("t"))))
+    return verdicts.agg(F.count("*").alias("elements"), F.count_if(F.col("genres") > 0).alias("used"), unproven.alias("unproven"))
+
+
+def distinct_values(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many values each column has; a missing one is one."""
+    return rows.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).cast("long").alias(c) for c in columns])
+
+
+def projection_ratio(pages: DataFrame, live: str, text: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes of live pages and of their text, the share of markup (percent, rounded down) and how many times larger the page is."""
+    held = pages.groupBy(*by).agg(F.count("*").alias("documents"), F.sum(live).alias("live_bytes"), F.sum(text).alias("text_bytes"))
+    share = C.floor_percent(F.col("live_bytes") - F.col("text_bytes"), F.col("live_bytes"))
+    return held.withColumns({"markup_percent": share, "ratio": F.round(F.col("live_bytes") / F.greatest("text_bytes", F.lit(1)), 1)})
+
+
 def label_sources(controls: DataFrame, labels: DataFrame) -> DataFrame:
     """Controls (page_id, control_id, wrapped, aria, placeholder) with the label and where it is from."""
     said = labels.select("page_id", F.col("for_id").alias("control_id"), F.col("label").alias("named"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trees
-from ..plans.register import Register
+from ..plans.register import Register, dimensions
 
 
 def excerpt_proofs(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw", domain: str = "node") -> DataFrame:
@@ -48,6 +48,45 @@ def finding_totals(findings: DataFrame) -> DataFrame:
     return findings.groupBy("genre", "key").agg(F.sum("n").alias("n"))
 
 
+def action_statistics(findings: DataFrame) -> DataFrame:
+    """One row from form findings (key, n): actions, how many of them lead elsewhere, and their share."""
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("key") == k, F.col("n"))), F.lit(0))
+    held = findings.agg(n("actions").alias("actions"), n("cross_origin").alias("cross_origin"))
+    return held.withColumn("percent", F.round(100 * F.col("cross_origin") / F.greatest("actions", F.lit(1)), 1))
+
+
+def by_genre(nodes: DataFrame, diags: DataFrame, findings: DataFrame, reg: Register) -> DataFrame:
+    """genre, section, key, n of every genre's report: documents and those that conform, elements used, rules broken, findings.
+
+    nodes and diags have a `genre`; findings are (genre, key, n).
+    """
+    documents = nodes.where("depth = 0").select("genre", "doc_id")
+    faulty = diags.select("genre", "doc_id").distinct().withColumn("faulty", F.lit(True))
+    state = documents.join(faulty, ["genre", "doc_id"], "left").groupBy("genre").agg(F.count("*").alias("documents"), F.count_if(F.col("faulty").isNull()).alias("conforming"))
+    coverage = state.select("genre", F.lit("coverage").alias("section"), F.expr("stack(2, 'documents', documents, 'conforming', conforming) as (key, n)"))
+    known = F.broadcast(dimensions(nodes.sparkSession, reg)["elements"].select("t"))
+    part = lambda rows, section, key: rows.groupBy("genre", F.col(key).alias("key")).agg(F.count("*").alias("n")).select("genre", F.lit(section).alias("section"), "key", "n")
+    found = findings.groupBy("genre", "key").agg(F.sum("n").cast("long").alias("n")).select("genre", F.lit("findings").alias("section"), "key", "n")
+    return coverage.unionAll(part(nodes.join(known, "t"), "elements", "t")).unionAll(part(diags, "rules", "rule")).unionAll(found)
+
+
+#: A line of a report's table of elements.
+ELEMENT_LINE = r"^\| `([a-z-]+)` \| L\d"
+
+
+def element_lines(report: DataFrame, reg: Register) -> DataFrame:
+    """genre, line: the lines of each genre's table of elements, as `used_in` reads them."""
+    known = F.broadcast(dimensions(report.sparkSession, reg)["elements"].select(F.col("t").alias("key"), "layer"))
+    line = F.concat(F.lit("| `"), "key", F.lit("` | L"), F.col("layer").cast("string"), F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
+    return report.where("section = 'elements'").join(known, "key").select("genre", line.alias("line"))
+
+
+def used_in(spark: SparkSession, path: str) -> DataFrame:
+    """genre, t: elements that written reports list; the folder of a report is its genre (`genre=...`)."""
+    t = F.regexp_extract("value", ELEMENT_LINE, 1)
+    return spark.read.text(path).select("genre", t.alias("t")).where("t <> ''").distinct()
+
+
 def markdown(report: DataFrame, title: str, most: int = 1000) -> str:
     """A small report (an aggregate of at most `most` rows) as a table for readers."""
     rows = report.limit(most).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,58 @@ def records_of(rows: DataFrame, raw_col: str, *, id_col: str, title: str = "Reco
     return rows.select(F.col(id_col).cast("string").alias("doc_id"), convert(F.col(id_col).cast("string"), F.col(raw_col)).alias("x")).select("doc_id", "x.raw", "x.found")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where a kind of record keeps what: (label, key, kind) of its provenance, and the keys of the rest."""
+
+    key: str
+    title: str
+    pairs: tuple[tuple[str, str, str], ...] = ()
+    sections: str | None = None
+    attachments: str | None = None
+    signers: str | None = None
+    source: str | None = None
+    href: str | None = None
+
+
+def labels_of(rows: DataFrame, raw_col: str, layout: Layout, labels: DataFrame, id_col: str) -> DataFrame:
+    """key, known: for each record a map of the entities that it names to their labels, by a join with the table (uid, label)."""
+    named = [k for _, k, kind in layout.pairs if kind in ("entity", "entities")] + ([layout.signers] if layout.signers else [])
+    listed = lambda k: F.coalesce(F.from_json(F.get_json_object(raw_col, f"$.{k}"), "array<string>"), F.array_compact(F.array(F.get_json_object(raw_col, f"$.{k}"))))
+    asked = rows.select(F.col(id_col).cast("string").alias("key"), F.explode(F.flatten(F.array(*[listed(k) for k in named]))).alias("uid")).distinct()
+    met = asked.join(labels.select(F.col("uid").cast("string").alias("uid"), "label"), "uid").where("label is not null")
+    return met.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("uid", "label"))).alias("known"))
+
+
+def laid_out(rows: DataFrame, raw_col: str, layout: Layout, *, id_col: str, labels: DataFrame | None = None, namespace: str = "record") -> DataFrame:
+    """doc_id, raw, found: records (JSON text) of a layout as documents, entities by their labels."""
+    import json
+
+    @F.pandas_udf("raw string, found map<string,int>")
+    def convert(key, raw, known):
+        import pandas as pd
+
+        out = []
+        consumed = tuple(k for _, k, _ in layout.pairs) + (layout.title,)
+        for k, r, names in zip(key, raw, known, strict=True):
+            record = trees.load_json(r) if r else {}
+            record, said = record if isinstance(record, dict) else {"value": record}, dict(names or ())
+            doc, found = records.record_document(
+                record, f"urn:{namespace}:{k}", str(record.get(layout.title) or record.get(layout.key) or k), records.provenance_of(record, layout.pairs, said), consumed=consumed, sections=layout.sections,
+                attachments=layout.attachments, signers=layout.signers, source=layout.source, key=layout.key, href=layout.href, labels=said,
+            )
+            out.append((json.dumps(doc, ensure_ascii=False, default=lambda x: x.lexeme), dict(found)))
+        return pd.DataFrame({"raw": [a for a, _ in out], "found": [b for _, b in out]})
+
+    key = F.col(id_col).cast("string")
+    held = rows.select(key.alias("key"), F.col(raw_col).alias("x"))
+    if labels is not None:
+        held = held.join(labels_of(rows, raw_col, layout, labels, id_col), "key", "left")
+    else:
+        held = held.withColumn("known", F.lit(None).cast("map<string,string>"))
+    return held.select(F.col("key").alias("doc_id"), convert("key", "x", "known").alias("y")).select("doc_id", "y.raw", "y.found")
+
+
 def xml_of(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace: str | None = None) -> DataFrame:
     """doc_id, raw, found, missed: XML of a genre as documents, each with an id of its own.
 

@@ -7,9 +7,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import diff, fold, nodes, proofs, rewrite, validate
-from .operators.kept import kept
+from .functions import columns as C
+from .operators import diff, fold, measures, nodes, proofs, reports, rewrite, validate
+from .operators.kept import kept, shared_folder
 from .plans.register import ELEMENTS, Register, built_in, from_json
+from .sources import readers
+from .streaming import arrivals
 
 REG = built_in()
 
@@ -140,9 +143,78 @@ def conversation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.max("nth").cast("long").alias("last"), F.max(F.size("path")).cast("long").alias("deepest"))
 
 
-QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences)}
+def users_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the nodes of their users' documents, arriving in four batches; a day of silence ends a document."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("t"), F.get_json_object("props", "$.k").alias("id"))
+    folder = shared_folder(spark, "arrivals")
+    found = arrivals.replayed(e, lambda: spark.readStream.schema(e.schema).parquet(f"{folder}/nodes"), 4, folder, gap_seconds=86_400)
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("elements"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), " ")
+    return found.select("doc_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "nodes", "repeated", said.alias("elements"))
+
+
+ORDER = readers.Layout(key="key", title="subject", pairs=(("Status", "status", "text"), ("Customer", "customer", "entity"), ("Issued", "issued", "day")), attachments="files", signers="signers", href="https://orders.example/{key}/files/{id}")
+
+
+def records_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as signed records in plain text; customers that owe nothing are known by name."""
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    file = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), key).alias("description"), F.col("o_totalprice").cast("long").alias("size"))
+    record = F.struct(key.alias("key"), F.concat(F.lit("Order "), key).alias("subject"), F.col("o_orderstatus").alias("status"), customer.alias("customer"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("issued"), F.array(file).alias("files"), F.array(customer).alias("signers"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(record).alias("raw"))
+    labels = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("label"))
+    return nodes.views(readers.laid_out(rows, "raw", ORDER, id_col="o_orderkey", labels=labels), REG, columns=("plain",))
+
+
+def pages_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What in each live page fetches, names a host or could run."""
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", *[F.size(f(html)).cast("long").alias(k) for k, f in (("fetchers", C.fetchers), ("hosts", C.named_hosts), ("executable", C.executable))])
+
+
+def page_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live pages against their text, by the language that they say they are in."""
+    html = F.coalesce("html", F.lit(""))
+    held = table(spark, sf_dir, "pages").select(F.regexp_extract(html, r'<html lang="([^"]*)"', 1).alias("lang"), F.octet_length(html).alias("live"), F.octet_length(C.stripped(html)).alias("said"))
+    return measures.projection_ratio(held, "live", "said", ("lang",))
+
+
+def _genres(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts and conversations as node tables of two genres, and their diagnostics; a conversation's roles are ids, which repeat."""
+    part = element("section", paragraph(F.coalesce("text", F.lit(""))), id=F.coalesce("role", F.lit("")))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("part"))
+    talk = nodes.from_trees(joined(said, F.lit("T"), F.lit("urn:a:b"))).withColumn("genre", F.lit("talks"))
+    text = nodes.from_lines(table(spark, sf_dir, "documents")).withColumn("genre", F.lit("texts"))
+    n = kept(text.unionByName(talk.withColumn("doc_id", F.concat(F.lit("t"), "doc_id"))))
+    return n, validate.validate(n, REG).withColumn("genre", F.when(F.col("doc_id").startswith("t"), "talks").otherwise("texts"))
+
+
+def reports_by_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each genre: coverage, elements, rules, and which languages and roles were found."""
+    n, diags = _genres(spark, sf_dir)
+    found = n.where("depth = 0 or t = 'section'").select("genre", F.when(F.col("depth") == 0, F.concat(F.lit("lang "), nodes.field("lang"))).otherwise(F.concat(F.lit("role "), nodes.field("id"))).alias("key"), F.lit(1).alias("n"))
+    return reports.by_genre(n, diags, found, REG)
+
+
+def reports_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that the written reports of the genres list: how many elements there are, how many are used, which of the base layer aren't."""
+    n, _ = _genres(spark, sf_dir)
+    report = reports.by_genre(n, spark.createDataFrame([], "genre string, doc_id string, rule string"), spark.createDataFrame([], "genre string, key string, n long"), REG)
+    folder = shared_folder(spark, "reports")
+    reports.element_lines(report, REG).write.partitionBy("genre").text(folder)
+    union = measures.union_of(measures.verdicts(reports.used_in(spark, folder), REG))
+    return union.select("elements", "used", F.array_join("unproven", " ").alias("unproven"))
+
+
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and sources of documents; a missing one counts."""
+    return measures.distinct_values(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values)}
 
 Q = "SELECT doc_id, lang, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, coalesce(lang, 'en') AS lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"
+STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+ELEMENT_ROWS = "(VALUES " + ", ".join(f"('{e.name}', {e.layer})" for e in REG.elements.values()) + ") AS e(t, layer)"
 _TURNS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations"
 
 
@@ -179,4 +251,18 @@ ORACLE = {
     "conversation_differences": f"WITH t AS ({_TURNS}), n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), d AS (SELECT a.conv_id, -1 AS k, 0 AS deep, 'children' AS kind FROM n a JOIN n b ON b.conv_id = a.conv_id + 1 WHERE a.n <> b.n "
     "UNION ALL SELECT a.conv_id, a.k, x.deep, 'fields' FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 AND a.k = b.k CROSS JOIN (VALUES (1), (3)) x(deep) WHERE CASE x.deep WHEN 1 THEN a.role <> b.role ELSE nfc_normalize(a.text) <> nfc_normalize(b.text) END), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k, deep) AS nth FROM d) SELECT CAST(conv_id AS VARCHAR) AS doc_id, kind, count(*) AS n, max(nth) AS last, CAST(max(deep) AS BIGINT) AS deepest FROM r WHERE nth <= 7 GROUP BY conv_id, kind",
+    "users_arriving": "WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type AS t, json_extract_string(props, '$.k') AS id FROM events), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 86400000 THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms)), "
+    "s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ms) AS s FROM g), c AS (SELECT user_id, s, string_agg(t || '=' || n, ' ' ORDER BY t) AS elements FROM (SELECT user_id, s, t, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL) "
+    "SELECT CAST(user_id AS VARCHAR) AS doc_id, min(ms) AS start_ms, max(ms) AS last_ms, count(*) AS nodes, count(id) - count(DISTINCT id) AS repeated, any_value(elements) AS elements FROM s JOIN c USING (user_id, s) GROUP BY user_id, s",
+    "records_signed": "WITH r AS (SELECT o_orderkey AS k, 'Order ' || o_orderkey AS t, o_orderstatus AS s, CASE WHEN c_acctbal >= 0 THEN c_name || ' (' || o_custkey || ')' ELSE CAST(o_custkey AS VARCHAR) END AS c, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(trunc(o_totalprice) AS BIGINT) AS z FROM orders LEFT JOIN customer ON o_custkey = c_custkey) "
+    "SELECT CAST(k AS VARCHAR) AS doc_id, concat_ws(chr(10), t, repeat('=', length(t)), '', '# ' || t, '', 'Status:', '  ' || s, 'Customer:', '  ' || c, 'Issued:', '  ' || d, '', '## Documents', '', '- ' || t || ' <https://orders.example/' || k || '/files/' || k || '>', '  Size:', '    ' || z, '  Id:', '    ' || k, '', 'Signed by:', '  ' || c) AS plain FROM r",
+    "pages_scanned": r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<\s*(?:script|iframe|embed|object|base)\b|@import\b|\burl\s*\(', 0)) + len(list_filter(regexp_extract_all(html, '(?i)<\s*link\b[^>]*>', 0), lambda x: NOT regexp_full_match(trim(lower(regexp_extract(x, '(?i)\brel\s*=\s*"([^"]*)"', 1))), '(alternate|canonical|author|license|next|prev|help|search|bookmark|nofollow)(\s+(alternate|canonical|author|license|next|prev|help|search|bookmark|nofollow))*'))) AS fetchers, """
+    r"""len(list_filter(regexp_extract_all(html, '(?i)\b(?:src|srcset|poster|background)\s*=\s*"([^"]*)"', 1), lambda x: regexp_matches(x, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//)'))) AS hosts, CAST(contains(lower(html), 'javascript:')::INT + contains(lower(html), 'vbscript:')::INT + contains(lower(html), '<script')::INT + contains(lower(html), 'onerror=')::INT + contains(lower(html), 'data:text/html')::INT AS BIGINT) AS executable FROM pages""",
+    "page_ratios": rf"WITH p AS (SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, strlen(html) AS l, strlen({STRIPPED}) AS s FROM pages) SELECT lang, count(*) AS documents, CAST(sum(l) AS BIGINT) AS live_bytes, CAST(sum(s) AS BIGINT) AS text_bytes, CAST((sum(l) - sum(s)) * 100 // greatest(sum(l), 1) AS BIGINT) AS markup_percent, round(sum(l) / greatest(sum(s), 1), 1) AS ratio FROM p GROUP BY lang",
+    "reports_by_genre": f"WITH c AS (SELECT conv_id, count(*) AS n, count(*) - count(DISTINCT role) AS r FROM ({_TURNS}) GROUP BY conv_id), l AS (SELECT count(*) AS n FROM ({Q})), t AS (SELECT 'texts' AS genre, 'coverage' AS section, 'documents' AS key, count(*) AS n FROM documents UNION ALL SELECT 'texts', 'coverage', 'conforming', count(*) FILTER (doc_id IN (SELECT doc_id FROM ({Q}))) FROM documents "
+    f"UNION ALL SELECT 'texts', 'elements', 'document', count(*) FROM documents UNION ALL SELECT 'texts', 'elements', x, n FROM l CROSS JOIN (VALUES ('paragraph'), ('text')) v(x) UNION ALL SELECT 'texts', 'rules', 'R18', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({Q})) UNION ALL SELECT 'texts', 'findings', 'lang ' || coalesce(lang, 'en'), count(*) FROM documents GROUP BY 3 "
+    "UNION ALL SELECT 'talks', 'coverage', 'documents', count(*) FROM c UNION ALL SELECT 'talks', 'coverage', 'conforming', count(*) FILTER (r = 0) FROM c UNION ALL SELECT 'talks', 'elements', 'document', count(*) FROM c UNION ALL SELECT 'talks', 'elements', x, CAST(sum(n) AS BIGINT) FROM c CROSS JOIN (VALUES ('section'), ('paragraph'), ('text')) v(x) GROUP BY 3 "
+    f"UNION ALL SELECT 'talks', 'rules', 'R12', CAST(sum(r) AS BIGINT) FROM c UNION ALL SELECT 'talks', 'findings', 'role ' || role, count(*) FROM ({_TURNS}) GROUP BY 3 UNION ALL SELECT 'talks', 'findings', 'lang en', count(*) FROM c) SELECT * FROM t WHERE n > 0 OR section = 'coverage'",
+    "reports_read_back": f"WITH e AS (SELECT * FROM {ELEMENT_ROWS}), u AS (SELECT 'document' AS t UNION ALL SELECT 'section' UNION ALL SELECT 'paragraph' UNION ALL SELECT 'text') SELECT (SELECT count(*) FROM e) AS elements, (SELECT count(*) FROM u) AS used, (SELECT string_agg(t, ' ' ORDER BY t) FROM e WHERE layer = 0 AND t NOT IN (SELECT t FROM u)) AS unproven FROM (SELECT count(*) AS n FROM conversations) WHERE n > 0",
+    "distinct_values": "SELECT count(DISTINCT lang) + max((lang IS NULL)::INT) AS lang, count(DISTINCT source) + max((source IS NULL)::INT) AS source FROM documents",
 }

@@ -94,3 +94,45 @@ def test_totals_are_the_same_however_nodes_are_dealt(spark, tmp_path, batches):
     got = {(r["doc_id"], r["a"]): (r["b"], r["nodes"], r["repeated"], r["elements"]) for r in found.withColumns({"a": F.unix_seconds("start"), "b": F.unix_seconds("last")}).collect()}
     assert got == plain_totals(rows, 100) and len(got) > 5
     assert arrivals.replayed(table.limit(0), None, batches, folder, gap_seconds=100).count() == 0
+
+
+def test_scans_of_pages(spark):
+    from quillgrove.functions import columns as C
+
+    html = [
+        '<LINK rel="alternate author"><link rel="stylesheet"><link href="x"><p style="background: URL (a)"><Object>@import x', '<img src="//a/b.png" srcset="c.png"><video poster="https://d/e">', '<a href="JavaScript:x" onError="y">', "", "<p>plain</p>",
+    ]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(html)], "k int, h string").select("k", C.fetchers(F.col("h")).alias("f"), C.named_hosts(F.col("h")).alias("n"), C.executable(F.col("h")).alias("x")).orderBy("k").collect()
+    assert [len(r["f"]) for r in rows] == [5, 0, 0, 0, 0] and [r["n"] for r in rows][1] == ["//a/b.png", "https://d/e"]
+    assert [sorted(r["x"]) for r in rows] == [[], [], ["javascript:", "onerror="], [], []]
+
+
+def test_exports_and_crashes(spark, tmp_path):
+    from quillgrove.functions import trees
+    from quillgrove.operators import generate
+    from quillgrove.plans.register import built_in
+    from quillgrove.sources import writers
+
+    reg = built_in()
+    docs = generate.smallest_documents(spark, reg)
+    writers.export(nodes.views(docs, reg), "heading", str(tmp_path / "one"))
+    tree = trees.load_json("".join(r["value"] for r in spark.read.text(f"{tmp_path}/one/canonical").collect()))
+    assert tree == generate.hosted("heading", reg) and spark.read.text(f"{tmp_path}/one/plain").count() > 2
+    assert writers.crashes(docs).count() == 0
+    hostile = generate.hostile_documents(spark, 400)
+    odd = spark.createDataFrame([("a", "[1"), ("b", "null"), ("c", '{"t": "quantity", "scale": "x", "significand": 5}')], "doc_id string, raw string")
+    found = writers.crashes(hostile.unionAll(odd), str(tmp_path / "crashes"))
+    got = {r["doc_id"]: r for r in found.where("step = 'units'").collect()}
+    assert "TypeError" in got["c"]["error"] and got["c"]["raw"].startswith("{") and "a" not in got
+    assert spark.read.parquet(f"{tmp_path}/crashes").count() == found.count()
+
+
+def test_statistics(spark):
+    from quillgrove.operators import measures, reports
+
+    found = spark.createDataFrame([("actions", 3), ("cross_origin", 1), ("actions", 1)], "key string, n int")
+    assert tuple(reports.action_statistics(found).first()) == (4, 1, 25.0)
+    assert tuple(reports.action_statistics(found.limit(0)).first()) == (0, 0, 0.0)
+    pages = spark.createDataFrame([(100, 10), (101, 9), (0, 0)], "live int, said int")
+    assert tuple(measures.projection_ratio(pages, "live", "said").first()) == (3, 201, 19, 90, 10.6)
+    assert tuple(measures.distinct_values(spark.createDataFrame([("a", None), ("b", None), ("a", None)], "x string, y string"), "x", "y").first()) == (2, 1)
