@@ -12,8 +12,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def py_crc_mod(doc_id: object, modulus: int) -> int:
 
 #: Bytes that a row counts for besides its text, so blocks of empty texts are bounded too.
 ROW_BYTES = 64
-#: Equal parts of the range of ids whose bytes are counted; a fixed number, whatever the data.
-BINS = 4096
+#: About as many blocks there are at most, as a power of two; and those that one task packs.
+MOST_BLOCKS_BITS, PART_BLOCKS = 20, 32
 HASH_RANGE = float(1 << 63)
 
 
@@ -137,29 +139,41 @@ def unpacked(chunks: list[bytes]) -> tuple[list[int | None], list[bytes]]:
 def ordered_blocks(base: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """keyed rows with `k` (the id, a missing one last), `block` and `place`; and the bytes of all.
 
-    Blocks ascend with ids. The ids' range is cut in BINS equal parts, whose bytes are counted; a part is
-    cut again in equal ranges between its own ends, as many as its bytes need. A part with one id alone is
-    cut by hash: its blocks share their `place`, and other blocks have their own; so missing ids are parted,
-    while rows of one id that stands among others in its part stay together. What comes to the
-    driver is a row for each part, BINS + 1 at most.
+    Blocks ascend with ids and hold `block_bytes` at most, whatever the ids are: bytes are summed by id, ids are put in order by a range shuffle, and
+    each of its partitions packs them, as many neighbours as fit. An id with more than a block alone takes blocks of its own, dealt by the text's
+    hash: they share their `place`, and other blocks have their own. Rows with one id and one text stay together.
+    What comes to the driver and goes to every task is a row for each block (its first id), 2 ** (MOST_BLOCKS_BITS + 1) at most: beyond
+    that blocks grow with the input.
     """
     base = base.withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID)))
-    low, high = base.where(F.col("k") < LAST_ID).agg(F.min("k"), F.max("k")).first()
-    if low is None:
-        low = high = 0
-    part = F.least(F.lit(BINS - 1), F.floor((F.col("k").cast("double") - float(low)) * (BINS / (float(high) - float(low) + 1.0)))).cast("int")
-    base = base.withColumn("bin", F.when(F.col("k") == LAST_ID, F.lit(BINS)).otherwise(part))
-    held = base.groupBy("bin").agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
-    rows, first = [], 0
-    for r in sorted(held):
-        n = max(1, -(-r["size"] // block_bytes))
-        rows.append((r["bin"], first, n, float(r["low"]), float(r["high"]) - float(r["low"]) + 1.0, r["low"] == r["high"]))
-        first += n
-    bins = base.sparkSession.createDataFrame(rows, "bin int, first long, n long, low double, width double, one boolean")
-    share = F.when(F.col("one"), F.col("h") / HASH_RANGE).otherwise((F.col("k").cast("double") - F.col("low")) / F.col("width"))
-    block = F.col("first") + F.least(F.col("n") - 1, F.floor(share * F.col("n")))
-    out = base.join(F.broadcast(bins), "bin").withColumn("block", block).withColumn("place", F.when(F.col("one"), F.col("first")).otherwise(F.col("block")))
-    return out.select("doc_id", "text", "h", "k", "block", "place"), sum(r["size"] for r in held)
+    total = total_bytes(base)
+    limit = max(block_bytes, total >> MOST_BLOCKS_BITS)
+    sizes = base.groupBy("k").agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size"))
+    parts = max(1, min(4096, total // (PART_BLOCKS * limit)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, cuts = TaskContext.get().partitionId() << 32, None, []
+        for batch in batches:
+            for k, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is not None and size <= limit and held + size <= limit:
+                    held += size
+                    continue
+                n = max(1, -(-size // limit))
+                cuts.append((k, number, n))
+                number, held = number + n, size if n == 1 else None
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cuts], pa.int64()) for i in range(3)], ["k", "first", "n"])
+
+    packed_ids = sizes.repartitionByRange(parts, "k").sortWithinPartitions("k").mapInArrow(pack, "k long, first long, n long").toArrow().sort_by("k")
+    begins = base.sparkSession.sparkContext.broadcast([packed_ids.column(c).to_numpy() for c in ("k", "first", "n")])
+
+    @F.pandas_udf("block long, place long")
+    def dealt(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        ids, first, n = begins.value
+        at = np.searchsorted(ids, k.to_numpy(), side="right") - 1
+        share = np.minimum(n[at] - 1, (h.to_numpy() / HASH_RANGE * n[at]).astype(np.int64))
+        return pd.DataFrame({"block": first[at] + share, "place": first[at]})
+
+    return base.withColumn("to", dealt("k", "h")).select("doc_id", "text", "h", "k", "to.block", "to.place"), total
 
 
 # -- sorted sets of 64-bit keys as bytes --------------------------------------------

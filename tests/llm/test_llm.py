@@ -90,6 +90,30 @@ def test_ordered_blocks(spark, ids):
     assert "array" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize(
+    "ids",
+    [[*range(4000), 10**15, 9 * 10**18], [*range(2000), *range(7 * 10**17, 7 * 10**17 + 2000), 9 * 10**18], [*range(-(2**62), -(2**62) + 900), *range(900)], [xxhash.xxh64_intdigest(str(k)) >> 1 for k in range(3000)], [k % 40 for k in range(4000)], [5] * 3000 + [*range(200)]],
+    ids=["outliers", "clusters", "two generators", "hashes", "repeated", "one heavy"],
+)
+def test_blocks_are_bounded_whatever_the_ids(spark, ids):
+    d = spark.createDataFrame([(i, f"text {k} " * 20) for k, i in enumerate(ids)], "doc_id long, text string")
+    out, total = ordered_blocks(keyed(d, "doc_id", "text"), 20_000)
+    sizes: Counter = Counter()
+    for r in out.collect():
+        sizes[r["block"]] += len(r["text"]) + 64
+    assert max(sizes.values()) <= 40_000 and len(sizes) <= 2 * total / 20_000 + 4 and sum(sizes.values()) == total
+
+
+def test_dedup_and_fingerprints_with_scattered_ids(spark):
+    rows = [(i, t) for i, t, *_ in corpus(40)]
+    far = {i: k for k, i in zip([*range(30), 10**15, 10**15 + 1, *range(9 * 10**18, 9 * 10**18 + 60)], sorted({i for i, _ in rows if i is not None}), strict=False)}
+    moved = [(None if i is None else far[i], t) for i, t in rows]
+    plain, scattered = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, moved))
+    for op, cols in ((substring_dedup.dedup, ("n_words", "n_removed", "kept_sha256")), (syncmers.compare, ("n_chars", "edited_sha256", "near_edited", "near_next"))):
+        want = Counter((far.get(r["doc_id"]), *(r[c] for c in cols)) for r in op(plain).collect())
+        assert Counter((r["doc_id"], *(r[c] for c in cols)) for r in op(scattered, block_bytes=3000).collect()) == want
+
+
 def test_substring_dedup(docs, empty):
     rows = corpus()
     first: dict = {}
