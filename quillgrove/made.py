@@ -305,6 +305,7 @@ def _standards(spark: SparkSession, sf_dir: str) -> DataFrame:
         _if(3, "gone", "s1"), F.lit('">that</xref>, 2<sup>10</sup></t>'), _if(4, "<ul><li>item one</li><li>item two</li></ul>"), _if(5, '<sourcecode type="c">code KEY</sourcecode>'), _if(6, "<t><odd>kept KEY</odd></t>"),
         _if(7, '<t><eref target="javascript:x">bad link</eref></t>'), _if(8, '<dl><dt>term</dt><dd>meaning</dd></dl>'), _if(9, '<table><thead><tr><th>head</th></tr></thead><tbody><tr><td colspan="2">cell</td></tr></tbody></table>'),
         _if(10, '<t>by <contact fullname="Ann KEY Lee"/>.</t>'), _if(11, "<t>f(x)<sup>2</sup></t>"), _if(13, "<figure>loose words KEY</figure>"),
+        _if(14, "<figure><name>Fig</name><artwork>art KEY</artwork><t>aside</t></figure>"), _if(15, "<dl><dt>one</dt><dt>two</dt><dd>def</dd><dt/><dd>more</dd></dl>"),
         F.lit('</section></middle><back><references><name>Refs</name><reference anchor="R1"><front><title>Work</title></front></reference></references></back></rfc>'),
     )
 
@@ -329,6 +330,7 @@ def articles_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta>'), _if(8, '<article-id pub-id-type="pmc">KEY</article-id>'), F.lit('<article-id pub-id-type="doi">10.1/x</article-id><title-group><article-title>Title</article-title></title-group><abstract><p>short</p></abstract></article-meta></front><body><sec id="s"><title>Name</title><p>x<sup>'),
         _if(3, "a", "2"), F.lit('</sup> <xref ref-type="bibr" rid="b1">[1]</xref> <xref ref-type="fn" rid="f1"/></p><fig id="g"><label>Fig</label><caption><p>shows</p></caption><graphic xlink:href="a.png">'), _if(2, "<alt-text>a view</alt-text>"),
         F.lit('</graphic></fig><fn id="f1"><p>foot</p></fn>'), _if(9, '<fn id="f1"><p>other KEY</p></fn><fn><p>loose KEY</p></fn>'), F.lit("</sec>"), _if(4, '<sec id="s"><p>again KEY</p></sec>'), _if(5, '<list list-type="order"><list-item><p>point</p></list-item></list>'), _if(6, "<disp-quote><p>quoted</p></disp-quote>"), _if(7, "<boxed-text><p>boxed</p></boxed-text>"),
+        _if(10, '<p><bold>b</bold><monospace>m</monospace><styled-content>s</styled-content> <ext-link xlink:href="https://a.example/">l</ext-link> <email>a@b.example</email> <uri xlink:href="file:///KEY">f</uri></p>'),
         F.lit('</body><back><ref-list><ref id="b1"><mixed-citation>Book</mixed-citation></ref></ref-list></back></article>'),
     )
     return _counted(held, "articles")
@@ -337,7 +339,7 @@ def articles_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def laws_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _xml(
         spark, sf_dir, "customer", "c_custkey", "laws",
-        F.lit('<Legislation><Metadata><Year Value="1999"/><title>Act</title></Metadata><Primary><Body><Part id="p1"><Number>Part 1</Number><Title>Of things</Title><P1 id="s1"><Pnumber>1</Pnumber><P1para><Text>Shall <Emphasis>be</Emphasis>'),
+        F.lit('<Legislation><Metadata><Year Value="1999"/><title>Act</title></Metadata>'), _if(5, '<Contents><ContentsPart IdURI="https://law.example/p1"><ContentsNumber>Part 1</ContentsNumber><ContentsTitle>Of things</ContentsTitle></ContentsPart><ContentsPart><ContentsTitle>Rest</ContentsTitle></ContentsPart></Contents>'), F.lit('<Primary><Body><Part id="p1"><Number>Part 1</Number><Title>Of things</Title><P1 id="s1"><Pnumber>1</Pnumber><P1para><Text>Shall <Emphasis>be</Emphasis>'),
         _if(2, ' <CommentaryRef Ref="c1"/>'), F.lit("</Text>"), _if(3, "<UnorderedList><ListItem><Para><Text>thing KEY</Text></Para></ListItem></UnorderedList>"), F.lit("</P1para></P1></Part></Body>"),
         _if(4, '<Schedules><Schedule id="c9"><Title>Schedule</Title><ScheduleBody><Para><Text>more</Text></Para></ScheduleBody></Schedule></Schedules>'),
         F.lit("</Primary>"), _if(2, '<Commentaries><Commentary id="c1"><Para><Text>comment</Text></Para></Commentary></Commentaries>'), F.lit("</Legislation>"),
@@ -411,19 +413,19 @@ sha256(encode('node') || '\x00'::BLOB || encode('text') || '\x00'::BLOB || encod
     "control_labels": "WITH w AS (SELECT c_custkey % 25 AS page_id, CASE WHEN c_custkey % 4 = 0 THEN 'for' WHEN c_custkey % 3 = 0 THEN 'wrapping' WHEN c_custkey % 5 = 0 THEN 'aria' WHEN c_custkey % 2 = 0 THEN 'placeholder' ELSE 'none' END AS way, CASE WHEN c_custkey % 4 = 0 THEN 'f' || c_custkey WHEN c_custkey % 3 = 0 THEN 'w' || c_custkey WHEN c_custkey % 5 = 0 THEN 'a' WHEN c_custkey % 2 = 0 THEN 'p' ELSE '' END AS label FROM customer) SELECT page_id, count(*) AS controls, "
     + ", ".join(f"count(*) FILTER (way = '{w}') AS by_{w}" for w in ("for", "wrapping", "aria", "placeholder", "none")) + ", max(label) AS last_label FROM w GROUP BY page_id",
     "standards_mapped": _sums("part", "p_partkey", {
-        **dict.fromkeys(("document", "provenance", "date", "citation", "power", "bibliography", "ids"), "1"), "heading": "3", "term": f"2 + {_is(8)} + 3 * {_is(12)}", "definition": f"2 + {_is(8)} + 3 * {_is(12)}", "section": "2", "paragraph": f"4 + 2 * {_is(4)} + {_is(6)} + {_is(7)} + {_is(8)} + 2 * {_is(9)} + {_is(10)} + {_is(11)} + 3 * {_is(12)}", "link": _is(12),
-        "reference": f"1 - {_is(3)}", "item": f"1 + 2 * {_is(4)}", "list": _is(4), "code-block": _is(5), "term-list": _is(8), "table": _is(9), "table-section": f"2 * {_is(9)}", "row": f"2 * {_is(9)}", "header-cell": _is(9), "cell": _is(9),
-        "text": f"12 + 2 * {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 2 * {_is(8)} + 2 * {_is(9)} + 3 * {_is(10)} + 2 * {_is(11)} + 6 * {_is(12)}", "found references dropped": _is(3), "found escape odd": _is(6), "found escape link": _is(7), "found escape sup": _is(11), "found figures": _is(13), "missed": _is(13), "errors": "0",
+        **dict.fromkeys(("document", "provenance", "date", "citation", "power", "bibliography", "ids"), "1"), "heading": "3", "term": f"2 + {_is(8)} + 3 * {_is(12)} + 2 * {_is(15)}", "definition": f"2 + {_is(8)} + 3 * {_is(12)} + 2 * {_is(15)}", "figure": _is(14), "caption": _is(14), "section": "2", "paragraph": f"4 + 2 * {_is(4)} + {_is(6)} + {_is(7)} + {_is(8)} + 2 * {_is(9)} + {_is(10)} + {_is(11)} + 3 * {_is(12)} + {_is(14)} + 3 * {_is(15)}", "link": _is(12),
+        "reference": f"1 - {_is(3)}", "item": f"1 + 2 * {_is(4)}", "list": _is(4), "code-block": f"{_is(5)} + {_is(14)}", "term-list": f"{_is(8)} + {_is(15)}", "table": _is(9), "table-section": f"2 * {_is(9)}", "row": f"2 * {_is(9)}", "header-cell": _is(9), "cell": _is(9),
+        "text": f"12 + 2 * {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 2 * {_is(8)} + 2 * {_is(9)} + 3 * {_is(10)} + 2 * {_is(11)} + 6 * {_is(12)} + 3 * {_is(14)} + 5 * {_is(15)}", "found references dropped": _is(3), "found escape odd": _is(6), "found escape link": _is(7), "found escape sup": _is(11), "found figures": f"{_is(13)} + {_is(14)}", "missed": _is(13), "errors": "0",
     }),
     "standards_coverage": "SELECT 'standards' AS genre, count(*) AS documents, count(*) FILTER (p_partkey % 6 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0) AS covered, round(100 * count(*) FILTER (p_partkey % 6 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0) / count(*), 1) AS percent FROM part",
     "articles_mapped": _sums("supplier", "s_suppkey", {
-        **dict.fromkeys(("document", "provenance", "abstract", "citation", "note-ref", "figure", "media", "caption", "bibliography", "ids", "found figures", "found graphics"), "1"), "term": f"1 + 2 * {_is(8)}", "definition": f"1 + 2 * {_is(8)}", "link": f"1 + {_is(8)}", "note": f"1 + 2 * {_is(9)}", "heading": "2", "section": f"2 + {_is(4)}",
-        "paragraph": f"5 + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 2 * {_is(8)} + 2 * {_is(9)}", "power": f"1 - {_is(3)}", "list": _is(5), "item": f"1 + {_is(5)}", "quote": _is(6), "sidebar": _is(7), "text": f"10 + 2 * {_is(3)} + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 4 * {_is(8)} + 2 * {_is(9)}",
+        **dict.fromkeys(("document", "provenance", "abstract", "citation", "note-ref", "figure", "media", "caption", "bibliography", "ids", "found figures", "found graphics"), "1"), "term": f"1 + 2 * {_is(8)}", "definition": f"1 + 2 * {_is(8)}", "link": f"1 + {_is(8)} + 2 * {_is(10)}", "strong": _is(10), "code": _is(10), "found escape link": _is(10), "note": f"1 + 2 * {_is(9)}", "heading": "2", "section": f"2 + {_is(4)}",
+        "paragraph": f"5 + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 2 * {_is(8)} + 2 * {_is(9)} + {_is(10)}", "power": f"1 - {_is(3)}", "list": _is(5), "item": f"1 + {_is(5)}", "quote": _is(6), "sidebar": _is(7), "text": f"10 + 2 * {_is(3)} + {_is(4)} + {_is(5)} + {_is(6)} + {_is(7)} + 4 * {_is(8)} + 2 * {_is(9)} + 6 * {_is(10)}",
         "found raised text": _is(3), "found graphics without alt": f"1 - {_is(2)}", "found footnotes": f"1 + 2 * {_is(9)}", "found ids dropped": f"{_is(4)} + {_is(9)}", "missed": "0", "errors": _is(9),
     }),
     "laws_mapped": _sums("customer", "c_custkey", {
-        **dict.fromkeys(("document", "provenance", "term", "definition", "date", "emphasis", "ids"), "1"), "heading": f"3 + {_is(4)}", "section": "2", "paragraph": f"2 + {_is(2)} + {_is(3)} + {_is(4)}", "note": _is(2), "note-ref": _is(2),
-        "list": _is(3), "item": _is(3), "article": _is(4), "text": f"7 + {_is(2)} + {_is(3)} + 2 * {_is(4)}", "missed": "0", "errors": "0",
+        **dict.fromkeys(("document", "provenance", "term", "definition", "date", "emphasis", "ids"), "1"), "heading": f"3 + {_is(4)}", "section": "2", "contents": _is(5), "link": _is(5), "paragraph": f"2 + {_is(2)} + {_is(3)} + {_is(4)} + 2 * {_is(5)}", "note": _is(2), "note-ref": _is(2),
+        "list": _is(3), "item": f"{_is(3)} + 2 * {_is(5)}", "article": _is(4), "text": f"7 + {_is(2)} + {_is(3)} + 2 * {_is(4)} + 2 * {_is(5)}", "missed": "0", "errors": "0",
     }),
     "records_mapped": _sums("orders", "o_orderkey", {
         **dict.fromkeys(("document", "provenance", "list", "item", "term-list"), "1"), "heading": f"5 - {_is(3, 2)} + {_is(2)}", "section": f"4 - {_is(3, 2)} + {_is(2)}", "term": "2", "definition": "2", "paragraph": f"5 - {_is(3, 2)} + 5 * {_is(2)}", "quantity": f"1 - {_is(3, 2)}",

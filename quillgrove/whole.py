@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions import surface, trees
 from .operators import diff, fold, measures, nodes, proofs, reports, rewrite, validate
 from .operators.kept import kept, shared_folder
 from .plans.register import ELEMENTS, Register, built_in, from_json
@@ -152,6 +154,24 @@ def users_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "nodes", "repeated", said.alias("elements"))
 
 
+def conversation_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the plain-text surface; whether they are read back as the same tree, and written again as the same text."""
+    said, role = F.transform(lines_of(F.col("text")), paragraph), F.coalesce("role", F.lit(""))
+    items = F.transform(lines_of(F.col("text")), lambda x: element("item", paragraph(x)))
+    kinds = [element("admonition", c=said, kind="note"), element("disclosure", c=said, summary=role, open=False), element("list", c=items, ordered=True, start=F.col("turn") + 1), element("quote", c=said, source=role)]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(F.array(*kinds), (F.col("turn") % 4).cast("int")).alias("part"))
+    key = F.col("conv_id").cast("string")
+    held = nodes.views(joined(turns, F.concat(F.lit("Conversation "), key), F.concat(F.lit("urn:talk:"), key)), REG, columns=("surface", "digest"))
+
+    @F.pandas_udf("digest string, again string")
+    def read_back(written: pd.Series) -> pd.DataFrame:
+        docs = [surface.read(x, REG) for x in written]
+        return pd.DataFrame({"digest": [trees.structural_hash(d).hex() for d in docs], "again": [surface.write(d) for d in docs]})
+
+    back = held.withColumn("b", read_back("surface"))
+    return back.select("doc_id", "surface", (F.col("digest") == F.col("b.digest")).alias("same_tree"), (F.col("surface") == F.col("b.again")).alias("same_text"))
+
+
 ORDER = readers.Layout(key="key", title="subject", pairs=(("Status", "status", "text"), ("Customer", "customer", "entity"), ("Issued", "issued", "day")), attachments="files", signers="signers", href="https://orders.example/{key}/files/{id}")
 
 
@@ -210,7 +230,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.distinct_values(table(spark, sf_dir, "documents"), "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values)}
+QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values, conversation_surfaces)}
 
 Q = "SELECT doc_id, lang, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, coalesce(lang, 'en') AS lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"
 STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -265,4 +285,5 @@ ORACLE = {
     f"UNION ALL SELECT 'talks', 'rules', 'R12', CAST(sum(r) AS BIGINT) FROM c UNION ALL SELECT 'talks', 'findings', 'role ' || role, count(*) FROM ({_TURNS}) GROUP BY 3 UNION ALL SELECT 'talks', 'findings', 'lang en', count(*) FROM c) SELECT * FROM t WHERE n > 0 OR section = 'coverage'",
     "reports_read_back": f"WITH e AS (SELECT * FROM {ELEMENT_ROWS}), u AS (SELECT 'document' AS t UNION ALL SELECT 'section' UNION ALL SELECT 'paragraph' UNION ALL SELECT 'text') SELECT (SELECT count(*) FROM e) AS elements, (SELECT count(*) FROM u) AS used, (SELECT string_agg(t, ' ' ORDER BY t) FROM e WHERE layer = 0 AND t NOT IN (SELECT t FROM u)) AS unproven FROM (SELECT count(*) AS n FROM conversations) WHERE n > 0",
     "distinct_values": "SELECT count(DISTINCT lang) + max((lang IS NULL)::INT) AS lang, count(DISTINCT source) + max((source IS NULL)::INT) AS source FROM documents",
+    "conversation_surfaces": rf"""WITH t AS (SELECT *, list_transform(ls, lambda x: regexp_replace(x, '([\\*_`\[\]{{}}#>|:])', '\\\1', 'g')) AS es FROM ({_TURNS})) SELECT CAST(conv_id AS VARCHAR) AS doc_id, '---' || chr(10) || 'id: urn:talk:' || conv_id || chr(10) || 'lang: en' || chr(10) || 'title: Conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || string_agg(CASE turn % 4 WHEN 0 THEN '::: admonition kind=note' || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 1 THEN '::: disclosure open=false summary=' || role || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 2 THEN array_to_string(list_transform(range(1, len(es) + 1), lambda i: (i + turn) || '. ' || es[i]), chr(10)) ELSE '> ' || array_to_string(es, chr(10) || '> ') || chr(10) || '> {{{{source v=' || role || '}}}}' END, chr(10) || chr(10) ORDER BY turn) || chr(10) AS surface, true AS same_tree, true AS same_text FROM t GROUP BY conv_id""",
 }
