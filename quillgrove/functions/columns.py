@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The schemes that a link may have.
+#: The field that a reader sees, by element; the schemes that a link may have.
+SEEN = {"media": "alt", "submit": "label", "field": "label", "disclosure": "summary", "tab": "label", "rendering": "fallback", "admonition": "kind", "quote": "source"}
 SCHEMES = ("http", "https", "mailto", "urn", "tel", "ftp", "ftps")
 ELSEWHERE = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//|\\)"
 CONTROL = r"[\x00-\x1f\x7f-\x9f  ]"

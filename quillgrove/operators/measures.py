@@ -9,9 +9,6 @@ from ..functions import columns as C
 from ..plans.register import PROVISIONAL, Register, dimensions
 from .nodes import field
 
-#: Element: the field that a reader sees.
-SEEN = {"media": "alt", "submit": "label", "field": "label", "disclosure": "summary", "tab": "label", "rendering": "fallback", "admonition": "kind", "quote": "source"}
-
 
 def histogram(nodes: DataFrame, reg: Register, by: tuple[str, ...] = ()) -> DataFrame:
     """How often each element of the register occurs."""
@@ -45,7 +42,7 @@ def units(nodes: DataFrame) -> DataFrame:
         .when(t == "date", F.coalesce(field("value"), F.lit("")))
     )
     seen = F.lit(None).cast("string")
-    for element, name in SEEN.items():
+    for element, name in C.SEEN.items():
         seen = F.when(t == element, field(name, "str")).otherwise(seen)
     found = F.array_compact(F.array(own, F.when(~C.blank(seen), seen)))
     every = nodes.select("doc_id", "pos", F.explode(found).alias("unit"))

@@ -70,17 +70,17 @@ def nfc(s: str) -> str:
     return unicodedata.normalize("NFC", s)
 
 
-def _nfc_values(v: object) -> object:
+def nfc_values(v: object) -> object:
     if isinstance(v, str):
         return nfc(v)
     if isinstance(v, dict):
-        return {k: _nfc_values(x) for k, x in v.items()}
-    return [_nfc_values(x) for x in v] if isinstance(v, list) else v
+        return {k: nfc_values(x) for k, x in v.items()}
+    return [nfc_values(x) for x in v] if isinstance(v, list) else v
 
 
 def register_digest(raw: bytes) -> str:
     """SHA-256 of a register's sorted compact JSON with values in NFC."""
-    return hashlib.sha256(json.dumps(_nfc_values(json.loads(raw)), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(nfc_values(json.loads(raw)), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 def from_json(raw: bytes) -> Register:
@@ -112,7 +112,7 @@ def freeze_digest(raw: bytes, layer: int = 0) -> str:
     types = {f["type"] for e in own for f in e.get("fields", {}).values()}
     models = {m if isinstance(m := e.get("children", "none"), str) else "list" for e in own}
     body = {"elements": own, "field_types": {k: v for k, v in reg["field_types"].items() if k in types}, "content_models": {k: v for k, v in reg["content_models"].items() if k in models}, "field_spec": reg.get("field_spec"), "authoring_rules": reg.get("authoring_rules")}
-    return hashlib.sha256(json.dumps(_nfc_values(body), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(nfc_values(body), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 def dimensions(spark: SparkSession, reg: Register) -> dict[str, DataFrame]:

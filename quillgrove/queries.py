@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,9 +247,15 @@ def not_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smallest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest document of each element conforms."""
-    held = nodes.from_trees(generate.smallest_documents(spark, REG))
-    return validate.conforming(held.where("depth = 0"), validate.validate(held, REG)).select(F.col("doc_id").alias("t"), "errors", "conforms")
+    """Each part's name in the smallest document of an element, which the part's key chooses: how many there are of each element, what they show, and that they conform."""
+    cases = [generate.hosted(e, REG) for e in REG.elements]
+    chosen = F.get(F.array(*[F.lit(json.dumps(c)) for c in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
+    raw = F.replace(chosen, F.lit('"v": "x"'), F.concat(F.lit('"v": '), F.expr("substring(to_json(array(p_name)), 2, length(to_json(array(p_name))) - 2)")))
+    held = kept(nodes.from_trees(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), raw.alias("raw"))))
+    state = validate.conforming(held.where("depth = 0"), validate.validate(held, REG))
+    named = F.get(F.array(*[F.lit(e) for e in REG.elements]), (F.col("doc_id").cast("long") % len(cases)).cast("int"))
+    shown = measures.units(held.where("t = 'text'")).groupBy("doc_id").agg(F.sum(F.length("unit")).alias("chars"), F.count("*").alias("texts"))
+    return state.join(shown, "doc_id").groupBy(named.alias("t")).agg(F.count("*").alias("documents"), F.sum("errors").alias("errors"), F.sum(F.col("chars") / F.col("texts")).cast("long").alias("chars"))
 
 
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +313,7 @@ SELECT lang, count(*) AS documents, CAST(floor(sum(strlen(j)) / count(*)) AS BIG
     "negotiated": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' WHEN 4 THEN 'text/html' END AS media FROM pages",
     "excerpt_proofs": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(l.doc_id_) AS blocks, count(l.doc_id_) > 0 AS holds, false AS forged_holds FROM documents LEFT JOIN (SELECT doc_id AS doc_id_ FROM ({Q})) l ON doc_id = doc_id_ GROUP BY doc_id",
     "not_normal": "SELECT lang, count(*) AS documents, count(*) FILTER (nfc_normalize(coalesce(text, '')) <> coalesce(text, '')) AS not_normal FROM documents GROUP BY lang",
-    "smallest_documents": f"SELECT t, 0 AS errors, true AS conforms FROM {ELEMENTS}",
+    "smallest_documents": f"SELECT e.t, count(*) AS documents, CAST(0 AS BIGINT) AS errors, CAST(sum(length(p_name)) AS BIGINT) AS chars FROM part JOIN (SELECT t, row_number() OVER () - 1 AS i FROM {ELEMENTS}) e ON p_partkey % {len(REG.elements)} = e.i GROUP BY e.t",
     "events_by_hour": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "fixed_points": "SELECT count(*) AS documents, count(*) AS by_cbor, count(*) AS surface_again, count(*) AS nothing_lost FROM documents",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import nodes, validate
+from ..operators.kept import kept
 from ..plans.register import Register
 
 
@@ -21,7 +22,7 @@ def validated(stream: DataFrame, reg: Register, write: Callable[[DataFrame, int]
     """Each batch's diagnostics go to `write` with the batch's number, so a repeated batch can overwrite itself."""
 
     def one(batch: DataFrame, number: int) -> None:
-        write(validate.validate(nodes.from_trees(batch), reg), number)
+        write(validate.validate(kept(nodes.from_trees(batch)), reg), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

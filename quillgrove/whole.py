@@ -86,6 +86,22 @@ def conversation_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of lowering: nothing that a reader sees is lost, and a document without errors gives one without errors."""
+    before = talks(spark, sf_dir)
+    after = kept(rewrite.located(rewrite.lowered(before, REG)))
+    lost = measures.lost(measures.units(before), measures.units(after)).groupBy("doc_id").agg(F.sum("n").alias("lost"))
+    units = measures.units(before).groupBy("doc_id").agg(F.count("*").alias("units"))
+    state = validate.conforming(before.where("depth = 0"), validate.validate(before, REG)).select("doc_id", F.col("errors").alias("errors_before"))
+    low = validate.conforming(after.where("depth = 0"), validate.validate(after, REG)).select("doc_id", F.col("errors").alias("errors_after"))
+    return state.join(low, "doc_id").join(units, "doc_id").join(lost, "doc_id", "left").select("doc_id", "units", F.coalesce("lost", F.lit(0)).alias("lost"), "errors_before", "errors_after")
+
+
+def diagnostics_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostics of texts and conversations as lines for a reader."""
+    return validate.rendered(_genres(spark, sf_dir)[1])
+
+
 def sentences_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections of lines and paragraphs of what stands between full stops, without the blank ones."""
     pieces = lambda x: F.transform(F.split(x, "[.]", -1), paragraph)
@@ -230,7 +246,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.distinct_values(table(spark, sf_dir, "documents"), "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values, conversation_surfaces)}
+QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values, conversation_surfaces, conversation_contracts, diagnostics_rendered)}
 
 Q = "SELECT doc_id, lang, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, coalesce(lang, 'en') AS lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"
 STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -286,4 +302,6 @@ ORACLE = {
     "reports_read_back": f"WITH e AS (SELECT * FROM {ELEMENT_ROWS}), u AS (SELECT 'document' AS t UNION ALL SELECT 'section' UNION ALL SELECT 'paragraph' UNION ALL SELECT 'text') SELECT (SELECT count(*) FROM e) AS elements, (SELECT count(*) FROM u) AS used, (SELECT string_agg(t, ' ' ORDER BY t) FROM e WHERE layer = 0 AND t NOT IN (SELECT t FROM u)) AS unproven FROM (SELECT count(*) AS n FROM conversations) WHERE n > 0",
     "distinct_values": "SELECT count(DISTINCT lang) + max((lang IS NULL)::INT) AS lang, count(DISTINCT source) + max((source IS NULL)::INT) AS source FROM documents",
     "conversation_surfaces": rf"""WITH t AS (SELECT *, list_transform(ls, lambda x: regexp_replace(x, '([\\*_`\[\]{{}}#>|:])', '\\\1', 'g')) AS es FROM ({_TURNS})) SELECT CAST(conv_id AS VARCHAR) AS doc_id, '---' || chr(10) || 'id: urn:talk:' || conv_id || chr(10) || 'lang: en' || chr(10) || 'title: Conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || string_agg(CASE turn % 4 WHEN 0 THEN '::: admonition kind=note' || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 1 THEN '::: disclosure open=false summary=' || role || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 2 THEN array_to_string(list_transform(range(1, len(es) + 1), lambda i: (i + turn) || '. ' || es[i]), chr(10)) ELSE '> ' || array_to_string(es, chr(10) || '> ') || chr(10) || '> {{{{source v=' || role || '}}}}' END, chr(10) || chr(10) ORDER BY turn) || chr(10) AS surface, true AS same_tree, true AS same_text FROM t GROUP BY conv_id""",
+    "conversation_contracts": f"SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(sum(CASE turn % 5 WHEN 2 THEN len(ls) WHEN 4 THEN 1 ELSE 2 END) AS BIGINT) AS units, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS errors_before, CAST(0 AS BIGINT) AS errors_after FROM ({_TURNS}) GROUP BY conv_id",
+    "diagnostics_rendered": f"SELECT 't' || conv_id AS doc_id, 'error [R12] /' || k || ':section: ' || role AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY k) AS nth FROM ({_TURNS})) WHERE nth > 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'error [R18] /: empty' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({Q}))",
 }
