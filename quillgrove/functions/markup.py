@@ -7,6 +7,7 @@ that don't exist are replaced by what they enclose.
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 from collections import Counter
@@ -113,7 +114,7 @@ class Mapper:
     def __init__(self, dialect: Dialect) -> None:
         self.d, self.found = dialect, Counter()
         self.cited: set[str] = set()
-        self.notes = 0
+        self.notes, self.unnamed = 0, "fn-"
 
     # -- inline
 
@@ -256,7 +257,7 @@ class Mapper:
         self.notes += 1
         if tag(el) == "fn":
             self.found["footnotes"] += 1
-        return self.box("note", self.blocks(el, depth), **(self.ident(el) or {"id": f"fn-{self.notes}"}))
+        return self.box("note", self.blocks(el, depth), **(self.ident(el) or {"id": f"{self.unnamed}{self.notes}"}))
 
     def b_quote(self, el: ET.Element, depth: int) -> list[Node]:
         source = clean(el.get("quotedFrom"))
@@ -469,23 +470,88 @@ def _front(root: ET.Element, genre: str, m: Mapper) -> list[Node]:
     return out + (m.b_abstract(held, 1) if held is not None else []) + notes
 
 
+def cited_by(root: ET.Element) -> set[str]:
+    """Anchors of the bibliography; what refers to them is a citation."""
+    return {anchor(x.get(k)) for x in root.iter() if tag(x) in ("reference", "ref") for k in ("anchor", "id") if x.get(k)}
+
+
+def _head(root: ET.Element, genre: str, doc_id: str, m: Mapper) -> tuple[dict, list[Node]]:
+    """The document's fields, and its heading and front matter."""
+    title = TITLES[genre](root)[:300] or doc_id
+    fields = {"id": doc_id, "lang": root.get("{http://www.w3.org/XML/1998/namespace}lang") or "en", "title": title}
+    return fields, [{"t": "heading", "level": 1, "c": [text(title)]}, *_front(root, genre, m)]
+
+
+def _loose_notes(root: ET.Element, genre: str) -> list[ET.Element]:
+    """Commentaries of laws that stand outside of the parts."""
+    inside = {x for _, p in _parts(root, genre) for x in p.iter()} if genre == "laws" else set()
+    return [c for c in root.iter() if tag(c) == "Commentary" and c not in inside] if genre == "laws" else []
+
+
 def xml_document(raw: bytes, genre: str, doc_id: str) -> tuple[Node, dict[str, int]]:
     """XML of a genre as a document, and counts of findings."""
     root = ET.fromstring(raw)
     m = Mapper(GENRES[genre])
-    m.cited = {anchor(x.get(k)) for x in root.iter() if tag(x) in ("reference", "ref") for k in ("anchor", "id") if x.get(k)}
-    title = TITLES[genre](root)[:300] or doc_id
-    kids = [{"t": "heading", "level": 1, "c": [text(title)]}, *_front(root, genre, m)]
+    m.cited = cited_by(root)
+    fields, kids = _head(root, genre, doc_id, m)
     for name, el in _parts(root, genre):
         kids += m.b_contents(el, 1) if name == "Contents" else m.blocks(el, 1)
-    if genre == "laws":
-        kids += [n for c in root.iter() if tag(c) == "Commentary" for n in m.b_remarked(c, 1) if not any(x is c for _, p in _parts(root, genre) for x in p.iter())]
-    doc, _ = {"t": "document", "id": doc_id, "lang": root.get("{http://www.w3.org/XML/1998/namespace}lang") or "en", "title": title, "c": kids}, None
+    kids += [n for c in _loose_notes(root, genre) for n in m.b_remarked(c, 1)]
+    doc: Node = {"t": "document", **fields, "c": kids}
     m.found["ids dropped"] = unique_ids(doc)
     doc, m.found["references dropped"] = resolved(doc)
     return doc, {k: v for k, v in m.found.items() if v}
 
 
+# -- in pieces -----------------------------------------------------------------------------
+
+#: Kinds of pieces: what is in front, a stretch of blocks, a list of contents, a note by itself.
+FRONT, BLOCKS, CONTENTS, NOTE = "front", "blocks", "contents", "note"
+
+
+def pieces(raw: bytes, genre: str, doc_id: str) -> tuple[dict, set[str], list[tuple[str, str]]]:
+    """The document's fields, the anchors cited, and (kind, content) of its pieces in order.
+
+    A part is cut in front of each of its sections: there a mapper ends the paragraph that loose content stands in, so the pieces' blocks are the
+    part's. The front is mapped here (its content is JSON), as it draws on the whole; the others are XML.
+    """
+    root, d = ET.fromstring(raw), GENRES[genre]
+    m = Mapper(d)
+    m.cited = cited_by(root)
+    fields, front = _head(root, genre, doc_id, m)
+    out = [(FRONT, json.dumps({"kids": front, "found": dict(m.found)}, ensure_ascii=False))]
+    for name, part in _parts(root, genre):
+        if name == "Contents":
+            out.append((CONTENTS, ET.tostring(part, "unicode")))
+            continue
+        held = ET.Element("piece")
+        held.text = part.text
+        for child in part:
+            if d.block.get(tag(child)) in ("section", "article") and tag(child) not in d.skip and (len(held) or (held.text or "").strip()):
+                out.append((BLOCKS, ET.tostring(held, "unicode")))
+                held = ET.Element("piece")
+            held.append(child)
+        out.append((BLOCKS, ET.tostring(held, "unicode")))
+    out += [(NOTE, ET.tostring(c, "unicode")) for c in _loose_notes(root, genre)]
+    return fields, m.cited, out
+
+
+#: What the generated id of a note begins with until the notes of all pieces are counted.
+UNNUMBERED = "\0fn-"
+
+
+def piece_nodes(kind: str, content: str, genre: str, cited: set[str]) -> tuple[list[Node], dict[str, int], int]:
+    """The nodes of a piece, its findings and how many notes it has; notes without an id get one by their number in the piece."""
+    if kind == FRONT:
+        held = json.loads(content)
+        return held["kids"], held["found"], 0
+    m = Mapper(GENRES[genre])
+    m.cited, m.unnamed = cited, UNNUMBERED
+    el = ET.fromstring(content)
+    kids = m.b_contents(el, 1) if kind == CONTENTS else m.b_remarked(el, 1) if kind == NOTE else m.blocks(el, 1)
+    return kids, {k: v for k, v in m.found.items() if v}, m.notes
+
+
 def source_strings(raw: bytes, genre: str, shortest: int = 4) -> list[str]:
     """Strings of the source that a reader would miss, for the check that nothing is lost."""
     root, d = ET.fromstring(raw), GENRES[genre]

@@ -110,7 +110,7 @@ def located(nodes: DataFrame) -> DataFrame:
     return held.withColumns({"path": path.cast("array<int>"), "place": F.concat(F.lit("/"), F.array_join(F.transform("__above", lambda x: x["name"]), "/"))}).drop("__above")
 
 
-def _asked(rows: DataFrame, **changes: Column) -> DataFrame:
+def asked(rows: DataFrame, **changes: Column) -> DataFrame:
     """The columns of a rewrite; what isn't named stays as it is."""
     made = F.array().cast(MADE)
     asked = {"t": F.col("t"), "fields": F.col("fields"), "stays": F.lit(True), "before": made, "opening": made, "closing": made, "inside": F.lit(0), "run": F.lit(None).cast("long"), "around": made} | changes
@@ -135,7 +135,7 @@ def pruned(nodes: DataFrame, reg: Register) -> DataFrame:
     onwards = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     following = F.min(F.when(counts, F.col("pos"))).over(onwards)
     stays = F.when(text.eqNullSafe(True), counts).otherwise(F.coalesce(following <= F.col("last_pos"), F.lit(False)) | (F.col("depth") == 0))
-    return rewritten(_asked(held.withColumn("__stays", stays).where("__stays")))
+    return rewritten(asked(held.withColumn("__stays", stays).where("__stays")))
 
 
 # -- the base layer ---------------------------------------------------------------------------
@@ -206,4 +206,4 @@ def lowered(nodes: DataFrame, reg: Register) -> DataFrame:
     inside = F.when(t == LIFTED, -1).when(t == "field-option", 1).otherwise(0)
     around = F.when(F.col("__first"), F.array(new_row("term-list", None, 0, WHOLE))).otherwise(none)
     changes = {"t": name, "fields": own, "stays": F.coalesce(t != LIFTED, F.lit(True)), "before": before, "opening": opening, "closing": closing, "inside": inside, "run": F.col("__run"), "around": around}
-    return rewritten(_asked(held, **changes))
+    return rewritten(asked(held, **changes))

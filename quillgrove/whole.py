@@ -13,7 +13,7 @@ from .functions import surface, trees
 from .operators import diff, fold, measures, nodes, proofs, reports, rewrite, validate
 from .operators.kept import kept, shared_folder
 from .plans.register import ELEMENTS, Register, built_in, from_json
-from .sources import readers
+from .sources import readers, xml_parts
 from .streaming import arrivals
 
 REG = built_in()
@@ -102,6 +102,20 @@ def diagnostics_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.rendered(_genres(spark, sf_dir)[1])
 
 
+def documents_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML with a section for each line, mapped in pieces: anchors repeat, and lines refer to anchors that may not be there."""
+    anchor = lambda n: F.concat(F.lit("a"), F.pmod(n, F.lit(50)).cast("string"))
+    section = lambda x: F.concat(F.lit('<section anchor="'), anchor(F.length(x)), F.lit('"><t>'), C.escaped(x), F.lit('<xref target="'), anchor(F.length(x) + 1), F.lit('"/></t></section>'))
+    key = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("<rfc><front><title>Document "), key, F.lit("</title></front><middle>"), F.array_join(F.transform(lines_of(F.col("text")), section), ""), F.lit("</middle></rfc>"))
+    n, found = xml_parts.xml_in_parts(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw", "standards", id_col="doc_id")
+    n = kept(n)
+    shown = measures.units(n).groupBy("doc_id").agg(F.sum(F.length("unit")).alias("chars"))
+    went = found.groupBy("doc_id").pivot("key", ["ids dropped", "references dropped"]).agg(F.sum("n")).select("doc_id", F.col("`ids dropped`").alias("ids"), F.col("`references dropped`").alias("references"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("last_pos").cast("long").alias("last_pos"), F.count_if(F.col("t") == "reference").alias("alive")).join(shown, "doc_id").join(went, "doc_id", "left").select("doc_id", "nodes", "last_pos", "alive", "chars", none("ids"), none("references"))
+
+
 def sentences_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections of lines and paragraphs of what stands between full stops, without the blank ones."""
     pieces = lambda x: F.transform(F.split(x, "[.]", -1), paragraph)
@@ -246,7 +260,7 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.distinct_values(table(spark, sf_dir, "documents"), "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values, conversation_surfaces, conversation_contracts, diagnostics_rendered)}
+QUERIES = {f.__name__: f for f in (document_digests, conversation_texts, conversation_bases, sentences_pruned, excerpts_of_documents, versions_validated, conversation_differences, users_arriving, records_signed, pages_scanned, page_ratios, reports_by_genre, reports_read_back, distinct_values, conversation_surfaces, conversation_contracts, diagnostics_rendered, documents_in_pieces)}
 
 Q = "SELECT doc_id, lang, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, coalesce(lang, 'en') AS lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)"
 STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -304,4 +318,7 @@ ORACLE = {
     "conversation_surfaces": rf"""WITH t AS (SELECT *, list_transform(ls, lambda x: regexp_replace(x, '([\\*_`\[\]{{}}#>|:])', '\\\1', 'g')) AS es FROM ({_TURNS})) SELECT CAST(conv_id AS VARCHAR) AS doc_id, '---' || chr(10) || 'id: urn:talk:' || conv_id || chr(10) || 'lang: en' || chr(10) || 'title: Conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || string_agg(CASE turn % 4 WHEN 0 THEN '::: admonition kind=note' || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 1 THEN '::: disclosure open=false summary=' || role || chr(10) || array_to_string(es, chr(10) || chr(10)) || chr(10) || ':::' WHEN 2 THEN array_to_string(list_transform(range(1, len(es) + 1), lambda i: (i + turn) || '. ' || es[i]), chr(10)) ELSE '> ' || array_to_string(es, chr(10) || '> ') || chr(10) || '> {{{{source v=' || role || '}}}}' END, chr(10) || chr(10) ORDER BY turn) || chr(10) AS surface, true AS same_tree, true AS same_text FROM t GROUP BY conv_id""",
     "conversation_contracts": f"SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(sum(CASE turn % 5 WHEN 2 THEN len(ls) WHEN 4 THEN 1 ELSE 2 END) AS BIGINT) AS units, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS errors_before, CAST(0 AS BIGINT) AS errors_after FROM ({_TURNS}) GROUP BY conv_id",
     "diagnostics_rendered": f"SELECT 't' || conv_id AS doc_id, 'error [R12] /' || k || ':section: ' || role AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY k) AS nth FROM ({_TURNS})) WHERE nth > 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'error [R18] /: empty' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({Q}))",
+    "documents_in_pieces": f"WITH l AS (SELECT doc_id, length(line) % 50 AS a, (length(line) + 1) % 50 AS b, length(regexp_replace(line, '\\s+', ' ', 'g')) AS c FROM ({Q})), r AS (SELECT l.*, (EXISTS (SELECT 1 FROM l m WHERE m.doc_id = l.doc_id AND m.a = l.b))::INT AS alive FROM l), "
+    "g AS (SELECT doc_id, count(*) AS n, sum(alive) AS alive, count(*) - count(DISTINCT a) AS ids, count(*) - sum(alive) AS refs, sum(c + length('a' || b)) AS c FROM r GROUP BY doc_id) SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CAST(3 + 4 * coalesce(n, 0) + coalesce(alive, 0) AS BIGINT) AS nodes, "
+    "CAST(2 + 4 * coalesce(n, 0) + coalesce(alive, 0) AS BIGINT) AS last_pos, CAST(coalesce(alive, 0) AS BIGINT) AS alive, CAST(length('Document ' || d.doc_id) + coalesce(c, 0) AS BIGINT) AS chars, coalesce(ids, 0) AS ids, CAST(coalesce(refs, 0) AS BIGINT) AS \"references\" FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id",
 }
