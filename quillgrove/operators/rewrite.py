@@ -151,6 +151,17 @@ FILLED = {"field-text": "value", "submit": "label"}
 PAIRED = ("field", "term", "definition")
 
 
+def _formless(reg: Register) -> tuple[set[str], set[str]]:
+    """Elements above the base layer, and those of them that have no form there."""
+    above = {t for t, e in reg.elements.items() if e.layer > 0}
+    return above, above - {*RENAMED, *LISTS, LIFTED, DROPPED}
+
+
+def without_form(nodes: DataFrame, reg: Register) -> DataFrame:
+    """doc_id, t, n: what keeps documents from being lowered; `lowered` leaves these documents out."""
+    return nodes.where(F.col("t").isin(*_formless(reg)[1])).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+
+
 def lowered(nodes: DataFrame, reg: Register) -> DataFrame:
     """Documents in base-layer elements only, as rows: `functions.trees.lowered`, flattened.
 
@@ -158,10 +169,9 @@ def lowered(nodes: DataFrame, reg: Register) -> DataFrame:
     element above the base layer that has no form there are left out. What is in a table section of a form, which
     no valid document has, isn't paired.
     """
-    above = {t for t, e in reg.elements.items() if e.layer > 0}
-    formless = above - {*RENAMED, *LISTS, LIFTED, DROPPED}
+    above, formless = _formless(reg)
     if formless:
-        nodes = nodes.join(nodes.where(F.col("t").isin(*formless)).select("doc_id").distinct(), "doc_id", "left_anti")
+        nodes = nodes.join(without_form(nodes, reg).select("doc_id").distinct(), "doc_id", "left_anti")
     t = F.when(F.col("t").isin(*above), F.col("t"))  # the element, if a rule is for it
     said = lambda k: F.coalesce(field(k), F.lit(""))
 

@@ -12,18 +12,15 @@ doesn't ask again. Numbers keep the digits that they were written with. A page t
 from __future__ import annotations
 
 import json
-import time
-import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import trees
 from ..operators.nodes import written
+from .fetched import ALWAYS, MISSING, NEVER, Bodies
 
 SCHEMA = "page int, nth int, item string, error string"
-#: Fetch modes: only what isn't cached, nothing, everything again.
-MISSING, NEVER, ALWAYS = "missing", "never", "always"
 
 
 class Page(InputPartition):
@@ -59,25 +56,9 @@ class Reader(DataSourceReader):
 
     def body(self, page: int) -> bytes:
         """From the cache, or asked for and written there."""
-        from pyarrow import fs
-
-        store, folder = fs.FileSystem.from_uri(self.o["cache"])
-        path = f"{folder}/page-{page}.json"
-        if self.o["fetch"] != ALWAYS and store.get_file_info(path).type == fs.FileType.File:
-            with store.open_input_stream(path) as f:
-                return f.read()
-        if self.o["fetch"] == NEVER:
-            raise FileNotFoundError(f"page {page} isn't in the cache")
-        time.sleep(float(self.o["pause"]))
-        asked = urllib.request.Request(self.o["url"].format(page=page, size=self.o["size"]), headers={"Accept": "application/json"})
-        with urllib.request.urlopen(asked, timeout=float(self.o["timeout"])) as answer:
-            raw = answer.read()
-        store.create_dir(folder, recursive=True)
-        part = f"{path}.{time.time_ns()}"  # two tries of a task don't write into one file
-        with store.open_output_stream(part) as f:
-            f.write(raw)
-        store.move(part, path)
-        return raw
+        bodies = Bodies(self.o["cache"], self.o["fetch"], float(self.o["pause"]), float(self.o["timeout"]), "application/json")
+        url = self.o["url"].format(page=page, size=self.o["size"]) if "url" in self.o else None
+        return bodies.get(f"page-{page}.json", url)
 
     def read(self, partition: Page) -> Iterator[tuple]:
         try:
@@ -92,10 +73,5 @@ class Reader(DataSourceReader):
 
 def cached_pages(bodies: dict[int, bytes], folder: str) -> None:
     """Write bodies to a cache, as the source would."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
     for page, raw in bodies.items():
-        with store.open_output_stream(f"{path}/page-{page}.json") as f:
-            f.write(raw if isinstance(raw, bytes) else json.dumps(raw).encode())
+        Bodies(folder).put(f"page-{page}.json", raw if isinstance(raw, bytes) else json.dumps(raw).encode())

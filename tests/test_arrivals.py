@@ -35,7 +35,7 @@ def test_pages_are_read_from_the_cache(spark, tmp_path):
     rows = {(r["page"], r["nth"]): r for r in held.collect()}
     assert set(rows) == {(0, 0), (0, 1), (7, 0), (7, 1), (14, None), (28, None)}
     assert json.loads(rows[7, 1]["item"])["ada"] == "B7" and '"amount": 6200.50' in rows[0, 0]["item"] and "1e3" in rows[0, 0]["item"]
-    assert "JSONDecodeError" in rows[14, None]["error"] and "isn't in the cache" in rows[28, None]["error"]
+    assert "JSONDecodeError" in rows[14, None]["error"] and "isn't kept" in rows[28, None]["error"]
     docs = readers.records_of(held.where("error is null").select(F.concat_ws("-", "page", "nth").alias("key"), "item"), "item", id_col="key")
     assert nodes.from_trees(docs).where("t = 'document'").count() == 4
     with pytest.raises(Exception, match="needs"):
@@ -67,6 +67,39 @@ def test_pages_are_asked_for_once(spark, tmp_path):
     assert {r for r in again if not r[3]} == {r for r in first if not r[3]}
 
 
+def test_bodies_by_key(spark, tmp_path):
+    from quillgrove.functions import columns as C
+    from quillgrove.sources import fetched
+
+    folder, asked = f"file://{tmp_path}/xml", []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(404 if "404" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(b"<rfc><middle><t>%s</t></middle></rfc>" % self.path[1:].encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    keys = spark.createDataFrame([("9",), ("404",), (None,), ("21",)], "number string").repartition(2)
+    first = {r["doc_id"]: r for r in fetched.fetched(keys, folder, key_col="number", url=f"http://127.0.0.1:{server.server_port}/rfc{{key}}.xml", pause=0, suffix=".xml").collect()}
+    server.shutdown()
+    assert sorted(asked) == ["/rfc21.xml", "/rfc404.xml", "/rfc9.xml"] and first["404"]["raw"] is None and "404" in first["404"]["error"] and "no key" in first[None]["error"]
+    again = fetched.fetched(keys, folder, key_col="number", fetch="never", suffix=".xml")
+    assert {r["doc_id"]: r["raw"] for r in again.collect()} == {k: r["raw"] for k, r in first.items()}
+    mapped = readers.xml_of(again.where("error is null"), "raw", "standards", id_col="doc_id")
+    assert nodes.from_trees(mapped).where("t = 'document'").count() == 2
+    url = "https://a.example/x?y=1&z=" + "q" * 90
+    name = spark.createDataFrame([(url,)], "u string").select(C.cache_key(F.col("u"))).first()[0]
+    assert name == fetched.sanitised(url) and len(name) == 80
+    pages = spark.createDataFrame([('{"id": "PMC1"}',), ('{"id": "PMC2"}',), ('{"id": "PMC1"}',), ("{}",), (None,)], "item string")
+    assert sorted(r["key"] for r in fetched.discovered(pages, "$.id").collect()) == ["PMC1", "PMC2"]
+
+
 def plain_totals(rows, gap):
     """By definition: (doc, start) to (last, nodes, repeated, counts)."""
     out, open_ = {}, {}

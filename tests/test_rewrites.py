@@ -66,6 +66,7 @@ def test_lowering_on_rows_is_lowering_one_tree(spark):
 def test_documents_without_base_form_are_left_out(spark):
     elements = {**REG.elements, "motto": replace(REG.elements["sidebar"], name="motto"), "tab": Element("tab", 2, "block", "flow")}
     table = node_table(spark, {"a": doc({"t": "motto", "c": [par(text("x"))]}), "b": doc({"t": "tab", "label": "L", "c": [par(text("x"))]})})
+    assert [tuple(r) for r in rewrite.without_form(table, Register(elements)).collect()] == [("a", "motto", 1)]
     found = as_rows(rewrite.located(rewrite.lowered(table, Register(elements))))
     assert found == {"b": flat(trees.lowered(doc({"t": "tab", "label": "L", "c": [par(text("x"))]}), Register(elements)))}
 
