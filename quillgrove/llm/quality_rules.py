@@ -41,27 +41,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeat_words(words: Column) -> Column:
-    """How many words lie in three-word windows found twice or more."""
-
-    def positions(s: Column) -> Column:
-        """From sorted (hash, place) pairs, the places whose hash has an equal neighbour."""
-        n = F.size(s)
-        same = lambda x, j: F.get(s, j)["h"] == x["h"]
-        return F.array_sort(F.transform(F.filter(s, lambda x, j: ((j > 0) & same(x, j - 1)) | ((j < n - 1) & same(x, j + 1))), lambda x: x["i"]))
-
-    def covered(p: Column) -> Column:
-        n = F.size(p)
-        steps = F.transform(p, lambda x, j: F.when(j < n - 1, F.least(F.lit(3), F.get(p, j + 1) - x)).otherwise(F.lit(3)))
-        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-
-    def count(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(n < 4, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(pairs(h), lambda s: let(positions(s), covered)))))
-
-    return let(words, count).cast("long")
+def with_repeats(held: DataFrame) -> DataFrame:
+    """With n_repeat_words: how many of `w` lie in three-word windows found twice or more.
+
+    Each step is a column of its own, so that all but the lambdas is compiled and computed once.
+    """
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    placed = F.sort_array(F.arrays_zip(F.col("h").alias("h"), F.sequence(F.lit(0), F.size("h") - 1).alias("i")))
+    # Sorted by hash, each beside the hash before and after it; concat makes one entry more, which equals nothing and goes.
+    beside = F.arrays_zip(F.col("s.h").alias("h"), F.col("s.i").alias("i"), F.slice("s.h", 2, F.size("s")).alias("after"), F.concat(F.array(F.lit(None).cast("bigint")), "s.h").alias("before"))
+    steps = F.zip_with("p", F.slice("p", 2, F.size("p")), lambda a, b: F.least(F.lit(3), b - a))  # the last has no next: least() leaves out the null
+    return (
+        held.withColumn("h", F.when(F.size("w") < 4, F.array().cast("array<bigint>")).otherwise(hashes))
+        .withColumn("s", F.when(F.size(F.array_distinct("h")) == F.size("h"), none).otherwise(placed))
+        .withColumn("p", F.when(F.size("s") == 0, F.array().cast("array<int>")).otherwise(F.sort_array(F.filter(beside, lambda x: (x["h"] == x["after"]) | (x["h"] == x["before"]))["i"])))
+        .withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long"))
+    )
 
 
 def rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -88,22 +84,25 @@ def counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> Dat
     """The base counts of each document, and its histograms `classes` and `frequent`."""
     t = F.col("t")
     base = rows(docs, id_col, text_col, lang_col)
-    base = base.join(few(cut(common_words(base))), "lang", "left").withColumn("own", F.coalesce("own", F.array_repeat(F.lit(""), N_WORDS)))
+    base = base.join(few(cut(common_words(base).withColumn("joined", F.array_join("own", "\n")))), "lang", "left").withColumn("own", F.coalesce("own", F.array_repeat(F.lit(""), N_WORDS)))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    listed = F.array_remove(F.filter(F.split(F.lower(t), SPACE_RUN), lambda x: F.array_contains("own", x)), "")
-    frequent = let(listed, lambda c: F.transform("own", lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long")))
-    words = F.array_remove(F.split(t, SPACE_RUN), "")
-    return base.select(
+    # Most words aren't even part of the common ones set side by side, which is quicker to see.
+    listed = F.array_remove(F.filter(F.split(F.lower(t), SPACE_RUN), lambda x: F.contains("joined", x) & F.array_contains("own", x)), "")
+    frequent = F.transform("own", lambda w: (F.size("listed") - F.size(F.array_remove("listed", w))).cast("long"))
+    return with_repeats(base.withColumn("w", F.array_remove(F.split(t, SPACE_RUN), ""))).select(
         "doc_id",
         "lang",
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "n_repeat_words",
         without(SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.array(*[without(p).cast("long") for p in CLASSES.values()]).alias("classes"),
-        frequent.alias("frequent"),
+        "own",
+        listed.alias("listed"),
     ).select(
-        "doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "frequent",
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", frequent.alias("frequent"),
         F.concat("classes", F.array("n_symbols")).alias("classes"),
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
