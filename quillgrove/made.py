@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import trees
 from .operators import measures, nodes, ordered, reports, validate
-from .operators.kept import kept
+from .operators.kept import kept, spread
 from .plans.register import ELEMENTS, Register, built_in, from_json
 from .sources import readers, writers
 
@@ -22,7 +22,7 @@ REG = built_in()
 
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).cast("long").alias("k"))
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).cast("long").alias("k")), "k")
 
 
 def by_key(cases: list[str], k: Column | None = None) -> Column:
@@ -199,7 +199,7 @@ LOWERED = [
 
 def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text node of each customer's name: canonical JSON, CBOR and digest, and the proof of its paragraph."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("c_name").alias("v"), F.lit("text").alias("t"))).alias("raw"))
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("c_name").alias("v"), F.lit("text").alias("t"))).alias("raw"))
     v = nodes.views(c, REG, columns=("canonical", "cbor", "digest"))
     return v.select("doc_id", F.col("canonical").cast("string").alias("canonical"), F.lower(F.hex("cbor")).alias("cbor"), "digest")
 
@@ -352,7 +352,7 @@ def laws_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of orders with money, flags, lists, maps and rows: elements, findings and errors."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"))
+    o = rows_of(spark, sf_dir, "orders", "o_orderkey")
     raw = F.concat(
         F.lit('{"paidAmount": {"amount": '), F.when(F.col("k") % 3 == 0, F.lit("12.5")).when(F.col("k") % 3 == 1, F.lit("7")).otherwise(F.lit("null")), F.lit(', "currency": "EUR"}, "isOpen": true, "notes": ["first", ""], "pairs": {"k": "v", "e": ""}'),
         _if(2, ', "rows": [{"a": 1}, {"b": "x", "a": 2}]'), F.lit("}"),

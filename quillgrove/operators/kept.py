@@ -1,4 +1,4 @@
-"""Results that several rules read, computed once."""
+"""Results that several rules read, computed once, and rows dealt over tasks."""
 
 from __future__ import annotations
 
@@ -16,9 +16,16 @@ def _shared(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    _shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from Parquet in spark.checkpoint.dir, so that each reader takes only its columns; only a local session without one gets a folder of its own."""
+    folder = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt over tasks by key, before each becomes much work: a file of keys is small, so it is read by one task or a few, whatever its rows are to become."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

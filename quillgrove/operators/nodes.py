@@ -25,23 +25,124 @@ def _rows(table: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(table, schema=schema)
 
 
+#: Documents that a task turns from Arrow into Python at a time.
+DOCS_AT_ONCE = 256
+#: Rows or characters of output after which a task hands a batch on.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 20_000, 4_000_000
+
+
+def in_short(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[tuple]:
+    """The rows of batches as tuples; only a few documents at a time are Python's."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(at, DOCS_AT_ONCE)
+            yield from zip(*[part.column(i).to_pylist() for i in range(columns)], strict=True)
+
+
+def _listed(ends: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, _I), values)
+
+
+class Flat:
+    """Rows of the node table as columns, filled document by document."""
+
+    def __init__(self) -> None:
+        self.plain: dict[str, list] = {k: [] for k in ("doc_id", "pos", "depth", "parent_pos", "ord", "t", "n_children", "last_pos", "place")}
+        self.ends: dict[str, list[int]] = {k: [0] for k in ("path", "fields", "malformed")}
+        self.path, self.malformed, self.names, self.kinds, self.values = [], [], [], [], []
+
+    def __len__(self) -> int:
+        return len(self.plain["pos"])
+
+    def add(self, doc_id: str, tree: object) -> None:
+        """A document's nodes in document order, as `trees.flattened` gives them; all or, if one has no row, none."""
+        marks = [(x, len(x)) for x in (*self.plain.values(), *self.ends.values(), self.path, self.malformed, self.names, self.kinds, self.values)]
+        try:
+            self._fill(doc_id, tree)
+        except Exception:
+            for x, n in marks:
+                del x[n:]
+            raise
+
+    def _fill(self, doc_id: str, tree: object) -> None:
+        docs, poss, depths, ups, orders, ts, counts, lasts, places = self.plain.values()
+        begin, path_ends, field_ends, bad_ends = len(poss), *self.ends.values()
+        stack: list[tuple] = [(tree, (), -1, 0, "")]
+        pos = -1
+        while stack:
+            at, path, parent, order, place = stack.pop()
+            pos += 1
+            kids: list = []
+            t = None
+            if not isinstance(at, dict):
+                self.malformed.append("node")
+            else:
+                t = at.get("t")
+                if "c" in at:
+                    c = at["c"]
+                    if isinstance(c, list):
+                        kids = [x for x in c if isinstance(x, dict)]
+                        self.malformed += ["child"] * (len(c) - len(kids))
+                    else:
+                        self.malformed.append("children")
+                if not isinstance(t, str):
+                    if "t" in at:
+                        self.malformed.append("type")
+                    t = None
+                for k, v in at.items():
+                    if k != "t" and k != "c":
+                        kind, value = ("str", v) if type(v) is str else trees.tagged(v)
+                        self.names.append(str(k))
+                        self.kinds.append(kind)
+                        self.values.append(value)
+            docs.append(doc_id)
+            poss.append(pos)
+            depths.append(len(path))
+            ups.append(parent)
+            orders.append(order)
+            ts.append(t)
+            counts.append(len(kids))
+            lasts.append(pos)
+            places.append(place or "/")
+            self.path += path
+            path_ends.append(len(self.path))
+            field_ends.append(len(self.names))
+            bad_ends.append(len(self.malformed))
+            for i in range(len(kids) - 1, -1, -1):
+                stack.append((kids[i], (*path, i), pos, i, f"{place}/{i}:{trees.kind_of(kids[i])}"))
+        for at in range(len(poss) - 1, begin, -1):
+            up = begin + ups[at]
+            if lasts[at] > lasts[up]:
+                lasts[up] = lasts[at]
+
+    def unreadable(self, doc_id: str, why: str) -> None:
+        for k, v in zip(self.plain, (doc_id, 0, 0, -1, 0, None, 0, 0, "/"), strict=True):
+            self.plain[k].append(v)
+        self.malformed.append(why)
+        for k, held in zip(self.ends, (self.path, self.names, self.malformed), strict=True):
+            self.ends[k].append(len(held))
+
+    def batch(self) -> pa.RecordBatch:
+        fields = pa.StructArray.from_arrays([pa.array(x, _S) for x in (self.names, self.kinds, self.values)], ["name", "kind", "value"])
+        lists = {"path": _listed(self.ends["path"], pa.array(self.path, _I)), "fields": _listed(self.ends["fields"], fields), "malformed": _listed(self.ends["malformed"], pa.array(self.malformed, _S))}
+        return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.array(self.plain[f.name], f.type) for f in ROWS], schema=ROWS)
+
+
 def from_trees(docs: DataFrame, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """Nodes of documents given as bytes or text; unreadable ones give one malformed row."""
     read = read or trees.load_json
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = trees.flattened(read(raw))
-                except (ValueError, TypeError, IndexError, KeyError, RecursionError) as e:
-                    found = [{"pos": 0, "path": [], "depth": 0, "parent_pos": -1, "ord": 0, "t": None, "fields": [], "n_children": 0, "malformed": [f"unreadable: {type(e).__name__}"], "last_pos": 0, "place": "/"}]
-                out += [{"doc_id": doc_id, **r} for r in found]
-                if len(out) > 20_000:
-                    yield _rows(out, ROWS)
-                    out = []
-            yield _rows(out, ROWS)
+        out = Flat()
+        for doc_id, raw in in_short(batches):
+            try:
+                out.add(doc_id, read(raw))
+            except (ValueError, TypeError, IndexError, KeyError, RecursionError) as e:
+                out.unreadable(doc_id, f"unreadable: {type(e).__name__}")
+            if len(out) > ROWS_AT_ONCE:
+                yield out.batch()
+                out = Flat()
+        yield out.batch()
 
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, SCHEMA)
 
@@ -113,15 +214,18 @@ def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None
         return {c: made[c][1](sources[made[c][0]]) for c in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = view(raw)
-                except (ValueError, TypeError, KeyError, AttributeError, IndexError):
-                    found = dict.fromkeys(wanted)
-                out.append({"doc_id": doc_id, **found})
-            yield _rows(out, schema)
+        out, chars = [], 0
+        for doc_id, raw in in_short(batches):
+            try:
+                found = view(raw)
+            except (ValueError, TypeError, KeyError, AttributeError, IndexError):
+                found = dict.fromkeys(wanted)
+            out.append({"doc_id": doc_id, **found})
+            chars += len(raw or "")
+            if chars > CHARS_AT_ONCE or len(out) >= ROWS_AT_ONCE:
+                yield _rows(out, schema)
+                out, chars = [], 0
+        yield _rows(out, schema)
 
     ddl = "doc_id string, " + ", ".join(f"{c} {kinds.get(c, ('string',))[0]}" for c in wanted)
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, ddl)

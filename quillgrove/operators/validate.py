@@ -24,8 +24,8 @@ FILLED, PAIRED = ("list", "contents", "bibliography"), ("term-list", "signature-
 REFERRING = {"reference": "target", "note-ref": "target", "citation": "target", "rendering": "payload"}
 
 
-def _broken(v: Column, kind: Column, spec: Column) -> Column:
-    """Rules that a declared field breaks, as an array."""
+def _checks(v: Column, kind: Column, spec: Column) -> list[tuple[str, Column]]:
+    """Rules with what breaks them in a declared field."""
     t = spec["type"]
     whole, flag, written = t == "int", t == "bool", ~t.isin("int", "bool")
     text, number = written & (kind == "str"), whole & (kind == "int")
@@ -33,7 +33,7 @@ def _broken(v: Column, kind: Column, spec: Column) -> Column:
     for name, pattern in SHAPES.items():
         shaped = shaped | ((t == name) & ~v.rlike(pattern))
     scheme = F.lower(F.regexp_extract(v, C.SCHEME, 1))
-    checks = [
+    return [
         ("R5", (whole & (kind != "int")) | (flag & (kind != "bool")) | (written & (kind != "str"))),
         ("R7", number & spec["low"].isNotNull() & ~v.try_cast("decimal(38,0)").between(spec["low"], spec["high"])),
         ("R8", text & spec["required"] & C.blank(v)),
@@ -43,10 +43,24 @@ def _broken(v: Column, kind: Column, spec: Column) -> Column:
         ("R19", text & (t == "iri") & (scheme != "") & ~scheme.isin(*C.SCHEMES)),
         ("R5", text & shaped),
     ]
-    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in checks]))
+
+
+def _broken(v: Column, kind: Column, spec: Column) -> Column:
+    """Rules that a declared field breaks, as an array."""
+    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in _checks(v, kind, spec)]))
     return F.when(kind == "float", F.array(F.lit("R13"))).otherwise(found)
 
 
+def _suspect() -> Column:
+    """Whether a node may break a rule by itself; false for nearly all, which then need no array of what they break."""
+    t = F.col("t")
+    faulty = lambda f, s: (f["kind"] == "float") | F.coalesce(reduce(Column.__or__, [c for _, c in _checks(f["value"], f["kind"], s)]), F.lit(False))
+    missing = F.exists("specs", lambda s: s["required"] & ~F.exists("fields", lambda f: f["name"] == s["name"]))
+    unfit = F.exists("fields", lambda f: ~F.exists("specs", lambda s: (s["name"] == f["name"]) & ~faulty(f, s)))
+    shape = (F.size("malformed") > 0) | F.col("et").isNull() | (F.col("depth") == 0) | (F.col("depth") > MAX_DEPTH) | t.isin("date", "payload") | ((F.col("n_children") == 0) & t.isin(*FILLED, *PAIRED, "document"))
+    return F.coalesce(shape | missing | unfit, F.lit(True))
+
+
 def _said(rule: Column | str, detail: Column | str) -> Column:
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(as_column(rule).alias("rule"), as_column(detail).alias("detail"))
@@ -60,10 +74,10 @@ def _own_rules() -> Column:
     missing = F.filter("specs", lambda s: s["required"] & ~F.exists("fields", lambda f: f["name"] == s["name"]))
 
     def of_field(f: Column) -> Column:
-        spec = F.get(F.filter("specs", lambda s: s["name"] == f["name"]), F.lit(0))
+        # The field's spec is a lambda's variable: an expression would be looked up again for each rule.
+        broken = F.flatten(F.transform(F.filter("specs", lambda s: s["name"] == f["name"]), lambda s: F.transform(_broken(f["value"], f["kind"], s), lambda r: _said(r, f["name"]))))
         exempt = (t == "document") & (f["name"] == "register")
-        broken = F.transform(_broken(f["value"], f["kind"], spec), lambda r: _said(r, f["name"]))
-        return F.when(spec.isNotNull(), broken).when(exempt, none).otherwise(F.array(_said("R4", F.concat(F.lit("unknown field "), f["name"]))))
+        return F.when(F.exists("specs", lambda s: s["name"] == f["name"]), broken).when(exempt, none).otherwise(F.array(_said("R4", F.concat(F.lit("unknown field "), f["name"]))))
 
     inside = F.concat(
         F.transform(missing, lambda s: _said("R3", F.concat(F.lit("missing "), s["name"]))),
@@ -80,6 +94,31 @@ def _own_rules() -> Column:
     return F.concat(root, F.when(deep, F.array(_said("R21", f"nested deeper than {MAX_DEPTH}"))).otherwise(shallow))
 
 
+#: Marks of a document's nodes: a diagnostic, an id, a reference to one, an unknown element; the last comes last at its position, as it hides what is below it only.
+FOUND, NAMED, ASKED, UNKNOWN = range(4)
+
+
+def _mark(kind: int, rule: Column | str | None = None, place: Column | None = None, detail: Column | None = None, ident: Column | None = None, to: Column | None = None) -> Column:
+    typed = lambda c, kind: (F.lit(c) if c is None or isinstance(c, str) else c).cast(kind)
+    return F.struct(F.lit(kind).alias("kind"), typed(rule, "string").alias("rule"), typed(place, "string").alias("place"), typed(detail, "string").alias("detail"), typed(ident, "string").alias("id"), typed(to, "int").alias("to"))
+
+
+def _marks() -> Column:
+    """All marks that a node sets by itself; most nodes set none."""
+    one = lambda c, mark: F.when(c, F.array(mark))
+    ident, target = field("id", "str"), F.coalesce(*[F.when(F.col("t") == t, field(k, "str")) for t, k in REFERRING.items()])
+    own = F.transform(_own_rules(), lambda d: _mark(FOUND, d["rule"], F.when(d["rule"] == "R2", "/").otherwise(F.col("place")), d["detail"]))
+    known = F.col("et").isNotNull()
+    has_id = F.exists("fields", lambda f: (f["name"] == "id") & (f["kind"] == "str"))
+    marks = [
+        F.when((F.col("depth") <= MAX_DEPTH + 1) & _suspect(), own),
+        one(known & (F.col("depth") <= MAX_DEPTH) & has_id & ident.isNotNull(), _mark(NAMED, "R12", F.col("place"), ident, ident)),
+        one(F.col("t").isin(*REFERRING) & target.isNotNull(), _mark(ASKED, "R11", F.concat(F.lit("/"), "t"), target, target)),
+        one(~known, _mark(UNKNOWN, to=F.col("last_pos"))),
+    ]
+    return F.flatten(F.array_compact(F.array(*marks)))
+
+
 def _child_rules() -> Column:
     """What a child and its parent decide, as an array of (rule, place, detail)."""
     model, at = F.col("pm"), F.when(F.col("pp") == "/", "").otherwise(F.col("pp"))
@@ -102,8 +141,8 @@ def _child_rules() -> Column:
 def validate(nodes: DataFrame, reg: Register) -> DataFrame:
     """All diagnostics of the documents in a node table.
 
-    One pass reports what a node alone decides; ids, references and children each take a
-    window or a join by document. The register is tens of rows and is broadcast.
+    One pass marks what a node alone decides; only marks go on, to windows by document for what unknown elements hide, ids and
+    references. Children meet their parents in one more window, of few columns. The register is tens of rows and is broadcast.
     """
     return validate_by(nodes.withColumn("register", F.lit(reg.digest)), [reg]).drop("register")
 
@@ -116,33 +155,33 @@ def validate_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
     spark = nodes.sparkSession
     every = [dimensions(spark, r) for r in registers]
     elements_of, fields_of = (reduce(DataFrame.unionAll, [d[k] for d in every]) for k in ("elements", "fields"))
-    doc = ["register", "doc_id"]
+    doc = ["doc_id", "register"]  # sorted by what differs first
     specs = fields_of.groupBy("register", "t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
     elements = elements_of.join(specs, ["register", "t"], "left").select(F.col("register").alias("er"), F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
     known = nodes.join(F.broadcast(elements), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left").drop("er")
-    before = Window.partitionBy(*doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    stop = F.max(F.when(F.col("et").isNull(), F.col("last_pos"))).over(before)
-    seen = known.withColumn("stop", stop).where("stop is null or stop < pos").where(F.col("depth") <= MAX_DEPTH + 1).drop("stop")
-    good = seen.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
-    place = F.when(F.col("d.rule") == "R2", "/").otherwise(F.col("place"))
-    own = seen.withColumn("d", F.explode(_own_rules())).select(*doc, "pos", "d.rule", place.alias("place"), "d.detail")
+    good = known.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
 
     beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(r"[^\x00-\x7F]") & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
-    wide = good.select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f"))
-    unnormal = wide.where(~C.is_nfc(F.col("f.value"))).select(*doc, "pos", F.lit("R15").alias("rule"), "place", F.col("f.name").alias("detail"))
-
-    ids = good.select(*doc, "pos", "place", field("id", "str").alias("id")).where("id is not null")
-    nth = F.row_number().over(Window.partitionBy(*doc, "id").orderBy("pos"))
-    again = ids.withColumn("nth", nth).where("nth > 1").select(*doc, "pos", F.lit("R12").alias("rule"), "place", F.col("id").alias("detail"))
-    target = F.coalesce(*[F.when(F.col("t") == t, field(k, "str")) for t, k in REFERRING.items()])
-    asked = nodes.where(F.col("t").isin(*REFERRING)).select(*doc, "pos", "t", target.alias("id")).where("id is not null")
-    dangling = asked.join(ids.select(*doc, "id").distinct(), [*doc, "id"], "left_anti").select(*doc, "pos", F.lit("R11").alias("rule"), F.concat(F.lit("/"), "t").alias("place"), F.col("id").alias("detail"))
-
-    parents = good.select(*doc, F.col("pos").alias("up"), F.col("t").alias("pt"), F.col("place").alias("pp"), F.col("model").alias("pm"), F.col("permitted").alias("allowed"), F.col("n_children").alias("among"))
-    following = F.lead("t").over(Window.partitionBy(*doc, "up").orderBy("ord"))
-    kids = known.select(*doc, "pos", F.col("parent_pos").alias("up"), "ord", "t", "cls").join(parents, [*doc, "up"]).withColumn("following", following)
-    fits = kids.withColumn("d", F.explode(_child_rules())).select(*doc, "pos", "d.rule", "d.place", "d.detail")
-    found = own.unionAll(unnormal).unionAll(again).unionAll(dangling).unionAll(fits)
+    wide = good.select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f")).where(~C.is_nfc(F.col("f.value")))
+    unnormal = wide.select(*doc, "pos", F.col("pos").alias("at"), _mark(FOUND, "R15", F.col("place"), F.col("f.name")).alias("m"))
+
+    # A parent stands in front of its children in one order by place, so that they meet in a window, not in a join of the table with itself.
+    parents = known.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull() & (F.col("last_pos") > F.col("pos"))).select(*doc, "pos", F.col("pos").alias("up"), F.lit(-1).alias("ord"), "t", "place", F.col("n_children").alias("among"))
+    children = nodes.where("parent_pos >= 0").select(*doc, "pos", F.col("parent_pos").alias("up"), "ord", "t", F.lit(None).cast("string").alias("place"), F.lit(None).cast("int").alias("among"))
+    family = Window.partitionBy(*doc, "up").orderBy("ord")
+    met = parents.unionAll(children).withColumns({"p": F.first(F.struct("ord", "t", "place", "among")).over(family), "following": F.lead("t").over(family)}).where("ord >= 0 and p.ord = -1")
+    above, own = (F.broadcast(elements.select(F.col("er").alias(f"{k}r"), F.col("et").alias(f"{k}t"), *more)) for k, more in (("u", [F.col("model").alias("pm"), F.col("permitted").alias("allowed")]), ("k", ["cls"])))
+    kids = met.join(above, (F.col("register") == F.col("ur")) & (F.col("p.t") == F.col("ut"))).join(own, (F.col("register") == F.col("kr")) & (F.col("t") == F.col("kt")), "left")
+    kids = kids.select(*doc, "pos", "up", "ord", "t", "cls", "pm", "allowed", "following", F.col("p.t").alias("pt"), F.col("p.place").alias("pp"), F.col("p.among").alias("among"))
+    fits = kids.withColumn("d", F.explode(_child_rules())).select(*doc, "pos", F.col("up").alias("at"), _mark(FOUND, F.col("d.rule"), F.col("d.place"), F.col("d.detail")).alias("m"))
+
+    alone = known.select(*doc, "pos", F.col("pos").alias("at"), F.explode(_marks()).alias("m"))
+    marks = alone.unionAll(unnormal).unionAll(fits).select(*doc, "pos", "at", "m.*")
+    before = Window.partitionBy(*doc).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marks.withColumn("stop", F.max("to").over(before)).where((F.col("kind") != UNKNOWN) & ((F.col("kind") == ASKED) | F.col("stop").isNull() | (F.col("stop") < F.col("at"))))
+    named = Window.partitionBy(*doc, "id").orderBy("kind", "pos")
+    held = seen.withColumns({"nth": F.row_number().over(named), "first": F.first("kind").over(named)})
+    found = held.where((F.col("kind") == FOUND) | ((F.col("kind") == NAMED) & (F.col("nth") > 1)) | ((F.col("kind") == ASKED) & (F.col("first") == ASKED)))
     return found.select("doc_id", "pos", "rule", "place", "detail", "register")
 
 
@@ -157,7 +196,8 @@ def by_rule(diags: DataFrame) -> DataFrame:
 def conforming(docs: DataFrame, diags: DataFrame) -> DataFrame:
     """doc_id, errors, conforms of every document."""
     found = diags.groupBy("doc_id").agg(F.count("*").alias("errors"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.col("errors").isNull().alias("conforms"))
+    # Both sides grow with the documents: neither is to be broadcast because its file is small.
+    return docs.select("doc_id").join(found.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.col("errors").isNull().alias("conforms"))
 
 
 def pinned(nodes: DataFrame, current: Register, archive: dict[str, Register]) -> DataFrame:
@@ -174,6 +214,6 @@ def validate_pinned(nodes: DataFrame, current: Register, archive: dict[str, Regi
     One plan for all versions: a document with an archived pin has its rows twice, under either register.
     """
     pins = pinned(nodes, current, archive).where("outcome = 'archived'").select("doc_id", "pin")
-    held = nodes.join(pins, "doc_id", "left")
+    held = nodes.join(pins.hint("merge"), "doc_id", "left")
     by = F.array_compact(F.array(F.lit(current.digest), F.col("pin")))
     return validate_by(held.withColumn("register", F.explode(by)).drop("pin"), [current, *[r for d, r in archive.items() if d != current.digest]])

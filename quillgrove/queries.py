@@ -11,7 +11,7 @@ from .functions import columns as C
 from .functions import surface, trees
 from . import made, whole
 from .operators import degrade, generate, measures, nodes, ordered, reports, validate
-from .operators.kept import kept
+from .operators.kept import kept, spread
 from .plans.register import built_in
 from .sources import readers, writers
 from .streaming import ingest
@@ -90,7 +90,7 @@ def coverage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpora of texts and of records made from events; a fixture shows tables."""
     n = _nodes(spark, sf_dir).select(F.lit("texts").alias("genre"), "t")
-    held = nodes.from_trees(readers.records_of(table(spark, sf_dir, "events"), "props", id_col="event_id")).select(F.lit("records").alias("genre"), "t")
+    held = nodes.from_trees(readers.records_of(spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id"), "props", id_col="event_id")).select(F.lit("records").alias("genre"), "t")
     used = n.unionAll(held)
     fixture = spark.createDataFrame([("table",), ("row",)], "t string")
     return measures.verdicts(used, REG, fixture)
@@ -211,7 +211,7 @@ def form_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as documents, validated: elements and errors."""
-    n = nodes.from_trees(readers.records_of(table(spark, sf_dir, "events"), "props", id_col="event_id"))
+    n = nodes.from_trees(readers.records_of(spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id"), "props", id_col="event_id"))
     n = kept(n)  # parsed once for all rules
     errors = validate.validate(n, REG).agg(F.count("*").alias("n")).select(F.lit("(errors)").alias("t"), "n")
     return measures.histogram(n, REG).select("t", "n").unionAll(errors)
@@ -251,7 +251,7 @@ def smallest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = [generate.hosted(e, REG) for e in REG.elements]
     chosen = F.get(F.array(*[F.lit(json.dumps(c)) for c in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
     raw = F.replace(chosen, F.lit('"v": "x"'), F.concat(F.lit('"v": '), F.expr("substring(to_json(array(p_name)), 2, length(to_json(array(p_name))) - 2)")))
-    held = kept(nodes.from_trees(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), raw.alias("raw"))))
+    held = kept(nodes.from_trees(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("doc_id"), raw.alias("raw"))))
     state = validate.conforming(held.where("depth = 0"), validate.validate(held, REG))
     named = F.get(F.array(*[F.lit(e) for e in REG.elements]), (F.col("doc_id").cast("long") % len(cases)).cast("int"))
     shown = measures.units(held.where("t = 'text'")).groupBy("doc_id").agg(F.sum(F.length("unit")).alias("chars"), F.count("*").alias("texts"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import surface, trees
 from .operators import diff, fold, measures, nodes, proofs, reports, rewrite, validate
-from .operators.kept import kept, shared_folder
+from .operators.kept import kept, shared_folder, spread
 from .plans.register import ELEMENTS, Register, built_in, from_json
 from .sources import readers, xml_parts
 from .streaming import arrivals
@@ -158,7 +158,7 @@ def versions_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.element_at(F.array(*[F.lit(k) for k in range(1, 7)]), (F.col("p_size") % 6 + 1).cast("int"))
     kids = [element("motto", leaf("text", v=F.col("p_name"))), element("sidebar", paragraph(F.col("p_brand"))), element("heading", leaf("text", v=F.col("p_type")), level=level), element("section", paragraph("x"))]
     raw = element("document", *kids, id="urn:a:b", lang="en", title=F.col("p_name"), register=pin)
-    n = kept(nodes.from_trees(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), raw.alias("raw"))))
+    n = kept(nodes.from_trees(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("doc_id"), raw.alias("raw"))))
     archive = {r.digest: r for r in known.values()}
     found = validate.validate_pinned(n, REG, archive).groupBy("doc_id").agg(F.count_if(F.col("register") == REG.digest).alias("now"), F.count_if(F.col("register") != REG.digest).alias("then"))
     held = validate.pinned(n, REG, archive).join(found, "doc_id", "left")
@@ -210,7 +210,7 @@ def records_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     file = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), key).alias("description"), F.col("o_totalprice").cast("long").alias("size"))
     record = F.struct(key.alias("key"), F.concat(F.lit("Order "), key).alias("subject"), F.col("o_orderstatus").alias("status"), customer.alias("customer"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("issued"), F.array(file).alias("files"), F.array(customer).alias("signers"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(record).alias("raw"))
+    rows = spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.to_json(record).alias("raw"))
     labels = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("label"))
     return nodes.views(readers.laid_out(rows, "raw", ORDER, id_col="o_orderkey", labels=labels), REG, columns=("plain",))
 
