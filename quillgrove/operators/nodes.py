@@ -191,8 +191,11 @@ def from_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return base.select("doc_id", F.inline(rows)).select(*[c.split(" ")[0] for c in SCHEMA.replace("name:string,kind:string,value:string", "x").split(", ")])
 
 
-def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw", domain: str = "node", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Representations and digests of each document, all or the columns asked for; null where the tree has none. `markdown` is the surface."""
+def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw", domain: str = "node", columns: tuple[str, ...] | None = None, more: tuple[tuple[str, ...], Callable[[dict], dict], dict[str, str]] | None = None) -> DataFrame:
+    """Representations and digests of each document, all or the columns asked for; null where the tree has none. `markdown` is the surface.
+
+    `more` are columns made from others that needn't be given themselves: those, the function from them, and the flags (boolean) or texts that it gives.
+    """
     from ..functions import surface
 
     read, tag = read or trees.load_json, domain.encode()
@@ -203,15 +206,19 @@ def views(docs: DataFrame, reg: Register, read: Callable[[bytes], object] | None
         "root": ("blocks", lambda b: trees.merkle_root(b).hex()), "blocks": ("blocks", len),
     }
     wanted = columns or tuple(c for c in made if c != "markdown")
-    kinds = {**dict.fromkeys(("canonical", "cbor", "base"), ("binary", pa.binary())), **dict.fromkeys(("units", "base_units"), ("array<string>", _SS)), "blocks": ("int", _I)}
+    needed, derive, derived = more or ((), lambda held: {}, {})
+    own = tuple(dict.fromkeys([*(c for c in wanted if c not in derived), *needed]))
+    kinds = {**{c: (k, pa.bool_() if k == "boolean" else _S) for c, k in derived.items()}, **dict.fromkeys(("canonical", "cbor", "base"), ("binary", pa.binary())), **dict.fromkeys(("units", "base_units"), ("array<string>", _SS)), "blocks": ("int", _I)}
     schema = pa.schema([("doc_id", _S), *[(c, kinds.get(c, ("string", _S))[1]) for c in wanted]])
 
     def view(raw: object) -> dict:
         sources: dict[str, object] = {"doc": read(raw)}
         for source, make in (("base", lambda d: trees.lowered(d, reg)), ("blocks", lambda d: trees.block_digests(d, reg, tag))):
-            if any(made[c][0] == source for c in wanted):
+            if any(made[c][0] == source for c in own):
                 sources[source] = make(sources["doc"])
-        return {c: made[c][1](sources[made[c][0]]) for c in wanted}
+        held = {c: made[c][1](sources[made[c][0]]) for c in own}
+        held |= derive(held)
+        return {c: held[c] for c in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, chars = [], 0

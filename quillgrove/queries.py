@@ -104,19 +104,16 @@ def envelope_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether JSON, CBOR and surface of each document have one digest, and the surface is a fixed point."""
+    """Whether JSON and CBOR of each document have one digest, and the surface is a fixed point; each is read back where it was written, one document at a time."""
     held = nodes.views(_trees(spark, sf_dir), REG, columns=("digest", "cbor", "surface", "units", "base_units"))
 
-    @F.pandas_udf("by_cbor string, by_surface string, again string")
-    def read_back(cbor, written):
-        import pandas as pd
+    def read_back(doc: dict) -> dict:
+        tree = surface.read(doc["surface"], REG)
+        same = sorted(doc["units"]) == sorted(doc["base_units"])
+        return {"by_cbor": trees.structural_hash(trees.from_cbor(doc["cbor"])).hex() == doc["digest"], "again": surface.write(tree) == doc["surface"], "same": same}
 
-        a = [trees.structural_hash(trees.from_cbor(bytes(x))).hex() for x in cbor]
-        docs = [surface.read(x, REG) for x in written]
-        return pd.DataFrame({"by_cbor": a, "by_surface": [trees.structural_hash(d).hex() for d in docs], "again": [surface.write(d) for d in docs]})
-
-    back = held.withColumn("b", read_back("cbor", "surface"))
-    return back.agg(F.count("*").alias("documents"), F.count_if(F.col("digest") == F.col("b.by_cbor")).alias("by_cbor"), F.count_if(F.col("surface") == F.col("b.again")).alias("surface_again"), F.count_if(F.array_sort("units") == F.array_sort("base_units")).alias("nothing_lost"))
+    back = nodes.views(_trees(spark, sf_dir), REG, columns=("by_cbor", "again", "same"), more=(("digest", "cbor", "surface", "units", "base_units"), read_back, {"by_cbor": "boolean", "again": "boolean", "same": "boolean"}))
+    return back.agg(F.count("*").alias("documents"), F.count_if("by_cbor").alias("by_cbor"), F.count_if("again").alias("surface_again"), F.count_if("same").alias("nothing_lost"))
 
 
 def not_carried(spark: SparkSession, sf_dir: str) -> DataFrame:

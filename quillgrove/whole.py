@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,15 +190,13 @@ def conversation_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [element("admonition", c=said, kind="note"), element("disclosure", c=said, summary=role, open=False), element("list", c=items, ordered=True, start=F.col("turn") + 1), element("quote", c=said, source=role)]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(F.array(*kinds), (F.col("turn") % 4).cast("int")).alias("part"))
     key = F.col("conv_id").cast("string")
-    held = nodes.views(joined(turns, F.concat(F.lit("Conversation "), key), F.concat(F.lit("urn:talk:"), key)), REG, columns=("surface", "digest"))
+    def read_back(talk: dict) -> dict:
+        tree = surface.read(talk["surface"], REG)
+        return {"same_tree": trees.structural_hash(tree).hex() == talk["digest"], "same_text": surface.write(tree) == talk["surface"]}
 
-    @F.pandas_udf("digest string, again string")
-    def read_back(written: pd.Series) -> pd.DataFrame:
-        docs = [surface.read(x, REG) for x in written]
-        return pd.DataFrame({"digest": [trees.structural_hash(d).hex() for d in docs], "again": [surface.write(d) for d in docs]})
-
-    back = held.withColumn("b", read_back("surface"))
-    return back.select("doc_id", "surface", (F.col("digest") == F.col("b.digest")).alias("same_tree"), (F.col("surface") == F.col("b.again")).alias("same_text"))
+    # Each is read back where it was written, one at a time.
+    talks_ = joined(turns, F.concat(F.lit("Conversation "), key), F.concat(F.lit("urn:talk:"), key))
+    return nodes.views(talks_, REG, columns=("surface", "same_tree", "same_text"), more=(("surface", "digest"), read_back, {"same_tree": "boolean", "same_text": "boolean"}))
 
 
 ORDER = readers.Layout(key="key", title="subject", pairs=(("Status", "status", "text"), ("Customer", "customer", "entity"), ("Issued", "issued", "day")), attachments="files", signers="signers", href="https://orders.example/{key}/files/{id}")
