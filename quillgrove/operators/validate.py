@@ -57,7 +57,7 @@ def _suspect() -> Column:
     faulty = lambda f, s: (f["kind"] == "float") | F.coalesce(reduce(Column.__or__, [c for _, c in _checks(f["value"], f["kind"], s)]), F.lit(False))
     missing = F.exists("specs", lambda s: s["required"] & ~F.exists("fields", lambda f: f["name"] == s["name"]))
     unfit = F.exists("fields", lambda f: ~F.exists("specs", lambda s: (s["name"] == f["name"]) & ~faulty(f, s)))
-    shape = (F.size("malformed") > 0) | F.col("et").isNull() | (F.col("depth") == 0) | (F.col("depth") > MAX_DEPTH) | t.isin("date", "payload") | ((F.col("n_children") == 0) & t.isin(*FILLED, *PAIRED, "document"))
+    shape = (F.size("malformed") > 0) | F.col("et").isNull() | ((F.col("depth") == 0) & (t != "document")) | (F.col("depth") > MAX_DEPTH) | t.isin("date", "payload") | ((F.col("n_children") == 0) & t.isin(*FILLED, *PAIRED, "document"))
     return F.coalesce(shape | missing | unfit, F.lit(True))
 
 
@@ -138,6 +138,24 @@ def _child_rules() -> Column:
     return F.array_compact(F.array(*[F.when(c, d) for c, d in found]))
 
 
+def _quiet() -> Column:
+    """Whether a node surely sets no mark: a known element below the root, with no field or with the one that it needs. No arrays are gone through here, as nearly all nodes end here."""
+    t, n = F.col("t"), F.size("fields")
+    f = F.get("fields", F.lit(0))
+    number = f["value"].try_cast("decimal(38,0)")
+    fits = F.when(F.col("sole_type") == "text", (f["kind"] == "str") & ~C.blank(f["value"])).when(F.col("sole_type") == "bool", f["kind"] == "bool").otherwise((f["kind"] == "int") & (F.col("sole_low").isNull() | number.between(F.col("sole_low"), F.col("sole_high"))))
+    fields = F.when(n == 0, F.col("free")).when(n == 1, (f["name"] == F.col("sole")) & (f["name"] != "id") & fits).otherwise(False)
+    shape = F.col("et").isNotNull() & (F.size("malformed") == 0) & F.col("depth").between(1, MAX_DEPTH) & ~t.isin("date", "payload", *REFERRING) & ((F.col("n_children") > 0) | ~t.isin(*FILLED, *PAIRED, "document"))
+    return F.coalesce(shape & fields, F.lit(False))
+
+
+def _sole(specs: Column) -> Column:
+    """The field by which a node of the element is sound if it has no other: the one that is required, or the first if none is; null where several are, or where its text may be wrong in more ways than being blank."""
+    required = F.filter(specs, lambda s: s["required"])
+    one = F.get(F.when(F.size(required) == 0, specs).when(F.size(required) == 1, required), F.lit(0))
+    return F.when(one["type"].isin("text", "int", "bool") & (F.size(one["enum"]) == 0), one)
+
+
 def validate(nodes: DataFrame, reg: Register) -> DataFrame:
     """All diagnostics of the documents in a node table.
 
@@ -158,11 +176,14 @@ def validate_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
     doc = ["doc_id", "register"]  # sorted by what differs first
     specs = fields_of.groupBy("register", "t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
     elements = elements_of.join(specs, ["register", "t"], "left").select(F.col("register").alias("er"), F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
-    known = nodes.join(F.broadcast(elements), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left").drop("er")
+    sole = F.col("one")
+    facts = elements.withColumn("one", _sole(F.col("specs"))).select("*", F.expr("not exists(specs, s -> s.required)").alias("free"), sole["name"].alias("sole"), sole["type"].alias("sole_type"), sole["low"].alias("sole_low"), sole["high"].alias("sole_high")).drop("one", "model", "permitted")
+    known = nodes.join(F.broadcast(facts), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left").drop("er")
     good = known.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
 
-    beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(r"[^\x00-\x7F]") & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
-    wide = good.select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f")).where(~C.is_nfc(F.col("f.value")))
+    # Only characters beyond U+02FF can keep a text from being in NFC.
+    beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(C.WIDE) & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
+    wide = good.where(F.concat_ws("", F.col("fields.value")).rlike(C.WIDE)).select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f")).where(~C.is_nfc(F.col("f.value")))
     unnormal = wide.select(*doc, "pos", F.col("pos").alias("at"), _mark(FOUND, "R15", F.col("place"), F.col("f.name")).alias("m"))
 
     # A parent stands in front of its children in one order by place, so that they meet in a window, not in a join of the table with itself.
@@ -175,7 +196,7 @@ def validate_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
     kids = kids.select(*doc, "pos", "up", "ord", "t", "cls", "pm", "allowed", "following", F.col("p.t").alias("pt"), F.col("p.place").alias("pp"), F.col("p.among").alias("among"))
     fits = kids.withColumn("d", F.explode(_child_rules())).select(*doc, "pos", F.col("up").alias("at"), _mark(FOUND, F.col("d.rule"), F.col("d.place"), F.col("d.detail")).alias("m"))
 
-    alone = known.select(*doc, "pos", F.col("pos").alias("at"), F.explode(_marks()).alias("m"))
+    alone = known.where(~_quiet()).select(*doc, "pos", F.col("pos").alias("at"), F.explode(_marks()).alias("m"))
     marks = alone.unionAll(unnormal).unionAll(fits).select(*doc, "pos", "at", "m.*")
     before = Window.partitionBy(*doc).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
     seen = marks.withColumn("stop", F.max("to").over(before)).where((F.col("kind") != UNKNOWN) & ((F.col("kind") == ASKED) | F.col("stop").isNull() | (F.col("stop") < F.col("at"))))
