@@ -11,70 +11,81 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 SCHEMA = "doc_id string, start timestamp, last timestamp, nodes long, repeated long, elements map<string,long>"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Ids of a document that are read and written with its totals; those beyond are asked for one at a time.
+HELD = 1_000
 
 
 class Arrivals(StatefulProcessor):
-    """State of one document: `ids`, `counts` by element, and the span with its totals."""
+    """State of one document: `span` (its totals, counts, timer and first ids), and the rest of its ids (`ids`).
 
-    def __init__(self, gap_ms: int) -> None:
-        self.gap_ms = gap_ms
+    A call of a state is a message to the JVM, so a document's batch makes a few calls, however many nodes come.
+    """
+
+    def __init__(self, gap_ms: int, most: int = HELD) -> None:
+        self.gap_ms, self.most = gap_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ids = handle.getMapState("ids", "id string", "n long")
-        self.counts = handle.getMapState("counts", "t string", "n long")
-        self.span = handle.getValueState("span", "start long, last long, nodes long, repeated long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("ms", kind="stable")
-        span = list(self.span.get()) if self.span.exists() else None
-        for ms, t, ident in zip(arrived["ms"], arrived["t"], arrived["id"], strict=True):
-            if span is not None and ms - span[1] > self.gap_ms:
+        self.span = handle.getValueState("span", "start long, last long, nodes long, repeated long, counts map<string,long>, first array<string>, more long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        arrived = sorted(rows, key=lambda r: r["ms"])
+        held = self.span.get()
+        span = self.opened(arrived[0]["ms"]) if held is None else dict(zip(self.opened(0), held, strict=True))
+        span["counts"], timer = dict(span["counts"]), span["timer"]
+        first = set(span["first"])
+        for r in arrived:
+            if r["ms"] - span["last"] > self.gap_ms:
                 yield self.totals(key, span)
-                self.forget()
-                span = None
-            span = span or [int(ms), int(ms), 0, 0]
-            span[1], span[2] = max(span[1], int(ms)), span[2] + 1
-            self.counts.updateValue((t,), (self.known(self.counts, t) + 1,))
-            if ident is not None:
-                seen = self.known(self.ids, ident)
-                span[3] += seen > 0
-                self.ids.updateValue((ident,), (seen + 1,))
-        self.span.update(tuple(span))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(span[1] + self.gap_ms + 1)
+                if span["more"]:
+                    self.ids.clear()
+                span, first = self.opened(r["ms"]), set()
+            span["last"], span["nodes"] = max(span["last"], r["ms"]), span["nodes"] + 1
+            span["counts"][r["t"]] = span["counts"].get(r["t"], 0) + 1
+            ident = r["id"]
+            if ident is None:
+                continue
+            if ident in first or (span["more"] and self.ids.containsKey((ident,))):
+                span["repeated"] += 1
+            elif len(first) < self.most:
+                first.add(ident)
+            else:
+                self.ids.updateValue((ident,), (1,))
+                span["more"] += 1
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        span["first"], span["timer"] = list(first), span["last"] + self.gap_ms + 1
+        self.handle.registerTimer(span["timer"])
+        self.span.update(tuple(span.values()))
         yield self.totals(key, span)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.forget()
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        for state in (self.ids, self.span):
+            state.clear()
         return iter(())
 
     @staticmethod
-    def known(state: object, name: str) -> int:
-        return state.getValue((name,))[0] if state.containsKey((name,)) else 0
+    def opened(ms: int) -> dict:
+        return {"start": ms, "last": ms, "nodes": 0, "repeated": 0, "counts": {}, "first": [], "more": 0, "timer": None}
 
-    def forget(self) -> None:
-        for state in (self.ids, self.counts, self.span):
-            state.clear()
-
-    def totals(self, key: tuple, span: list[int]) -> pd.DataFrame:
-        at = lambda ms: pd.Timestamp(ms, unit="ms", tz="UTC")
-        return pd.DataFrame({"doc_id": [key[0]], "start": [at(span[0])], "last": [at(span[1])], "nodes": [span[2]], "repeated": [span[3]], "elements": [{k[0]: v[0] for k, v in self.counts.iterator()}]})
+    @staticmethod
+    def totals(key: tuple, span: dict) -> Row:
+        return Row(doc_id=key[0], start=span["start"], last=span["last"], nodes=span["nodes"], repeated=span["repeated"], elements=dict(span["counts"]))
 
 
 def arriving(nodes: DataFrame, *, gap_seconds: int, late: str = "10 minutes") -> DataFrame:
     """Totals of documents from a stream (or a table) of rows doc_id, ts, t, id."""
     held = nodes.select(F.col("doc_id").cast("string").alias("doc_id"), "ts", "t", F.col("id").cast("string").alias("id"), F.unix_millis("ts").alias("ms"))
     held = held.withWatermark("ts", late) if nodes.isStreaming else held
-    return held.groupBy("doc_id").transformWithStateInPandas(Arrivals(gap_seconds * 1000), SCHEMA, "Update", "EventTime" if nodes.isStreaming else "None")
+    found = held.groupBy("doc_id").transformWithState(Arrivals(gap_seconds * 1000), SCHEMA.replace("timestamp", "long"), "Update", "EventTime" if nodes.isStreaming else "None")
+    return found.withColumns({c: F.timestamp_millis(c) for c in ("start", "last")})
 
 
 def replayed(nodes: DataFrame, read: Callable[[], DataFrame], batches: int, folder: str, *, gap_seconds: int) -> DataFrame:

@@ -129,6 +129,70 @@ def test_totals_are_the_same_however_nodes_are_dealt(spark, tmp_path, batches):
     assert arrivals.replayed(table.limit(0), None, batches, folder, gap_seconds=100).count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 1000])
+def test_a_documents_batch_makes_few_state_calls(most):
+    import random
+
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State(dict):
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+            dict.clear(self)
+
+        def containsKey(self, k):
+            calls.append("containsKey")
+            return k in self
+
+        def updateValue(self, k, v):
+            calls.append("updateValue")
+            self[k] = v
+
+    class Handle:
+        timers: set = set()
+
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+        def registerTimer(self, ms):
+            calls.append("register")
+            self.timers.add(ms)
+
+        def deleteTimer(self, ms):
+            calls.append("delete")
+            self.timers.remove(ms)
+
+    rnd, s, rows = random.Random(5), 0, []
+    for _ in range(600):
+        s += rnd.choice([1, 2, 30, 200]) if rnd.random() < 0.1 else 1
+        rows.append(("d", s, rnd.choice(["section", "text"]), rnd.choice(["a", "b", "c", "d", "e", "f", None])))
+    handle, found = Handle(), {}
+    state = arrivals.Arrivals(100, most)
+    state.init(handle)
+    for at in range(0, 600, 150):
+        for r in state.handleInputRows(("d",), iter([Row(ms=s, t=t, id=i) for _, s, t, i in reversed(rows[at : at + 150])]), None):
+            found[r["doc_id"], r["start"]] = (r["last"], r["nodes"], r["repeated"], r["elements"])
+        assert handle.timers == {rows[at + 149][1] + 101}
+    assert found == plain_totals(rows, 100) and len(found) > 3
+    assert most < 1000 or len(calls) < 20
+    assert (most < 1000) == ("containsKey" in calls)
+
+
 def test_scans_of_pages(spark):
     from quillgrove.functions import columns as C
 
