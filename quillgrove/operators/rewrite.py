@@ -9,12 +9,16 @@ shuffled once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.register import Register, dimensions
-from .nodes import FIELDS, field
+from .nodes import FIELDS, ROWS, ROWS_AT_ONCE, field
 
 #: A row to be made: element, fields, levels below the row that makes it, and how many made rows are below it (WHOLE: all to the end of that row).
 MADE = f"array<struct<t:string,fields:{FIELDS},down:int,below:int>>"
@@ -118,6 +122,73 @@ def asked(rows: DataFrame, **changes: Column) -> DataFrame:
     return rows.select("doc_id", "pos", "depth", "parent_pos", "last_pos", "malformed", *[(c.cast(kinds[k]) if k in kinds else c).alias(k) for k, c in asked.items()])
 
 
+# -- rows that only go -----------------------------------------------------------------------
+
+_LEFT = pa.schema([ROWS.field(c) for c in COLUMNS])
+
+
+def left_of(rows: pa.Table) -> pa.Table:
+    """What is left of whole documents, rows in order of document and position; the last column says whether a row stays."""
+    n = rows.num_rows
+    ids = rows.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    pos, up, last, depth = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "parent_pos", "last_pos", "depth"))
+    doc = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0) if n else np.zeros(0, np.int64)
+    wide = max(pos.max(initial=0), last.max(initial=0)) + 2
+    at = doc * wide + pos
+    parent = np.where(up >= 0, np.searchsorted(at, doc * wide + np.maximum(up, 0)), -1)
+    end = np.searchsorted(at, doc * wide + last, "right")  # the row after the span
+    flag = rows.column(-1).to_numpy().astype(bool)
+
+    def above(marks: np.ndarray) -> np.ndarray:
+        """How many of the marked rows each row is below."""
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, np.flatnonzero(marks) + 1, 1)
+        np.add.at(change, np.maximum(end[marks], np.flatnonzero(marks) + 1), -1)
+        return np.cumsum(change)[:n]
+
+    gone = ~flag
+    levels = depth - above(gone)
+    while (lost := (parent >= 0) & gone[parent]).any():
+        parent[lost] = parent[parent[lost]]
+    number = np.concatenate([[0], np.cumsum(flag)])  # rows left before each
+    first = number[np.searchsorted(doc, doc)]  # those of earlier documents
+    kept_at = np.flatnonzero(flag)
+    own = parent[kept_at]
+    by_parent = np.argsort(own, kind="stable")
+    sorted_ = own[by_parent]
+    nth = np.zeros(len(kept_at), np.int64)
+    nth[by_parent] = np.arange(len(sorted_)) - np.searchsorted(sorted_, sorted_)
+    kids = np.bincount(own[own >= 0], minlength=n)[kept_at]
+    table = rows.take(pa.array(kept_at))
+    start = first[kept_at]
+    made = {"pos": number[kept_at] - start, "depth": levels[kept_at], "parent_pos": np.where(own >= 0, number[np.maximum(own, 0)] - start, -1), "ord": np.where(own >= 0, nth, 0), "n_children": kids, "last_pos": number[end[kept_at]] - start - 1}
+    return pa.table([pa.array(made[f.name], f.type) if f.name in made else table.column(f.name).cast(f.type) for f in _LEFT], schema=_LEFT)
+
+
+def left(rows: DataFrame, stays: Column) -> DataFrame:
+    """The node table (without path and place) without the rows that don't stay, whose children go to their parents; one shuffle by document, a document's rows are in memory at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            names = batch.column(0)
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE and held[0].column(0)[0] != names[-1]:
+                table = pa.Table.from_batches(held)
+                ids = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                whole = int(np.flatnonzero(ids != ids[-1])[-1]) + 1  # the last document may go on
+                yield from left_of(table.slice(0, whole)).to_batches()
+                held = table.slice(whole).to_batches()
+        if held:
+            yield from left_of(pa.Table.from_batches(held)).to_batches()
+
+    kinds = {"fields": FIELDS, "malformed": "array<string>", "doc_id": "string", "t": "string"}
+    asked_ = rows.select(*COLUMNS, F.coalesce(stays, F.lit(False)).alias("__flag")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return asked_.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in COLUMNS))
+
+
 # -- pruning ---------------------------------------------------------------------------------
 
 

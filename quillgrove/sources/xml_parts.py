@@ -11,17 +11,21 @@ import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markup, trees
+from ..functions import markup
 from ..operators import ordered, rewrite
 from ..operators.kept import kept
-from ..operators.nodes import FIELDS, field
+from ..operators.nodes import FIELDS, Flat, field
 
 ROW = f"struct<pos:int,depth:int,parent_pos:int,ord:int,t:string,fields:{FIELDS},n_children:int,malformed:array<string>,last_pos:int>"
 REFERRING = ("reference", "citation", "note-ref")
+#: Characters of XML after which a piece ends in front of the next section.
+PIECE = 65_536
 
 
 def cut(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace: str | None = None) -> DataFrame:
@@ -33,7 +37,7 @@ def cut(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace: st
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source = raw.encode() if isinstance(raw, str) else bytes(raw or b"")
                 try:
-                    fields, cited, found = markup.pieces(source, genre, f"urn:{namespace or genre}:{key}")
+                    fields, cited, found = markup.pieces(source, genre, f"urn:{namespace or genre}:{key}", PIECE)
                 except ET.ParseError:
                     fields, cited, found = {}, set(), [("unreadable", "")]
                 out += [(key, i, kind, content, json.dumps(fields), sorted(cited)) for i, (kind, content) in enumerate(found)]
@@ -48,14 +52,16 @@ def mapped(pieces: DataFrame, genre: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, flat, ends = [], Flat(), [0]
             for r in batch.to_pylist():
                 kids, found, notes = markup.piece_nodes(r["kind"], r["content"], genre, set(r["cited"]))
-                # Flattened under a root of their own, which goes again.
-                held = trees.flattened({"t": "piece", "c": json.loads(json.dumps(kids))})[1:]
-                nodes = [{k: x[k] for k in ("depth", "ord", "t", "fields", "n_children", "malformed")} | {"pos": x["pos"] - 1, "parent_pos": x["parent_pos"] - 1, "last_pos": x["last_pos"] - 1} for x in held]
-                out.append({"doc_id": r["doc_id"], "piece": r["piece"], "fields": r["fields"], "nodes": nodes, "tops": len(kids), "notes": notes, "found": list(found.items())})
-            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+                # Flattened under a root of their own, which `trimmed` leaves out.
+                flat.add(r["doc_id"], {"t": "piece", "c": kids})
+                ends.append(len(flat))
+                out.append((r["doc_id"], r["piece"], r["fields"], len(kids), notes, list(found.items())))
+            doc, piece, fields, tops, notes, found = zip(*out, strict=True) if out else ((),) * 6
+            columns = {"doc_id": doc, "piece": piece, "fields": fields, "tops": tops, "notes": notes, "found": found}
+            yield pa.RecordBatch.from_arrays([trimmed(flat.batch(), ends) if f.name == "nodes" else pa.array(columns[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
     return pieces.mapInArrow(run, f"doc_id string, piece int, fields string, nodes array<{ROW}>, tops int, notes int, found map<string,int>")
 
@@ -65,6 +71,16 @@ _ROW = pa.struct([("pos", pa.int32()), ("depth", pa.int32()), ("parent_pos", pa.
 SCHEMA = pa.schema([("doc_id", pa.string()), ("piece", pa.int32()), ("fields", pa.string()), ("nodes", pa.list_(_ROW)), ("tops", pa.int32()), ("notes", pa.int32()), ("found", pa.map_(pa.string(), pa.int32()))])
 
 
+def trimmed(rows: pa.RecordBatch, ends: list[int]) -> pa.Array:
+    """The rows of trees, each tree's in one list, without its root; positions begin after it."""
+    keep = np.ones(rows.num_rows, bool)
+    keep[ends[:-1]] = False
+    left = rows.filter(pa.array(keep))
+    less = lambda c: pc.subtract(left.column(c), pa.scalar(1, pa.int32()))
+    values = pa.StructArray.from_arrays([less(f.name) if f.name in ("pos", "parent_pos", "last_pos") else left.column(f.name) for f in _ROW], fields=list(_ROW))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends) - np.arange(len(ends)), pa.int32()), values)
+
+
 def joined(done: DataFrame) -> DataFrame:
     """The node table of the whole documents, ids and references as they come."""
     before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,9 +114,7 @@ def repaired(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = once.where(F.col("t").isin(*REFERRING)).select("doc_id", "pos", F.coalesce(field("target", "str"), F.lit("\0")).alias("target"))
     gone = kept(asked.join(ids, ["doc_id", "target"], "left_anti").select("doc_id", "pos"))
     marked = once.join(gone.withColumn("gone", F.lit(True)), ["doc_id", "pos"], "left")
-    stays = F.col("gone").isNull()
-    whole = rewrite.rewritten(rewrite.asked(marked, stays=stays, inside=F.when(stays, 0).otherwise(-1)))
-    return whole, count(ordered.repeated_ids(nodes), "ids dropped").unionAll(count(gone, "references dropped"))
+    return rewrite.left(marked, F.col("gone").isNull()), count(ordered.repeated_ids(nodes), "ids dropped").unionAll(count(gone, "references dropped"))
 
 
 def xml_in_parts(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace: str | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:

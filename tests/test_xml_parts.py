@@ -60,3 +60,32 @@ def test_pieces_are_cut_at_sections():
     fields, cited, found = markup.pieces(raw.encode(), "standards", "urn:a:b")
     assert fields["title"] == "T" and cited == {"R1"}
     assert [k for k, _ in found] == ["front", "blocks", *["blocks"] * 5, "blocks", "blocks"]
+
+
+def test_small_sections_share_a_piece():
+    raw = (STANDARD % "".join(f"<section anchor='a{i}'><t>x &amp; <em>y</em></t></section> tail &lt; " for i in range(50))).encode()
+    _, _, one = markup.pieces(raw, "standards", "urn:a:b")
+    _, _, few = markup.pieces(raw, "standards", "urn:a:b", 1000)
+    assert len(few) < len(one) / 3
+    blocks = lambda found: [k for kind, content in found for k in markup.piece_nodes(kind, content, "standards", {"R1"})[0]]
+    assert blocks(few) == blocks(one)
+
+
+def test_rows_go_as_by_a_rewrite(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillgrove.operators import nodes, rewrite
+
+    rnd = random.Random(2)
+
+    def tree(depth=0):
+        return {"t": rnd.choice("ab"), "v": str(rnd.random()), **({"c": [tree(depth + 1) for _ in range(rnd.randrange(4))]} if depth < 6 else {})}
+
+    monkeypatch.setattr(rewrite, "ROWS_AT_ONCE", 40)
+    n = nodes.from_trees(spark.createDataFrame([(f"d{i:02}", json.dumps({"t": "root", "c": [tree()]})) for i in range(40)], "doc_id string, raw string")).cache()
+    stays = (F.col("t") != "b") | (F.col("depth") == 0)
+    want = rewrite.rewritten(rewrite.asked(n, stays=stays, inside=F.when(stays, 0).otherwise(-1)))
+    got = rewrite.left(n, stays)
+    key = lambda r: (r["doc_id"], r["pos"])
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() < n.count()
+    assert rewrite.left(n.limit(0), stays).count() == 0
