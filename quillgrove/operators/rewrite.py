@@ -199,6 +199,7 @@ def pruned(nodes: DataFrame, reg: Register) -> DataFrame:
     from the end of the document, tells. What counts: texts that aren't blank, elements without content in the register, and
     unknown elements without children. A known container without children is empty, however it was written.
     """
+    levels = nodes.agg(F.max("depth")).first()[0] or 0
     known = F.broadcast(dimensions(nodes.sparkSession, reg)["elements"].select("t", "model"))
     held = nodes.join(known, "t", "left")
     text = F.col("t") == "text"
@@ -206,7 +207,40 @@ def pruned(nodes: DataFrame, reg: Register) -> DataFrame:
     onwards = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     following = F.min(F.when(counts, F.col("pos"))).over(onwards)
     stays = F.when(text.eqNullSafe(True), counts).otherwise(F.coalesce(following <= F.col("last_pos"), F.lit(False)) | (F.col("depth") == 0))
-    return rewritten(asked(held.withColumn("__stays", stays).where("__stays")))
+    stayed = held.withColumn("__stays", stays).where("__stays")
+    return renumbered(stayed, levels) if levels <= LEVELS else rewritten(asked(stayed))
+
+
+#: Levels up to which rows are numbered anew by running values for each level.
+LEVELS = 24
+
+
+def renumbered(rows: DataFrame, levels: int) -> DataFrame:
+    """The node table (without path and place) after whole subtrees went.
+
+    Running values for each level, from either end of the document, tell how many rows are below each row and which is above
+    it: between a row and the next one of its level, those a level deeper are its children.
+    """
+    every = range(levels + 1)
+    back, ahead = (Window.partitionBy("doc_id").orderBy(o) for o in (F.desc("pos"), F.asc("pos")))
+    now, earlier = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
+    at = lambda k, c: F.when(F.col("depth") == k, F.col(c))
+    of = lambda name, by: F.get(F.array(*[F.col(f"__{name}{k}") for k in every]), by)
+    deep = F.col("depth")
+
+    def counted(held: DataFrame, w: Window) -> DataFrame:
+        """`__n`: rows so far; `__of<k>`: those of a level; `__was<k>`: those of the level below when the last one of level k came."""
+        held = held.withColumns({"__n": F.count("*").over(w.rowsBetween(*now)), **{f"__of{k}": F.count(at(k, "pos")).over(w.rowsBetween(*now)) for k in every}})
+        return held.withColumns({f"__was{k}": F.last(at(k, f"__of{k + 1}"), True).over(w.rowsBetween(*earlier)) for k in every if k < levels} | {f"__was{levels}": F.lit(0)})
+
+    held = counted(rows.select(*COLUMNS), back).withColumns({f"__end{k}": F.max(at(k, "__n")).over(back.rowsBetween(*earlier)) for k in every})
+    # What is after a row's span begins with the next row that isn't deeper.
+    after = F.array_max(F.slice(F.array(F.lit(0).cast("long"), *[F.col(f"__end{k}") for k in every]), 1, deep + 2))
+    held = held.select(*COLUMNS, (F.col("__n") - 1 - after).alias("__below"), F.coalesce(of("of", deep + 1) - F.coalesce(of("was", deep), F.lit(0)), F.lit(0)).alias("__kids"))
+    held = counted(held, ahead).withColumns({f"__at{k}": F.last(at(k, "__n"), True).over(ahead.rowsBetween(*earlier)) for k in every})
+    top = deep == 0
+    new = {"pos": F.col("__n") - 1, "parent_pos": F.when(top, -1).otherwise(of("at", deep - 1) - 1), "ord": F.when(top, 0).otherwise(of("of", deep) - of("was", deep - 1) - 1), "n_children": F.col("__kids"), "last_pos": F.col("__n") - 1 + F.col("__below")}
+    return held.select(*[new[c].cast("int").alias(c) if c in new else F.col(c) for c in COLUMNS])
 
 
 # -- the base layer ---------------------------------------------------------------------------

@@ -99,3 +99,21 @@ def test_rewrites_shuffle_once_and_stay_in_the_jvm(spark):
         final = plan.split("== Initial Plan ==")[0]
         assert final.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
     assert rewrite.lowered(table.limit(0), REG).count() == 0 == rewrite.pruned(table.limit(0), REG).count() == rewrite.located(table.limit(0)).count()
+
+
+def test_pruning_sorts_a_few_times_and_deep_trees_give_the_same(spark, monkeypatch):
+    rnd = random.Random(4)
+
+    def tree(depth=0):
+        if depth == 5 or rnd.random() < 0.2:
+            return {"t": "text", "v": rnd.choice(["x", " ", ""])}
+        return {"t": rnd.choice(["section", "line-break", "strange"]), "c": [tree(depth + 1) for _ in range(rnd.randrange(1, 4))]}
+
+    raw = [(f"d{i}", json.dumps({"t": "document", "c": [tree() for _ in range(3)]})) for i in range(30)]
+    n = nodes.from_trees(spark.createDataFrame(raw, "doc_id string, raw string"))
+    key = lambda r: (r["doc_id"], r["pos"])
+    flat = rewrite.pruned(n, REG)
+    got = sorted(flat.collect(), key=key)
+    assert flat._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count(" Sort [") <= 2
+    monkeypatch.setattr(rewrite, "LEVELS", 2)
+    assert got == sorted(rewrite.pruned(n, REG).collect(), key=key) and len(got) > 100
