@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms, markup, records, surface, trees
+from ..operators.nodes import CHARS_AT_ONCE, DOCS_AT_ONCE, in_short
 from ..plans.register import Register, built_in
 
 
@@ -37,37 +39,63 @@ def reader(kind: str, reg: Register | None = None, **how: str) -> Callable[[byte
     raise ValueError(f"no reader of {kind}")
 
 
+_CONVERTED = pa.schema([("doc_id", pa.string()), ("raw", pa.string()), ("found", pa.map_(pa.string(), pa.int32()))])
+
+
+def converted(rows: DataFrame, convert: Callable[..., tuple[str, dict]]) -> DataFrame:
+    """doc_id, raw, found: what `convert` makes of the values after doc_id; a task holds a few documents at a time, not a whole Arrow batch of them."""
+    n = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        for doc_id, *values in in_short(batches, n):
+            raw, found = convert(*values)
+            held.append((doc_id, raw, list(found.items())))
+            chars += len(raw)
+            if len(held) >= DOCS_AT_ONCE or chars > CHARS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _CONVERTED, strict=True)], schema=_CONVERTED)
+                held, chars = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _CONVERTED, strict=True)], schema=_CONVERTED)
+
+    return rows.mapInArrow(run, "doc_id string, raw string, found map<string,int>")
+
+
 def forms_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """doc_id, raw, found: a page's forms as a document's JSON, and its findings."""
     import json
 
-    @F.pandas_udf("raw string, found map<string,int>")
-    def convert(url, html):
-        import pandas as pd
+    def convert(url: str | None, html: str | None) -> tuple[str, dict]:
+        doc, found = forms.forms_document(url or "", html or "")
+        return json.dumps(doc, ensure_ascii=False), found
+
+    return converted(pages.select(F.col(id_col).cast("string").alias("doc_id"), url_col, html_col), convert)
+
+
+def record(title: str = "Record", namespace: str = "record") -> Callable[[object, str | None], tuple[dict, dict]]:
+    """From a nested record (its key and JSON text) to a document and what was found; numbers keep their digits."""
 
-        out = [forms.forms_document(u or "", h or "") for u, h in zip(url, html, strict=True)]
-        return pd.DataFrame({"raw": [json.dumps(d, ensure_ascii=False) for d, _ in out], "found": [f for _, f in out]})
+    def read(k: object, r: str | None) -> tuple[dict, dict]:
+        held = trees.load_json(r) if r else {}
+        held = held if isinstance(held, dict) else {"value": held}
+        doc, found = records.record_document({"all": held}, f"urn:{namespace}:{k}", f"{title} {k}", [("Key", str(k))], sections="all")
+        return doc, dict(found)
 
-    return pages.select(F.col(id_col).cast("string").alias("doc_id"), convert(url_col, html_col).alias("x")).select("doc_id", "x.raw", "x.found")
+    return read
 
 
 def records_of(rows: DataFrame, raw_col: str, *, id_col: str, title: str = "Record", namespace: str = "record") -> DataFrame:
-    """doc_id, raw, found: nested records (JSON text) as documents; numbers keep their digits."""
+    """doc_id, raw, found: nested records (JSON text) as documents."""
     import json
 
-    @F.pandas_udf("raw string, found map<string,int>")
-    def convert(key, raw):
-        import pandas as pd
+    read = record(title, namespace)
 
-        out = []
-        for k, r in zip(key, raw, strict=True):
-            record = trees.load_json(r) if r else {}
-            record = record if isinstance(record, dict) else {"value": record}
-            doc, found = records.record_document({"all": record}, f"urn:{namespace}:{k}", f"{title} {k}", [("Key", str(k))], sections="all")
-            out.append((json.dumps(doc, ensure_ascii=False), dict(found)))
-        return pd.DataFrame({"raw": [a for a, _ in out], "found": [b for _, b in out]})
+    def convert(k: str, r: str | None) -> tuple[str, dict]:
+        doc, found = read(k, r)
+        return json.dumps(doc, ensure_ascii=False), found
 
-    return rows.select(F.col(id_col).cast("string").alias("doc_id"), convert(F.col(id_col).cast("string"), F.col(raw_col)).alias("x")).select("doc_id", "x.raw", "x.found")
+    key = F.col(id_col).cast("string")
+    return converted(rows.select(key.alias("doc_id"), key.alias("key"), raw_col), convert)
 
 
 @dataclass(frozen=True)
@@ -151,5 +179,8 @@ def xml_of(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, namespace:
 
 
 def findings(mapped: DataFrame, genre: str) -> DataFrame:
-    """doc_id, genre, key, n: what mappers counted."""
-    return mapped.select("doc_id", F.lit(genre).alias("genre"), F.explode("found").alias("key", "n"))
+    """doc_id, genre, key, n: what mappers counted.
+
+    For `explode` Spark would ask whether there is something before the mapper's shuffle, and so map all in the few tasks that read the files.
+    """
+    return mapped.select("doc_id", F.lit(genre).alias("genre"), F.explode_outer("found").alias("key", "n")).where("key is not null")
