@@ -122,29 +122,36 @@ class Flat:
         for k, held in zip(self.ends, (self.path, self.names, self.malformed), strict=True):
             self.ends[k].append(len(held))
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, columns: tuple[str, ...] | None = None) -> pa.RecordBatch:
+        """The rows, or only the columns asked for of those that aren't lists."""
+        if columns:
+            return pa.RecordBatch.from_arrays([pa.array(self.plain[c], ROWS.field(c).type) for c in columns], list(columns))
         fields = pa.StructArray.from_arrays([pa.array(x, _S) for x in (self.names, self.kinds, self.values)], ["name", "kind", "value"])
         lists = {"path": _listed(self.ends["path"], pa.array(self.path, _I)), "fields": _listed(self.ends["fields"], fields), "malformed": _listed(self.ends["malformed"], pa.array(self.malformed, _S))}
         return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.array(self.plain[f.name], f.type) for f in ROWS], schema=ROWS)
 
 
-def from_trees(docs: DataFrame, read: Callable[[bytes], object] | None = None, *, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """Nodes of documents given as bytes or text; unreadable ones give one malformed row."""
+def from_trees(docs: DataFrame, read: Callable[..., object] | None = None, *, id_col: str = "doc_id", raw_col: str | tuple[str, ...] = "raw", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Nodes of documents given as bytes or text; unreadable ones give one malformed row. `columns` are those wanted, if not all (none that is a list).
+
+    With several columns of raw values, `read` takes as many.
+    """
     read = read or trees.load_json
+    raw_cols = (raw_col,) if isinstance(raw_col, str) else raw_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Flat()
-        for doc_id, raw in in_short(batches):
+        for doc_id, *raw in in_short(batches, 1 + len(raw_cols)):
             try:
-                out.add(doc_id, read(raw))
+                out.add(doc_id, read(*raw))
             except (ValueError, TypeError, IndexError, KeyError, RecursionError) as e:
                 out.unreadable(doc_id, f"unreadable: {type(e).__name__}")
             if len(out) > ROWS_AT_ONCE:
-                yield out.batch()
+                yield out.batch(columns)
                 out = Flat()
-        yield out.batch()
+        yield out.batch(columns)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), raw_col).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), *raw_cols).mapInArrow(run, ", ".join(f"{c} {'int' if ROWS.field(c).type == _I else 'string'}" for c in columns) if columns else SCHEMA)
 
 
 def written(tree: object) -> str:

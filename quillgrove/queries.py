@@ -90,7 +90,9 @@ def coverage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpora of texts and of records made from events; a fixture shows tables."""
     n = _nodes(spark, sf_dir).select(F.lit("texts").alias("genre"), "t")
-    held = nodes.from_trees(readers.records_of(spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id"), "props", id_col="event_id")).select(F.lit("records").alias("genre"), "t")
+    events, record = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id").withColumn("key", F.col("event_id").cast("string")), readers.record()
+    # The records' nodes are made where the records are read, without their JSON in between; only their elements are asked for.
+    held = nodes.from_trees(events, lambda k, r: record(k, r)[0], id_col="key", raw_col=("key", "props"), columns=("t",)).select(F.lit("records").alias("genre"), "t")
     used = n.unionAll(held)
     fixture = spark.createDataFrame([("table",), ("row",)], "t string")
     return measures.verdicts(used, REG, fixture)
