@@ -177,10 +177,13 @@ def shown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lowered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the base layer after lowering, by kind of document; what is above the layer is gone and no unit is lost."""
     cases = [json.dumps(doc(*s[0]), ensure_ascii=False) for s in SHAPES]
-    held = nodes.views(made(rows_of(spark, sf_dir, "customer", "c_custkey"), cases), REG, columns=("base", "units", "base_units"))
-    low = nodes.from_trees(held.select("doc_id", F.col("base").alias("raw")))
-    per = low.where("t <> 'text'").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("t")), " ").alias("elements"))
-    return per.join(held, "doc_id").select("doc_id", "elements", (F.size("units").cast("long")).alias("units"), F.size(F.array_except("units", "base_units")).cast("long").alias("lost"))
+    views = nodes.views(made(rows_of(spark, sf_dir, "customer", "c_custkey"), cases), REG, columns=("base", "units", "base_units"))
+    held = kept(views.select("doc_id", "base", F.size("units").cast("long").alias("units"), F.size(F.array_except("units", "base_units")).cast("long").alias("lost")))
+    low = nodes.from_trees(held.select("doc_id", F.col("base").alias("raw")), columns=("doc_id", "t")).where("t <> 'text'")
+    # A document's elements and its counts meet in one group.
+    both = low.select("doc_id", "t", F.lit(None).cast("long").alias("units"), F.lit(None).cast("long").alias("lost")).unionAll(held.select("doc_id", F.lit(None).cast("string").alias("t"), "units", "lost"))
+    per = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("elements"), F.max("units").alias("units"), F.max("lost").alias("lost"))
+    return per.where(F.size("elements") > 0).select("doc_id", F.array_join("elements", " ").alias("elements"), "units", "lost")
 
 
 #: Elements of the base layer that each of SHAPES becomes, without texts; and its units.
