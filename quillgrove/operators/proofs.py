@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
 from .ordered import STRETCH_BITS, heights
 
 LEVEL = "array<binary>"
@@ -42,7 +43,11 @@ def _above(level: Column, domain: str) -> Column:
 
 
 def levels(leaves: DataFrame, domain: str = "merkle") -> DataFrame:
-    """tree, n (leaves), level, i, h of every level from the leaves (0) to the root, from rows (tree, i, h)."""
+    """tree, n (leaves), level, i, h of every level from the leaves (0) to the root, from rows (tree, i, h).
+
+    Leaves are read for the sizes, the height, level 0 and the first stretches, so they are written once.
+    """
+    leaves = kept(leaves.select("tree", "i", "h"))
     sizes = leaves.groupBy("tree").agg(F.count("*").alias("n"))
     height = heights(sizes)
     at, made = leaves.select("tree", "i", "h"), [leaves.select("tree", F.lit(0).alias("level"), "i", "h")]

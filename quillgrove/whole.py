@@ -127,7 +127,8 @@ def sentences_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excerpts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One proof for all paragraphs of at least 80 characters of each document: its size, that it holds, and that it doesn't with one leaf forged."""
     n = kept(nodes.from_lines(table(spark, sf_dir, "documents")))
-    leaves = fold.digests(n).join(n.where("t = 'paragraph'").select("doc_id", "pos"), ["doc_id", "pos"])
+    # Leaves are paragraphs below the root, so the root's own digest isn't asked for.
+    leaves = fold.digests(n.where("depth > 0")).join(n.where("t = 'paragraph'").select("doc_id", "pos"), ["doc_id", "pos"])
     stored = kept(proofs.levels(proofs.indexed(leaves.withColumn("h", F.unhex("digest")), "doc_id", "pos", "h")))
     wanted = n.where("t = 'text'").where(F.length(nodes.field("v")) >= 80).select(F.col("doc_id").alias("tree"), F.get("path", F.lit(0)).cast("long").alias("i"))
     made = proofs.multiproofs(stored, wanted)
