@@ -360,11 +360,11 @@ def records_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"paidAmount": {"amount": '), F.when(F.col("k") % 3 == 0, F.lit("12.5")).when(F.col("k") % 3 == 1, F.lit("7")).otherwise(F.lit("null")), F.lit(', "currency": "EUR"}, "isOpen": true, "notes": ["first", ""], "pairs": {"k": "v", "e": ""}'),
         _if(2, ', "rows": [{"a": 1}, {"b": "x", "a": 2}]'), F.lit("}"),
     )
-    held = kept(readers.records_of(o.select("k", raw.alias("x")), "x", id_col="k"))
-    n = kept(nodes.from_trees(held))
-    found = reports.finding_totals(readers.findings(held, "records")).select(F.concat(F.lit("found "), "key").alias("t"), "n")
-    errors = validate.validate(n, REG).agg(F.lit("errors").alias("t"), F.count("*").alias("n"))
-    return measures.histogram(n, REG).select("t", "n").unionAll(found).unionAll(errors)
+    n = nodes.from_trees(o.select(F.col("k").cast("string").alias("k"), raw.alias("x")), readers.record(), id_col="k", raw_col=("k", "x"), columns=(*nodes.CHECKED, "found"))
+    held = kept(validate.marked(n, REG).select("doc_id", "register", "pos", "t", "marks", "found"))
+    found = reports.finding_totals(readers.findings(held.where("found is not null"), "records")).select(F.concat(F.lit("found "), "key").alias("t"), "n")
+    errors = validate.settled(held).agg(F.lit("errors").alias("t"), F.count("*").alias("n"))
+    return measures.histogram(held, REG).select("t", "n").unionAll(found).unionAll(errors)
 
 
 def served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ SCHEMA = f"doc_id string, pos int, path array<int>, depth int, parent_pos int, o
 
 _I, _S, _SS = pa.int32(), pa.string(), pa.list_(pa.string())
 ROWS = pa.schema([("doc_id", _S), ("pos", _I), ("path", pa.list_(_I)), ("depth", _I), ("parent_pos", _I), ("ord", _I), ("t", _S), ("fields", pa.list_(pa.struct([("name", _S), ("kind", _S), ("value", _S)]))), ("n_children", _I), ("malformed", _SS), ("last_pos", _I), ("place", _S)])
+#: What rows may have besides: a node's children in order, and on a root what its reader found.
+KIDS, FOUND = "array<struct<pos:int,t:string>>", "map<string,int>"
+KINDS = {f.name: "int" if f.type == _I else "string" for f in ROWS} | {"path": "array<int>", "fields": FIELDS, "malformed": "array<string>", "kids": KIDS, "found": FOUND}
+#: What the validator needs in one pass.
+CHECKED = ("doc_id", "pos", "depth", "t", "fields", "n_children", "malformed", "last_pos", "place", "kids")
 
 
 def _rows(table: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -44,9 +50,11 @@ def _listed(ends: list[int], values: pa.Array) -> pa.Array:
 
 
 class Flat:
-    """Rows of the node table as columns, filled document by document."""
+    """Rows of the node table as columns, filled document by document; paths and places only if they are wanted."""
 
-    def __init__(self) -> None:
+    def __init__(self, columns: tuple[str, ...] | None = None) -> None:
+        self.columns = columns or tuple(ROWS.names)
+        self.found: list[tuple[int, dict]] = []
         self.plain: dict[str, list] = {k: [] for k in ("doc_id", "pos", "depth", "parent_pos", "ord", "t", "n_children", "last_pos", "place")}
         self.ends: dict[str, list[int]] = {k: [0] for k in ("path", "fields", "malformed")}
         self.path, self.malformed, self.names, self.kinds, self.values = [], [], [], [], []
@@ -67,49 +75,52 @@ class Flat:
     def _fill(self, doc_id: str, tree: object) -> None:
         docs, poss, depths, ups, orders, ts, counts, lasts, places = self.plain.values()
         begin, path_ends, field_ends, bad_ends = len(poss), *self.ends.values()
-        stack: list[tuple] = [(tree, (), -1, 0, "")]
+        names, kinds, values, malformed = self.names, self.kinds, self.values, self.malformed
+        traced, placed = "path" in self.columns, "place" in self.columns
+        stack: list[tuple] = [(tree, (), 0, -1, 0, "")]
         pos = -1
         while stack:
-            at, path, parent, order, place = stack.pop()
+            at, path, depth, parent, order, place = stack.pop()
             pos += 1
             kids: list = []
             t = None
             if not isinstance(at, dict):
-                self.malformed.append("node")
+                malformed.append("node")
             else:
                 t = at.get("t")
                 if "c" in at:
                     c = at["c"]
                     if isinstance(c, list):
                         kids = [x for x in c if isinstance(x, dict)]
-                        self.malformed += ["child"] * (len(c) - len(kids))
+                        malformed += ["child"] * (len(c) - len(kids))
                     else:
-                        self.malformed.append("children")
+                        malformed.append("children")
                 if not isinstance(t, str):
                     if "t" in at:
-                        self.malformed.append("type")
+                        malformed.append("type")
                     t = None
                 for k, v in at.items():
                     if k != "t" and k != "c":
                         kind, value = ("str", v) if type(v) is str else trees.tagged(v)
-                        self.names.append(str(k))
-                        self.kinds.append(kind)
-                        self.values.append(value)
+                        names.append(str(k))
+                        kinds.append(kind)
+                        values.append(value)
             docs.append(doc_id)
             poss.append(pos)
-            depths.append(len(path))
+            depths.append(depth)
             ups.append(parent)
             orders.append(order)
             ts.append(t)
             counts.append(len(kids))
             lasts.append(pos)
             places.append(place or "/")
-            self.path += path
+            if traced:
+                self.path += path
             path_ends.append(len(self.path))
-            field_ends.append(len(self.names))
-            bad_ends.append(len(self.malformed))
+            field_ends.append(len(names))
+            bad_ends.append(len(malformed))
             for i in range(len(kids) - 1, -1, -1):
-                stack.append((kids[i], (*path, i), pos, i, f"{place}/{i}:{trees.kind_of(kids[i])}"))
+                stack.append((kids[i], (*path, i) if traced else path, depth + 1, pos, i, f"{place}/{i}:{trees.kind_of(kids[i])}" if placed else ""))
         for at in range(len(poss) - 1, begin, -1):
             up = begin + ups[at]
             if lasts[at] > lasts[up]:
@@ -122,36 +133,61 @@ class Flat:
         for k, held in zip(self.ends, (self.path, self.names, self.malformed), strict=True):
             self.ends[k].append(len(held))
 
-    def batch(self, columns: tuple[str, ...] | None = None) -> pa.RecordBatch:
-        """The rows, or only the columns asked for of those that aren't lists."""
-        if columns:
-            return pa.RecordBatch.from_arrays([pa.array(self.plain[c], ROWS.field(c).type) for c in columns], list(columns))
-        fields = pa.StructArray.from_arrays([pa.array(x, _S) for x in (self.names, self.kinds, self.values)], ["name", "kind", "value"])
-        lists = {"path": _listed(self.ends["path"], pa.array(self.path, _I)), "fields": _listed(self.ends["fields"], fields), "malformed": _listed(self.ends["malformed"], pa.array(self.malformed, _S))}
-        return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.array(self.plain[f.name], f.type) for f in ROWS], schema=ROWS)
+    def _kids(self) -> pa.Array:
+        """The children of each row, of all rows at once: those with a parent in order of it."""
+        pos, up = (np.array(self.plain[c], np.int64) for c in ("pos", "parent_pos"))
+        parents = np.where(up >= 0, np.arange(len(pos)) - pos + up, -1)
+        order = np.argsort(parents, kind="stable")[np.count_nonzero(parents < 0) :]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(parents[order], minlength=len(pos)))])
+        kids = pa.StructArray.from_arrays([pa.array(pos[order], _I), pa.array(self.plain["t"], _S).take(pa.array(order))], ["pos", "t"])
+        return pa.ListArray.from_arrays(pa.array(ends, _I), kids)
+
+    def _column(self, name: str) -> pa.Array:
+        if name == "fields":
+            return _listed(self.ends[name], pa.StructArray.from_arrays([pa.array(x, _S) for x in (self.names, self.kinds, self.values)], ["name", "kind", "value"]))
+        if name in self.ends:
+            return _listed(self.ends[name], pa.array(getattr(self, name), ROWS.field(name).type.value_type))
+        if name == "kids":
+            return self._kids()
+        if name == "found":
+            held: list = [None] * len(self)
+            for at, found in self.found:
+                held[at] = list(found.items())
+            return pa.array(held, pa.map_(_S, _I))
+        return pa.array(self.plain[name], ROWS.field(name).type)
+
+    def batch(self) -> pa.RecordBatch:
+        """The rows, of the columns asked for."""
+        made = [self._column(c) for c in self.columns]
+        return pa.RecordBatch.from_arrays(made, schema=pa.schema([ROWS.field(c) if c in ROWS.names else (c, x.type) for c, x in zip(self.columns, made, strict=True)]))
 
 
 def from_trees(docs: DataFrame, read: Callable[..., object] | None = None, *, id_col: str = "doc_id", raw_col: str | tuple[str, ...] = "raw", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Nodes of documents given as bytes or text; unreadable ones give one malformed row. `columns` are those wanted, if not all (none that is a list).
+    """Nodes of documents given as bytes or text; unreadable ones give one malformed row. `columns` are those wanted, if not all of the node table.
 
-    With several columns of raw values, `read` takes as many.
+    With several columns of raw values, `read` takes as many. If `found` is among the columns, `read` gives the tree and what it found on the way, which stands on the root's row.
     """
     read = read or trees.load_json
     raw_cols = (raw_col,) if isinstance(raw_col, str) else raw_col
+    finds = "found" in (columns or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Flat()
+        out = Flat(columns)
         for doc_id, *raw in in_short(batches, 1 + len(raw_cols)):
+            at = len(out)
             try:
-                out.add(doc_id, read(*raw))
+                tree, found = read(*raw) if finds else (read(*raw), None)
+                out.add(doc_id, tree)
+                if found:
+                    out.found.append((at, found))
             except (ValueError, TypeError, IndexError, KeyError, RecursionError) as e:
                 out.unreadable(doc_id, f"unreadable: {type(e).__name__}")
             if len(out) > ROWS_AT_ONCE:
-                yield out.batch(columns)
-                out = Flat()
-        yield out.batch(columns)
+                yield out.batch()
+                out = Flat(columns)
+        yield out.batch()
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), *raw_cols).mapInArrow(run, ", ".join(f"{c} {'int' if ROWS.field(c).type == _I else 'string'}" for c in columns) if columns else SCHEMA)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), *raw_cols).mapInArrow(run, ", ".join(f"{c} {KINDS[c]}" for c in columns) if columns else SCHEMA)
 
 
 def written(tree: object) -> str:

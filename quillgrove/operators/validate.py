@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -96,11 +96,13 @@ def _own_rules() -> Column:
 
 #: Marks of a document's nodes: a diagnostic, an id, a reference to one, an unknown element; the last comes last at its position, as it hides what is below it only.
 FOUND, NAMED, ASKED, UNKNOWN = range(4)
+MARKS = "array<struct<kind:int,rule:string,place:string,detail:string,id:string,to:int,on:int,text:string>>"
 
 
-def _mark(kind: int, rule: Column | str | None = None, place: Column | None = None, detail: Column | None = None, ident: Column | None = None, to: Column | None = None) -> Column:
+def _mark(kind: int, rule: Column | str | None = None, place: Column | None = None, detail: Column | None = None, ident: Column | None = None, to: Column | None = None, on: Column | None = None, text: Column | None = None) -> Column:
+    """`on` is the node that is at fault, if it isn't the one that sets the mark; a mark with a `text` counts if that isn't in NFC."""
     typed = lambda c, kind: (F.lit(c) if c is None or isinstance(c, str) else c).cast(kind)
-    return F.struct(F.lit(kind).alias("kind"), typed(rule, "string").alias("rule"), typed(place, "string").alias("place"), typed(detail, "string").alias("detail"), typed(ident, "string").alias("id"), typed(to, "int").alias("to"))
+    return F.struct(F.lit(kind).alias("kind"), typed(rule, "string").alias("rule"), typed(place, "string").alias("place"), typed(detail, "string").alias("detail"), typed(ident, "string").alias("id"), typed(to, "int").alias("to"), F.coalesce(typed(on, "int"), F.col("pos")).alias("on"), typed(text, "string").alias("text"))
 
 
 def _marks() -> Column:
@@ -119,48 +121,59 @@ def _marks() -> Column:
     return F.flatten(F.array_compact(F.array(*marks)))
 
 
-def _child_rules() -> Column:
-    """What a child and its parent decide, as an array of (rule, place, detail)."""
-    model, at = F.col("pm"), F.when(F.col("pp") == "/", "").otherwise(F.col("pp"))
-    wrong = (
-        F.when(model == "none", F.col("ord") == 0)
-        .when(model == "text", ~F.col("t").eqNullSafe("text"))
-        .when(model == "list", F.coalesce(~F.array_contains("allowed", F.col("t")), F.lit(True)))
-        .otherwise(F.col("cls").isNotNull() & (F.col("cls") != "invisible") & (F.col("cls") != F.when(model == "inline", "inline").otherwise("block")))
-    )
-    paired = F.col("pt").isin(*PAIRED)
-    made = lambda rule, place, detail: F.struct(F.lit(rule).alias("rule"), place.alias("place"), detail.alias("detail"))
+def _kin(kid: Column, order: Column, pos: Column, following: Column, up: dict[str, Column]) -> Column:
+    """What a child and its known parent decide, as marks; `up` is the parent's element, place, number of children and facts."""
+    t, here, model = up["t"], up["place"], up["model"]
+    none, paired = model == "none", t.isin(*PAIRED)
+    unfit = F.when(none, order == 0).when(model.isin("text", "list"), F.coalesce(~F.array_contains(up["permitted"], kid), F.lit(True))).otherwise(F.coalesce(F.array_contains(up["barred"], kid), F.lit(False)))
+    at = F.concat(F.when(here == "/", "").otherwise(here), F.lit("/"), order.cast("string"))
     found = [
-        (wrong, made("R9", F.when(model == "none", F.col("pp")).otherwise(F.concat(at, F.lit("/"), F.col("ord").cast("string"))), F.concat("pt", F.lit(" holds "), F.coalesce("t", F.lit("nothing"))))),
-        (paired & (F.col("ord") == 0) & ~F.col("t").eqNullSafe("term"), made("R16", F.col("pp"), F.lit("no term first"))),
-        (paired & (F.col("t") == "term") & (F.col("ord") < F.col("among") - 1) & ~F.col("following").eqNullSafe("definition"), made("R16", F.col("pp"), F.lit("a term without definition"))),
+        (unfit, _mark(FOUND, "R9", F.when(none, here).otherwise(at), F.concat(t, F.lit(" holds "), F.coalesce(kid, F.lit("nothing"))), on=pos)),
+        (paired & (order == 0) & ~kid.eqNullSafe("term"), _mark(FOUND, "R16", here, F.lit("no term first"), on=pos)),
+        (paired & (kid == "term") & (order < up["among"] - 1) & ~following.eqNullSafe("definition"), _mark(FOUND, "R16", here, F.lit("a term without definition"), on=pos)),
     ]
     return F.array_compact(F.array(*[F.when(c, d) for c, d in found]))
 
 
+def _kin_rules() -> Column:
+    """What a known parent and its children decide, as marks that the parent sets on them."""
+    up = {"t": F.col("t"), "place": F.col("place"), "among": F.size("kids"), **{c: F.col(c) for c in ("model", "permitted", "barred")}}
+    return F.flatten(F.transform("kids", lambda kid, i: _kin(kid["t"], i, kid["pos"], F.get("kids", i + 1)["t"], up)))
+
+
+def _fitting() -> Column:
+    """Whether all children surely suit their parent, without going through them one by one."""
+    kinds, model = F.col("kids.t"), F.col("model")
+    suited = F.when(model == "none", False).when(model.isin("text", "list"), F.size(F.array_except(kinds, F.col("permitted"))) == 0).otherwise(~F.coalesce(F.arrays_overlap(kinds, F.col("barred")), F.lit(False)))
+    # Names that are permitted have no line breaks, so that pairs can be read off their lines.
+    lines = F.concat(F.concat_ws("\n", kinds), F.lit("\n"))
+    pairs = (model == "list") & F.startswith(lines, F.lit("term\n")) & ~lines.rlike(r"(?<![^\n])term\n(?!definition\n|\z)")
+    return (F.col("n_children") == 0) | F.coalesce(suited & (~F.col("t").isin(*PAIRED) | pairs), F.lit(False))
+
+
 def _quiet() -> Column:
     """Whether a node surely sets no mark: a known element below the root, with no field or with the one that it needs. No arrays are gone through here, as nearly all nodes end here."""
     t, n = F.col("t"), F.size("fields")
     f = F.get("fields", F.lit(0))
     number = f["value"].try_cast("decimal(38,0)")
-    fits = F.when(F.col("sole_type") == "text", (f["kind"] == "str") & ~C.blank(f["value"])).when(F.col("sole_type") == "bool", f["kind"] == "bool").otherwise((f["kind"] == "int") & (F.col("sole_low").isNull() | number.between(F.col("sole_low"), F.col("sole_high"))))
+    fits = F.when(F.col("sole_type") == "text", (f["kind"] == "str") & ~C.blank(f["value"]) & ((F.size("sole_enum") == 0) | F.array_contains("sole_enum", f["value"]))).when(F.col("sole_type") == "bool", f["kind"] == "bool").otherwise((f["kind"] == "int") & (F.col("sole_low").isNull() | number.between(F.col("sole_low"), F.col("sole_high"))))
     fields = F.when(n == 0, F.col("free")).when(n == 1, (f["name"] == F.col("sole")) & (f["name"] != "id") & fits).otherwise(False)
     shape = F.col("et").isNotNull() & (F.size("malformed") == 0) & F.col("depth").between(1, MAX_DEPTH) & ~t.isin("date", "payload", *REFERRING) & ((F.col("n_children") > 0) | ~t.isin(*FILLED, *PAIRED, "document"))
     return F.coalesce(shape & fields, F.lit(False))
 
 
 def _sole(specs: Column) -> Column:
-    """The field by which a node of the element is sound if it has no other: the one that is required, or the first if none is; null where several are, or where its text may be wrong in more ways than being blank."""
-    required = F.filter(specs, lambda s: s["required"])
-    one = F.get(F.when(F.size(required) == 0, specs).when(F.size(required) == 1, required), F.lit(0))
-    return F.when(one["type"].isin("text", "int", "bool") & (F.size(one["enum"]) == 0), one)
+    """The field by which a node of the element is sound if it has no other: the one that is required, or the first if none is, one of few values before others; null where several are, or where its text may be wrong in more ways than being blank or none of the values."""
+    required, listed = (F.filter(specs, f) for f in (lambda s: s["required"], lambda s: F.size(s["enum"]) > 0))
+    one = F.get(F.when(F.size(required) == 0, F.concat(listed, specs)).when(F.size(required) == 1, required), F.lit(0))
+    return F.when((one["type"] == "text") | (one["type"].isin("int", "bool") & (F.size(one["enum"]) == 0)), one)
 
 
 def validate(nodes: DataFrame, reg: Register) -> DataFrame:
     """All diagnostics of the documents in a node table.
 
-    One pass marks what a node alone decides; only marks go on, to windows by document for what unknown elements hide, ids and
-    references. Children meet their parents in one more window, of few columns. The register is tens of rows and is broadcast.
+    One pass marks what a node decides alone or with its children; only marks go on, to windows by document for what unknown elements hide, ids and
+    references. A table without `kids` is shuffled once more, as children have to meet their parents. The register is tens of rows and is broadcast.
     """
     return validate_by(nodes.withColumn("register", F.lit(reg.digest)), [reg]).drop("register")
 
@@ -170,34 +183,64 @@ def validate_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
 
     Registers are data: their elements are joined by digest and name, tens of rows a version, so any number of versions takes the plan of one.
     """
-    spark = nodes.sparkSession
+    return settled(marked_by(nodes, registers))
+
+
+def _facts(spark: SparkSession, registers: list[Register]) -> DataFrame:
+    """What the registers say of each element, by digest `er` and name `et`; `barred` are those that can't be its children, if its model names a class."""
     every = [dimensions(spark, r) for r in registers]
     elements_of, fields_of = (reduce(DataFrame.unionAll, [d[k] for d in every]) for k in ("elements", "fields"))
-    doc = ["doc_id", "register"]  # sorted by what differs first
     specs = fields_of.groupBy("register", "t").agg(F.collect_list(F.struct("name", "type", "required", "enum", "low", "high")).alias("specs"))
-    elements = elements_of.join(specs, ["register", "t"], "left").select(F.col("register").alias("er"), F.col("t").alias("et"), "cls", "model", "permitted", F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)).alias("specs"))
+    others = [(r.digest, x.name, [y.name for y in r.elements.values() if y.cls not in ("invisible", "inline" if x.model == "inline" else "block")]) for r in registers for x in r.elements.values()]
+    elements = elements_of.join(specs, ["register", "t"], "left").join(spark.createDataFrame(others, "register string, t string, barred array<string>"), ["register", "t"])
+    held = elements.withColumns({"specs": F.coalesce("specs", F.array().cast(specs.schema["specs"].dataType)), "permitted": F.when(F.col("model") == "text", F.array(F.lit("text"))).otherwise(F.col("permitted"))})
     sole = F.col("one")
-    facts = elements.withColumn("one", _sole(F.col("specs"))).select("*", F.expr("not exists(specs, s -> s.required)").alias("free"), sole["name"].alias("sole"), sole["type"].alias("sole_type"), sole["low"].alias("sole_low"), sole["high"].alias("sole_high")).drop("one", "model", "permitted")
-    known = nodes.join(F.broadcast(facts), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left").drop("er")
-    good = known.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull())
+    return held.withColumn("one", _sole(F.col("specs"))).select(F.col("register").alias("er"), F.col("t").alias("et"), "model", "permitted", "barred", "specs", F.expr("not exists(specs, s -> s.required)").alias("free"), sole["name"].alias("sole"), sole["type"].alias("sole_type"), sole["enum"].alias("sole_enum"), sole["low"].alias("sole_low"), sole["high"].alias("sole_high"))
+
+
+def marked(nodes: DataFrame, reg: Register) -> DataFrame:
+    """The rows with `register` and `marks`, for `settled`."""
+    return marked_by(nodes.withColumn("register", F.lit(reg.digest)), [reg])
+
+
+def marked_by(nodes: DataFrame, registers: list[Register]) -> DataFrame:
+    """The rows of a node table with `marks`: everything that a node decides alone or with its children; null for nearly all.
+
+    With `kids` in the table that is a pass over its rows. Without, children meet their parents in a window of few columns, and what they decide comes in rows of its own.
+    """
+    facts = _facts(nodes.sparkSession, registers)
+    known = nodes.join(F.broadcast(facts), (F.col("register") == F.col("er")) & (F.col("t") == F.col("et")), "left")
+    good = F.coalesce((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull(), F.lit(False))
 
     # Only characters beyond U+02FF can keep a text from being in NFC.
     beyond = lambda f: (f["kind"] == "str") & f["value"].rlike(C.WIDE) & F.exists("specs", lambda s: (s["name"] == f["name"]) & ~s["type"].isin("int", "bool"))
-    wide = good.where(F.concat_ws("", F.col("fields.value")).rlike(C.WIDE)).select(*doc, "pos", "place", F.explode(F.filter("fields", beyond)).alias("f")).where(~C.is_nfc(F.col("f.value")))
-    unnormal = wide.select(*doc, "pos", F.col("pos").alias("at"), _mark(FOUND, "R15", F.col("place"), F.col("f.name")).alias("m"))
+    wide = good & F.concat_ws("", F.col("fields.value")).rlike(C.WIDE)
+    unnormal = F.transform(F.filter("fields", beyond), lambda f: _mark(FOUND, "R15", F.col("place"), f["name"], text=f["value"]))
+    together = "kids" in nodes.columns
+    fitting = ~good | _fitting() if together else F.lit(True)
+    marks = F.flatten(F.array_compact(F.array(F.when(~_quiet(), _marks()), F.when(wide, unnormal), *([F.when(~fitting, _kin_rules())] if together else []))))
+    own = known.select(*nodes.columns, F.when(~(_quiet() & ~wide & fitting), F.filter(F.array(marks), lambda m: F.size(m) > 0)).alias("m")).select(*nodes.columns, F.get("m", F.lit(0)).cast(MARKS).alias("marks"))
+    return own if together else own.unionByName(_met(nodes, known.where(good), facts), allowMissingColumns=True)
 
+
+def _met(nodes: DataFrame, good: DataFrame, facts: DataFrame) -> DataFrame:
+    """doc_id, register, pos, marks of parents: what their children decide with them, by a window."""
+    doc = ["doc_id", "register"]  # sorted by what differs first
     # A parent stands in front of its children in one order by place, so that they meet in a window, not in a join of the table with itself.
-    parents = known.where((F.col("depth") <= MAX_DEPTH) & F.col("et").isNotNull() & (F.col("last_pos") > F.col("pos"))).select(*doc, "pos", F.col("pos").alias("up"), F.lit(-1).alias("ord"), "t", "place", F.col("n_children").alias("among"))
+    parents = good.where(F.col("last_pos") > F.col("pos")).select(*doc, "pos", F.col("pos").alias("up"), F.lit(-1).alias("ord"), "t", "place", F.col("n_children").alias("among"))
     children = nodes.where("parent_pos >= 0").select(*doc, "pos", F.col("parent_pos").alias("up"), "ord", "t", F.lit(None).cast("string").alias("place"), F.lit(None).cast("int").alias("among"))
     family = Window.partitionBy(*doc, "up").orderBy("ord")
     met = parents.unionAll(children).withColumns({"p": F.first(F.struct("ord", "t", "place", "among")).over(family), "following": F.lead("t").over(family)}).where("ord >= 0 and p.ord = -1")
-    above, own = (F.broadcast(elements.select(F.col("er").alias(f"{k}r"), F.col("et").alias(f"{k}t"), *more)) for k, more in (("u", [F.col("model").alias("pm"), F.col("permitted").alias("allowed")]), ("k", ["cls"])))
-    kids = met.join(above, (F.col("register") == F.col("ur")) & (F.col("p.t") == F.col("ut"))).join(own, (F.col("register") == F.col("kr")) & (F.col("t") == F.col("kt")), "left")
-    kids = kids.select(*doc, "pos", "up", "ord", "t", "cls", "pm", "allowed", "following", F.col("p.t").alias("pt"), F.col("p.place").alias("pp"), F.col("p.among").alias("among"))
-    fits = kids.withColumn("d", F.explode(_child_rules())).select(*doc, "pos", F.col("up").alias("at"), _mark(FOUND, F.col("d.rule"), F.col("d.place"), F.col("d.detail")).alias("m"))
+    kids = met.join(F.broadcast(facts.select("er", "et", "model", "permitted", "barred")), (F.col("register") == F.col("er")) & (F.col("p.t") == F.col("et")))
+    up = {c: F.col(f"p.{c}") for c in ("t", "place", "among")} | {c: F.col(c) for c in ("model", "permitted", "barred")}
+    return kids.select(*doc, F.col("up").alias("pos"), _kin(F.col("t"), F.col("ord"), F.col("pos"), F.col("following"), up).cast(MARKS).alias("marks")).where(F.size("marks") > 0)
 
-    alone = known.where(~_quiet()).select(*doc, "pos", F.col("pos").alias("at"), F.explode(_marks()).alias("m"))
-    marks = alone.unionAll(unnormal).unionAll(fits).select(*doc, "pos", "at", "m.*")
+
+def settled(marked: DataFrame) -> DataFrame:
+    """Diagnostics from rows (doc_id, register, pos, marks): what unknown elements hide goes, and ids and references of a document meet."""
+    doc = ["doc_id", "register"]  # sorted by what differs first
+    set_ = marked.where("marks is not null").select(*doc, F.col("pos").alias("at"), F.explode("marks").alias("m")).select(*doc, "at", "m.*")
+    marks = set_.where(F.col("text").isNull() | ~C.is_nfc(F.col("text"))).withColumnRenamed("on", "pos").drop("text")
     before = Window.partitionBy(*doc).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
     seen = marks.withColumn("stop", F.max("to").over(before)).where((F.col("kind") != UNKNOWN) & ((F.col("kind") == ASKED) | F.col("stop").isNull() | (F.col("stop") < F.col("at"))))
     named = Window.partitionBy(*doc, "id").orderBy("kind", "pos")
