@@ -128,7 +128,7 @@ _LEFT = pa.schema([ROWS.field(c) for c in COLUMNS])
 
 
 def left_of(rows: pa.Table) -> pa.Table:
-    """What is left of whole documents, rows in order of document and position; the last column says whether a row stays."""
+    """What is left of whole documents, rows in order of document and position; the last column says whether a row stays, those between are numbers that it keeps."""
     n = rows.num_rows
     ids = rows.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     pos, up, last, depth = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "parent_pos", "last_pos", "depth"))
@@ -162,11 +162,15 @@ def left_of(rows: pa.Table) -> pa.Table:
     table = rows.take(pa.array(kept_at))
     start = first[kept_at]
     made = {"pos": number[kept_at] - start, "depth": levels[kept_at], "parent_pos": np.where(own >= 0, number[np.maximum(own, 0)] - start, -1), "ord": np.where(own >= 0, nth, 0), "n_children": kids, "last_pos": number[end[kept_at]] - start - 1}
-    return pa.table([pa.array(made[f.name], f.type) if f.name in made else table.column(f.name).cast(f.type) for f in _LEFT], schema=_LEFT)
+    schema = pa.schema([*_LEFT, *[(c, pa.int32()) for c in rows.column_names[len(_LEFT) : -1]]])
+    return pa.table([pa.array(made[f.name], f.type) if f.name in made else table.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
-def left(rows: DataFrame, stays: Column) -> DataFrame:
-    """The node table (without path and place) without the rows that don't stay, whose children go to their parents; one shuffle by document, a document's rows are in memory at once."""
+def left(rows: DataFrame, stays: Column, *more: str) -> DataFrame:
+    """The node table (without path and place) without the rows that don't stay, whose children go to their parents; a document's rows are in memory at once.
+
+    `more` are columns of integers that go along. A window puts the rows in order, so that they are shuffled only if they aren't by document yet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -185,8 +189,11 @@ def left(rows: DataFrame, stays: Column) -> DataFrame:
             yield from left_of(pa.Table.from_batches(held)).to_batches()
 
     kinds = {"fields": FIELDS, "malformed": "array<string>", "doc_id": "string", "t": "string"}
-    asked_ = rows.select(*COLUMNS, F.coalesce(stays, F.lit(False)).alias("__flag")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-    return asked_.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in COLUMNS))
+    flagged = rows.select(*COLUMNS, *more, F.coalesce(stays, F.lit(False)).alias("__flag"))
+    # The window is over the flag, so that Spark puts it behind those that the flag is from.
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = flagged.select(*COLUMNS, *more, F.sum(F.col("__flag").cast("int")).over(so_far).cast("int").alias("__nth"), "__flag").sortWithinPartitions("doc_id", "pos")
+    return in_order.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in (*COLUMNS, *more, "__nth"))).drop("__nth")
 
 
 # -- pruning ---------------------------------------------------------------------------------

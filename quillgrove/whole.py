@@ -108,7 +108,6 @@ def documents_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     raw = F.concat(F.lit("<rfc><front><title>Document "), key, F.lit("</title></front><middle>"), F.array_join(F.transform(lines_of(F.col("text")), section), ""), F.lit("</middle></rfc>"))
     n, found = xml_parts.xml_in_parts(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw", "standards", id_col="doc_id")
-    n = kept(n)
     shown = measures.units(n).groupBy("doc_id").agg(F.sum(F.length("unit")).alias("chars"))
     went = found.groupBy("doc_id").pivot("key", ["ids dropped", "references dropped"]).agg(F.sum("n")).select("doc_id", F.col("`ids dropped`").alias("ids"), F.col("`references dropped`").alias("references"))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
