@@ -15,10 +15,10 @@ def _shared(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows from Parquet in spark.checkpoint.dir, so that each reader takes only its columns; only a local session without one gets a folder of its own."""
     folder = shared_folder(df.sparkSession, "kept")
-    df.write.parquet(folder)
+    (df.write.option("compression", compression) if compression else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

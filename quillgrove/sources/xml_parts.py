@@ -92,7 +92,10 @@ def joined(done: DataFrame) -> DataFrame:
     before, every = pieces.rowsBetween(Window.unboundedPreceding, -1), pieces.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
     whole = lambda c: F.sum(c).over(every).cast("int")
-    held = done.withColumn("size", F.size("nodes")).withColumns({"at": ahead("size") + 1, "nth": ahead("tops"), "numbered": ahead("notes"), "first": F.row_number().over(pieces) == 1, "below": whole("size"), "all_tops": whole("tops")})
+    # A piece goes through the shuffle as a list for each column; a node's position is its place in them.
+    lists = [f.name for f in _ROW if f.name != "pos"]
+    listed = done.select("doc_id", "piece", F.col("fields").alias("own"), "tops", "notes", F.size("nodes").alias("size"), *[F.col(f"nodes.{c}").alias(c) for c in lists])
+    held = listed.withColumns({"at": ahead("size") + 1, "nth": ahead("tops"), "numbered": ahead("notes"), "first": F.row_number().over(pieces) == 1, "below": whole("size"), "all_tops": whole("tops")})
     start = len(markup.UNNUMBERED) + 1
 
     def named(f):
@@ -101,11 +104,11 @@ def joined(done: DataFrame) -> DataFrame:
         return F.struct(f["name"].alias("name"), f["kind"].alias("kind"), F.when(late, F.concat(F.lit("fn-"), number.cast("string"))).otherwise(f["value"]).alias("value"))
 
     top = lambda n: n["parent_pos"] < 0
-    moved = F.transform("nodes", lambda n: F.struct(
-        (n["pos"] + F.col("at")).alias("pos"), n["depth"].alias("depth"), F.when(top(n), 0).otherwise(n["parent_pos"] + F.col("at")).alias("parent_pos"), F.when(top(n), n["ord"] + F.col("nth")).otherwise(n["ord"]).alias("ord"),
+    moved = F.transform(F.arrays_zip(*lists), lambda n, i: F.struct(
+        (i + F.col("at")).alias("pos"), n["depth"].alias("depth"), F.when(top(n), 0).otherwise(n["parent_pos"] + F.col("at")).alias("parent_pos"), F.when(top(n), n["ord"] + F.col("nth")).otherwise(n["ord"]).alias("ord"),
         n["t"].alias("t"), F.transform(n["fields"], named).alias("fields"), n["n_children"].alias("n_children"), n["malformed"].alias("malformed"), (n["last_pos"] + F.col("at")).alias("last_pos"),
     ))
-    own = F.array(*[F.struct(F.lit(k).alias("name"), F.lit("str").alias("kind"), F.get_json_object("fields", f"$.{k}").alias("value")) for k in ("id", "lang", "title")])
+    own = F.array(*[F.struct(F.lit(k).alias("name"), F.lit("str").alias("kind"), F.get_json_object("own", f"$.{k}").alias("value")) for k in ("id", "lang", "title")])
     root = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(-1).alias("parent_pos"), F.lit(0).alias("ord"), F.lit("document").alias("t"), own.alias("fields"), F.col("all_tops").alias("n_children"), F.array().cast("array<string>").alias("malformed"), F.col("below").alias("last_pos"))
     rows = f"array<{ROW}>"
     return held.select("doc_id", F.inline(F.concat(F.when(F.col("first"), F.array(root)).otherwise(F.array()).cast(rows), moved.cast(rows))))
@@ -133,8 +136,8 @@ def xml_in_parts(rows: DataFrame, raw_col: str, genre: str, *, id_col: str, name
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = cut(rows, raw_col, genre, id_col=id_col, namespace=namespace).repartition(n, "doc_id", "piece")
-    done = kept(mapped(pieces, genre))
-    nodes = kept(repaired(joined(done.where("fields is not null").drop("found"))))
+    done = kept(mapped(pieces, genre), "zstd")
+    nodes = kept(repaired(joined(done.where("fields is not null").drop("found"))), "zstd")
     said = done.select("doc_id", F.explode("found").alias("key", "n")).groupBy("doc_id", "key").agg(F.sum("n").cast("int").alias("n"))
     roots = nodes.where("pos = 0").select("doc_id", F.lit("references dropped").alias("key"), (F.col("before") - F.col("last_pos")).alias("n")).where("n > 0")
     ids = nodes.where("again = 1").groupBy("doc_id").agg(F.count("*").cast("int").alias("n")).select("doc_id", F.lit("ids dropped").alias("key"), "n")
